@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hrlens.plans import analyses as A
 from hrlens.plans import oracle_sql as O
+from hrlens.plans.cleaning_checks import CLEANING_QUERIES
+from hrlens.plans.oracle_cleaning import CLEANING_SQL
 from hrlens.sources.derive import hr_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -45,10 +47,20 @@ def _analysis(name: str) -> QueryFn:
     return run
 
 
+def _on_views(fn) -> QueryFn:
+    def run(spark: SparkSession, data_dir: str) -> DataFrame:
+        return fn(hr_views(spark, data_dir))
+
+    run.__name__ = fn.__name__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
     for qid, name in ANALYSIS_KEYS:
         out[f"{qid}_{name}"] = _analysis(name)
+    for key, fn in CLEANING_QUERIES.items():
+        out[key] = _on_views(fn)
     return out
 
 
@@ -56,4 +68,5 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for qid, name in ANALYSIS_KEYS:
         out[f"{qid}_{name}"] = O.ANALYSES_SQL[name]
+    out.update(CLEANING_SQL)
     return out
