@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hrlens.plans import analyses as A
 from hrlens.plans import oracle_sql as O
+from hrlens.plans.checks import CHECK_QUERIES
 from hrlens.plans.cleaning_checks import CLEANING_QUERIES
+from hrlens.plans.oracle_checks import CHECKS_SQL
 from hrlens.plans.oracle_cleaning import CLEANING_SQL
+
+# Query families over the HR views: key -> HRTables -> DataFrame.
+VIEW_QUERIES = {**CLEANING_QUERIES, **CHECK_QUERIES}
+VIEW_SQL = {**CLEANING_SQL, **CHECKS_SQL}
 from hrlens.sources.derive import hr_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +65,7 @@ def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
     for qid, name in ANALYSIS_KEYS:
         out[f"{qid}_{name}"] = _analysis(name)
-    for key, fn in CLEANING_QUERIES.items():
+    for key, fn in VIEW_QUERIES.items():
         out[key] = _on_views(fn)
     return out
 
@@ -68,5 +74,5 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for qid, name in ANALYSIS_KEYS:
         out[f"{qid}_{name}"] = O.ANALYSES_SQL[name]
-    out.update(CLEANING_SQL)
+    out.update(VIEW_SQL)
     return out
