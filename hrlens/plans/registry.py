@@ -12,11 +12,14 @@ from hrlens.plans import oracle_sql as O
 from hrlens.plans.checks import CHECK_QUERIES
 from hrlens.plans.cleaning_checks import CLEANING_QUERIES
 from hrlens.plans.oracle_checks import CHECKS_SQL
+from hrlens.plans.extensions import EXTENSION_QUERIES
 from hrlens.plans.oracle_cleaning import CLEANING_SQL
+from hrlens.plans.oracle_extensions import EXTENSIONS_SQL
+from hrlens.plans.rules import RULE_QUERIES
 
 # Query families over the HR views: key -> HRTables -> DataFrame.
-VIEW_QUERIES = {**CLEANING_QUERIES, **CHECK_QUERIES}
-VIEW_SQL = {**CLEANING_SQL, **CHECKS_SQL}
+VIEW_QUERIES = {**EXTENSION_QUERIES, **RULE_QUERIES, **CLEANING_QUERIES, **CHECK_QUERIES}
+VIEW_SQL = {**EXTENSIONS_SQL, **CLEANING_SQL, **CHECKS_SQL}
 from hrlens.sources.derive import hr_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

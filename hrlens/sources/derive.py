@@ -147,3 +147,13 @@ def hr_views(spark: SparkSession, data_dir: str) -> HRTables:
         performance_reviews=reviews_view(spark, data_dir),
         goals=goals_view(spark, data_dir),
     )
+
+
+# Review calendar of the derived reviews: periods split January 2024 into
+# days 1-8, 9-16, 17-24 and 25-31 (see ``reviews_view``).
+DERIVED_REVIEW_CALENDAR = [
+    ("2024-P1", _dt.date(2024, 1, 8)),
+    ("2024-P2", _dt.date(2024, 1, 16)),
+    ("2024-P3", _dt.date(2024, 1, 24)),
+    ("2024-P4", _dt.date(2024, 1, 31)),
+]
