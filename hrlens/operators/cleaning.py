@@ -3,7 +3,8 @@
 Each cleaner is one projection (one Project node, whole-stage codegen, no
 Python), preceded where the table needs it by a full-row de-duplication on
 the *raw* strings (rows equal only after cleaning are kept and surface in
-the key-uniqueness check instead).
+the key-uniqueness check instead). ``keep`` names extra columns passed
+through unchanged (e.g. a lineage digest).
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def drop_duplicate_rows(raw: DataFrame) -> DataFrame:
     return raw.dropDuplicates()
 
 
-def clean_departments(raw: DataFrame, casing: str | None = None) -> DataFrame:
+def clean_departments(raw: DataFrame, casing: str | None = None, keep: tuple = ()) -> DataFrame:
     """Whitespace-only name fix by default; ``casing="title"`` also title-cases
     (``ENGINEERING`` -> ``Engineering``)."""
     name = clean_text(F.col("dept_name"))
@@ -44,10 +45,11 @@ def clean_departments(raw: DataFrame, casing: str | None = None) -> DataFrame:
         name.alias("dept_name"),
         F.col("division"),
         to_int(F.col("salary_band_mid")).alias("salary_band_mid"),
+        *keep,
     )
 
 
-def clean_employees(raw: DataFrame) -> DataFrame:
+def clean_employees(raw: DataFrame, keep: tuple = ()) -> DataFrame:
     # satisfaction_score and termination_date stay NULL where missing.
     return drop_duplicate_rows(raw).select(
         to_int(F.col("employee_id")).alias("employee_id"),
@@ -64,10 +66,11 @@ def clean_employees(raw: DataFrame) -> DataFrame:
         to_number(F.col("satisfaction_score")).alias("satisfaction_score"),
         to_number(F.col("last_performance_score")).alias("last_performance_score"),
         to_int(F.col("manager_id")).alias("manager_id"),
+        *keep,
     )
 
 
-def clean_salaries(raw: DataFrame) -> DataFrame:
+def clean_salaries(raw: DataFrame, keep: tuple = ()) -> DataFrame:
     # No de-duplication: a repeated salary row is a real repeated event.
     return raw.select(
         to_int(F.col("salary_id")).alias("salary_id"),
@@ -75,10 +78,11 @@ def clean_salaries(raw: DataFrame) -> DataFrame:
         parse_date_multi(F.col("effective_date")).alias("effective_date"),
         to_int(F.col("monthly_salary_idr")).alias("monthly_salary_idr"),
         fill_unknown(F.col("change_reason")).alias("change_reason"),
+        *keep,
     )
 
 
-def clean_reviews(raw: DataFrame) -> DataFrame:
+def clean_reviews(raw: DataFrame, keep: tuple = ()) -> DataFrame:
     # reviewer_id arrives as float text (1234.0) and stays NULL where missing.
     return drop_duplicate_rows(raw).select(
         to_int(F.col("review_id")).alias("review_id"),
@@ -86,10 +90,11 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
         F.col("review_period"),
         to_number(F.col("review_score")).alias("review_score"),
         to_int(F.col("reviewer_id")).alias("reviewer_id"),
+        *keep,
     )
 
 
-def clean_goals(raw: DataFrame) -> DataFrame:
+def clean_goals(raw: DataFrame, keep: tuple = ()) -> DataFrame:
     # weight_pct stays NULL where missing.
     return raw.select(
         to_int(F.col("goal_id")).alias("goal_id"),
@@ -98,6 +103,7 @@ def clean_goals(raw: DataFrame) -> DataFrame:
         to_number(F.col("weight_pct")).alias("weight_pct"),
         parse_percent(F.col("achievement_pct")).alias("achievement_pct"),
         F.col("period"),
+        *keep,
     )
 
 
