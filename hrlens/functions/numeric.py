@@ -56,8 +56,10 @@ def avg_rounded(c: Column, digits: int, input_digits: int = 0) -> Column:
     """Aggregate: round(avg(c), digits) exactly.
 
     ``input_digits`` is the number of decimals the values carry (0 for IDR
-    amounts, 1 for 1.0-5.0 scores); values are summed as exact integers.
+    amounts, 1 for 1.0-5.0 scores); values are summed as exact BIGINTs (a
+    long add per row; an overflow raises under ANSI instead of wrapping) and
+    only the per-group result uses 38-digit decimals.
     """
-    s = F.sum(as_int(c, input_digits).cast(DEC))
+    s = F.sum(as_int(c, input_digits))
     n = F.count(c) * (10**input_digits)
     return half_up_ratio(s, n, digits)

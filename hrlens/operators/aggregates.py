@@ -27,17 +27,19 @@ def weighted_mean_micro(
     up to ``input_digits`` decimals are summed as exact integers, so the
     result does not depend on row order. A group holding a third of all rows
     is still combined map-side (partial aggregation)."""
-    v = as_int(F.col(value), input_digits).cast(DEC)
-    w = as_int(F.col(weight), input_digits).cast(DEC)
+    # Row values are exact BIGINTs (long arithmetic per row); only the
+    # per-group division uses 38-digit decimals.
+    v = as_int(F.col(value), input_digits)
+    w = as_int(F.col(weight), input_digits)
     num = F.sum(v * w)
-    den = F.sum(w) * (10**input_digits)
+    den = F.sum(w).cast(DEC) * (10**input_digits)
     mean = F.coalesce(half_up_int(num, den, MICRO), F.lit(0).cast("bigint"))
     return df.groupBy(*by).agg(mean.alias(out))
 
 
 def mean_of_micro(c: Column, digits: int = 2) -> Column:
     """Aggregate: round(avg(c / 10^6), digits) for a micro-unit integer column."""
-    return half_up_ratio(F.sum(c.cast(DEC)), F.count(c) * (10**MICRO), digits)
+    return half_up_ratio(F.sum(c), F.count(c) * (10**MICRO), digits)
 
 
 def two_group_gap(
@@ -60,13 +62,14 @@ def two_group_gap(
     percentage divides by the *rounded* mean of the higher side; a group
     missing one side has direction ``Equal`` and percentage 0."""
     g = F.col(group_col)
-    x = F.col(value).cast(DEC)
+    x = F.col(value).cast("bigint")
     sa, na = F.sum(F.when(g == a, x)), F.count(F.when(g == a, x))
     sb, nb = F.sum(F.when(g == b, x)), F.count(F.when(g == b, x))
     stats = df.where(g.isin(a, b)).groupBy(*by).agg(
         sa.alias("_sa"), na.alias("_na"), sb.alias("_sb"), nb.alias("_nb")
     )
-    cross = F.col("_sa") * F.col("_nb").cast(DEC) - F.col("_sb") * F.col("_na").cast(DEC)
+    # Per-group arithmetic in 38-digit decimals (sum x count can pass 2^63).
+    cross = F.col("_sa").cast(DEC) * F.col("_nb").cast(DEC) - F.col("_sb").cast(DEC) * F.col("_na").cast(DEC)
     both = (F.col("_na") > 0) & (F.col("_nb") > 0)
     direction = (
         F.when(both & (cross > 0), a_higher)
@@ -108,9 +111,9 @@ def mean_sd_band(c: Column, digits: int = 2, input_digits: int = 1) -> list[Colu
     Sums run on exact integers; the variance is one exact rational turned
     into a double once, so the result does not depend on partial-sum order.
     One row gives NULL stddev and bounds."""
-    xi = as_int(c, input_digits).cast(DEC)
-    s = F.sum(xi)
-    q = F.sum(xi * xi)
+    xi = as_int(c, input_digits)
+    s = F.sum(xi).cast(DEC)
+    q = F.sum(xi * xi).cast(DEC)
     n = F.count(c).cast(DEC)
     unit = 10**input_digits
     var_num = n * q - s * s

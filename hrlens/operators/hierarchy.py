@@ -78,4 +78,7 @@ def direct_report_counts(emp: DataFrame, depts: DataFrame) -> DataFrame:
         .cast("bigint")
         .alias("total_subordinates"),
     )
-    return global_rank(counted, "total_subordinates", "rank_by_subordinates")
+    # The report counts sum to at most the number of (manager, report) pairs
+    # (one per Active employee when ids are unique), so they take fewer than
+    # sqrt(2 * pairs) + 2 distinct values: the rank table is provably small.
+    return global_rank(counted, "total_subordinates", "rank_by_subordinates", metric_is_count=True)

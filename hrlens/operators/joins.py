@@ -11,11 +11,25 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 
 
+# Size decisions per (session, plan): within a session a table is treated as
+# a snapshot, so a dimension used by many queries is counted once.
+_DECIDED: dict[tuple[int, int, int], bool] = {}
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (a LIMIT job that stops
+    reading once the bound is passed)."""
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    if key not in _DECIDED:
+        _DECIDED[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _DECIDED[key]
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows,
-    else ``df`` unchanged."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    else ``df`` unchanged (the planner then picks a shuffle join, and AQE
+    can still demote it to a broadcast at runtime)."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def join_dimension(

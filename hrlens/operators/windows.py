@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hrlens.functions.numeric import DEC, half_up_int
+from hrlens.functions.numeric import half_up_int
 from hrlens.operators.joins import bounded_broadcast
 
 
@@ -40,7 +40,7 @@ def top_n_per_group(
 
 def group_mean_int(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """round(avg(value)) per group as an exact BIGINT (NULL for all-NULL)."""
-    x = F.col(value).cast(DEC)
+    x = F.col(value).cast("bigint")
     return df.groupBy(*by).agg(half_up_int(F.sum(x), F.count(x), 0).alias(out))
 
 
@@ -87,32 +87,29 @@ def change_from_previous(
         w = Window.partitionBy(key).orderBy(*sort)
         return df.withColumn(prev_col, F.lag(value).over(w))
 
-    s = "_split"
-    base = df.withColumn(s, split)
-    w = Window.partitionBy(key, s).orderBy(*sort)
+    # Struct-wrapped keys compare NULL equal to NULL, so NULL keys and NULL
+    # splits keep their own groups in a plain equi-join; (is_null, value)
+    # puts a NULL split last. The fix-up join uses exactly the window's
+    # partitioning keys, so the rows are shuffled once.
+    base = df.withColumn("_kk", F.struct(F.col(key))).withColumn(
+        "_sk", F.struct(split.isNull().alias("n"), split.alias("v"))
+    )
+    w = Window.partitionBy("_kk", "_sk").orderBy(*sort)
     local = base.withColumn("_lag", F.lag(value).over(w)).withColumn(
         "_pos", F.row_number().over(w)
     )
     # Last row per (key, split) under the same ordering; NULLs sort last, so
     # the sort key of each column is (is_null, value).
     sort_key = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order])
-    tails = base.groupBy(key, s).agg(F.max_by(F.col(value), sort_key).alias("_tail"))
-    wk = Window.partitionBy(key).orderBy(F.col(s).asc_nulls_last())
+    tails = base.groupBy("_kk", "_sk").agg(F.max_by(F.col(value), sort_key).alias("_tail"))
     carry = tails.select(
-        F.col(key).alias("_ck"),
-        F.col(s).alias("_cs"),
-        F.lag("_tail").over(wk).alias("_carry"),
+        "_kk", "_sk", F.lag("_tail").over(Window.partitionBy("_kk").orderBy("_sk")).alias("_carry")
     )
-    # NULL keys and NULL splits form groups of their own, as in a window.
-    on = F.col(key).eqNullSafe(F.col("_ck")) & F.col(s).eqNullSafe(F.col("_cs"))
-    firsts = (
-        local.where(F.col("_pos") == 1)
-        .join(carry, on, "left")
-        .withColumn(prev_col, F.col("_carry"))
-        .drop("_carry", "_ck", "_cs")
+    return (
+        local.join(carry, ["_kk", "_sk"], "left")
+        .withColumn(prev_col, F.when(F.col("_pos") == 1, F.col("_carry")).otherwise(F.col("_lag")))
+        .drop("_kk", "_sk", "_lag", "_pos", "_carry")
     )
-    rest = local.where(F.col("_pos") > 1).withColumn(prev_col, F.col("_lag"))
-    return firsts.unionByName(rest).drop("_lag", "_pos", s)
 
 
 def global_rank(
@@ -120,10 +117,16 @@ def global_rank(
     metric: str,
     rank_col: str = "rank",
     descending: bool = True,
+    metric_is_count: bool = False,
 ) -> DataFrame:
     """rank() over (order by metric [desc]) for every row, without moving all
     rows into one partition. NULL metrics rank as PostgreSQL orders them
-    (first when descending, last when ascending)."""
+    (first when descending, last when ascending).
+
+    ``metric_is_count``: the metric counts disjoint rows of some table of N
+    rows, so its distinct values c1 < c2 < ... sum to at most N and there are
+    fewer than sqrt(2N) + 2 of them (about 141k for N = 10^10). The rank
+    table then has a proven bound and is broadcast without a check."""
     hist = df.groupBy(metric).agg(F.count(F.lit(1)).alias("_n"))
     order = F.col(metric).desc_nulls_first() if descending else F.col(metric).asc_nulls_last()
     # The histogram is bounded by the number of distinct metric values, so a
@@ -132,5 +135,5 @@ def global_rank(
     ranks = hist.withColumn(
         rank_col, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("bigint")
     ).select(F.col(metric).alias("_m"), rank_col)
-    ranks = bounded_broadcast(ranks)
+    ranks = F.broadcast(ranks) if metric_is_count else bounded_broadcast(ranks)
     return df.join(ranks, F.col(metric).eqNullSafe(F.col("_m")), "inner").drop("_m")

@@ -139,7 +139,21 @@ def goals_view(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+_VIEWS: dict[tuple[int, str], HRTables] = {}
+
+
 def hr_views(spark: SparkSession, data_dir: str) -> HRTables:
+    """The five views (plans only; nothing is read until an action). Reused
+    per session and folder, like the table handles under them."""
+    key = (id(spark), data_dir)
+    cached = _VIEWS.get(key)
+    if cached is not None and cached.employees.sparkSession is spark:
+        return cached
+    _VIEWS[key] = _build_views(spark, data_dir)
+    return _VIEWS[key]
+
+
+def _build_views(spark: SparkSession, data_dir: str) -> HRTables:
     return HRTables(
         departments=departments_view(spark, data_dir),
         employees=employees_view(spark, data_dir),
