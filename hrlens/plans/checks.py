@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hrlens.functions.numeric import avg_rounded, pct
 from hrlens.functions.parse import is_ambiguous_date, parse_date_multi
 from hrlens.operators import profiling as P
 from hrlens.operators import quality as V
@@ -39,6 +40,21 @@ def v06_extended_checks(t: HRTables) -> DataFrame:
     return V.validate_extended(t)
 
 
+def a13_sanity_stats(t: HRTables) -> DataFrame:
+    """The simulator's closing sanity figures over the employees table:
+    attrition share (mean of a boolean), mean salary in millions, mean
+    satisfaction and the share with a manager, each rounded exactly."""
+    e = t.employees
+    n = F.count(F.lit(1))
+    return e.agg(
+        n.alias("employees"),
+        pct(F.count_if(F.col("status") != "Active"), n, 2).alias("attrition_pct"),
+        avg_rounded(F.col("monthly_salary_idr") / 1_000_000, 1, input_digits=6).alias("avg_salary_m"),
+        avg_rounded(F.col("satisfaction_score"), 2, input_digits=2).alias("avg_satisfaction"),
+        pct(F.count_if(F.col("manager_id").isNotNull()), n, 1).alias("with_manager_pct"),
+    )
+
+
 def p01_shape(t: HRTables) -> DataFrame:
     return P.shapes(t.as_dict())
 
@@ -90,6 +106,7 @@ CHECK_QUERIES = {
     "v04_gender_domain": v04_gender_domain,
     "v05_positive_salary": v05_positive_salary,
     "v06_extended_checks": v06_extended_checks,
+    "a13_sanity_stats": a13_sanity_stats,
     "p01_shape": p01_shape,
     "p02_head": p02_head,
     "p03_duplicate_rows": p03_duplicate_rows,

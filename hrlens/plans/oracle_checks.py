@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hrlens.plans.oracle_cleaning import CLEAN, RAW, ambiguous, parse_date
-from hrlens.plans.oracle_sql import with_views
+from hrlens.plans.oracle_sql import avg_rounded, pct, with_views
 from hrlens.schemas import TABLE_COLUMNS
 
 
@@ -90,6 +90,15 @@ CHECKS_SQL = {
     "v04_gender_domain": with_views(domain("employees", "employee_id", "gender", ["Male", "Female", "Unknown"]), "employees"),
     "v05_positive_salary": with_views(positive("employees", "employee_id", "monthly_salary_idr"), "employees"),
     "v06_extended_checks": with_views(EXTENDED, *ALL),
+    "a13_sanity_stats": with_views(
+        f"""SELECT count(*) AS employees,
+                   {pct("count(*) FILTER (WHERE status <> 'Active')", 'count(*)', 2)} AS attrition_pct,
+                   {avg_rounded('monthly_salary_idr / 1000000', 1, 6)} AS avg_salary_m,
+                   {avg_rounded('satisfaction_score', 2, 2)} AS avg_satisfaction,
+                   {pct('count(*) FILTER (WHERE manager_id IS NOT NULL)', 'count(*)', 1)} AS with_manager_pct
+            FROM employees""",
+        "employees",
+    ),
     "p01_shape": with_views(
         " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS rows, CAST({len(TABLE_COLUMNS[t])} AS BIGINT) AS cols FROM {t}"

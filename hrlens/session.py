@@ -39,6 +39,32 @@ def get_session(
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan sizing for a cluster run over ``input_bytes`` of
+    input on ``total_cores`` executor cores.
+
+    Scan splits and post-shuffle partitions aim at ``target_partition_bytes``
+    (so a task's working set fits executor memory and spills stay rare); the
+    initial shuffle partition count is high enough for the largest stage and
+    AQE coalesces small ones at runtime and splits skewed ones (a partition
+    above 5x the median and the advisory size is split for joins).
+    """
+    wanted = -(-input_bytes // target_partition_bytes)
+    # Shuffles carry projected, partially aggregated rows, far less than the
+    # input; past ~100k partitions the per-partition bookkeeping dominates.
+    partitions = min(max(2 * total_cores, wanted), 100_000)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

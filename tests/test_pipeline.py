@@ -115,3 +115,23 @@ def test_stream_cleaning_dedupes_across_files(spark, sf001, tmp_root):
     got = spark.read.parquet(os.path.join(out_dir, "salaries"))
     assert got.exceptAll(CLEANERS["salaries"](sal_raw)).count() == 0
     assert got.count() == sal_raw.count()
+
+
+def test_leave_null_policy(spark, sf001):
+    """C11: measured values are never filled; only category columns get
+    'Unknown'."""
+    views = hr_views(spark, sf001)
+    raw = degrade_rows("employees", views.employees)
+    clean = CLEANERS["employees"](raw)
+    assert clean.where(F.col("satisfaction_score").isNull()).count() == (
+        raw.dropDuplicates().where(F.col("satisfaction_score").isNull()).count()
+    )
+    assert clean.where(F.col("termination_date").isNull()).count() == clean.where(F.col("status") == "Active").count()
+    for c in ["gender", "city", "employment_type"]:
+        assert clean.where(F.col(c).isNull()).count() == 0
+    goals_raw = degrade_rows("goals", views.goals)
+    goals = CLEANERS["goals"](goals_raw)
+    assert goals.where(F.col("weight_pct").isNull()).count() == goals_raw.where(F.col("weight_pct").isNull()).count() > 0
+    rev_raw = degrade_rows("performance_reviews", views.performance_reviews)
+    rev = CLEANERS["performance_reviews"](rev_raw)
+    assert rev.where(F.col("reviewer_id").isNull()).count() == rev_raw.dropDuplicates().where(F.col("reviewer_id").isNull()).count() > 0
