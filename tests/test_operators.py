@@ -76,3 +76,11 @@ def test_two_group_gap_direction(spark):
     got = {r.lvl: (r.pay_gap, r.pay_gap_pct, r.gap_direction) for r in
            two_group_gap(df, ["lvl"], "g", "M", "F", "v", "am", "af", "M higher", "F higher").collect()}
     assert got == {"x": (-10.0, 9.09, "F higher"), "y": (0.0, 0.0, "Equal"), "z": (None, 0.0, "Equal")}
+
+
+def test_mean_sd_band_single_row_is_null(spark):
+    from hrlens.operators.aggregates import mean_sd_band
+
+    df = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("b", 4.0)], "g string, x double")
+    got = {r.g: (r.avg, r.sd, r.lo, r.hi) for r in df.groupBy("g").agg(*mean_sd_band(F.col("x"), 2, 1)).collect()}
+    assert got == {"a": (3.0, None, None, None), "b": (3.0, 1.41, 1.59, 4.41)}
