@@ -54,3 +54,14 @@ def read_clean_tables(spark: SparkSession, data_dir: str, fmt: str = "parquet")
     """All five clean tables, ready for the analyses."""
     t = {name: read_clean(spark, data_dir, name, fmt) for name in TABLES}
     return HRTables(**t)
+
+
+def register_tables(tables: HRTables, prefix: str = "") -> list[str]:
+    """Expose the five tables to ``spark.sql`` as temp views named
+    ``<prefix>departments``, ``<prefix>employees``, ... so analyses can also
+    be written as SQL against the clean schema."""
+    names = []
+    for name, df in tables.as_dict().items():
+        df.createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names

@@ -135,3 +135,17 @@ def test_leave_null_policy(spark, sf001):
     rev_raw = degrade_rows("performance_reviews", views.performance_reviews)
     rev = CLEANERS["performance_reviews"](rev_raw)
     assert rev.where(F.col("reviewer_id").isNull()).count() == rev_raw.dropDuplicates().where(F.col("reviewer_id").isNull()).count() > 0
+
+
+def test_cli_clean_analyze_sql(spark, sf001, tmp_root, capsys):
+    from hrlens.__main__ import main
+
+    raw_dir = os.path.join(tmp_root, "cli_raw")
+    out_dir = os.path.join(tmp_root, "cli_clean")
+    _write_raw(spark, sf001, raw_dir)
+    assert main(["clean", raw_dir, out_dir, "--format", "parquet"]) == 0
+    res = os.path.join(tmp_root, "cli_q08")
+    assert main(["analyze", out_dir, "attrition_by_tenure", "--out", res]) == 0
+    assert spark.read.parquet(res).count() > 0
+    assert main(["sql", out_dir, "SELECT status, count(*) AS n FROM employees GROUP BY status"]) == 0
+    assert "Resigned" in capsys.readouterr().out
