@@ -64,19 +64,17 @@ def direct_report_counts(emp: DataFrame, depts: DataFrame) -> DataFrame:
         emp.where(F.col("status") == ACTIVE)
         .select("employee_id", "full_name", "dept_id")
         .join(d, "dept_id", "inner")
-        # Bag semantics of GROUP BY (employee_id, full_name, dept_name): an
-        # id listed twice is one group whose reports are counted per row.
-        .groupBy("employee_id", "full_name", "dept_name")
-        .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    counted = managers.join(
-        reports, F.col("employee_id") == F.col("manager_id"), "left"
-    ).select(
-        "full_name",
-        "dept_name",
-        (F.coalesce(F.col("_reports"), F.lit(0)) * F.col("_copies"))
-        .cast("bigint")
-        .alias("total_subordinates"),
+    # Join first, then group: the group-by keys start with the join key, so
+    # the join's partitioning on employee_id serves the aggregation too (no
+    # second shuffle). GROUP BY (employee_id, full_name, dept_name) keeps bag
+    # semantics: an id listed twice is one group counting every report once
+    # per copy, as the SQL join would.
+    counted = (
+        managers.join(reports, F.col("employee_id") == F.col("manager_id"), "left")
+        .groupBy("employee_id", "full_name", "dept_name")
+        .agg(F.sum(F.coalesce(F.col("_reports"), F.lit(0))).cast("bigint").alias("total_subordinates"))
+        .select("full_name", "dept_name", "total_subordinates")
     )
     # The report counts sum to at most the number of (manager, report) pairs
     # (one per Active employee when ids are unique), so they take fewer than
