@@ -57,7 +57,9 @@ def orphans(
     NULLs are dropped first (a NULL foreign key is not a violation; an anti
     join would otherwise return it)."""
     keys = child.select(F.col(child_col).alias("_fk")).where(F.col("_fk").isNotNull())
-    parents = parent.select(F.col(parent_col).alias("_pk"))
+    # A small parent (a dimension) is broadcast behind the size check; a big
+    # one (employees) meets the distinct child keys in a shuffle anti join.
+    parents = bounded_broadcast(parent.select(F.col(parent_col).alias("_pk")))
     return (
         keys.distinct()
         .join(parents, F.col("_fk") == F.col("_pk"), "left_anti")

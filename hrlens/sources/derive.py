@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrlens.functions.numeric import as_int, idiv
+from hrlens.operators.joins import bounded_broadcast
 from hrlens.schemas import CITIES, LEVELS
 from hrlens.sources.tables import read_table
 
@@ -53,7 +54,7 @@ def _pick(values: list[str], index) -> F.Column:
 
 def departments_view(spark: SparkSession, data_dir: str) -> DataFrame:
     nation = read_table(spark, data_dir, "nation")
-    region = read_table(spark, data_dir, "region")
+    region = bounded_broadcast(read_table(spark, data_dir, "region").select("r_regionkey", "r_name"))
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").cast("bigint").alias("dept_id"),
         F.col("n_name").alias("dept_name"),
