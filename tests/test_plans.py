@@ -32,3 +32,24 @@ def test_scan_reads_only_needed_columns(spark, sf001):
     df = QUERIES["q03_headcount_by_city_type"](spark, sf001)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "c_acctbal" not in p.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_global_rank_single_partition_only_over_histogram(spark, sf001):
+    p = plan(QUERIES["q18_subordinate_counts"](spark, sf001)).split("\n")
+    singles = [i for i, line in enumerate(p) if "Exchange SinglePartition" in line]
+    assert singles
+    for i in singles:
+        # The only rows gathered into one partition are the histogram of
+        # distinct subordinate counts, never employee rows.
+        assert "HashAggregate(keys=[total_subordinates" in p[i + 1]
+
+
+def test_group_mean_is_an_aggregate_not_a_window(spark, sf001):
+    p = plan(QUERIES["q15_salary_vs_peer_average"](spark, sf001))
+    assert "Window" not in p and "HashAggregate" in p
+
+
+def test_salary_lag_windows_per_employee_and_year(spark, sf001):
+    p = plan(QUERIES["q16_salary_changes"](spark, sf001))
+    window_lines = [line for line in p.split("\n") if "Window [lag(monthly_salary_idr" in line]
+    assert window_lines and all("_kk" in line and "_sk" in line for line in window_lines)
