@@ -38,12 +38,14 @@ def run_cleaning(
     casing: str | None = None,
     extended_checks: bool = False,
     staging_dir: str | None = None,
+    partition_by: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Clean the five raw tables and publish them to ``out_dir``.
 
     Raises ``ValidationError`` (before writing anything to ``out_dir``) when
     a check fails. Returns the write report (table, rows, cols) read back
-    from the published files."""
+    from the published files. ``partition_by`` maps a table to Parquet
+    partition columns, e.g. ``{"performance_reviews": ["review_period"]}``."""
     staging = staging_dir or scratch_path(spark, f"cleaning-{uuid.uuid4().hex}")
     for name, df in clean_tables(spark, raw_dir, casing).items():
         write_parquet(df, f"{staging}/{name}")
@@ -55,5 +57,5 @@ def run_cleaning(
     )
     assert_valid(violations)
     for name, df in staged.as_dict().items():
-        write_table(df, out_dir, name, fmt)
+        write_table(df, out_dir, name, fmt, (partition_by or {}).get(name))
     return write_report(spark, out_dir, TABLES, fmt)

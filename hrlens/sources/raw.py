@@ -47,7 +47,9 @@ def read_clean(spark: SparkSession, data_dir: str, table: str, fmt: str = "parqu
             .option("dateFormat", "yyyy-MM-dd")
             .csv(_path(data_dir, table, "csv"))
         )
-    return spark.read.schema(clean_schema(table)).parquet(_path(data_dir, table, "parquet"))
+    schema = clean_schema(table)
+    # Partition columns come back last; restore the table's column order.
+    return spark.read.schema(schema).parquet(_path(data_dir, table, "parquet")).select(*schema.fieldNames())
 
 
 def read_clean_tables(spark: SparkSession, data_dir: str, fmt: str = "parquet") -> HRTables:

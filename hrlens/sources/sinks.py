@@ -36,11 +36,15 @@ def write_parquet(
     return path
 
 
-def write_table(df: DataFrame, out_dir: str, table: str, fmt: str = "parquet") -> str:
+def write_table(
+    df: DataFrame, out_dir: str, table: str, fmt: str = "parquet", partition_by: list[str] | None = None
+) -> str:
+    """One table under ``out_dir``; Parquet may be partitioned by low-cardinality
+    columns (e.g. reviews by ``review_period``) so period filters prune files."""
     path = os.path.join(out_dir, table)
     if fmt == "csv":
         return write_csv(df, path)
-    return write_parquet(df, path)
+    return write_parquet(df, path, partition_by)
 
 
 def write_report(spark: SparkSession, out_dir: str, tables: list[str], fmt: str = "parquet") -> DataFrame:
