@@ -58,6 +58,8 @@ def _with_dept(df: DataFrame, t: HRTables, how: str = "inner") -> DataFrame:
 # Headcount and distribution
 # --------------------------------------------------------------------------- #
 def headcount_by_department(t: HRTables) -> DataFrame:
+    """Active headcount per department name. Plan: scan -> broadcast
+    department join -> partial/final count (one shuffle of partial counts)."""
     emp = t.employees.where(ACTIVE()).select("employee_id", "dept_id")
     return (
         _with_dept(emp, t)
@@ -67,6 +69,8 @@ def headcount_by_department(t: HRTables) -> DataFrame:
 
 
 def avg_salary_by_level(t: HRTables) -> DataFrame:
+    """round(avg(salary)) of Active staff per job level (NULL salaries
+    skipped)."""
     return (
         t.employees.where(ACTIVE())
         .groupBy("job_level")
@@ -75,6 +79,7 @@ def avg_salary_by_level(t: HRTables) -> DataFrame:
 
 
 def headcount_by_city_type(t: HRTables) -> DataFrame:
+    """Active headcount per (city, employment type)."""
     return (
         t.employees.where(ACTIVE())
         .groupBy("city", "employment_type")
@@ -83,6 +88,7 @@ def headcount_by_city_type(t: HRTables) -> DataFrame:
 
 
 def headcount_by_type_city(t: HRTables) -> DataFrame:
+    """Active headcount per (employment type, city); ordered differently."""
     return (
         t.employees.where(ACTIVE())
         .groupBy("employment_type", "city")
@@ -94,14 +100,20 @@ def headcount_by_type_city(t: HRTables) -> DataFrame:
 # Attrition
 # --------------------------------------------------------------------------- #
 def attrition_overall(t: HRTables) -> DataFrame:
+    """Everyone: headcount, resigned, attrition rate (one row; NULL rate on
+    an empty table instead of a division error)."""
     return t.employees.agg(*rate_aggs(RESIGNED()))
 
 
 def attrition_by_department(t: HRTables) -> DataFrame:
+    """Attrition per department (everyone, inner join drops unknown
+    departments)."""
     return _with_dept(t.employees, t).groupBy("dept_name").agg(*rate_aggs(RESIGNED()))
 
 
 def attrition_vs_satisfaction(t: HRTables) -> DataFrame:
+    """Attrition per department beside the mean satisfaction (NULL scores
+    skipped, never filled)."""
     return (
         _with_dept(t.employees, t)
         .groupBy("dept_name")
@@ -115,6 +127,9 @@ def attrition_vs_satisfaction(t: HRTables) -> DataFrame:
 
 
 def attrition_by_tenure(t: HRTables, snapshot: _dt.date = SNAPSHOT) -> DataFrame:
+    """Attrition and satisfaction per (department, tenure bucket); tenure is
+    completed years from hire to termination or the snapshot, and an unknown
+    tenure falls into the last bucket."""
     emp = with_tenure(t.employees, snapshot)
     return (
         _with_dept(emp, t)
@@ -134,6 +149,8 @@ def _first_year(t: HRTables, snapshot: _dt.date) -> DataFrame:
 
 
 def first_year_attrition_by_band(t: HRTables, snapshot: _dt.date = SNAPSHOT) -> DataFrame:
+    """First-year attrition (tenure < 1 completed year) by salary against
+    the department band midpoint; an unknown salary counts as at/above."""
     below = F.col("monthly_salary_idr") < F.col("salary_band_mid") * BAND_UNIT
     return (
         _with_dept(_first_year(t, snapshot), t)
@@ -146,6 +163,8 @@ def first_year_attrition_by_band(t: HRTables, snapshot: _dt.date = SNAPSHOT) ->
 
 
 def first_year_attrition_by_type(t: HRTables, snapshot: _dt.date = SNAPSHOT) -> DataFrame:
+    """First-year attrition per employment type, among employees whose
+    department exists."""
     # The department join only filters (no department column is used).
     return (
         exists_in(_first_year(t, snapshot), t.departments, "dept_id")
@@ -158,6 +177,8 @@ def first_year_attrition_by_type(t: HRTables, snapshot: _dt.date = SNAPSHOT) ->
 # Performance and pay
 # --------------------------------------------------------------------------- #
 def review_trend(t: HRTables) -> DataFrame:
+    """Per review period: mean score, sample stddev, and mean -/+ stddev
+    (bounds from the unrounded values)."""
     return (
         t.performance_reviews.groupBy("review_period")
         .agg(*mean_sd_band(F.col("review_score"), 2, input_digits=2))
@@ -172,6 +193,8 @@ def review_trend(t: HRTables) -> DataFrame:
 
 
 def goal_achievement_by_department(t: HRTables) -> DataFrame:
+    """Mean over employees of each employee's weight-averaged goal
+    achievement, per department (not pooled over goals)."""
     # Goals are reduced to one row per employee before meeting the employee
     # table (inner join: employees without goals drop out).
     per_emp = weighted_mean_micro(
@@ -186,6 +209,8 @@ def goal_achievement_by_department(t: HRTables) -> DataFrame:
 
 
 def gender_pay_gap_by_level(t: HRTables) -> DataFrame:
+    """Male vs female mean salary per level (everyone with a known gender),
+    the gap, and the gap as a share of the higher mean."""
     return two_group_gap(
         t.employees,
         ["job_level"],
@@ -204,6 +229,9 @@ def gender_pay_gap_by_level(t: HRTables) -> DataFrame:
 # Window analyses
 # --------------------------------------------------------------------------- #
 def top3_salary_by_department(t: HRTables, n: int = 3) -> DataFrame:
+    """rank() <= n of salary within each department, ties kept; a NULL
+    salary ranks first (descending NULLS FIRST). Plan: partial top-n per
+    task before the shuffle, so a huge department ships a few rows."""
     ranked = top_n_per_group(
         t.employees.select("full_name", "dept_id", "monthly_salary_idr"),
         ["dept_id"],
@@ -217,6 +245,9 @@ def top3_salary_by_department(t: HRTables, n: int = 3) -> DataFrame:
 
 
 def salary_vs_peer_average(t: HRTables) -> DataFrame:
+    """Each employee against the rounded mean of their (department, level):
+    the mean is an aggregate joined back (broadcast behind a size check),
+    not a window over the whole group."""
     emp = t.employees.select("full_name", "dept_id", "job_level", "monthly_salary_idr")
     with_mean = vs_group_mean(
         emp, ["dept_id", "job_level"], "monthly_salary_idr", "_avg"
@@ -234,6 +265,9 @@ def salary_vs_peer_average(t: HRTables) -> DataFrame:
 
 
 def salary_changes(t: HRTables, split_by_year: bool = True) -> DataFrame:
+    """Every salary row with the previous salary of the same employee
+    (ordered by date, then salary id) and the change. The lag is windowed
+    per (employee, year) so one employee's history spreads over tasks."""
     sal = t.salaries.select(
         "salary_id", "employee_id", "effective_date", "monthly_salary_idr", "change_reason"
     )
@@ -260,10 +294,14 @@ def salary_changes(t: HRTables, split_by_year: bool = True) -> DataFrame:
 # Hierarchy
 # --------------------------------------------------------------------------- #
 def org_structure(t: HRTables) -> DataFrame:
+    """Active employees with their manager's details; see
+    ``operators.hierarchy.resolve_manager``."""
     return resolve_manager(t.employees, t.departments)
 
 
 def subordinate_counts(t: HRTables) -> DataFrame:
+    """Active employees with their Active direct-report count and rank; see
+    ``operators.hierarchy.direct_report_counts``."""
     return direct_report_counts(t.employees, t.departments)
 
 
