@@ -105,3 +105,18 @@ def test_ordered_applies_postgres_null_order(hr):
     df = A.ordered("top3_salary_by_department", A.top3_salary_by_department(hr))
     names = [r.full_name for r in df.collect()]
     assert names[0] == "Ana" and names[-3] == "Fajar"
+
+
+def test_q08_unknown_tenure_falls_to_last_bucket(spark, hr):
+    from pyspark.sql import functions as F
+
+    # Citra (Engineering, hired 2024) is first-year; without a hire date her
+    # tenure is unknown, which CASE sends to the last bucket.
+    emp = hr.employees.withColumn(
+        "hire_date", F.when(F.col("employee_id") == 3, F.lit(None).cast("date")).otherwise(F.col("hire_date"))
+    )
+    t = hr.__class__(**{**hr.as_dict(), "employees": emp})
+    got = {(r.dept_name, r.tenure_bucket): r.headcount for r in A.attrition_by_tenure(t).collect()}
+    assert got[("Engineering", "0-1 yr")] == 1 and got[("Engineering", "5+ yr")] == 5
+    first = {r.salary_position: r.headcount for r in A.first_year_attrition_by_band(t).collect()}
+    assert sum(first.values()) == 3
