@@ -3,6 +3,7 @@
   python -m hrlens clean RAW_DIR OUT_DIR [--format csv|parquet] [--title-case-departments]
   python -m hrlens analyze CLEAN_DIR NAME [--format parquet|csv] [--show N] [--out PATH]
   python -m hrlens sql CLEAN_DIR "SELECT ... FROM employees ..." [--format ...] [--show N]
+  python -m hrlens explain CLEAN_DIR NAME [--format parquet|csv]
   python -m hrlens list
 """
 
@@ -34,6 +35,10 @@ def main(argv: list[str] | None = None) -> int:
     a = sub.add_parser("analyze", help="run a named analysis over clean tables")
     a.add_argument("clean_dir")
     a.add_argument("name", choices=sorted(NAMED))
+    x = sub.add_parser("explain", help="print the formatted physical plan of a named analysis")
+    x.add_argument("clean_dir")
+    x.add_argument("name", choices=sorted(NAMED))
+    x.add_argument("--format", default="parquet", choices=["csv", "parquet"])
     q = sub.add_parser("sql", help="run SQL over the clean tables as views")
     q.add_argument("clean_dir")
     q.add_argument("query")
@@ -69,6 +74,9 @@ def main(argv: list[str] | None = None) -> int:
     from hrlens.sources.raw import read_clean_tables, register_tables
 
     tables = read_clean_tables(spark, args.clean_dir, args.format)
+    if args.cmd == "explain":
+        NAMED[args.name](tables).explain("formatted")
+        return 0
     if args.cmd == "analyze":
         df = NAMED[args.name](tables)
         if args.name in A.ANALYSES:

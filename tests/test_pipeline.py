@@ -196,3 +196,15 @@ def test_pandas_written_flat_csv_layout(spark, sf001, tmp_root):
         expected = CLEANERS[t](degrade_rows(t, views[t]))
         got = read_clean(spark, out_dir, t)
         assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0, t
+
+
+def test_cli_explain(spark, sf001, tmp_root, capsys):
+    from hrlens.__main__ import main
+
+    out_dir = os.path.join(tmp_root, "clean")  # published by the cleaning-run test
+    if not os.path.exists(out_dir):
+        raw_dir = os.path.join(tmp_root, "raw_explain")
+        _write_raw(spark, sf001, raw_dir)
+        run_cleaning(spark, raw_dir, out_dir, fmt="parquet")
+    assert main(["explain", out_dir, "top3_salary_by_department"]) == 0
+    assert "WindowGroupLimit" in capsys.readouterr().out
