@@ -58,3 +58,19 @@ def test_profiling(spark):
     assert (mm.min_value, mm.max_value) == ("a", "b")
     assert [r.c1 for r in P.head(df.where(F.col("c1").isNotNull()), 2, ["c1"]).collect()] == ["a", "a"]
     assert P.dtypes(spark, df).count() == 2
+
+
+def test_dedupe_runs_on_raw_strings_so_v1_catches_late_duplicates(spark, hr):
+    from hrlens.operators.cleaning import clean_employees
+    from hrlens.schemas import TABLE_COLUMNS
+
+    cols = TABLE_COLUMNS["employees"]
+    base = dict.fromkeys(cols)
+    base.update(employee_id="7", full_name="ani", gender="F", dept_id="1", status="Active", hire_date="2020-01-01")
+    same = dict(base)
+    variant = dict(base, full_name="  ANI ")  # equal only after cleaning
+    raw = spark.createDataFrame([tuple(r[c] for c in cols) for r in (base, same, variant)], ", ".join(f"{c} string" for c in cols))
+    clean = clean_employees(raw)
+    assert clean.count() == 2  # the exact copy is dropped, the variant survives
+    got = V.key_unique(clean, "employees", ["employee_id"]).collect()
+    assert [(r.row_key, r.detail) for r in got] == [("7", "rows=2")]
