@@ -29,6 +29,25 @@ def fill_unknown(c, label: str = UNKNOWN):
     return F.coalesce(c, F.lit(label))
 
 
+def map_labels(
+    df: DataFrame, col: str, mapping: DataFrame, out: str | None = None, default: str | None = None
+) -> DataFrame:
+    """C3 for dictionaries too large for a map literal: look up
+    ``lower(strip(col))`` in a ``mapping(raw_label, label)`` table with a left
+    join (broadcast behind the size check); unmapped -> ``default``."""
+    from hrlens.functions.text import strip
+    from hrlens.operators.joins import bounded_broadcast
+
+    m = bounded_broadcast(
+        mapping.select(F.lower(strip(F.col("raw_label"))).alias("_raw"), F.col("label").alias("_label"))
+        .dropDuplicates(["_raw"])
+    )
+    keyed = df.withColumn("_raw_key", F.lower(strip(F.col(col))))
+    joined = keyed.join(m, F.col("_raw_key") == F.col("_raw"), "left")
+    value = F.coalesce(F.col("_label"), F.lit(default)) if default is not None else F.col("_label")
+    return joined.withColumn(out or col, value).drop("_raw_key", "_raw", "_label")
+
+
 def drop_duplicate_rows(raw: DataFrame) -> DataFrame:
     """Full-row duplicates on the raw strings; NULL equals NULL."""
     return raw.dropDuplicates()

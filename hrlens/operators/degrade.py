@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 from hrlens.schemas import TABLE_COLUMNS
 
 
-def key_bucket(df: DataFrame, key: str, buckets: int = 1000) -> Column:
-    """Deterministic bucket in [0, buckets) from the row key."""
+def key_bucket(df: DataFrame, key: str, buckets: int = 1000, seed: int | None = None) -> Column:
+    """Deterministic bucket in [0, buckets) from the row key: the key itself
+    modulo ``buckets`` for integer keys without a seed (reproducible in any
+    SQL engine), else a hash of (key, seed)."""
     dtype = df.schema[key].dataType
-    if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+    if seed is None and isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return F.pmod(F.col(key), F.lit(buckets))
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets))
+    return F.pmod(F.xxhash64(F.col(key), F.lit(seed or 0)), F.lit(buckets))
 
 
 def _s(c: Column) -> Column:
@@ -50,8 +52,8 @@ def _with_duplicates(df: DataFrame, dup: Column) -> DataFrame:
     return df.unionByName(df.where(dup))
 
 
-def degrade_departments(dept: DataFrame) -> DataFrame:
-    b = key_bucket(dept, "dept_id")
+def degrade_departments(dept: DataFrame, seed: int | None = None) -> DataFrame:
+    b = key_bucket(dept, "dept_id", seed=seed)
     name = F.col("dept_name")
     return dept.select(
         _s(F.col("dept_id")).alias("dept_id"),
@@ -64,8 +66,8 @@ def degrade_departments(dept: DataFrame) -> DataFrame:
     )
 
 
-def degrade_employees(emp: DataFrame) -> DataFrame:
-    b = key_bucket(emp, "employee_id")
+def degrade_employees(emp: DataFrame, seed: int | None = None) -> DataFrame:
+    b = key_bucket(emp, "employee_id", seed=seed)
     name, g, status = F.col("full_name"), F.col("gender"), F.col("status")
     sal = F.col("monthly_salary_idr")
     variant = F.floor(b / 10) % 4
@@ -104,8 +106,8 @@ def degrade_employees(emp: DataFrame) -> DataFrame:
     return _with_duplicates(out, b % 67 == 3)
 
 
-def degrade_salaries(sal: DataFrame) -> DataFrame:
-    b = key_bucket(sal, "salary_id")
+def degrade_salaries(sal: DataFrame, seed: int | None = None) -> DataFrame:
+    b = key_bucket(sal, "salary_id", seed=seed)
     d = F.col("effective_date")
     return sal.select(
         _s(F.col("salary_id")).alias("salary_id"),
@@ -119,8 +121,8 @@ def degrade_salaries(sal: DataFrame) -> DataFrame:
     )
 
 
-def degrade_reviews(rev: DataFrame) -> DataFrame:
-    b = key_bucket(rev, "review_id")
+def degrade_reviews(rev: DataFrame, seed: int | None = None) -> DataFrame:
+    b = key_bucket(rev, "review_id", seed=seed)
     out = rev.select(
         _s(F.col("review_id")).alias("review_id"),
         _s(F.col("employee_id")).alias("employee_id"),
@@ -131,8 +133,8 @@ def degrade_reviews(rev: DataFrame) -> DataFrame:
     return _with_duplicates(out, b % 100 == 42)
 
 
-def degrade_goals(goals: DataFrame) -> DataFrame:
-    b = key_bucket(goals, "goal_id")
+def degrade_goals(goals: DataFrame, seed: int | None = None) -> DataFrame:
+    b = key_bucket(goals, "goal_id", seed=seed)
     a = F.col("achievement_pct")
     return goals.select(
         _s(F.col("goal_id")).alias("goal_id"),
@@ -155,6 +157,8 @@ DEGRADERS = {
 }
 
 
-def degrade_rows(table: str, df: DataFrame) -> DataFrame:
-    out = DEGRADERS[table](df)
+def degrade_rows(table: str, df: DataFrame, seed: int | None = None) -> DataFrame:
+    """Raw all-string version of a clean table; ``seed`` picks a different
+    (still deterministic) set of rows for each defect."""
+    out = DEGRADERS[table](df, seed=seed)
     return out.select(*TABLE_COLUMNS[table])

@@ -208,3 +208,23 @@ def test_cli_explain(spark, sf001, tmp_root, capsys):
         run_cleaning(spark, raw_dir, out_dir, fmt="parquet")
     assert main(["explain", out_dir, "top3_salary_by_department"]) == 0
     assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+def test_seeded_degrade_is_deterministic_and_cleans_back(spark, sf001):
+    views = hr_views(spark, sf001)
+    a = degrade_rows("employees", views.employees, seed=7)
+    b = degrade_rows("employees", views.employees.repartition(5), seed=7)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0  # partitioning-independent
+    c = degrade_rows("employees", views.employees, seed=8)
+    assert a.exceptAll(c).count() > 0  # another seed dirties other rows
+    clean = CLEANERS["employees"](a)
+    assert clean.select("employee_id").distinct().count() == views.employees.count()
+
+
+def test_map_labels_by_join(spark):
+    from hrlens.operators.cleaning import map_labels
+
+    df = spark.createDataFrame([(1, " M "), (2, "p"), (3, "x"), (4, None)], "id long, g string")
+    mapping = spark.createDataFrame([("m", "Male"), ("P", "Female"), ("male", "Male")], "raw_label string, label string")
+    got = {r.id: r.g for r in map_labels(df, "g", mapping, default="Unknown").collect()}
+    assert got == {1: "Male", 2: "Female", 3: "Unknown", 4: "Unknown"}
