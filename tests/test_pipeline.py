@@ -228,3 +228,18 @@ def test_map_labels_by_join(spark):
     mapping = spark.createDataFrame([("m", "Male"), ("P", "Female"), ("male", "Male")], "raw_label string, label string")
     got = {r.id: r.g for r in map_labels(df, "g", mapping, default="Unknown").collect()}
     assert got == {1: "Male", 2: "Female", 3: "Unknown", 4: "Unknown"}
+
+
+def test_cli_report_writes_every_analysis(spark, sf001, tmp_root):
+    from hrlens.__main__ import main
+    from hrlens.plans.analyses import ANALYSES
+
+    out_dir = os.path.join(tmp_root, "clean")
+    if not os.path.exists(out_dir):
+        raw_dir = os.path.join(tmp_root, "raw_report")
+        _write_raw(spark, sf001, raw_dir)
+        run_cleaning(spark, raw_dir, out_dir, fmt="parquet")
+    rep = os.path.join(tmp_root, "report")
+    assert main(["report", out_dir, rep, "--out-format", "parquet"]) == 0
+    assert sorted(os.listdir(rep)) == sorted(ANALYSES)
+    assert spark.read.parquet(os.path.join(rep, "org_structure")).count() > 0
