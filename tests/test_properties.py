@@ -42,3 +42,78 @@ def test_currency_and_int_round_trip(spark, amounts):
     rp = ["Rp" + f"{a:,}".replace(",", ".") for a in amounts]
     assert _run(spark, parse_currency, rp) == amounts
     assert _run(spark, to_int, [f"{a}.0" if a < 2**53 else str(a) for a in amounts]) == amounts
+
+
+# The reference's date rule: the first of these strptime formats that parses.
+PY_FORMATS = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y"]
+
+
+def _python_first_match(text):
+    import datetime as dt
+
+    if text is None or text.strip() == "":
+        return None
+    for fmt in PY_FORMATS:
+        try:
+            return dt.datetime.strptime(text.strip(), fmt).date()
+        except ValueError:
+            continue
+    return None
+
+
+@st.composite
+def date_texts(draw):
+    import datetime as dt
+
+    d = dt.date(1990, 1, 1) + dt.timedelta(days=draw(st.integers(0, 15000)))
+    pad = draw(st.booleans())
+    dd = f"{d.day:02d}" if pad else str(d.day)
+    mm = f"{d.month:02d}" if pad else str(d.month)
+    shape = draw(st.sampled_from(["iso", "dmy", "mdy", "dmy-", "junk", "bad-day"]))
+    text = {
+        "iso": f"{d.year}-{mm}-{dd}",
+        "dmy": f"{dd}/{mm}/{d.year}",
+        "mdy": f"{mm}/{dd}/{d.year}",
+        "dmy-": f"{dd}-{mm}-{d.year}",
+        "junk": f"{dd}/{mm}/{d.year % 100:02d}",
+        "bad-day": f"{31 + d.day % 5}/{mm}/{d.year}",
+    }[shape]
+    return draw(st.sampled_from(["", " ", "\t"])) + text + draw(st.sampled_from(["", " "]))
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(date_texts(), min_size=1, max_size=60))
+def test_parse_date_matches_python_first_match(spark, texts):
+    from hrlens.functions.parse import parse_date_multi
+
+    assert _run(spark, parse_date_multi, texts) == [_python_first_match(t) for t in texts]
+
+
+NUMBER_TEXTS = st.lists(
+    st.one_of(
+        st.decimals(min_value=-10**6, max_value=10**6, places=2, allow_nan=False).map(str),
+        st.integers(-10**9, 10**9).map(str),
+        st.integers(0, 10**6).map(lambda i: f" {i}.0 "),
+        st.sampled_from(["", "abc", "1,000", "nan", "NaN", "12.5.1", "--3"]),
+    ),
+    min_size=1,
+    max_size=40,
+)
+
+
+@settings(max_examples=10, deadline=None)
+@given(NUMBER_TEXTS)
+def test_numbers_match_pandas_to_numeric(spark, texts):
+    import math
+
+    import pandas as pd
+
+    from hrlens.functions.parse import to_int, to_number
+
+    ref = pd.to_numeric(pd.Series(texts, dtype=object), errors="coerce")
+    expected = [None if (v is None or (isinstance(v, float) and math.isnan(v))) else float(v) for v in ref]
+    assert _run(spark, to_number, texts) == expected
+    # Integer columns: pandas then casts to Int64; integral values survive,
+    # fractional ones make pandas raise where the Spark cleaner gives NULL.
+    ints = [None if e is None or e != int(e) else int(e) for e in expected]
+    assert _run(spark, to_int, texts) == ints
