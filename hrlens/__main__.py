@@ -5,6 +5,7 @@
   python -m hrlens sql CLEAN_DIR "SELECT ... FROM employees ..." [--format ...] [--show N]
   python -m hrlens explain CLEAN_DIR NAME [--format parquet|csv]
   python -m hrlens report CLEAN_DIR OUT_DIR [--format parquet|csv] [--out-format csv|parquet]
+  python -m hrlens stream RAW_DIR OUT_DIR CHECKPOINT_DIR [--table T ...] [--poll]
   python -m hrlens list
 """
 
@@ -52,6 +53,12 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--format", default="parquet", choices=["csv", "parquet"])
         p.add_argument("--show", type=int, default=50)
         p.add_argument("--out", help="write the full result as Parquet here instead of showing it")
+    sm = sub.add_parser("stream", help="clean raw files incrementally as they land (Structured Streaming)")
+    sm.add_argument("raw_dir", help="folder with one sub-folder of CSV files per table")
+    sm.add_argument("out_dir")
+    sm.add_argument("checkpoint_dir", help="shared folder for stream progress (one sub-folder per table)")
+    sm.add_argument("--table", action="append", help="tables to clean (default: all five)")
+    sm.add_argument("--poll", action="store_true", help="keep running, polling every minute")
     sub.add_parser("list", help="list analysis names")
     args = ap.parse_args(argv)
 
@@ -62,6 +69,22 @@ def main(argv: list[str] | None = None) -> int:
     from hrlens.session import get_session
 
     spark = get_session()
+    if args.cmd == "stream":
+        import os
+
+        from hrlens.schemas import TABLES
+        from hrlens.streaming.incremental import clean_stream
+
+        started = [
+            clean_stream(
+                spark, args.raw_dir, t, args.out_dir, os.path.join(args.checkpoint_dir, t),
+                available_now=not args.poll,
+            )
+            for t in (args.table or TABLES)
+        ]
+        for q in started:
+            q.awaitTermination()
+        return 0
     if args.cmd == "clean":
         from hrlens.plans.cleaning_run import run_cleaning
 

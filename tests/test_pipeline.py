@@ -243,3 +243,14 @@ def test_cli_report_writes_every_analysis(spark, sf001, tmp_root):
     assert main(["report", out_dir, rep, "--out-format", "parquet"]) == 0
     assert sorted(os.listdir(rep)) == sorted(ANALYSES)
     assert spark.read.parquet(os.path.join(rep, "org_structure")).count() > 0
+
+
+def test_cli_stream(spark, sf001, tmp_root):
+    from hrlens.__main__ import main
+
+    raw_dir = os.path.join(tmp_root, "cli_stream_raw")
+    views = hr_views(spark, sf001)
+    write_csv(degrade_rows("goals", views.goals), os.path.join(raw_dir, "goals"))
+    out_dir = os.path.join(tmp_root, "cli_stream_out")
+    assert main(["stream", raw_dir, out_dir, os.path.join(tmp_root, "cli_stream_ckpt"), "--table", "goals"]) == 0
+    assert spark.read.parquet(os.path.join(out_dir, "goals")).count() == views.goals.count()
