@@ -68,7 +68,12 @@ def main(argv: list[str] | None = None) -> int:
 
     from hrlens.session import get_session
 
-    spark = get_session()
+    conf = {}
+    if args.cmd == "stream":
+        from hrlens.streaming.incremental import STATE_STORE_CONF
+
+        conf.update(STATE_STORE_CONF)
+    spark = get_session(conf=conf)
     if args.cmd == "stream":
         import os
 

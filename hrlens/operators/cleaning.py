@@ -68,9 +68,10 @@ def clean_departments(raw: DataFrame, casing: str | None = None, keep: tuple = (
     )
 
 
-def clean_employees(raw: DataFrame, keep: tuple = ()) -> DataFrame:
+def clean_employees(raw: DataFrame, keep: tuple = (), dedupe: bool = True) -> DataFrame:
     # satisfaction_score and termination_date stay NULL where missing.
-    return drop_duplicate_rows(raw).select(
+    # ``dedupe=False`` when the caller has already removed duplicate rows.
+    return (drop_duplicate_rows(raw) if dedupe else raw).select(
         to_int(F.col("employee_id")).alias("employee_id"),
         clean_name(F.col("full_name")).alias("full_name"),
         fill_unknown(canonical_gender(F.col("gender"))).alias("gender"),
@@ -101,9 +102,9 @@ def clean_salaries(raw: DataFrame, keep: tuple = ()) -> DataFrame:
     )
 
 
-def clean_reviews(raw: DataFrame, keep: tuple = ()) -> DataFrame:
+def clean_reviews(raw: DataFrame, keep: tuple = (), dedupe: bool = True) -> DataFrame:
     # reviewer_id arrives as float text (1234.0) and stays NULL where missing.
-    return drop_duplicate_rows(raw).select(
+    return (drop_duplicate_rows(raw) if dedupe else raw).select(
         to_int(F.col("review_id")).alias("review_id"),
         to_int(F.col("employee_id")).alias("employee_id"),
         F.col("review_period"),

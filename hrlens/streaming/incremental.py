@@ -1,13 +1,16 @@
 """Incremental cleaning of raw exports with Structured Streaming.
 
 New raw CSV files landing in ``<raw_dir>/<table>/`` are cleaned as they
-arrive. The row-local cleaners (departments, salaries, goals) run unchanged
-on the stream into a Parquet sink. Tables cleaned with full-row
-de-duplication (employees, reviews) go through ``foreachBatch``: each
-micro-batch is de-duplicated on its raw strings and anti-joined against the
-raw-row digests already published, so a row repeated in a later file, or a
-batch replayed after a failure, is not written twice. Progress lives in the
-checkpoint location, so a restarted query resumes where it stopped.
+arrive into a Parquet sink. The row-local cleaners (departments, salaries,
+goals) run unchanged on the stream. The tables cleaned with full-row
+de-duplication (employees, reviews) are de-duplicated by the stream itself:
+``dropDuplicates`` keyed on a SHA-256 digest of the raw row keeps one
+32-byte state entry per distinct row, so a row repeated in a later file is
+dropped without rescanning what was already published. Progress, sink
+commits and the de-duplication state live in the checkpoint location, so a
+restarted query (or one that lost executors) resumes exactly where it
+stopped. For large histories use the RocksDB state store
+(``STATE_STORE_CONF``).
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from hrlens.operators.cleaning import CLEANERS
 from hrlens.schemas import TABLE_COLUMNS, raw_schema
@@ -25,6 +27,10 @@ from hrlens.sources.raw import CSV_READ_OPTIONS, null_tokens_to_null
 
 DEDUPED = {"employees", "performance_reviews"}
 DIGEST = "raw_digest"
+STATE_STORE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 
 
 def raw_stream(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
@@ -42,25 +48,12 @@ def raw_digest(cols: list[str]) -> F.Column:
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
 
-def _published_digests(spark: SparkSession, target: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(target).select(DIGEST)
-    except AnalysisException:
-        return None  # nothing published yet
-
-
-def dedup_batch_writer(spark: SparkSession, table: str, out_dir: str):
-    cols = TABLE_COLUMNS[table]
-    target = os.path.join(out_dir, table)
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        fresh = batch.dropDuplicates().withColumn(DIGEST, raw_digest(cols))
-        seen = _published_digests(spark, target)
-        if seen is not None:
-            fresh = fresh.join(seen, DIGEST, "left_anti")
-        CLEANERS[table](fresh, keep=(DIGEST,)).write.mode("append").parquet(target)
-
-    return write
+def cleaned_stream(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
+    src = raw_stream(spark, raw_dir, table)
+    if table not in DEDUPED:
+        return CLEANERS[table](src)
+    distinct = src.withColumn(DIGEST, raw_digest(TABLE_COLUMNS[table])).dropDuplicates([DIGEST])
+    return CLEANERS[table](distinct, keep=(DIGEST,), dedupe=False)
 
 
 def clean_stream(
@@ -74,14 +67,13 @@ def clean_stream(
     """Start cleaning ``raw_dir/<table>/*.csv`` into Parquet at
     ``out_dir/<table>``. With ``available_now`` the query processes the files
     present and stops; otherwise it polls every minute."""
-    src = raw_stream(spark, raw_dir, table)
-    if table in DEDUPED:
-        writer = src.writeStream.foreachBatch(dedup_batch_writer(spark, table, out_dir))
-    else:
-        writer = CLEANERS[table](src).writeStream.format("parquet").option(
-            "path", os.path.join(out_dir, table)
-        )
-    writer = writer.option("checkpointLocation", checkpoint_location)
+    writer = (
+        cleaned_stream(spark, raw_dir, table)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", os.path.join(out_dir, table))
+        .option("checkpointLocation", checkpoint_location)
+    )
     if available_now:
         writer = writer.trigger(availableNow=True)
     else:
