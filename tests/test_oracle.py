@@ -63,3 +63,27 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["dept_name", "tenure_bucket", "headcount", "resigned", "attrition_rate", "avg_satisfaction"]
     assert df.count() > 0
+
+
+@pytest.fixture
+def no_broadcast(spark, monkeypatch):
+    """The cluster case: every size check fails and Spark's automatic
+    broadcast is off, so the shuffle-join fallbacks run."""
+    import hrlens.operators.joins as J
+
+    monkeypatch.setattr(J, "fits_broadcast", lambda df, max_rows=0: False)
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in before.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_sql_without_broadcasts(spark, duck, sf001, no_broadcast, name):
+    test_query_matches_sql(spark, duck, sf001, name)
