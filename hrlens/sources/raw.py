@@ -27,8 +27,10 @@ def null_tokens_to_null(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataF
 
 
 def _path(data_dir: str, table: str, ext: str) -> str:
-    direct = os.path.join(data_dir, f"{table}.{ext}")
-    return direct if os.path.exists(direct) or "://" in data_dir else os.path.join(data_dir, table)
+    """``<table>.<ext>`` (one file per table) or ``<table>/`` (a folder of part
+    files), as one Hadoop glob, so no existence check runs on the driver and
+    the same call works on any file system."""
+    return os.path.join(data_dir, f"{table}{{.{ext},}}")
 
 
 def read_raw(spark: SparkSession, data_dir: str, table: str) -> DataFrame:
