@@ -72,6 +72,24 @@ def in_range(df: DataFrame, table: str, key: str, col: str, lo: float, hi: float
     return _violations(bad, f"range:{col}[{lo},{hi}]", table, F.col(key), c)
 
 
+def in_ranges(df: DataFrame, table: str, key: str, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """Several range checks on one table in a single pass: each row yields
+    one violation per column outside its range (NULL is allowed)."""
+    hits = F.array(
+        *[
+            F.when(
+                (F.col(c) < lo) | (F.col(c) > hi),
+                F.struct(F.lit(f"range:{c}[{lo},{hi}]").alias("check"), F.col(c).cast("string").alias("detail")),
+            )
+            for c, (lo, hi) in ranges.items()
+        ]
+    )
+    found = df.select(F.col(key).cast("string").alias("row_key"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_v"))
+    return found.select(
+        F.col("_v.check").alias("check"), F.lit(table).alias("table_name"), "row_key", F.col("_v.detail").alias("detail")
+    )
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -105,8 +123,12 @@ def validate_extended(tables) -> DataFrame:
             foreign_key(rev, "performance_reviews", "employee_id", emp, "employees", "employee_id"),
             foreign_key(rev, "performance_reviews", "reviewer_id", emp, "employees", "employee_id"),
             foreign_key(goals, "goals", "employee_id", emp, "employees", "employee_id"),
-            in_range(emp, "employees", "employee_id", "satisfaction_score", 1.0, 5.0),
-            in_range(emp, "employees", "employee_id", "last_performance_score", 1.0, 5.0),
+            in_ranges(
+                emp,
+                "employees",
+                "employee_id",
+                {"satisfaction_score": (1.0, 5.0), "last_performance_score": (1.0, 5.0)},
+            ),
             in_range(rev, "performance_reviews", "review_id", "review_score", 1.0, 5.0),
             in_range(goals, "goals", "goal_id", "achievement_pct", 0.0, 130.0),
             positive(sal, "salaries", "salary_id", "monthly_salary_idr"),

@@ -74,3 +74,13 @@ def test_dedupe_runs_on_raw_strings_so_v1_catches_late_duplicates(spark, hr):
     assert clean.count() == 2  # the exact copy is dropped, the variant survives
     got = V.key_unique(clean, "employees", ["employee_id"]).collect()
     assert [(r.row_key, r.detail) for r in got] == [("7", "rows=2")]
+
+
+def test_in_ranges_single_pass_equals_separate_checks(spark):
+    df = spark.createDataFrame(
+        [(1, 0.5, 3.0), (2, 3.0, 6.0), (3, 9.0, 0.0), (4, None, 2.0)], "id long, a double, b double"
+    )
+    together = V.in_ranges(df, "t", "id", {"a": (1.0, 5.0), "b": (1.0, 5.0)})
+    apart = V.in_range(df, "t", "id", "a", 1.0, 5.0).unionByName(V.in_range(df, "t", "id", "b", 1.0, 5.0))
+    assert sorted(together.collect()) == sorted(apart.collect())
+    assert together.count() == 4
