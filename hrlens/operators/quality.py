@@ -72,24 +72,38 @@ def in_range(df: DataFrame, table: str, key: str, col: str, lo: float, hi: float
     return _violations(bad, f"range:{col}[{lo},{hi}]", table, F.col(key), c)
 
 
-def in_ranges(df: DataFrame, table: str, key: str, ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """Several range checks on one table in a single pass: each row yields
-    one violation per column outside its range (NULL is allowed)."""
+def row_checks(df: DataFrame, table: str, key: str, checks: list[tuple[str, Column, Column]]) -> DataFrame:
+    """Several row-level checks on one table in a single pass. ``checks``
+    holds (check name, failing predicate, detail); each row yields one
+    violation per failing check."""
     hits = F.array(
         *[
-            F.when(
-                (F.col(c) < lo) | (F.col(c) > hi),
-                F.struct(F.lit(f"range:{c}[{lo},{hi}]").alias("check"), F.col(c).cast("string").alias("detail")),
-            )
-            for c, (lo, hi) in ranges.items()
+            F.when(bad, F.struct(F.lit(name).alias("check"), detail.cast("string").alias("detail")))
+            for name, bad, detail in checks
         ]
     )
-    found = df.select(F.col(key).cast("string").alias("row_key"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_v"))
+    found = df.select(
+        F.col(key).cast("string").alias("row_key"),
+        F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_v"),
+    )
     return found.select(
         F.col("_v.check").alias("check"), F.lit(table).alias("table_name"), "row_key", F.col("_v.detail").alias("detail")
     )
 
 
+def in_ranges(df: DataFrame, table: str, key: str, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """Range checks of several columns in one pass (NULL is allowed)."""
+    return row_checks(
+        df,
+        table,
+        key,
+        [
+            (f"range:{c}[{lo},{hi}]", (F.col(c) < lo) | (F.col(c) > hi), F.col(c))
+            for c, (lo, hi) in ranges.items()
+        ],
+    )
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -102,8 +116,20 @@ def validate_reference(emp: DataFrame, dept: DataFrame) -> DataFrame:
             key_unique(emp, "employees", ["employee_id"]),
             foreign_key(emp, "employees", "dept_id", dept, "departments", "dept_id"),
             foreign_key(emp, "employees", "manager_id", emp, "employees", "employee_id"),
-            in_domain(emp, "employees", "employee_id", "gender", GENDER_DOMAIN),
-            positive(emp, "employees", "employee_id", "monthly_salary_idr"),
+            # Domain and positive-salary checks share one scan of employees.
+            row_checks(
+                emp,
+                "employees",
+                "employee_id",
+                [
+                    (
+                        "domain:gender",
+                        F.col("gender").isNull() | ~F.col("gender").isin(GENDER_DOMAIN),
+                        F.coalesce(F.col("gender"), F.lit("NULL")),
+                    ),
+                    ("positive:monthly_salary_idr", F.col("monthly_salary_idr") <= 0, F.col("monthly_salary_idr")),
+                ],
+            ),
         ]
     )
 
