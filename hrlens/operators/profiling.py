@@ -79,3 +79,55 @@ def min_max(df: DataFrame, col: str) -> DataFrame:
 def dtypes(spark: SparkSession, df: DataFrame) -> DataFrame:
     """(column_name, data_type) from the schema (metadata, no data scan)."""
     return spark.createDataFrame(df.dtypes, "column_name string, data_type string")
+
+
+def _parse_checks() -> dict[str, list[tuple[str, str, object]]]:
+    """Per raw table: (metric, raw column, failing predicate on that column)."""
+    from hrlens.functions.parse import is_ambiguous_date, parse_currency, parse_date_multi, parse_percent
+
+    def unparsed(fn):
+        return lambda c: c.isNotNull() & fn(c).isNull()
+
+    return {
+        "employees": [
+            ("unparsed:hire_date", "hire_date", unparsed(parse_date_multi)),
+            ("ambiguous:hire_date", "hire_date", is_ambiguous_date),
+            ("unparsed:termination_date", "termination_date", unparsed(parse_date_multi)),
+            ("unparsed:monthly_salary_idr", "monthly_salary_idr", unparsed(parse_currency)),
+        ],
+        "salaries": [
+            ("unparsed:effective_date", "effective_date", unparsed(parse_date_multi)),
+            ("ambiguous:effective_date", "effective_date", is_ambiguous_date),
+        ],
+        "goals": [("unparsed:achievement_pct", "achievement_pct", unparsed(parse_percent))],
+    }
+
+
+def cleaning_profile(raw: dict[str, DataFrame]) -> DataFrame:
+    """The step-by-step checks of an interactive cleaning session as one
+    table of (table_name, metric, value): raw rows and duplicate rows, rows
+    after cleaning, NULLs left per column, and parse failures / ambiguous
+    dates (counted after de-duplication, as in the session). Two passes per
+    table: a duplicate count over the raw rows, and one aggregation over the
+    cleaned rows that carries copies of the raw columns it needs."""
+    from hrlens.operators.cleaning import CLEANERS
+
+    checks = _parse_checks()
+    parts = []
+    for table, df in raw.items():
+        parts.append(duplicate_rows(df, table).selectExpr(
+            "table_name", "stack(2, 'raw_rows', rows, 'raw_duplicate_rows', duplicate_rows) as (metric, value)"
+        ))
+        mine = checks.get(table, [])
+        needed = sorted({c for _, c, _ in mine})
+        staged = df.select("*", *[F.col(c).alias(f"_raw_{c}") for c in needed])
+        clean = CLEANERS[table](staged, keep=tuple(f"_raw_{c}" for c in needed))
+        cols = [c for c in clean.columns if not c.startswith("_raw_")]
+        aggs = [F.count(F.lit(1)).alias("clean_rows")]
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"null_after_cleaning:{c}") for c in cols]
+        aggs += [F.count_if(pred(F.col(f"_raw_{c}"))).alias(name) for name, c, pred in mine]
+        wide = clean.agg(*aggs)
+        stack = ", ".join(f"'{a}', `{a}`" for a in wide.columns)
+        long = wide.selectExpr(f"'{table}' as table_name", f"stack({len(wide.columns)}, {stack}) as (metric, value)")
+        parts.append(long.where(~F.col("metric").startswith("null_after_cleaning:") | (F.col("value") > 0)))
+    return union_all([p.select("table_name", "metric", F.col("value").cast("bigint").alias("value")) for p in parts])

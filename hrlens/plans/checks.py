@@ -99,6 +99,11 @@ def p08_min_max(t: HRTables) -> DataFrame:
     return P.min_max(clean_employees(raw_table(t, "employees")), "hire_date")
 
 
+def l2_cleaning_profile(t: HRTables) -> DataFrame:
+    """The interactive cleaning session's checks over all five raw tables."""
+    return P.cleaning_profile({name: raw_table(t, name) for name in t.as_dict()})
+
+
 CHECK_QUERIES = {
     "v01_key_unique": v01_key_unique,
     "v02_dept_fk": v02_dept_fk,
@@ -115,4 +120,5 @@ CHECK_QUERIES = {
     "p06_parse_failures": p06_parse_failures,
     "p07_missing_counts": p07_missing_counts,
     "p08_min_max": p08_min_max,
+    "l2_cleaning_profile": l2_cleaning_profile,
 }

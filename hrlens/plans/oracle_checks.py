@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hrlens.plans.oracle_cleaning import CLEAN, RAW, ambiguous, parse_date
+from hrlens.plans.oracle_cleaning import CLEAN, RAW, ambiguous, currency, parse_date, percent
 from hrlens.plans.oracle_sql import avg_rounded, pct, with_views
 from hrlens.schemas import TABLE_COLUMNS
 
@@ -80,6 +80,51 @@ def _missing() -> str:
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE missing > 0"
 
 
+def _profile() -> str:
+    parts = []
+    for t in ALL:
+        cols = ", ".join(TABLE_COLUMNS[t])
+        grouped = f"(SELECT {cols}, count(*) AS n FROM raw_{t} GROUP BY {cols})"
+        parts.append(f"SELECT '{t}' AS table_name, 'raw_rows' AS metric, CAST(coalesce(sum(n), 0) AS BIGINT) AS value FROM {grouped}")
+        parts.append(f"SELECT '{t}', 'raw_duplicate_rows', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM {grouped}")
+        parts.append(f"SELECT '{t}', 'clean_rows', count(*) FROM clean_{t}")
+        for c in TABLE_COLUMNS[t]:
+            parts.append(
+                f"SELECT * FROM (SELECT '{t}', 'null_after_cleaning:{c}', count(*) FILTER (WHERE {c} IS NULL) AS v "
+                f"FROM clean_{t}) WHERE v > 0"
+            )
+    parts.append(
+        f"""SELECT 'employees', 'unparsed:hire_date',
+                   count(*) FILTER (WHERE hire_date IS NOT NULL AND {parse_date('hire_date')} IS NULL) FROM (SELECT DISTINCT * FROM raw_employees)"""
+    )
+    parts.append(
+        f"SELECT 'employees', 'ambiguous:hire_date', count(*) FILTER (WHERE {ambiguous('hire_date')}) "
+        f"FROM (SELECT DISTINCT * FROM raw_employees)"
+    )
+    parts.append(
+        f"""SELECT 'employees', 'unparsed:termination_date',
+                   count(*) FILTER (WHERE termination_date IS NOT NULL AND {parse_date('termination_date')} IS NULL)
+            FROM (SELECT DISTINCT * FROM raw_employees)"""
+    )
+    parts.append(
+        f"""SELECT 'employees', 'unparsed:monthly_salary_idr',
+                   count(*) FILTER (WHERE monthly_salary_idr IS NOT NULL AND {currency('monthly_salary_idr')} IS NULL)
+            FROM (SELECT DISTINCT * FROM raw_employees)"""
+    )
+    parts.append(
+        f"""SELECT 'salaries', 'unparsed:effective_date',
+                   count(*) FILTER (WHERE effective_date IS NOT NULL AND {parse_date('effective_date')} IS NULL) FROM raw_salaries"""
+    )
+    parts.append(f"SELECT 'salaries', 'ambiguous:effective_date', count(*) FILTER (WHERE {ambiguous('effective_date')}) FROM raw_salaries")
+    parts.append(
+        f"""SELECT 'goals', 'unparsed:achievement_pct',
+                   count(*) FILTER (WHERE achievement_pct IS NOT NULL AND {percent('achievement_pct')} IS NULL) FROM raw_goals"""
+    )
+    extra = {f"raw_{t}": RAW[t] for t in ALL}
+    extra.update({f"clean_{t}": CLEAN[t] for t in ALL})
+    return with_views(" UNION ALL ".join(parts), *ALL, extra=extra)
+
+
 _RAW_EMP = {"raw_employees": RAW["employees"]}
 _CLEAN_EMP = {"raw_employees": RAW["employees"], "clean_employees": CLEAN["employees"]}
 
@@ -139,6 +184,7 @@ CHECKS_SQL = {
         "employees", extra=_RAW_EMP,
     ),
     "p07_missing_counts": with_views(_missing(), "employees", extra=_CLEAN_EMP),
+    "l2_cleaning_profile": _profile(),
     "p08_min_max": with_views(
         "SELECT min(hire_date) AS min_value, max(hire_date) AS max_value FROM clean_employees",
         "employees", extra=_CLEAN_EMP,
