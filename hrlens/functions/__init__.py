@@ -1,0 +1 @@
+"""Column -> Column expressions: text cleaners, string parsers, exact rounding, dates."""

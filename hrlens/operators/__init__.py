@@ -1,0 +1,2 @@
+"""DataFrame -> DataFrame operators: joins, rates, aggregates, windows, hierarchy,
+cleaning, dirtying, validation and profiling."""

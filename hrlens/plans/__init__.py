@@ -1,0 +1,2 @@
+"""Named analyses, extensions, rules, registered queries and their SQL
+cross-checks, and the cleaning run."""

@@ -1,0 +1 @@
+"""Incremental cleaning with Structured Streaming."""
