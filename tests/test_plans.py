@@ -53,3 +53,27 @@ def test_salary_lag_windows_per_employee_and_year(spark, sf001):
     p = plan(QUERIES["q16_salary_changes"](spark, sf001))
     window_lines = [line for line in p.split("\n") if "Window [lag(monthly_salary_idr" in line]
     assert window_lines and all("_kk" in line and "_sk" in line for line in window_lines)
+
+
+def test_filters_reach_the_parquet_scan_on_clean_tables(spark, sf001, tmp_root):
+    import os
+
+    from hrlens.operators.degrade import degrade_rows
+    from hrlens.plans import analyses as A
+    from hrlens.plans.cleaning_run import run_cleaning
+    from hrlens.schemas import TABLES
+    from hrlens.sources.derive import hr_views
+    from hrlens.sources.raw import read_clean_tables
+    from hrlens.sources.sinks import write_csv
+
+    raw_dir, out_dir = os.path.join(tmp_root, "pd_raw"), os.path.join(tmp_root, "pd_clean")
+    views = hr_views(spark, sf001).as_dict()
+    for t in TABLES:
+        write_csv(degrade_rows(t, views[t]), os.path.join(raw_dir, t))
+    run_cleaning(spark, raw_dir, out_dir, fmt="parquet")
+    df = A.headcount_by_department(read_clean_tables(spark, out_dir))
+    p = df._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in p.split("\n") if "FileScan parquet" in line and "employees" in line][0]
+    assert "EqualTo(status,Active)" in scan
+    # Only the three employee columns the query needs are read.
+    assert "ReadSchema: struct<employee_id:bigint,dept_id:bigint,status:string>" in scan
