@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 # A dimension is broadcast only when it holds at most this many rows; the
 # check runs a LIMIT over the (small) dimension itself. Beyond the bound the
 # join is left to the planner (sort-merge / shuffled hash, AQE skew split).
+# A session may override it with ``spark.hrlens.broadcastMaxRows``.
 BROADCAST_MAX_ROWS = 200_000
+MAX_ROWS_CONF = "spark.hrlens.broadcastMaxRows"
+
+
+def _session_bound(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(BROADCAST_MAX_ROWS)))
 
 
 # Size decisions per (session, plan): within a session a table is treated as
@@ -16,16 +22,17 @@ BROADCAST_MAX_ROWS = 200_000
 _DECIDED: dict[tuple[int, int, int], bool] = {}
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (a LIMIT job that stops
     reading once the bound is passed)."""
+    max_rows = _session_bound(df) if max_rows is None else max_rows
     key = (id(df.sparkSession), df.semanticHash(), max_rows)
     if key not in _DECIDED:
         _DECIDED[key] = df.limit(max_rows + 1).count() <= max_rows
     return _DECIDED[key]
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows,
     else ``df`` unchanged (the planner then picks a shuffle join, and AQE
     can still demote it to a broadcast at runtime)."""
@@ -37,7 +44,7 @@ def join_dimension(
     dim: DataFrame,
     key: str | list[str] | Column,
     how: str = "inner",
-    max_rows: int = BROADCAST_MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Join a fact to a small dimension, broadcasting it behind a size check."""
     return fact.join(bounded_broadcast(dim, max_rows), key, how)

@@ -84,3 +84,14 @@ def test_broadcast_falls_back_beyond_bound(spark, hr):
     p = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in p.lower() or "BROADCAST" not in p
     assert joined.count() == hr.employees.count()
+
+
+def test_broadcast_bound_from_session_conf(spark, hr):
+    from hrlens.operators.joins import MAX_ROWS_CONF, fits_broadcast
+
+    spark.conf.set(MAX_ROWS_CONF, "1")
+    try:
+        assert not fits_broadcast(hr.departments)  # 2 rows > 1
+    finally:
+        spark.conf.unset(MAX_ROWS_CONF)
+    assert fits_broadcast(hr.departments)
