@@ -69,6 +69,9 @@ def clean_departments(raw: DataFrame, casing: str | None = None, keep: tuple = (
 
 
 def clean_employees(raw: DataFrame, keep: tuple = (), dedupe: bool = True) -> DataFrame:
+    """Dedupe raw rows, then one projection: names collapsed and title-cased,
+    gender mapped, status labelled, two dates parsed, salary read from Rp
+    text, ids and scores typed, categories filled with Unknown."""
     # satisfaction_score and termination_date stay NULL where missing.
     # ``dedupe=False`` when the caller has already removed duplicate rows.
     return (drop_duplicate_rows(raw) if dedupe else raw).select(
@@ -91,6 +94,8 @@ def clean_employees(raw: DataFrame, keep: tuple = (), dedupe: bool = True) -> Da
 
 
 def clean_salaries(raw: DataFrame, keep: tuple = ()) -> DataFrame:
+    """One projection: date parsed, ids and amount typed, a missing reason
+    becomes Unknown."""
     # No de-duplication: a repeated salary row is a real repeated event.
     return raw.select(
         to_int(F.col("salary_id")).alias("salary_id"),
@@ -103,6 +108,7 @@ def clean_salaries(raw: DataFrame, keep: tuple = ()) -> DataFrame:
 
 
 def clean_reviews(raw: DataFrame, keep: tuple = (), dedupe: bool = True) -> DataFrame:
+    """Dedupe raw rows, then type ids, score and the float-text reviewer id."""
     # reviewer_id arrives as float text (1234.0) and stays NULL where missing.
     return (drop_duplicate_rows(raw) if dedupe else raw).select(
         to_int(F.col("review_id")).alias("review_id"),
@@ -115,6 +121,8 @@ def clean_reviews(raw: DataFrame, keep: tuple = (), dedupe: bool = True) -> Data
 
 
 def clean_goals(raw: DataFrame, keep: tuple = ()) -> DataFrame:
+    """One projection: achievement read from '85%' or '85.0', weight and ids
+    typed."""
     # weight_pct stays NULL where missing.
     return raw.select(
         to_int(F.col("goal_id")).alias("goal_id"),

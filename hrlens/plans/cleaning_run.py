@@ -23,6 +23,8 @@ from hrlens.sources.sinks import write_parquet, write_report, write_table
 
 
 def clean_tables(spark: SparkSession, raw_dir: str, casing: str | None = None) -> dict[str, DataFrame]:
+    """The five raw tables read and cleaned (lazy; nothing runs until
+    written)."""
     out = {}
     for name in TABLES:
         raw = read_raw(spark, raw_dir, name)

@@ -53,6 +53,8 @@ def headcount_share(t: HRTables) -> DataFrame:
 
 
 def employment_type_share_by_city(t: HRTables) -> DataFrame:
+    """Each employment type's share of a city's Active staff (window over the
+    city x type aggregate)."""
     counts = headcount_by_city_type(t)
     city_total = F.sum("total_employee").over(Window.partitionBy("city"))
     return counts.select(
@@ -80,6 +82,7 @@ def salary_step_between_levels(t: HRTables) -> DataFrame:
 
 
 def attrition_by_tenure_overall(t: HRTables, snapshot: _dt.date = SNAPSHOT) -> DataFrame:
+    """Attrition per tenure bucket over all departments."""
     return (
         with_tenure(t.employees, snapshot)
         .withColumn("tenure_bucket", tenure_bucket(F.col("tenure_years")))
@@ -89,10 +92,12 @@ def attrition_by_tenure_overall(t: HRTables, snapshot: _dt.date = SNAPSHOT) -> D
 
 
 def attrition_by_level(t: HRTables) -> DataFrame:
+    """Attrition per job level."""
     return t.employees.groupBy("job_level").agg(*rate_aggs(RESIGNED()))
 
 
 def first_year_attrition_by_department(t: HRTables, snapshot: _dt.date = SNAPSHOT) -> DataFrame:
+    """First-year attrition (tenure < 1 completed year) per department."""
     first = with_tenure(t.employees, snapshot).where(F.col("tenure_years") < 1)
     return _with_dept(first, t).groupBy("dept_name").agg(*rate_aggs(RESIGNED()))
 
@@ -145,6 +150,8 @@ def pay_gap_group_sizes(t: HRTables) -> DataFrame:
 
 
 def pay_gap_by_department_level(t: HRTables) -> DataFrame:
+    """The gender pay gap per (department, level): the gap with level held
+    fixed."""
     emp = _with_dept(
         t.employees.select("dept_id", "job_level", "gender", "monthly_salary_idr"), t
     )

@@ -65,6 +65,8 @@ def _on_views(fn) -> QueryFn:
 
 
 def queries() -> dict[str, QueryFn]:
+    """Every registered query: key -> (spark, data_dir) -> DataFrame over the
+    derived HR views."""
     out: dict[str, QueryFn] = {}
     for qid, name in ANALYSIS_KEYS:
         out[f"{qid}_{name}"] = _analysis(name)
@@ -74,6 +76,7 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """The DuckDB cross-check SQL for every key of ``queries()``."""
     out: dict[str, str] = {}
     for qid, name in ANALYSIS_KEYS:
         out[f"{qid}_{name}"] = O.ANALYSES_SQL[name]

@@ -51,6 +51,8 @@ def expected_salary(band_mid, level) -> F.Column:
 
 
 def pay_vs_level_band(t: HRTables) -> DataFrame:
+    """Each employee's salary against band midpoint x level multiplier (ratio
+    to 4 places)."""
     emp = _with_dept(
         t.employees.select("employee_id", "dept_id", "job_level", "monthly_salary_idr"), t
     )
@@ -139,6 +141,8 @@ def review_coverage(
     calendar: list[tuple[str, _dt.date]] = REVIEW_PERIODS,
     snapshot: _dt.date = SNAPSHOT,
 ) -> DataFrame:
+    """Per review period: expected reviews (periods closing within tenure),
+    present, missing and the coverage percentage."""
     covered = F.col("reviews").isNotNull()
     return (
         _coverage(t, calendar, snapshot)
@@ -157,6 +161,7 @@ def missing_reviews(
     calendar: list[tuple[str, _dt.date]] = REVIEW_PERIODS,
     snapshot: _dt.date = SNAPSHOT,
 ) -> DataFrame:
+    """The (employee, period) pairs that should have a review but have none."""
     return (
         _coverage(t, calendar, snapshot)
         .where(F.col("reviews").isNull())

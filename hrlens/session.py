@@ -24,6 +24,8 @@ def get_session(
     shuffle_partitions: int | None = None,
     conf: dict | None = None,
 ) -> SparkSession:
+    """A session with the defaults above (AQE and skew join on, UI off, UTC);
+    ``conf`` entries win."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

@@ -29,6 +29,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 def write_parquet(
     df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite"
 ) -> str:
+    """Parquet, optionally partitioned by low-cardinality columns."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -34,6 +34,8 @@ STATE_STORE_CONF = {
 
 
 def raw_stream(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
+    """The raw CSV files of one table as a stream of all-string rows (NULL
+    tokens mapped)."""
     src = (
         spark.readStream.schema(raw_schema(table))
         .options(**CSV_READ_OPTIONS)
@@ -49,6 +51,8 @@ def raw_digest(cols: list[str]) -> F.Column:
 
 
 def cleaned_stream(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
+    """The table's cleaner applied to the stream; de-duplicating tables keep
+    one row per raw-row digest."""
     src = raw_stream(spark, raw_dir, table)
     if table not in DEDUPED:
         return CLEANERS[table](src)
