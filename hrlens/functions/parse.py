@@ -48,7 +48,9 @@ def parse_currency(c: Column) -> Column:
     """Drop ``Rp``, dots, commas and spaces, then read an integer
     (``Rp30.100.000`` -> 30100000). A decimal point is removed too, so
     ``1234.0`` reads as 12340: read amounts as text, never via a float."""
-    digits = F.regexp_replace(strip(c), r"Rp|[., ]", "")
+    # Literal replace and translate (no regular expression per row); removing
+    # "Rp" before the separators matches the text being cleaned in that order.
+    digits = F.translate(F.replace(strip(c), F.lit("Rp"), F.lit("")), "., ", "")
     return digits.try_cast("bigint")
 
 
@@ -63,7 +65,7 @@ def to_number(c: Column) -> Column:
 
 def parse_percent(c: Column) -> Column:
     """``85%`` / ``85.0`` / `` 7 % `` -> DOUBLE; otherwise NULL."""
-    return to_number(F.regexp_replace(c, "%", ""))
+    return to_number(F.replace(c, F.lit("%"), F.lit("")))
 
 
 def to_int(c: Column) -> Column:
