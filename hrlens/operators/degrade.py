@@ -48,8 +48,10 @@ def _date_text(d: Column, b: Column) -> Column:
 
 
 def _with_duplicates(df: DataFrame, dup: Column) -> DataFrame:
-    """Append a copy of the rows where ``dup`` holds (full-row duplicates)."""
-    return df.unionByName(df.where(dup))
+    """Emit a second copy of the rows where ``dup`` holds (full-row
+    duplicates), generated in the same pass (no second scan of the source)."""
+    copies = F.when(dup, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return df.withColumn("_copy", F.explode(copies)).drop("_copy")
 
 
 def degrade_departments(dept: DataFrame, seed: int | None = None) -> DataFrame:
