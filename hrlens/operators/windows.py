@@ -99,7 +99,10 @@ def change_from_previous(
         "_pos", F.row_number().over(w)
     )
     # Last row per (key, split) under the same ordering; NULLs sort last, so
-    # the sort key of each column is (is_null, value).
+    # the sort key of each column is (is_null, value). Aggregating the source
+    # (combined map-side, one row per (key, split) per task) ships far less
+    # than regrouping the window's output, whose exchange would carry every
+    # row a second time with a different column set (no exchange reuse).
     sort_key = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order])
     tails = base.groupBy("_kk", "_sk").agg(F.max_by(F.col(value), sort_key).alias("_tail"))
     carry = tails.select(
