@@ -4,6 +4,7 @@ dirtier and the same cleaners, written directly in SQL."""
 from __future__ import annotations
 
 from hrlens.plans.oracle_sql import with_views
+from hrlens.schemas import DIVISIONS
 
 WS = r"[\s\x0B\x{85}\p{Z}\x1C-\x1F]"
 
@@ -238,7 +239,18 @@ CLEANING_SQL = {
     "c08_to_number": _column("employees", "employee_id", "satisfaction_score", to_number("satisfaction_score"), "parsed"),
     "c09_to_int": _column("performance_reviews", "review_id", "reviewer_id", to_int("reviewer_id"), "parsed"),
     "c12_drop_duplicates": _with_raw("SELECT DISTINCT * FROM raw_employees", "employees"),
-    "tc1_clean_departments": _with_raw(CLEAN["departments"], "departments"),
+    "tc1_clean_departments": with_views(
+        CLEAN["departments"],
+        extra={
+            "dept_export": f"""
+                SELECT CAST(s_suppkey AS BIGINT) AS dept_id,
+                       s_name || ' ' || {_pick(DIVISIONS, 's_nationkey % 3')} AS dept_name,
+                       {_pick(DIVISIONS, 's_nationkey % 3')} AS division,
+                       CAST(s_nationkey + 40 AS BIGINT) AS salary_band_mid
+                FROM supplier""",
+            "raw_departments": RAW["departments"].replace("FROM departments)", "FROM dept_export)"),
+        },
+    ),
     "tc2_clean_employees": _with_raw(CLEAN["employees"], "employees"),
     "tc3_clean_salaries": _with_raw(CLEAN["salaries"], "salaries"),
     "tc4_clean_reviews": _with_raw(CLEAN["performance_reviews"], "performance_reviews"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hrlens.plans import analyses as A
 from hrlens.plans import oracle_sql as O
 from hrlens.plans.checks import CHECK_QUERIES
-from hrlens.plans.cleaning_checks import CLEANING_QUERIES
+from hrlens.plans.cleaning_checks import CLEANING_QUERIES, tc1_clean_departments
 from hrlens.plans.oracle_checks import CHECKS_SQL
 from hrlens.plans.extensions import EXTENSION_QUERIES
 from hrlens.plans.oracle_cleaning import CLEANING_SQL
@@ -56,6 +56,10 @@ def _analysis(name: str) -> QueryFn:
     return run
 
 
+# Queries that read tables beyond the five HR views: (spark, data_dir) -> DataFrame.
+DIRECT_QUERIES: dict[str, QueryFn] = {"tc1_clean_departments": tc1_clean_departments}
+
+
 def _on_views(fn) -> QueryFn:
     def run(spark: SparkSession, data_dir: str) -> DataFrame:
         return fn(hr_views(spark, data_dir))
@@ -72,6 +76,7 @@ def queries() -> dict[str, QueryFn]:
         out[f"{qid}_{name}"] = _analysis(name)
     for key, fn in VIEW_QUERIES.items():
         out[key] = _on_views(fn)
+    out.update(DIRECT_QUERIES)
     return out
 
 

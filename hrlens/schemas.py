@@ -25,6 +25,9 @@ LEVEL_MULTIPLIER = {
     "Head": 3.20,
 }
 
+# Divisions departments belong to.
+DIVISIONS = ["Technology", "Commercial", "Operations"]
+
 # Work locations.
 CITIES = ["Jakarta", "Bandung", "Surabaya", "Yogyakarta", "Medan", "Remote"]
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from hrlens.functions.numeric import as_int, idiv
 from hrlens.operators.joins import bounded_broadcast
-from hrlens.schemas import CITIES, LEVELS
+from hrlens.schemas import CITIES, DIVISIONS, LEVELS
 from hrlens.sources.tables import read_table
 
 HIRE_EPOCH = _dt.date(2012, 1, 1)
@@ -140,6 +140,21 @@ def goals_view(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+def departments_export_view(spark: SparkSession, data_dir: str) -> DataFrame:
+    """A departments-shaped export that grows with the data: one department
+    per supplier. The departments view itself (from nation and region) has
+    the same 25 rows at every scale, so the departments cleaner is exercised
+    on this one."""
+    s = read_table(spark, data_dir, "supplier")
+    division = _pick(DIVISIONS, F.col("s_nationkey") % 3)
+    return s.select(
+        F.col("s_suppkey").cast("bigint").alias("dept_id"),
+        F.concat(F.col("s_name"), F.lit(" "), division).alias("dept_name"),
+        division.alias("division"),
+        (F.col("s_nationkey") + 40).cast("bigint").alias("salary_band_mid"),
+    )
+
+
 _VIEWS: dict[tuple[int, str], HRTables] = {}
 
 
