@@ -32,6 +32,10 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     return _DECIDED[key]
 
 
+def forget_decisions() -> None:
+    _DECIDED.clear()
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows,
     else ``df`` unchanged (the planner then picks a shuffle join, and AQE

@@ -169,6 +169,17 @@ def hr_views(spark: SparkSession, data_dir: str) -> HRTables:
     return _VIEWS[key]
 
 
+def forget_views() -> None:
+    """Drop cached views, table handles and broadcast decisions (after new
+    files land, so the next query lists and sizes them again)."""
+    from hrlens.operators.joins import forget_decisions
+    from hrlens.sources.tables import forget_tables
+
+    _VIEWS.clear()
+    forget_tables()
+    forget_decisions()
+
+
 def _build_views(spark: SparkSession, data_dir: str) -> HRTables:
     return HRTables(
         departments=departments_view(spark, data_dir),

@@ -84,3 +84,13 @@ def test_mean_sd_band_single_row_is_null(spark):
     df = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("b", 4.0)], "g string, x double")
     got = {r.g: (r.avg, r.sd, r.lo, r.hi) for r in df.groupBy("g").agg(*mean_sd_band(F.col("x"), 2, 1)).collect()}
     assert got == {"a": (3.0, None, None, None), "b": (3.0, 1.41, 1.59, 4.41)}
+
+
+def test_forget_views_rebuilds(spark, sf001):
+    from hrlens.sources.derive import forget_views, hr_views
+
+    a = hr_views(spark, sf001)
+    assert hr_views(spark, sf001) is a
+    forget_views()
+    b = hr_views(spark, sf001)
+    assert b is not a and b.employees.count() == a.employees.count()
