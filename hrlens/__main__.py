@@ -22,6 +22,10 @@ NAMED = {
     **{name: fn for name, (fn, _) in A.ANALYSES.items()},
     **{key.split("_", 1)[1]: fn for key, fn in E.EXTENSION_QUERIES.items()},
     **{key.split("_", 1)[1]: fn for key, fn in R.RULE_QUERIES.items()},
+    # On real clean tables the review calendar is the source's half-year
+    # periods (the registered queries use the derived views' calendar).
+    "review_coverage": R.review_coverage,
+    "missing_reviews": R.missing_reviews,
 }
 
 

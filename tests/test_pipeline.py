@@ -254,3 +254,10 @@ def test_cli_stream(spark, sf001, tmp_root):
     out_dir = os.path.join(tmp_root, "cli_stream_out")
     assert main(["stream", raw_dir, out_dir, os.path.join(tmp_root, "cli_stream_ckpt"), "--table", "goals"]) == 0
     assert spark.read.parquet(os.path.join(out_dir, "goals")).count() == views.goals.count()
+
+
+def test_cli_review_coverage_uses_half_year_calendar(spark, hr):
+    from hrlens.__main__ import NAMED
+
+    got = {r.review_period: r.expected_reviews for r in NAMED["review_coverage"](hr).collect()}
+    assert set(got) <= {"2023-H1", "2023-H2", "2024-H1", "2024-H2"} and got
