@@ -132,9 +132,11 @@ SAT = avg_rounded("satisfaction_score", 2, 2)
 
 ANALYSES_SQL = {
     "headcount_by_department": with_views(
-        """SELECT d.dept_name, count(e.employee_id) AS total_employee
-           FROM employees e JOIN departments d ON d.dept_id = e.dept_id
-           WHERE e.status = 'Active' GROUP BY d.dept_name""",
+        """SELECT dep.dept_name, count(act.employee_id) AS total_employee
+           FROM departments AS dep
+           INNER JOIN (SELECT employee_id, dept_id FROM employees WHERE status = 'Active') AS act
+                 USING (dept_id)
+           GROUP BY ALL""",
         "departments", "employees",
     ),
     "avg_salary_by_level": with_views(
@@ -144,12 +146,14 @@ ANALYSES_SQL = {
     ),
     "headcount_by_city_type": with_views(
         """SELECT city, employment_type, count(employee_id) AS total_employee
-           FROM employees WHERE status = 'Active' GROUP BY city, employment_type""",
+           FROM (SELECT * FROM employees WHERE status = 'Active')
+           GROUP BY ALL""",
         "employees",
     ),
     "headcount_by_type_city": with_views(
         """SELECT employment_type, city, count(employee_id) AS total_employee
-           FROM employees WHERE status = 'Active' GROUP BY employment_type, city""",
+           FROM (SELECT * FROM employees WHERE status = 'Active')
+           GROUP BY ALL""",
         "employees",
     ),
     "attrition_overall": with_views(f"SELECT {_rate3()} FROM employees", "employees"),
@@ -246,14 +250,12 @@ ANALYSES_SQL = {
         "employees",
     ),
     "top3_salary_by_department": with_views(
-        """SELECT d.dept_name, r.salary_rank, r.full_name, r.monthly_salary_idr
-           FROM (SELECT full_name, dept_id, monthly_salary_idr,
-                        CAST(rank() OVER (PARTITION BY dept_id
-                                          ORDER BY monthly_salary_idr DESC NULLS FIRST) AS BIGINT)
-                            AS salary_rank
-                 FROM employees) r
-           JOIN departments d ON d.dept_id = r.dept_id
-           WHERE r.salary_rank <= 3""",
+        """SELECT dep.dept_name,
+                  CAST(rank() OVER (PARTITION BY emp.dept_id
+                                    ORDER BY emp.monthly_salary_idr DESC NULLS FIRST) AS BIGINT) AS salary_rank,
+                  emp.full_name, emp.monthly_salary_idr
+           FROM employees AS emp INNER JOIN departments AS dep USING (dept_id)
+           QUALIFY salary_rank <= 3""",
         "departments", "employees",
     ),
     "salary_vs_peer_average": with_views(
@@ -268,37 +270,41 @@ ANALYSES_SQL = {
         "departments", "employees",
     ),
     "salary_changes": with_views(
-        """SELECT e.full_name, s.effective_date, s.monthly_salary_idr AS current_salary,
-                  s.prev_salary, s.monthly_salary_idr - s.prev_salary AS salary_change,
-                  s.change_reason
-           FROM (SELECT *, lag(monthly_salary_idr) OVER (
-                        PARTITION BY employee_id
-                        ORDER BY effective_date ASC NULLS LAST, salary_id ASC NULLS LAST) AS prev_salary
-                 FROM salaries) s
-           JOIN employees e ON e.employee_id = s.employee_id""",
+        """SELECT who.full_name, history.effective_date, history.current_salary, history.prev_salary,
+                  history.current_salary - history.prev_salary AS salary_change, history.change_reason
+           FROM history INNER JOIN employees AS who USING (employee_id)""",
         "employees", "salaries",
+        extra={"history": """SELECT employee_id, effective_date, change_reason,
+                      monthly_salary_idr AS current_salary,
+                      lag(monthly_salary_idr) OVER (
+                          PARTITION BY employee_id
+                          ORDER BY effective_date ASC NULLS LAST, salary_id ASC NULLS LAST) AS prev_salary
+               FROM salaries"""},
     ),
     "org_structure": with_views(
-        """SELECT e.employee_id, e.full_name, e.gender, ed.dept_name, e.job_level,
-                  m.employee_id AS manager_id, m.full_name AS manager_name,
-                  m.gender AS manager_gender, md.dept_name AS manager_department,
-                  m.job_level AS manager_level
-           FROM employees e
-           LEFT JOIN employees m ON m.employee_id = e.manager_id
-           JOIN departments ed ON ed.dept_id = e.dept_id
-           LEFT JOIN departments md ON md.dept_id = m.dept_id
-           WHERE e.status = 'Active' AND (m.status = 'Active' OR m.employee_id IS NULL)""",
+        """SELECT staff.employee_id, staff.full_name, staff.gender, home.dept_name, staff.job_level,
+                  boss.manager_id, boss.manager_name, boss.manager_gender,
+                  boss_home.dept_name AS manager_department, boss.manager_level
+           FROM staff
+           LEFT JOIN boss ON boss.manager_id = staff.manager_id
+           INNER JOIN departments AS home ON home.dept_id = staff.dept_id
+           LEFT JOIN departments AS boss_home ON boss_home.dept_id = boss.boss_dept
+           WHERE boss.manager_id IS NULL OR boss.boss_status = 'Active'""",
         "departments", "employees",
+        extra={"staff": """SELECT * FROM employees WHERE status = 'Active'""", "boss": """SELECT employee_id AS manager_id, full_name AS manager_name,
+                                gender AS manager_gender, dept_id AS boss_dept,
+                                job_level AS manager_level, status AS boss_status
+                         FROM employees"""},
     ),
     "subordinate_counts": with_views(
-        """SELECT m.full_name, md.dept_name, count(e.employee_id) AS total_subordinates,
-                  CAST(rank() OVER (ORDER BY count(e.employee_id) DESC) AS BIGINT)
-                      AS rank_by_subordinates
-           FROM employees m
-           LEFT JOIN employees e ON e.manager_id = m.employee_id AND e.status = 'Active'
-           JOIN departments md ON md.dept_id = m.dept_id
-           WHERE m.status = 'Active'
-           GROUP BY m.employee_id, m.full_name, md.dept_name""",
+        """SELECT heads.full_name, home.dept_name,
+                  count(reports.employee_id) AS total_subordinates,
+                  CAST(rank() OVER (ORDER BY count(reports.employee_id) DESC) AS BIGINT) AS rank_by_subordinates
+           FROM heads
+           INNER JOIN departments AS home ON home.dept_id = heads.dept_id
+           LEFT JOIN reports ON reports.manager_id = heads.employee_id
+           GROUP BY heads.employee_id, heads.full_name, home.dept_name""",
         "departments", "employees",
+        extra={"heads": """SELECT employee_id, full_name, dept_id FROM employees WHERE status = 'Active'""", "reports": """SELECT manager_id, employee_id FROM employees WHERE status = 'Active'"""},
     ),
 }
