@@ -65,6 +65,18 @@ def vs_group_mean(
     return joined.drop(*[f"_k_{k}" for k in by])
 
 
+def date_split(d: Column, grain: str | None) -> Column | None:
+    """A split column for ``change_from_previous`` that sorts like the date:
+    ``"year"``, ``"month"`` (yyyymm) or ``None`` for no split."""
+    if grain is None:
+        return None
+    if grain == "year":
+        return F.year(d)
+    if grain == "month":
+        return F.year(d) * 100 + F.month(d)
+    raise ValueError(f"unknown split grain {grain!r}")
+
+
 def change_from_previous(
     df: DataFrame,
     key: str,

@@ -26,7 +26,7 @@ from hrlens.operators.aggregates import (
 from hrlens.operators.hierarchy import direct_report_counts, resolve_manager
 from hrlens.operators.joins import exists_in, join_dimension
 from hrlens.operators.rates import rate_aggs, tenure_bucket, with_tenure
-from hrlens.operators.windows import change_from_previous, top_n_per_group, vs_group_mean
+from hrlens.operators.windows import change_from_previous, date_split, top_n_per_group, vs_group_mean
 from hrlens.schemas import (
     AT_OR_ABOVE_BAND,
     BAND_UNIT,
@@ -264,10 +264,11 @@ def salary_vs_peer_average(t: HRTables) -> DataFrame:
     )
 
 
-def salary_changes(t: HRTables, split_by_year: bool = True) -> DataFrame:
+def salary_changes(t: HRTables, split: str | None = "year") -> DataFrame:
     """Every salary row with the previous salary of the same employee
     (ordered by date, then salary id) and the change. The lag is windowed
-    per (employee, year) so one employee's history spreads over tasks."""
+    per (employee, year) so one employee's history spreads over tasks;
+    ``split="month"`` spreads it further, ``None`` windows per employee."""
     sal = t.salaries.select(
         "salary_id", "employee_id", "effective_date", "monthly_salary_idr", "change_reason"
     )
@@ -277,7 +278,7 @@ def salary_changes(t: HRTables, split_by_year: bool = True) -> DataFrame:
         ["effective_date", "salary_id"],
         "monthly_salary_idr",
         "prev_salary",
-        split=F.year("effective_date") if split_by_year else None,
+        split=date_split(F.col("effective_date"), split),
     )
     emp = t.employees.select("employee_id", "full_name")
     return with_prev.join(emp, "employee_id").select(

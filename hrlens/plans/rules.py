@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hrlens.functions.dates import fractional_years
 from hrlens.functions.numeric import as_int, half_up_int, half_up_ratio, pct
 from hrlens.operators.rates import rate_aggs
-from hrlens.operators.windows import change_from_previous
+from hrlens.operators.windows import change_from_previous, date_split
 from hrlens.plans.analyses import RESIGNED, _with_dept
 from hrlens.plans.extensions import level_rank
 from hrlens.schemas import (
@@ -201,7 +201,7 @@ def manager_rule_violations(t: HRTables) -> DataFrame:
     ).where(~F.col("same_department") | ~F.col("manager_outranks"))
 
 
-def salary_history_checks(t: HRTables, initial_reason: str = "Initial") -> DataFrame:
+def salary_history_checks(t: HRTables, initial_reason: str = "Initial", split: str | None = "year") -> DataFrame:
     """Per employee with history: rows, last salary vs current salary, first
     row's reason, and the number of pay decreases along the history."""
     sal = t.salaries.select(
@@ -213,7 +213,7 @@ def salary_history_checks(t: HRTables, initial_reason: str = "Initial") -> DataF
         ["effective_date", "salary_id"],
         "monthly_salary_idr",
         "_prev",
-        split=F.year("effective_date"),
+        split=date_split(F.col("effective_date"), split),
     )
     key = F.struct(
         F.struct(F.col("effective_date").isNull(), F.col("effective_date")),

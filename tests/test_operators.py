@@ -94,3 +94,14 @@ def test_forget_views_rebuilds(spark, sf001):
     forget_views()
     b = hr_views(spark, sf001)
     assert b is not a and b.employees.count() == a.employees.count()
+
+
+def test_salary_changes_split_grains_agree(spark, sf01):
+    from hrlens.plans.analyses import salary_changes
+
+    t = hr_views(spark, sf01)
+    cols = ["full_name", "effective_date", "current_salary", "prev_salary", "salary_change", "change_reason"]
+    plain = salary_changes(t, split=None).select(*cols)
+    for grain in ("year", "month"):
+        other = salary_changes(t, split=grain).select(*cols)
+        assert plain.exceptAll(other).count() == 0 and other.exceptAll(plain).count() == 0
