@@ -120,3 +120,23 @@ def test_q08_unknown_tenure_falls_to_last_bucket(spark, hr):
     assert got[("Engineering", "0-1 yr")] == 1 and got[("Engineering", "5+ yr")] == 5
     first = {r.salary_position: r.headcount for r in A.first_year_attrition_by_band(t).collect()}
     assert sum(first.values()) == 3
+
+
+def test_every_presentation_order_applies(hr):
+    for name, (fn, order) in A.ANALYSES.items():
+        rows = A.ordered(name, fn(hr)).collect()
+        if name == "gender_pay_gap_by_level":
+            gaps = [abs(r.pay_gap) for r in rows if r.pay_gap is not None]
+            assert gaps == sorted(gaps, reverse=True)
+            assert rows[0].pay_gap is None  # NULL first when descending
+        assert rows is not None, name
+
+
+def test_scale_conf_sizes_partitions():
+    from hrlens.session import scale_conf
+
+    small = scale_conf(10 << 30, total_cores=64)
+    assert int(small["spark.sql.shuffle.partitions"]) == 128  # floor of 2x cores
+    big = scale_conf(100 << 40, total_cores=8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000  # capped
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
