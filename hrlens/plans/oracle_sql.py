@@ -158,32 +158,33 @@ ANALYSES_SQL = {
     ),
     "attrition_overall": with_views(f"SELECT {_rate3()} FROM employees", "employees"),
     "attrition_by_department": with_views(
-        f"""SELECT d.dept_name, {_rate3('e.')}
-            FROM employees e JOIN departments d ON d.dept_id = e.dept_id
-            GROUP BY d.dept_name""",
+        f"""SELECT dept_name, {_rate3()}
+            FROM employees INNER JOIN (SELECT dept_id, dept_name FROM departments) USING (dept_id)
+            GROUP BY ALL""",
         "departments", "employees",
     ),
     "attrition_vs_satisfaction": with_views(
-        f"""SELECT d.dept_name, {_rate3('e.')}, {SAT} AS avg_satisfaction
-            FROM employees e JOIN departments d ON d.dept_id = e.dept_id
-            GROUP BY d.dept_name""",
+        f"""SELECT dept_name, {_rate3()}, {SAT} AS avg_satisfaction
+            FROM employees INNER JOIN (SELECT dept_id, dept_name FROM departments) USING (dept_id)
+            GROUP BY ALL""",
         "departments", "employees",
     ),
     "attrition_by_tenure": with_views(
-        f"""SELECT d.dept_name,
-                   CASE WHEN t.tenure_years < 1 THEN '0-1 yr' WHEN t.tenure_years < 3 THEN '1-3 yr'
-                        WHEN t.tenure_years < 5 THEN '3-5 yr' ELSE '5+ yr' END AS tenure_bucket,
-                   {_rate3('t.')}, {SAT} AS avg_satisfaction
-            FROM tenured t JOIN departments d ON d.dept_id = t.dept_id
-            GROUP BY 1, 2""",
+        f"""SELECT dept_name,
+                   CASE WHEN tenure_years < 1 THEN '0-1 yr' WHEN tenure_years < 3 THEN '1-3 yr'
+                        WHEN tenure_years < 5 THEN '3-5 yr' ELSE '5+ yr' END AS tenure_bucket,
+                   {_rate3()}, {SAT} AS avg_satisfaction
+            FROM tenured INNER JOIN (SELECT dept_id, dept_name FROM departments) USING (dept_id)
+            GROUP BY ALL""",
         "departments", "employees", extra={"tenured": _tenure_cte()},
     ),
     "first_year_attrition_by_band": with_views(
-        f"""SELECT CASE WHEN t.monthly_salary_idr < d.salary_band_mid * 1000000
+        f"""SELECT CASE WHEN monthly_salary_idr < salary_band_mid * 1000000
                         THEN 'below band' ELSE 'at/above band' END AS salary_position,
-                   {_rate3('t.')}
-            FROM tenured t JOIN departments d ON d.dept_id = t.dept_id
-            WHERE t.tenure_years < 1 GROUP BY 1""",
+                   {_rate3()}
+            FROM (SELECT * FROM tenured WHERE tenure_years < 1)
+                 INNER JOIN (SELECT dept_id, salary_band_mid FROM departments) USING (dept_id)
+            GROUP BY ALL""",
         "departments", "employees", extra={"tenured": _tenure_cte()},
     ),
     "first_year_attrition_by_type": with_views(
@@ -214,8 +215,9 @@ ANALYSES_SQL = {
         f"""SELECT d.dept_name,
                    {hu_ratio('sum(CAST(pe.micro AS HUGEINT))', 'count(pe.micro) * 1000000', 2)}
                        AS avg_achievement
-            FROM employees e JOIN per_emp pe ON pe.employee_id = e.employee_id
-                 JOIN departments d ON d.dept_id = e.dept_id
+            FROM (SELECT employee_id, dept_id FROM employees) AS e
+                 INNER JOIN per_emp AS pe USING (employee_id)
+                 INNER JOIN (SELECT dept_id, dept_name FROM departments) AS d USING (dept_id)
             GROUP BY d.dept_name""",
         "departments", "employees", "goals",
         extra={
