@@ -11,8 +11,8 @@ Reading takes records out of the files in any order, groups segments by their
 origin, orders them by number, checks that all are there and that their
 lengths sum up to the stated total, and decodes the chunked framing.
 
-Files are written by Spark's own writer into any folder that it can reach; a
-record's closing line ends are its line separator.
+Files are written, gzipped, by Spark's own writer into any folder that it can
+reach; a record's closing line ends are its line separator.
 
 Cases: null html is an empty payload; a null ``page_id`` or url leaves its
 header out (such pages are never the response of others: null counts as the
@@ -24,6 +24,7 @@ writes no record.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -152,11 +153,13 @@ def write(pages: DataFrame, folder: str, spec: Archive = Archive()) -> None:
     # The row's number makes a record id its own, also where rows repeat. No
     # shuffle follows, so a task that runs again writes all its records anew.
     rows = with_response(pages, spec).withColumn("row", F.monotonically_increasing_id())
-    rows.mapInPandas(run, "record string").write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
+    rows.mapInPandas(run, "record string").write.options(lineSep=END, maxRecordsPerFile=per_file, compression="gzip").text(folder)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive file."""
+    """(headers, block) of each record of an archive file, gzipped or plain."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at = 0
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
@@ -175,7 +178,7 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:
     """A row per record: origin, segment, total, type, page_id, url, digest,
     refers_to, stated (payload bytes of a revisit), block."""
-    small_batches(spark, 4)  # files at a time
+    small_batches(spark, 500)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = lambda x: None if x is None else int(x)
