@@ -29,7 +29,7 @@ smallest known id, or null if there is none; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -64,12 +64,22 @@ class Join:
 # --- sets -------------------------------------------------------------------
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+MULTIPLIER = 0x9E3779B97F4A7C15
+BLOCK = 1 << 20  # bytes hashed at a time
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse."""
+    out = []
+    for base in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,18 +89,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, n: int, seen: dict) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of a text, ASCII letters lowered;
-    the whole word sequence where it is shorter; empty without words."""
-    w = (text or "").encode("utf-8", "replace").translate(LOWER).split()
-    if not w:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))
-    k = min(n, len(h))
-    acc = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(acc)])
-    return np.unique(acc)
+_LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of ``data``: polynomials over its bytes,
+    from running sums, in blocks that end between words."""
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = at
+        while end < len(data):
+            end = min(len(data), end + BLOCK)
+            part = np.frombuffer(data, np.uint8, end - at, at)
+            space = _IS_SPACE[part]
+            if end < len(data) and space.any():
+                end = at + len(part) - int(space[::-1].argmax())
+                break
+        part, space = part[: end - at], space[: end - at]
+        inside = np.zeros(len(part) + 2, bool)
+        inside[1:-1] = ~space
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        lo, hi = edges[::2], edges[1::2]
+        power, inverse = _powers(-(-len(part) // BLOCK) * BLOCK)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_LETTERS[part] * power[: len(part)], out=sums[1:])
+        hashes.append(_mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)))
+        starts.append(lo + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def shingle_sets(texts: Iterable[str | None], n: int) -> list[np.ndarray]:
+    """For each text, the sorted distinct hashes of its n-grams, ASCII letters
+    lowered; of the whole word sequence where it is shorter; none without
+    words."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(raw):  # texts of a block or so together
+        end, size = at, 0
+        while end < len(raw) and (end == at or size + len(raw[end]) < BLOCK):
+            size += len(raw[end]) + 1
+            end += 1
+        group = raw[at:end]
+        hashes, starts = word_hashes(b" ".join(group).translate(LOWER))
+        ends = np.cumsum([len(x) + 1 for x in group])
+        count = np.diff(np.searchsorted(starts, ends), prepend=0)
+        first = np.cumsum(count) - count
+
+        def grams(k: int, h: np.ndarray = hashes) -> np.ndarray:
+            acc = np.full(max(0, len(h) - k + 1), k, np.uint64)
+            for i in range(k):
+                acc = _mix(acc * np.uint64(MULTIPLIER) + h[i : i + len(acc)])
+            return acc
+
+        by_size = {k: grams(k) for k in {min(n, int(c)) for c in count} if k}
+        for f, c in zip(first.tolist(), count.tolist()):
+            k = min(n, c)
+            if not k:
+                out.append(np.empty(0, np.uint64))
+                continue
+            s = np.sort(by_size[k][f : f + c - k + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
+        at = end
+    return out
 
 
 def _node(s: np.ndarray) -> int:
@@ -98,12 +160,6 @@ def _node(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes()))))
 
 
-def _sets(batch: pd.Series, n: int) -> Iterator[np.ndarray]:
-    seen = _WordHash()
-    for t in batch:
-        yield shingle_set(t, n, seen)
-
-
 # --- bounds -----------------------------------------------------------------
 
 
@@ -191,22 +247,36 @@ def light_entries(s: np.ndarray, percent: int) -> list[int]:
     return out
 
 
-def heavy_entries(s: np.ndarray, percent: int) -> list[int]:
-    """One key for each segment of each bucket: a hash of the segment's
-    contents. A linked pair has two equal segments at least, so an empty
-    segment is a key only for sets with two or more of them."""
-    mixed = _mix(s)
-    out = []
-    for number, k in buckets(len(s), percent):
-        at = (_mix(s + np.uint64(number)) % np.uint64(k)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        used, first = np.unique(at[order], return_index=True)
-        sums = np.zeros(k, np.uint64)
-        sums[used] = np.add.reduceat(mixed[order], first)
-        where = np.arange(k) if k - len(used) >= 2 else used
-        salt = np.uint64((number << 32) + (1 << 60))
-        out.append(_mix(sums[where] + _mix(salt + where.astype(np.uint64))))
-    return [int(x) for x in np.concatenate(out)]
+def heavy_entries(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, which set) of all ``sets``: a key for each segment of each of a
+    set's buckets, a hash of the segment's contents. A linked pair has two
+    equal segments at least, so an empty segment is a key only for sets with
+    two or more of them."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    mixed = _mix(flat)
+    own = [buckets(int(a), percent) for a in sizes]
+    keys, which = [], []
+    for j in (0, 1):
+        # Sets without a second bucket have no segments in it.
+        number = np.array([b[j][0] if j < len(b) else 0 for b in own], np.uint64)
+        k = np.array([b[j][1] if j < len(b) else 0 for b in own])
+        has = np.repeat(k > 0, sizes)
+        first = np.cumsum(k) - k
+        at = _mix(flat + np.repeat(number, sizes)) % np.maximum(np.repeat(k, sizes), 1).astype(np.uint64)
+        place = (np.repeat(first, sizes) + at.astype(np.int64))[has]
+        total = int(k.sum())
+        sums = np.zeros(total, np.uint64)
+        np.add.at(sums, place, mixed[has])
+        filled = np.bincount(place, minlength=total) > 0
+        owner = np.repeat(np.arange(len(sets)), k)
+        empty = np.bincount(owner[~filled], minlength=len(sets))
+        use = filled | (empty[owner] >= 2)
+        salt = (number << np.uint64(32)) + np.uint64(1 << 60)
+        within = (np.arange(total) - first[owner]).astype(np.uint64)
+        keys.append(_mix(sums + _mix(salt[owner] + within))[use])
+        which.append(owner[use])
+    return np.concatenate(keys), np.concatenate(which)
 
 
 # --- the join ---------------------------------------------------------------
@@ -217,7 +287,7 @@ def with_node(docs: DataFrame, join: Join, text: str, carry: list[Column]) -> Da
 
     @F.pandas_udf("node long, n_shingles long")
     def run(texts: pd.Series) -> pd.DataFrame:
-        sets = list(_sets(texts, join.n))
+        sets = shingle_sets(texts, join.n)
         nodes = pd.array([_node(s) if len(s) else None for s in sets], "Int64")
         return pd.DataFrame({"node": nodes, "n_shingles": [len(s) for s in sets]})
 
@@ -230,24 +300,27 @@ def keyed(docs: DataFrame, join: Join, light: int, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()
+        heavy_from = light * join.percent // 100
         for b in batches:
-            keys, nodes, exact = [], [], []
-            for s in _sets(b["text"], join.n):
+            fresh = {}
+            for s in shingle_sets(b["text"], join.n):
                 node = _node(s) if len(s) else None
-                if node is None or node in done:
-                    continue
-                if len(done) < 200_000:  # copies met again in this task
-                    done.add(node)
-                for made, yes in (
-                    (light_entries(s, join.percent) if len(s) <= light else (), True),
-                    (heavy_entries(s, join.percent) if len(s) > light * join.percent // 100 else (), False),
-                ):
-                    keys += made
-                    nodes += [node] * len(made)
-                    exact += [yes] * len(made)
-            yield pd.DataFrame(
-                {"key": np.array(keys, np.uint64).astype(np.int64), "node": np.array(nodes, np.int64), "exact": np.array(exact, bool)}
-            )
+                if node is not None and node not in done:
+                    fresh[node] = s
+            if len(done) < 200_000:  # copies met again in this task
+                done.update(fresh)
+            small = [(node, light_entries(s, join.percent)) for node, s in fresh.items() if len(s) <= light]
+            keys = [np.array([k for _, made in small for k in made], np.uint64)]
+            nodes = [np.repeat(np.array([n for n, _ in small], np.int64), [len(made) for _, made in small])]
+            exact = [np.ones(len(keys[0]), bool)]
+            large = {node: s for node, s in fresh.items() if len(s) > heavy_from}
+            if large:
+                made, which = heavy_entries(list(large.values()), join.percent)
+                keys.append(made)
+                nodes.append(np.array(list(large), np.int64)[which])
+                exact.append(np.zeros(len(made), bool))
+            out = {"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "exact": np.concatenate(exact)}
+            yield pd.DataFrame(out)
 
     return docs.select(F.col(text).alias("text")).mapInPandas(run, "key long, node long, exact boolean")
 
@@ -293,22 +366,44 @@ def _forest(nodes: np.ndarray, links: Iterator[tuple[int, int]]) -> list[tuple[i
     return out
 
 
+def _edges(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between blocks ``lo`` and ``hi``."""
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        linked = 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both)
+        return [(int(nodes[0]), int(nodes[1]))] if linked else []
+    one, two = np.flatnonzero(blocks == lo), np.flatnonzero(blocks == hi)
+    if not len(one) or not len(two):
+        return []
+    hit = _linked([sets[i] for i in one], [sets[i] for i in two], percent)
+    return _forest(nodes, ((one[i], two[j]) for i, j in np.argwhere(hit)))
+
+
 def verified(members: DataFrame, join: Join) -> DataFrame:
-    """Edges of a spanning forest for each (hub, lo, hi) pair of blocks."""
+    """a, b: edges of a spanning forest for each (hub, lo, hi) pair of blocks.
+    The rows of a pair come together, sorted; one pair is held at a time."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates("node")
-        sets = [np.asarray(x, np.int64).view(np.uint64) for x in g["shingles"]]
-        nodes = g["node"].to_numpy()
-        blocks = g["block"].to_numpy()
-        one, two = np.flatnonzero(blocks == g["lo"].iloc[0]), np.flatnonzero(blocks == g["hi"].iloc[0])
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        hit = _linked([sets[i] for i in one], [sets[i] for i in two], join.percent)
-        made = _forest(nodes, ((one[i], two[j]) for i, j in np.argwhere(hit)))
-        return pd.DataFrame(made, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, made = None, [], []
+
+        def flush() -> None:
+            if key is not None and len(held) > 1:
+                sets = [np.asarray(x[1], np.int64).view(np.uint64) for x in held]
+                made.extend(_edges(np.array([x[0] for x in held]), np.array([x[2] for x in held]), sets, key[1], key[2], join.percent))
+
+        for b in batches:
+            for hub, lo, hi, node, shingles, block in zip(b["hub"], b["lo"], b["hi"], b["node"], b["shingles"], b["block"]):
+                if key != (hub, lo, hi):
+                    flush()
+                    key, held = (hub, lo, hi), []
+                held.append((node, shingles, block))
+            yield pd.DataFrame(made, columns=["a", "b"], dtype="int64")
+            made.clear()
+        flush()
+        yield pd.DataFrame(made, columns=["a", "b"], dtype="int64")
 
-    return members.groupBy("hub", "lo", "hi").applyInPandas(run, "a long, b long")
+    pairs = members.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi")
+    return pairs.select("hub", "lo", "hi", "node", "shingles", "block").mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -400,7 +495,7 @@ def shingles_of(docs: DataFrame, chosen: DataFrame, join: Join, text: str, doc_i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [s for s in _sets(b["text"], join.n) if len(s)]
+            sets = [s for s in shingle_sets(b["text"], join.n) if len(s)]
             yield pd.DataFrame({"node": np.array([_node(s) for s in sets], np.int64), "shingles": [s.view(np.int64) for s in sets]})
 
     made = d.mapInPandas(run, "node long, shingles array<long>").join(chosen.select("node"), "node", "left_semi")
