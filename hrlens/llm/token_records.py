@@ -4,8 +4,9 @@ A record file is a run of records, each
 
     uint64  length of the payload
     uint32  masked CRC-32 of those 8 bytes
-    payload: 1 byte (1: the document has an id), int64 document id,
-             then its token ids as uint32
+    payload: 1 byte (1: the document has an id; 2: ids of 16 bits),
+             int64 document id, then its token ids as uint16 where the
+             vocabulary has 65,536 ids at most, as uint32 otherwise
     uint32  masked CRC-32 of the payload
     1 byte  line feed, the end of the record
 
@@ -18,7 +19,9 @@ any order from index rows.
 
 Texts are encoded in stretches that the tokenizer never joins: its
 pre-tokenizer starts a new token at a space between two characters that are
-no white space. Stretches met before are looked up.
+no white space. Stretches met before are looked up; the others of a batch go
+to the tokenizer together, joined by spaces, and the tokens that begin with a
+space tell where each starts.
 
 Files are written by Spark's own writer into any folder that it can reach, and
 committed by it, so a lost executor leaves none half-written.
@@ -30,6 +33,7 @@ no records.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,7 +42,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +55,16 @@ END = b"\n"
 MASK = 0xA282EAD8
 
 # A space between two characters of which neither is white space.
-_GAP = regex.compile(r"(?<=\S) (?=\S)")
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+# White space other than the space and the line feed: texts with any go by _GAP.
+_OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+
+def stretches(text: str) -> list[str]:
+    """The text cut at spaces (which go) between two characters that are no
+    white space."""
+    if text[:1].isspace() or text[-1:].isspace() or "  " in text or "\n " in text or " \n" in text or any(c in text for c in _OTHER):
+        return _GAP.split(text)
+    return text.split(" ")
 
 
 def masked(data: bytes) -> int:
@@ -60,15 +72,15 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + MASK) & 0xFFFFFFFF
 
 
-def record(doc_id: int | None, ids: bytes) -> bytes:
-    payload = HEAD.pack(doc_id is not None, doc_id or 0) + ids
+def record(doc_id: int | None, ids: bytes, narrow: bool) -> bytes:
+    payload = HEAD.pack((doc_id is not None) + 2 * narrow, doc_id or 0) + ids
     n = struct.pack("<Q", len(payload))
     return n + CRC.pack(masked(n)) + payload + CRC.pack(masked(payload)) + END
 
 
-def parse(data: memoryview | bytes, at: int = 0) -> tuple[int | None, bytes, int]:
-    """The record at an offset: (doc_id, ids, offset of the next); ValueError
-    where a checksum or the framing fails."""
+def parse(data: memoryview | bytes, at: int = 0) -> tuple[int | None, np.ndarray, int]:
+    """The record at an offset: (doc_id, ids as uint32, offset of the next);
+    ValueError where a checksum or the framing fails."""
     n, check = LENGTH.unpack_from(data, at)
     if check != masked(bytes(data[at : at + 8])):
         raise ValueError(f"record at {at}: length checksum")
@@ -76,8 +88,9 @@ def parse(data: memoryview | bytes, at: int = 0) -> tuple[int | None, bytes, int
     end = at + LENGTH.size + n
     if len(payload) != n or CRC.unpack_from(data, end)[0] != masked(payload) or bytes(data[end + 4 : end + 5]) != END:
         raise ValueError(f"record at {at}: payload checksum")
-    has, doc_id = HEAD.unpack_from(payload)
-    return (doc_id if has else None), payload[HEAD.size :], end + 5
+    flags, doc_id = HEAD.unpack_from(payload)
+    ids = np.frombuffer(payload, "<u2" if flags & 2 else "<u4", offset=HEAD.size)
+    return (doc_id if flags & 1 else None), ids.astype("<u4"), end + 5
 
 
 @dataclass(frozen=True)
@@ -89,11 +102,12 @@ class Tokens:
     path: str
     end_id: int = 0
     file_chars: int = 24_000_000
-    memory: int = 400_000
+    memory: int = 700_000
 
 
 class Encoder:
-    """A tokenizer with a memory for the stretches it has encoded."""
+    """A tokenizer with a memory for the stretches it has encoded: ``first`` at
+    a text's start, ``spaced`` after a space."""
 
     def __init__(self, spec: Tokens):
         from tokenizers import Tokenizer
@@ -101,30 +115,58 @@ class Encoder:
         self.spec = spec
         self.tokenizer = Tokenizer.from_file(spec.path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind = np.dtype("<u2" if self.narrow else "<u4")
+        # Byte-level vocabularies write a space as this letter.
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        if len(known) + len(new) > self.spec.memory:
-            known.clear()
-        made = self.tokenizer.encode_batch([before + x for x in new], add_special_tokens=False)
-        known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, made))
+        self.spaced: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _alone(self, known: dict[str, bytes], new: list[str], before: str) -> None:
+        made = self.tokenizer.encode_batch_fast([before + x for x in new], add_special_tokens=False)
+        known.update((x, np.array(e.ids, self.kind).tobytes()) for x, e in zip(new, made))
+
+    def _together(self, new: list[str]) -> None:
+        """Encode stretches that hold no space as one text."""
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(part):  # a stretch with a token of its own that begins so
+                self._alone(self.spaced, part, " ")
+                continue
+            cuts = (np.append(at, len(ids)) * self.kind.itemsize).tolist()
+            data = ids.tobytes()
+            self.spaced.update(zip(part, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+
+    def _look_up(self, need: set[str]) -> None:
+        """Make ``spaced`` hold all of ``need``. Half the memory is a younger
+        generation; once that is full it becomes the older one, of which what
+        is met again comes back."""
+        if len(self.spaced) + len(need) > self.spec.memory // 2:
+            self.older, self.spaced = self.spaced, {}
+        new, older = [x for x in need if x not in self.spaced], self.older
+        found = {x: older[x] for x in new if x in older}
+        self.spaced.update(found)
+        new = [x for x in new if x not in found]
+        self._alone(self.spaced, [x for x in new if " " in x], " ")
+        self._together([x for x in new if " " not in x])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids (little-endian uint32) of each text, the end id included."""
-        end = struct.pack("<I", self.spec.end_id)
+        """Ids (little-endian, 16 bits if ``narrow``) of each text, the end id
+        included."""
+        end = np.array([self.spec.end_id], self.kind).tobytes()
         out = []
-        for lo in range(0, len(texts), 64):  # stretches of so many texts are looked up together
-            parts = [_GAP.split(t) if t else [""] for t in texts[lo : lo + 64]]
-            firsts, laters = {p[0] for p in parts}, {x for p in parts for x in p[1:]}
-            self._learn(self.first, [x for x in firsts if x not in self.first], "")
-            first = {x: self.first[x] for x in firsts} if len(self.first) >= len(firsts) else self.first
-            new = [x for x in laters if x not in self.later]
-            if len(self.later) + len(new) > self.spec.memory:
-                new = list(laters)
-            self._learn(self.later, new, " ")
-            later = self.later.__getitem__
-            out += [b"".join([first[p[0]], *map(later, p[1:]), end]) for p in parts]
+        for lo in range(0, len(texts), 256):  # so many texts are looked up together
+            parts = [stretches(t) for t in texts[lo : lo + 256]]
+            first = {p[0] for p in parts}.difference(self.first)
+            if len(self.first) > self.spec.memory // 10:
+                self.first, first = {}, {p[0] for p in parts}
+            self._alone(self.first, list(first), "")
+            self._look_up(set().union(*[p[1:] for p in parts]))
+            known, spaced = self.first, self.spaced.__getitem__
+            out += [b"".join([known[p[0]], *map(spaced, p[1:]), end]) for p in parts]
         return out
 
 
@@ -147,10 +189,9 @@ def write(docs: DataFrame, folder: str, spec: Tokens, text: str = "text", doc_id
         for b in batches:
             ids = e.encode(b["text"].tolist())
             keys = [None if pd.isna(k) else int(k) for k in b["doc_id"]]
-            yield pd.DataFrame({"record": [record(k, x)[:-1] for k, x in zip(keys, ids)]})
+            yield pd.DataFrame({"record": [record(k, x, e.narrow)[:-1] for k, x in zip(keys, ids)]})
 
-    order = ["doc_id", F.xxhash64("text")]
-    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     # The text writer ends each value with a line feed and changes no byte of it.
     dealt.mapInPandas(frames, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
 
@@ -171,8 +212,8 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
                 view = memoryview(content)
                 while at < len(view):
                     key, ids, end = parse(view, at)
-                    rows.append((number, at, end - at, key, len(ids) // 4, before, zlib.crc32(ids)))
-                    at, before = end, before + len(ids) // 4
+                    rows.append((number, at, end - at, key, len(ids), before, zlib.crc32(ids.tobytes())))
+                    at, before = end, before + len(ids)
                 made = pd.DataFrame(rows, columns=["file", "offset", "length", "doc_id", "n_tokens", "before", "ids_crc32"])
                 yield made.astype({"doc_id": "Int64"})
 
@@ -190,7 +231,7 @@ def read_at(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
             for number, content, offsets in zip(b["file"], b["content"], b["offsets"]):
                 found = [(number, int(at), *parse(memoryview(content), int(at))[:2]) for at in offsets]
                 made = pd.DataFrame(found, columns=["file", "offset", "doc_id", "ids"]).astype({"doc_id": "Int64"})
-                yield made.assign(ids=[np.frombuffer(x, "<u4").astype(np.int64) for x in made["ids"]])
+                yield made.assign(ids=[x.astype(np.int64) for x in made["ids"]])
 
     return files(spark, folder).join(wanted, "file").mapInPandas(run, "file int, offset long, doc_id long, ids array<long>")
 
