@@ -42,7 +42,8 @@ from pyspark.sql.types import LongType
 from hrlens.llm.common import pack, small_batches, stored, unpack
 
 SPACE = "▁"
-CHUNK = 16_384
+CHUNK = 65_536
+MEMORY = 400_000  # stretches in each generation of a worker's memory
 RUN = 256
 NONE = -np.inf
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -65,7 +66,20 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.known_pairs: dict[tuple[str, str], bool] = {}
-        self.known_units: dict[str, bytes] = {}
+        # Two generations each: once the younger is full it becomes the older.
+        self.units: dict[str, bytes] = {}
+        self.older_units: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
+        # A piece's text; bytes below 128 are characters, others need their neighbours.
+        self.texts = np.array(self.names, object)
+        for i in self.control:
+            self.texts[i] = ""
+        for b, i in self.bytes.items():
+            self.texts[i] = chr(b)
+        self.split_byte = np.zeros(size, bool)
+        self.split_byte[[i for b, i in self.bytes.items() if b >= 128]] = True
+        self.byte_of = {i: b for b, i in self.bytes.items()}
 
     def merged(self, s: str) -> list[str]:
         """The model's merges on a short string."""
@@ -125,42 +139,52 @@ class Pieces:
             e -= len(last[e])
         return out[::-1]
 
+    def part(self, s: str) -> bytes:
+        """Ids (little-endian int32) of a stretch without sure boundaries."""
+        known = self.parts.get(s) or self.older_parts.get(s)
+        if known is None:
+            known = np.array([i for p in self.path(s) for i in self.ids_of(p)], "<i4").tobytes()
+        if len(s) <= 64:
+            if len(self.parts) >= MEMORY:
+                self.older_parts, self.parts = self.parts, {}
+            self.parts[s] = known
+        return known
+
     def unit(self, s: str) -> bytes:
-        """Ids (little-endian int32) of a stretch between sure boundaries."""
-        known = self.known_units.get(s)
+        """Ids of a stretch between sure boundaries."""
+        known = self.units.get(s) or self.older_units.get(s)
         if known is None:
-            cuts = [0] + [p for p in range(1, len(s)) if s[p - 1 : p + 1] not in self.inside] + [len(s)]
-            if len(cuts) > 2:
-                known = b"".join([self.unit(s[a:b]) for a, b in zip(cuts, cuts[1:])])
-            else:
-                known = np.array([i for p in self.path(s) for i in self.ids_of(p)], "<i4").tobytes()
-            if len(s) <= 64:
-                if len(self.known_units) > 1_000_000:
-                    self.known_units.clear()
-                self.known_units[s] = known
+            inside = self.inside
+            cuts = [0, *[p for p in range(1, len(s)) if s[p - 1 : p + 1] not in inside], len(s)]
+            known = self.part(s) if len(cuts) == 2 else b"".join([self.part(s[a:b]) for a, b in zip(cuts, cuts[1:])])
+        if len(s) <= 64:
+            if len(self.units) >= MEMORY:
+                self.older_units, self.units = self.units, {}
+            self.units[s] = known
         return known
 
     def whole(self, s: str) -> bytes:
         """Ids of a normalised stretch whose ends are sure boundaries."""
         parts = s.split(SPACE)
         if not parts[0] and "" not in parts[1:]:
-            known, unit = self.known_units, self.unit
-            return b"".join([known.get(k) or unit(k) for k in [SPACE + p for p in parts[1:]]])
+            unit = self.unit
+            return b"".join([self.units.get(k) or unit(k) for k in [SPACE + p for p in parts[1:]]])
         return b"".join(map(self.unit, _UNITS.findall(s)))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids stand for."""
+        if not self.split_byte[ids].any():
+            s = "".join(self.texts[ids].tolist()).replace(SPACE, " ")
+            return s[1:] if s.startswith(" ") else s
         out, held = [], bytearray()
-        names, byte = self.names, {i: b for b, i in self.bytes.items()}
         for i in ids.tolist():
-            if i in byte:
-                held.append(byte[i])
+            if i in self.byte_of:
+                held.append(self.byte_of[i])
                 continue
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            if i not in self.control:
-                out.append(names[i])
+            out.append(self.texts[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
         s = "".join(out).replace(SPACE, " ")
@@ -256,13 +280,14 @@ def trace(m: Pieces, s: str, state: tuple[int, int], to: tuple[int, int]) -> byt
     if state == to:
         return b""
     lo, hi = state[1], to[0]
-    # Sure boundaries split what lies between; the rest is traced piece by piece.
-    cuts = [p for p in range(max(lo, 1), hi + 1) if m.sure(s, p)] if hi > lo else []
+    # The first and last sure boundaries enclose what can be looked up; the rest is traced piece by piece.
+    a = next((p for p in range(max(lo, 1), hi + 1) if m.sure(s, p)), None) if hi > lo else None
     out, at, prev = [], lo, s[state[0] : state[1]]
-    if cuts:
-        out.append(_between(m, s, prev, at, cuts[0]))
-        out.append(m.whole(s[cuts[0] : cuts[-1]]) if cuts[-1] > cuts[0] else b"")
-        at, prev = cuts[-1], ""
+    if a is not None:
+        z = next(p for p in range(hi, a - 1, -1) if m.sure(s, p))
+        out.append(_between(m, s, prev, at, a))
+        out.append(m.whole(s[a:z]) if z > a else b"")
+        at, prev = z, ""
     out.append(_between(m, s, prev, at, to[0], s[to[0] : to[1]]))
     out.append(np.array(m.ids_of(s[to[0] : to[1]]), "<i4").tobytes())
     return b"".join(out)
