@@ -6,12 +6,15 @@ collapse to one node. Pairs of nodes with Jaccard similarity of at least
 
 * Light (small) sets enumerate subsets of a fixed size: for sizes a <= b the
   least overlap c of a linked pair is known, so both sides emit all their
-  c-subsets under the key (a, b, subset). Equal keys are links as they stand.
+  c-subsets under the key (a, b, subset). Linked sets share such a key; sets
+  of the larger size alone may share one too, so overlaps are still counted.
 * Heavy (large) sets are cut into k segments by hash. A linked pair differs in
   H elements at most, so of k = H + 2 segments two at least are equal; each
   segment's contents key an inverted list. The lists are scanned: members meet
   under the list's smallest node (its hub) once, however many lists they
-  share, in blocks of bounded size, and overlaps are counted exactly.
+  share, in blocks of bounded size. Parity sketches, which can only
+  underestimate how many elements differ, sort out members that can have no
+  link there; the sets of the others are compared exactly.
 * The boundary is the size at which the emitted subsets would outnumber what
   the inverted lists cost, summed over the corpus's own size histogram.
 
@@ -29,7 +32,7 @@ smallest known id, or null if there is none; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -37,7 +40,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hrlens.llm.common import SPACES, identity, pack, small_batches, stored, unpack
@@ -282,21 +285,51 @@ def heavy_entries(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
 # --- the join ---------------------------------------------------------------
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's elements by hash, in a power of two of bits, one
+    an element at least. An element that two sets do not share turns one bit,
+    so they differ in no fewer elements than their sketches in bits."""
+    bits = 64
+    while bits < len(s):
+        bits *= 2
+    odd = np.bincount((_mix(s) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(made: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the shortest one's bits."""
+    width = min(map(len, made)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in made])
+
+
+def _may_link(sizes: np.ndarray, blocks: np.ndarray, sketches: list[bytes], lo: int, hi: int, percent: int) -> np.ndarray:
+    """Which members of the blocks ``lo`` and ``hi`` may be linked with one of
+    the other."""
+    words, out = _folded(sketches), np.zeros(len(sizes), bool)
+    two = np.flatnonzero(blocks == hi)
+    for i in np.flatnonzero(blocks == lo):
+        differ = np.bitwise_count(words[two] ^ words[i]).sum(axis=1, dtype=np.int64)
+        able = (100 + percent) * differ <= (100 - percent) * (sizes[two] + sizes[i])
+        able &= two != i
+        out[two[able]] = True
+        out[i] |= able.any()
+    return out
+
+
 def with_node(docs: DataFrame, join: Join, text: str, carry: list[Column]) -> DataFrame:
-    """``carry``, node (null for the empty set), n_shingles."""
+    """``carry``, node (null for the empty set), n_shingles, sketch."""
 
-    @F.pandas_udf("node long, n_shingles long")
+    @F.pandas_udf("node long, n_shingles long, sketch binary")
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = shingle_sets(texts, join.n)
         nodes = pd.array([_node(s) if len(s) else None for s in sets], "Int64")
-        return pd.DataFrame({"node": nodes, "n_shingles": [len(s) for s in sets]})
+        return pd.DataFrame({"node": nodes, "n_shingles": [len(s) for s in sets], "sketch": [sketch(s) for s in sets]})
 
-    return docs.select(*carry, run(F.col(text)).alias("s")).select("*", "s.node", "s.n_shingles").drop("s")
+    return docs.select(*carry, run(F.col(text)).alias("s")).select("*", "s.node", "s.n_shingles", "s.sketch").drop("s")
 
 
 def keyed(docs: DataFrame, join: Join, light: int, text: str) -> DataFrame:
-    """key, node, exact: the entries of every set. ``exact`` keys are shared by
-    linked sets only."""
+    """key, node: the entries of every set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()
@@ -312,17 +345,14 @@ def keyed(docs: DataFrame, join: Join, light: int, text: str) -> DataFrame:
             small = [(node, light_entries(s, join.percent)) for node, s in fresh.items() if len(s) <= light]
             keys = [np.array([k for _, made in small for k in made], np.uint64)]
             nodes = [np.repeat(np.array([n for n, _ in small], np.int64), [len(made) for _, made in small])]
-            exact = [np.ones(len(keys[0]), bool)]
             large = {node: s for node, s in fresh.items() if len(s) > heavy_from}
             if large:
                 made, which = heavy_entries(list(large.values()), join.percent)
                 keys.append(made)
                 nodes.append(np.array(list(large), np.int64)[which])
-                exact.append(np.zeros(len(made), bool))
-            out = {"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "exact": np.concatenate(exact)}
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes)})
 
-    return docs.select(F.col(text).alias("text")).mapInPandas(run, "key long, node long, exact boolean")
+    return docs.select(F.col(text).alias("text")).mapInPandas(run, "key long, node long")
 
 
 def _linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -379,31 +409,57 @@ def _edges(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], lo: in
     return _forest(nodes, ((one[i], two[j]) for i, j in np.argwhere(hit)))
 
 
-def verified(members: DataFrame, join: Join) -> DataFrame:
-    """a, b: edges of a spanning forest for each (hub, lo, hi) pair of blocks.
-    The rows of a pair come together, sorted; one pair is held at a time."""
+def _by_pair(members: DataFrame, values: list[str], made: Callable, shape: str) -> DataFrame:
+    """``made(key, rows)`` of the rows of each pair of blocks (hub, lo, hi):
+    they come together, sorted, and one pair is held at a time."""
+    names = [x.split()[0] for x in shape.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, made = None, [], []
-
-        def flush() -> None:
-            if key is not None and len(held) > 1:
-                sets = [np.asarray(x[1], np.int64).view(np.uint64) for x in held]
-                made.extend(_edges(np.array([x[0] for x in held]), np.array([x[2] for x in held]), sets, key[1], key[2], join.percent))
-
+        key, held, out = None, [], []
         for b in batches:
-            for hub, lo, hi, node, shingles, block in zip(b["hub"], b["lo"], b["hi"], b["node"], b["shingles"], b["block"]):
+            for hub, lo, hi, *row in zip(b["hub"], b["lo"], b["hi"], *[b[v] for v in values]):
                 if key != (hub, lo, hi):
-                    flush()
+                    out += made(key, held) if len(held) > 1 else []
                     key, held = (hub, lo, hi), []
-                held.append((node, shingles, block))
-            yield pd.DataFrame(made, columns=["a", "b"], dtype="int64")
-            made.clear()
-        flush()
-        yield pd.DataFrame(made, columns=["a", "b"], dtype="int64")
+                held.append(row)
+            yield pd.DataFrame(out, columns=names, dtype="int64")
+            out = []
+        out += made(key, held) if len(held) > 1 else []
+        yield pd.DataFrame(out, columns=names, dtype="int64")
 
     pairs = members.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi")
-    return pairs.select("hub", "lo", "hi", "node", "shingles", "block").mapInPandas(run, "a long, b long")
+    return pairs.select("hub", "lo", "hi", *values).mapInPandas(run, shape)
+
+
+def able(members: DataFrame, join: Join) -> DataFrame:
+    """hub, node: members that may be linked with another of their hub."""
+
+    def made(key: tuple, rows: list) -> list[tuple[int, int]]:
+        node, block, size, sketches = zip(*rows)
+        may = _may_link(np.array(size), np.array(block), list(sketches), key[1], key[2], join.percent)
+        return [(key[0], node[i]) for i in np.flatnonzero(may)]
+
+    return _by_pair(members, ["node", "block", "n", "sketch"], made, "hub long, node long").distinct()
+
+
+def verified(members: DataFrame, join: Join) -> DataFrame:
+    """a, b: edges of a spanning forest for each pair of blocks."""
+
+    def made(key: tuple, rows: list) -> list[tuple[int, int]]:
+        node, block, shingles = zip(*rows)
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in shingles]
+        return _edges(np.array(node), np.array(block), sets, key[1], key[2], join.percent)
+
+    return _by_pair(members, ["node", "block", "shingles"], made, "a long, b long")
+
+
+def in_blocks(near: DataFrame, needed: Column) -> DataFrame:
+    """``near`` (hub, node, ...) with each hub's members dealt over ``needed``
+    blocks: a row for every pair (lo, hi) of blocks that its ``block`` is of."""
+    counts = near.groupBy("hub").agg(needed.alias("blocks"))
+    near = near.join(counts, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return near.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -440,22 +496,21 @@ def components_of(docs: DataFrame, join: Join, text: str, doc_id: str, carry: li
     histogram = {r[0]: r[1] for r in sizes.where(F.col("n_shingles") <= 2 * join.max_light).collect()}
     light = boundary(histogram, join)
 
-    entries = keyed(docs, join, light, text)
-    lists = entries.groupBy("key", "exact").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    lists = stored(lists.select("key", "exact", "hub"), "lists")
-    members = stored(entries.join(lists, ["key", "exact"]).select("exact", "hub", "node").distinct(), "members")
-    exact = members.where("exact and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    # Each list is read once, sorted by key: its smallest node, and whether there is another.
+    of_list = Window.partitionBy("key")
+    lists = keyed(docs, join, light, text).select("key", "node", F.min("node").over(of_list).alias("hub"), F.max("node").over(of_list).alias("last"))
+    near = stored(lists.where("hub < last").select("hub", "node").distinct(), "members")
 
     # Members of each hub in blocks, and the pairs of blocks that a task compares.
-    near = members.where("not exact").select("hub", "node")
-    chosen = rows.join(near.select("node").distinct(), "node", "left_semi")
-    chosen = stored(chosen.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")), "chosen")
-    needed = F.greatest(F.ceil(F.count("*") / join.block), F.ceil(F.sum("n") / join.block_shingles))
-    counts = near.join(chosen, "node").groupBy("hub").agg(needed.alias("blocks"))
-    near = near.join(counts, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    near = near.select("hub", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    edges = exact.union(verified(near.join(shingles_of(docs, chosen, join, text, doc_id), "node"), join))
+    met = rows.join(near.select("node").distinct(), "node", "left_semi")
+    met = met.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    met = stored(met, "met")
+    by_count = F.ceil(F.count("*") / join.block)
+    near = stored(able(in_blocks(near, by_count).join(met.drop("id"), "node"), join), "able")
+    chosen = stored(met.join(near.select("node").distinct(), "node", "left_semi").select("node", "id", "n"), "chosen")
+    near = near.join(chosen.select("node", "n"), "node")
+    pairs = in_blocks(near, F.greatest(by_count, F.ceil(F.sum("n") / join.block_shingles))).select("hub", "node", "block", "lo", "hi")
+    edges = verified(pairs.join(shingles_of(docs, chosen, join, text, doc_id), "node"), join)
     labels = components(edges)
     nodes = rows.where("node is not null").select("node").distinct().join(labels, "node", "left")
     return rows, nodes.select("node", F.coalesce("label", "node").alias("label"))
@@ -468,7 +523,7 @@ def join_components(docs: DataFrame, join: Join = Join(), text: str = "text", do
     least = stored(least.join(nodes, "node"), "least")
     found = least.join(least.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("node", "component_id")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(found, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.drop("sketch").join(found, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, join: Join = Join(5, 80), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
