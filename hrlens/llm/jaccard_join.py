@@ -508,6 +508,9 @@ def components_of(docs: DataFrame, join: Join, text: str, doc_id: str, carry: li
     by_count = F.ceil(F.count("*") / join.block)
     near = stored(able(in_blocks(near, by_count).join(met.drop("id"), "node"), join), "able")
     chosen = stored(met.join(near.select("node").distinct(), "node", "left_semi").select("node", "id", "n"), "chosen")
+    # Hubs that share members become one, so that a set is sent once.
+    groups = components(near.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    near = groups.select(F.col("label").alias("hub"), "node")
     near = near.join(chosen.select("node", "n"), "node")
     pairs = in_blocks(near, F.greatest(by_count, F.ceil(F.sum("n") / join.block_shingles))).select("hub", "node", "block", "lo", "hi")
     edges = verified(pairs.join(shingles_of(docs, chosen, join, text, doc_id), "node"), join)

@@ -1,0 +1,278 @@
+"""The training-data operators against brute force, round trips and held-out
+labels, with nulls, empty and long texts, repeated rows, empty tables and
+columns of clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from hrlens.llm import ball_tree, cube_mix, divergence, html_density, jaccard_join, secret_entropy, spm_scan, token_records, warc, zstd_quality
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, _t string, body string, h1 long"
+LONG = "the quick brown fox and the lazy dog of it " * 4000
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, blank, long and repeated rows, with clashing names."""
+    rows = [
+        (1, None, None, None, "x", "y", 1),
+        (2, "", "en", "a", "x", "y", 1),
+        (3, " \n ", "en", "b", "x", "y", 1),
+        (4, LONG, "en", "a", "x", "y", 1),
+        (4, LONG, "en", "a", "x", "y", 1),
+        (None, "one two three four five six", "xx", None, None, None, None),
+        (7, "one two three four five six", "en", "c", None, None, None),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def documents(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def shingles(text, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, n, percent):
+    sets = {d: shingles(t, n) for d, t in rows}
+    up = {d: d for d in sets}
+
+    def top(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and percent * max(len(x), len(y)) <= 100 * min(len(x), len(y)):
+                o = len(x & y)
+                if 100 * o >= percent * (len(x) + len(y) - o):
+                    lo, hi = sorted((top(a), top(b)))
+                    up[hi] = lo
+    return {d: top(d) for d in ids}, sets
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_jaccard_components(spark, sf001, n, percent):
+    random.seed(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(r[0], r[1]) for r in documents(spark, sf001).select("doc_id", "text").collect()]
+    for i in range(150):  # short texts with one word more, less or other
+        base = words[i % 7 : i % 7 + random.randint(3, 30)]
+        k = random.randrange(len(base))
+        rows.append((10_000 + i, " ".join(random.choice([base, base[:k] + base[k + 1 :], [*base, "z"], [*base[:k], "q", *base[k:]]]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, sets = brute_components(rows, n, percent)
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard_join.join_components(docs, jaccard_join.Join(n, percent, block=8)).collect()}
+    assert got == {d: (want[d], len(sets[d])) for d in want}
+
+
+def test_jaccard_odd_rows(odd, none):
+    got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard_join.join_components(odd).collect())
+    assert ("None", 4, "7") in got and ("7", 4, "7") in got and ("1", 0, "1") in got and ("3", 0, "3") in got
+    assert jaccard_join.join_components(none).count() == 0
+    kept = jaccard_join.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "7"]
+
+
+def test_word_hashes_over_blocks(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    jaccard_join._powers.cache_clear()
+    text = b"ab  cde\tf " + b"x" * 100 + b"\n yz"
+    hashes, starts = jaccard_join.word_hashes(text)
+    found = list(re.finditer(rb"[^\x20\x09-\x0d]+", text))
+    assert starts.tolist() == [m.start() for m in found]
+    assert hashes.tolist() == [int(jaccard_join.word_hashes(m[0])[0][0]) for m in found]
+    jaccard_join._powers.cache_clear()
+
+
+def brute_spans(t):
+    t = t or ""
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    base = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 8]
+    base += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    base += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+    more = []
+    for k, c in enumerate(secret_entropy.CLASSES):
+        for m in re.finditer(f"[{c.chars}]+", t):
+            if len(m[0]) < c.window or any(re.search(p, m[0]) for p in secret_entropy.ALLOW):
+                continue
+            x = m[0].lower() if c.fold else m[0]
+            windows = [x[i : i + c.window] for i in range(len(x) - c.window + 1)]
+            high = [i for i, w in enumerate(windows) if sum(secret_entropy.weight(w.count(z)) for z in set(w)) <= c.most]
+            if high:
+                lo, hi = m.start() + high[0], m.start() + high[-1] + c.window
+                if not any(b[0] < hi and lo < b[2] for b in base):
+                    more.append((lo, 3 + k, hi, c.kind))
+    return ",".join(f"{a[3]}:{a[0]}:{a[2]}" for a in sorted(base + more))
+
+
+def test_secret_spans(spark, odd, none):
+    random.seed(3)
+    parts = ["token", "SECRET", "api_key", "password: ", "AKIA", "é", "𝄞", " ", "\n", "=", ":", '"', "deadbeef", "0123456789abcdef", "aB3xY9Zq"]
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = ["".join(random.choice([*parts, "".join(random.choices(chars, k=40))]) for _ in range(random.randint(0, 30))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in secret_entropy.scan(docs).select("doc_id", secret_entropy.listed(F.col("_spans"))).collect()}
+    assert got == {i: brute_spans(t) for i, t in enumerate(texts)}
+    assert any("entropy" in x for x in got.values())
+    assert [r["text"] for r in secret_entropy.redact(odd).collect()] == [r["text"] for r in odd.collect()]
+    assert secret_entropy.redact(odd).columns == odd.columns and secret_entropy.scan(none).count() == 0
+    one = spark.createDataFrame([(1, 'a token = "abcdefgh1" b')], "doc_id long, text string")
+    assert secret_entropy.redact(one).first()["text"] == 'a [SECRET]" b'
+
+
+def test_quality_rules(spark, sf01, odd, none):
+    judged = divergence.judge(documents(spark, sf01), carry=["doc_id"]).select("doc_id", "_quality.*")
+    rows = judged.join(spark.read.parquet(f"{sf01}/labels.parquet"), "doc_id").collect()
+    good = [r["kept"] for r in rows if r["quality"] == 1 and not r["base_failed"]]
+    bad = [r["kept"] for r in rows if r["quality"] == 0]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.3 * len(bad)
+    assert divergence.keep(odd).columns == odd.columns and divergence.keep(none).count() == 0
+    failed = {str(r["doc_id"]): r["_quality"]["base_failed"] for r in divergence.judge(odd).collect()}
+    assert failed["1"] and failed["2"] and failed["4"]
+
+
+def test_mix(spark, sf01, odd, none):
+    mix = cube_mix.Mix(block=50)
+    rows = cube_mix.taken(documents(spark, sf01), mix, carry=["doc_id", "source"]).select("doc_id", "source", "_mix.*").toPandas()
+    by = rows.groupby("source").agg(size=("size", "sum"), of=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
+    assert (by["size"] == by["of"]).all() and (rows["taken"] <= 2 * rows["size"]).all()
+    assert abs(by["target"].sum() - 1.5 * by["size"].sum()) < 1e-6 * by["size"].sum()
+    # The landing settles two documents at most: their words are all that a source can be off by.
+    assert ((by["taken"] - by["target"]).abs() <= by["most"]).all()
+    again = cube_mix.taken(documents(spark, sf01).repartition(7), mix, carry=["doc_id"]).select("doc_id", "_mix.taken").toPandas()
+    assert dict(zip(rows["doc_id"], rows["taken"])) == dict(zip(again["doc_id"], again["taken"]))
+    assert cube_mix.taken(odd).count() == 7 and cube_mix.taken(none).count() == 0
+    assert cube_mix.mixed(odd).columns == odd.columns
+
+
+def test_sentencepiece(spark, odd, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    random.seed(5)
+    parts = ["the", " ", "  ", "aaaa", "ing", "\n", "é", "𝄞", "日本語", "12", "...", "ab", "\t", "==", "\x00", "안녕"]
+    texts = ["".join(random.choice(parts if k % 3 else [p for p in parts if p.strip(" ")]) for _ in range(random.randint(0, 300))) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = spm_scan.encode(docs, PIECES, chunk=40).withColumn("back", spm_scan.decoded(PIECES)("_ids"))
+    assert {r["doc_id"]: list(r["_ids"]) for r in out.collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+    assert all(r["back"] == r["text"] for r in out.collect())
+    assert {str(r["doc_id"]): len(r["_ids"]) for r in spm_scan.encode(odd, PIECES, chunk=5000).collect()}["4"] == len(sp.encode(LONG))
+    assert spm_scan.encode(none, PIECES).count() == 0
+
+
+def test_token_records(spark, odd, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    spec = token_records.Tokens(BYTE_BPE, file_chars=60_000)
+    rows = token_records.write_and_index(odd, spec, folder=str(tmp_path / "a")).orderBy("start").collect()
+    tok = Tokenizer.from_file(BYTE_BPE)
+    docs = sorted(odd.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0))
+    ids = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for _, t in docs]
+    assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows] == [(d, len(x), zlib.crc32(x.tobytes())) for (d, _), x in zip(docs, ids)]
+    assert [r["start"] for r in rows] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    some = spark.createDataFrame([(r["file"], r["offset"]) for r in rows[::2]], "file int, offset long")
+    read = token_records.read_at(spark, str(tmp_path / "a" / "records"), some).collect()
+    assert sorted(map(len, (r["ids"] for r in read))) == sorted(len(x) for x in ids[::2])
+    assert token_records.write_and_index(none, spec, folder=str(tmp_path / "b")).count() == 0
+    data = bytearray(token_records.record(1, b"\x01\x00", True))
+    data[20] ^= 1
+    with pytest.raises(ValueError):
+        token_records.parse(bytes(data))
+
+
+def test_warc(spark, tmp_path):
+    big = "<p>é" + "x" * 5000
+    rows = [(1, "u", big), (2, "u", big), (3, "u", big), (4, None, None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", big), (3, "u", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archive(pages, warc.Archive(segment=700, chunk=90), str(tmp_path / "w")).collect()
+    sha = lambda x: hashlib.sha1((x or "").encode()).hexdigest()
+    want = [(i, len((h or "").encode()), sha(h), "revisit" if h == big and i != 3 else "response", 3 if h == big and i != 3 else None) for i, _, h in rows]
+    key = lambda x: (str(x[0]), x[3])
+    assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], key=key) == sorted(want, key=key)
+    assert {bytes(r["payload"]).decode() for r in got if r["page_id"] == 3} == {big}
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archive(empty, folder=str(tmp_path / "e")).count() == 0
+
+
+def test_html(spark):
+    page = (
+        "<html><head><title>t</title><script>var a='<p>';</script></head><body><nav><a href=1>Home</a></nav><div class='ad'>Buy</div>"
+        "<article><h1>Title &amp; more</h1><p><b>First\n sentence.<br><p>Second&nbsp;one <a href=q>link</a>.</p></article>"
+        "<div class=comments><p>A reader's comment, longer than the article, with many words in it.</div><footer>f</footer></body>"
+    )
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "<div>" * 3000 + "deep")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_density.extract(pages).collect()}
+    assert got == {1: "Title & more\nFirst sentence.\nSecond one link.", 2: "", 3: "", 4: "deep"}
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 8))
+    x[50:90] = x[50]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (950, [1.0, None]), (1000, [float("nan")] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ball_tree.top_k(vectors, F.col("vec_id") % 50 == 0, ball_tree.Search(shard_rows=70, block=3, leaf=8)).collect()
+    v = np.floor(x * 256)
+    want = set()
+    for q in range(0, 400, 50):
+        s = v @ v[q]
+        best = sorted((-s[i], i) for i in range(400) if i != q)[:5]
+        want |= {(q, r, i, int(-m)) for r, (m, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want
+    assert ball_tree.top_k(vectors.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_quality_classifier(spark, sf01, odd, none):
+    docs, labels = documents(spark, sf01), spark.read.parquet(f"{sf01}/labels.parquet")
+    model = zstd_quality.train(docs, labels)
+    rows = zstd_quality.score(docs, model).join(labels, "doc_id").where(zstd_quality.held_out(F.col("doc_id"))).collect()
+    right = [(r["score"] >= 0.3) == (r["quality"] == 1) for r in rows]
+    assert sum(right) >= 0.9 * len(right)
+    scores = [r["score"] for r in zstd_quality.score(odd, model).collect()]
+    assert all(0 <= s <= 1 for s in scores) and zstd_quality.score(none, model).count() == 0
+    assert zstd_quality.train(docs, labels.where("quality = 1")) == 1.0 and zstd_quality.train(docs, labels.where("false")) == 0.5
+
+
+def test_pipeline(spark, sf001, tmp_path):
+    import sentencepiece
+
+    import corpus_pipeline
+
+    docs = documents(spark, sf001)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.stored(stage(spark, before, sf001), name)
+        assert docs.columns == names
+        if name == "near_duplicates":
+            rows = [(r["doc_id"], r["text"]) for r in before.collect()]
+            want, _ = brute_components(rows, 5, 80)
+            assert {r["doc_id"] for r in docs.collect()} == set(want.values())
+        if name == "secret_scan":
+            assert docs.where("text like '%token = \"%'").count() == 0 and docs.count() == before.count()
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf001)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = out.collect()
+    assert len(got) == docs.count() and all(list(r["ids"]) == sp.encode(texts[r["doc_id"]]) for r in got)
