@@ -37,7 +37,6 @@ def get_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -52,9 +51,7 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
     above 5x the median and the advisory size is split for joins).
     """
     wanted = -(-input_bytes // target_partition_bytes)
-    # Shuffles carry projected, partially aggregated rows, far less than the
-    # input; past ~100k partitions the per-partition bookkeeping dominates.
-    partitions = min(max(2 * total_cores, wanted), 100_000)
+    partitions = max(2 * total_cores, wanted)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
@@ -70,8 +67,9 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) is a private folder created and set.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a
+    private folder is created on a local master; on a cluster that would be a
+    folder which the executors do not share, so it is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -81,6 +79,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="hrlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

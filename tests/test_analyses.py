@@ -138,5 +138,5 @@ def test_scale_conf_sizes_partitions():
     small = scale_conf(10 << 30, total_cores=64)
     assert int(small["spark.sql.shuffle.partitions"]) == 128  # floor of 2x cores
     big = scale_conf(100 << 40, total_cores=8000)
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000  # capped
+    assert int(big["spark.sql.shuffle.partitions"]) == 409_600  # 256 MB each, at any size
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
