@@ -54,13 +54,18 @@ def parse_currency(c: Column) -> Column:
     return digits.try_cast("bigint")
 
 
-def _finite_or_null(d: Column) -> Column:
-    return F.when(~F.isnan(d), d)
+# What pandas.to_numeric reads; Java's own parser also takes 12d, 85f and 0x1p3.
+NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+
+
+def _number_text(c: Column) -> Column:
+    t = strip(c)
+    return F.when(t.rlike(NUMBER), t)
 
 
 def to_number(c: Column) -> Column:
     """Numeric text -> DOUBLE; unparsable and NaN text -> NULL."""
-    return _finite_or_null(strip(c).try_cast("double"))
+    return _number_text(c).try_cast("double")
 
 
 def parse_percent(c: Column) -> Column:
@@ -73,8 +78,8 @@ def to_int(c: Column) -> Column:
     (how a nullable integer column is written after passing through floats).
     Fractional values (``12.5``) and junk -> NULL. Plain digit strings take an
     exact path, so ids beyond 2^53 survive."""
-    t = strip(c)
+    t = _number_text(c)
     exact = t.try_cast("bigint")
-    d = to_number(c)
+    d = t.try_cast("double")
     via_double = F.when(d == F.floor(d), d.try_cast("bigint"))
     return F.coalesce(exact, via_double)
