@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEC = "decimal(38,0)"
+UNITS = 6  # decimals a measure may carry: scores, weights, achievements, bands
 
 
 def idiv(a: Column, b: Column) -> Column:
@@ -27,6 +28,17 @@ def as_int(c: Column, digits: int = 0) -> Column:
     return F.round(c * (10**digits)).cast("bigint")
 
 
+def exact_units(c: Column, digits: int = UNITS) -> Column:
+    """``c`` times 10^digits as an exact integer, for measures that are summed.
+
+    A value with more decimals than that raises an error: no input is ever
+    rounded."""
+    scaled = F.rint(c * 10**digits).cast("bigint") if digits else c.cast("bigint")
+    same = c == (scaled / 10**digits if digits else scaled)
+    message = F.concat(F.lit(f"more than {digits} decimals: "), c.cast("string"))
+    return F.when(c.isNull() | same, scaled).otherwise(F.raise_error(message).cast("bigint"))
+
+
 def half_up_int(num: Column, den: Column, digits: int = 0) -> Column:
     """round(num / den * 10^digits) half away from zero, as a BIGINT.
 
@@ -52,14 +64,13 @@ def pct(hits: Column, total: Column, digits: int = 2) -> Column:
     return half_up_ratio(hits.cast(DEC) * 100, total, digits)
 
 
-def avg_rounded(c: Column, digits: int, input_digits: int = 0) -> Column:
+def avg_rounded(c: Column, digits: int, input_digits: int = UNITS) -> Column:
     """Aggregate: round(avg(c), digits) exactly.
 
-    ``input_digits`` is the number of decimals the values carry (0 for IDR
-    amounts, 1 for 1.0-5.0 scores); values are summed as exact BIGINTs (a
-    long add per row; an overflow raises under ANSI instead of wrapping) and
-    only the per-group result uses 38-digit decimals.
+    ``input_digits`` is the number of decimals the values may carry (0 for IDR
+    amounts); they are summed as 38-digit decimals in those units and only the
+    result is rounded.
     """
-    s = F.sum(as_int(c, input_digits))
-    n = F.count(c) * (10**input_digits)
+    s = F.sum(exact_units(c, input_digits).cast(DEC))
+    n = F.count(c).cast(DEC) * (10**input_digits)
     return half_up_ratio(s, n, digits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrlens.functions.numeric import DEC, as_int, half_up_int, half_up_ratio
+from hrlens.functions.numeric import DEC, UNITS, exact_units, half_up_int, half_up_ratio
 from hrlens.schemas import EQUAL
 
 MICRO = 6  # per-entity weighted means are kept as exact integers in 1e-6 units
@@ -17,29 +17,27 @@ def weighted_mean_micro(
     value: str,
     weight: str,
     out: str = "weighted_mean_micro",
-    input_digits: int = 2,
+    input_digits: int = UNITS,
 ) -> DataFrame:
     """Per group: coalesce(sum(value*weight) / nullif(sum(weight), 0), 0),
     held as an exact integer in 10^-6 units.
 
     A NULL weight drops the row from both sums; a NULL value only from the
-    numerator; all-NULL or zero weights give 0. Values and weights carrying
-    up to ``input_digits`` decimals are summed as exact integers, so the
+    numerator; all-NULL or zero weights give 0. Values and weights of up to
+    ``input_digits`` decimals (more raise an error) are summed exactly, so the
     result does not depend on row order. A group holding a third of all rows
     is still combined map-side (partial aggregation)."""
-    # Row values are exact BIGINTs (long arithmetic per row); only the
-    # per-group division uses 38-digit decimals.
-    v = as_int(F.col(value), input_digits)
-    w = as_int(F.col(weight), input_digits)
+    v = exact_units(F.col(value), input_digits).cast("decimal(18,0)")
+    w = exact_units(F.col(weight), input_digits).cast("decimal(18,0)")
     num = F.sum(v * w)
-    den = F.sum(w).cast(DEC) * (10**input_digits)
+    den = F.sum(w.cast(DEC)) * (10**input_digits)
     mean = F.coalesce(half_up_int(num, den, MICRO), F.lit(0).cast("bigint"))
     return df.groupBy(*by).agg(mean.alias(out))
 
 
 def mean_of_micro(c: Column, digits: int = 2) -> Column:
     """Aggregate: round(avg(c / 10^6), digits) for a micro-unit integer column."""
-    return half_up_ratio(F.sum(c), F.count(c) * (10**MICRO), digits)
+    return half_up_ratio(F.sum(c.cast(DEC)), F.count(c) * (10**MICRO), digits)
 
 
 def two_group_gap(
@@ -63,8 +61,9 @@ def two_group_gap(
     missing one side has direction ``Equal`` and percentage 0."""
     g = F.col(group_col)
     x = F.col(value).cast("bigint")
-    sa, na = F.sum(F.when(g == a, x)), F.count(F.when(g == a, x))
-    sb, nb = F.sum(F.when(g == b, x)), F.count(F.when(g == b, x))
+    d = x.cast(DEC)
+    sa, na = F.sum(F.when(g == a, d)), F.count(F.when(g == a, x))
+    sb, nb = F.sum(F.when(g == b, d)), F.count(F.when(g == b, x))
     stats = df.where(g.isin(a, b)).groupBy(*by).agg(
         sa.alias("_sa"), na.alias("_na"), sb.alias("_sb"), nb.alias("_nb")
     )
@@ -104,14 +103,14 @@ def two_group_gap(
     )
 
 
-def mean_sd_band(c: Column, digits: int = 2, input_digits: int = 1) -> list[Column]:
+def mean_sd_band(c: Column, digits: int = 2, input_digits: int = UNITS) -> list[Column]:
     """Aggregates: rounded mean, rounded sample stddev and mean -/+ stddev
     (from the unrounded values).
 
     Sums run on exact integers; the variance is one exact rational turned
     into a double once, so the result does not depend on partial-sum order.
     One row gives NULL stddev and bounds."""
-    xi = as_int(c, input_digits)
+    xi = exact_units(c, input_digits).cast("decimal(18,0)")
     s = F.sum(xi).cast(DEC)
     q = F.sum(xi * xi).cast(DEC)
     n = F.count(c).cast(DEC)

@@ -63,7 +63,7 @@ def clean_departments(raw: DataFrame, casing: str | None = None, keep: tuple = (
         to_int(F.col("dept_id")).alias("dept_id"),
         name.alias("dept_name"),
         F.col("division"),
-        to_int(F.col("salary_band_mid")).alias("salary_band_mid"),
+        to_number(F.col("salary_band_mid")).alias("salary_band_mid"),
         *keep,
     )
 

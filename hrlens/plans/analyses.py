@@ -74,7 +74,7 @@ def avg_salary_by_level(t: HRTables) -> DataFrame:
     return (
         t.employees.where(ACTIVE())
         .groupBy("job_level")
-        .agg(avg_rounded(F.col("monthly_salary_idr"), 0).alias("average_salary"))
+        .agg(avg_rounded(F.col("monthly_salary_idr"), 0, input_digits=0).alias("average_salary"))
     )
 
 
@@ -119,7 +119,7 @@ def attrition_vs_satisfaction(t: HRTables) -> DataFrame:
         .groupBy("dept_name")
         .agg(
             *rate_aggs(RESIGNED()),
-            avg_rounded(F.col("satisfaction_score"), 2, input_digits=2).alias(
+            avg_rounded(F.col("satisfaction_score"), 2).alias(
                 "avg_satisfaction"
             ),
         )
@@ -137,7 +137,7 @@ def attrition_by_tenure(t: HRTables, snapshot: _dt.date = SNAPSHOT) -> DataFrame
         .groupBy("dept_name", "tenure_bucket")
         .agg(
             *rate_aggs(RESIGNED()),
-            avg_rounded(F.col("satisfaction_score"), 2, input_digits=2).alias(
+            avg_rounded(F.col("satisfaction_score"), 2).alias(
                 "avg_satisfaction"
             ),
         )
@@ -181,7 +181,7 @@ def review_trend(t: HRTables) -> DataFrame:
     (bounds from the unrounded values)."""
     return (
         t.performance_reviews.groupBy("review_period")
-        .agg(*mean_sd_band(F.col("review_score"), 2, input_digits=2))
+        .agg(*mean_sd_band(F.col("review_score"), 2))
         .select(
             "review_period",
             F.col("avg").alias("avg_review_score"),

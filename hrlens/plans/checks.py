@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrlens.functions.numeric import avg_rounded, pct
+from hrlens.functions.numeric import DEC, avg_rounded, half_up_ratio, pct
 from hrlens.functions.parse import is_ambiguous_date, parse_date_multi
 from hrlens.operators import profiling as P
 from hrlens.operators import quality as V
@@ -49,8 +49,8 @@ def a13_sanity_stats(t: HRTables) -> DataFrame:
     return e.agg(
         n.alias("employees"),
         pct(F.count_if(F.col("status") != "Active"), n, 2).alias("attrition_pct"),
-        avg_rounded(F.col("monthly_salary_idr") / 1_000_000, 1, input_digits=6).alias("avg_salary_m"),
-        avg_rounded(F.col("satisfaction_score"), 2, input_digits=2).alias("avg_satisfaction"),
+        half_up_ratio(F.sum(F.col("monthly_salary_idr").cast(DEC)), F.count("monthly_salary_idr") * 1_000_000, 1).alias("avg_salary_m"),
+        avg_rounded(F.col("satisfaction_score"), 2).alias("avg_satisfaction"),
         pct(F.count_if(F.col("manager_id").isNotNull()), n, 1).alias("with_manager_pct"),
     )
 

@@ -8,7 +8,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hrlens.functions.numeric import DEC, as_int, half_up_int, half_up_ratio, pct
+from hrlens.functions.numeric import DEC, UNITS, as_int, exact_units, half_up_int, half_up_ratio, pct
 from hrlens.operators.aggregates import MICRO, mean_of_micro, two_group_gap, weighted_mean_micro
 from hrlens.operators.rates import rate_aggs, tenure_bucket, with_tenure
 from hrlens.plans.analyses import (
@@ -107,9 +107,9 @@ def goal_vs_review_by_department(t: HRTables, digits: int = 4) -> DataFrame:
     achievement, mean review score, and the Pearson correlation of the two
     per-employee figures (computed from exact integer sums)."""
     goals = weighted_mean_micro(t.goals, ["employee_id"], "achievement_pct", "weight_pct", "x")
-    score = as_int(F.col("review_score"), 2).cast(DEC)
+    score = exact_units(F.col("review_score")).cast(DEC)
     reviews = t.performance_reviews.groupBy("employee_id").agg(
-        half_up_int(F.sum(score), F.count(score) * 100, MICRO).alias("y")
+        half_up_int(F.sum(score), F.count(score) * 10**UNITS, MICRO).alias("y")
     ).where(F.col("y").isNotNull())
     per_emp = (
         t.employees.select("employee_id", "dept_id")

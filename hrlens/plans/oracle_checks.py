@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hrlens.plans.oracle_cleaning import CLEAN, RAW, ambiguous, currency, parse_date, percent
-from hrlens.plans.oracle_sql import avg_rounded, pct, with_views
+from hrlens.plans.oracle_sql import avg_rounded, hu_ratio, pct, with_views
 from hrlens.schemas import TABLE_COLUMNS
 
 
@@ -138,8 +138,8 @@ CHECKS_SQL = {
     "a13_sanity_stats": with_views(
         f"""SELECT count(*) AS employees,
                    {pct("count(*) FILTER (WHERE status <> 'Active')", 'count(*)', 2)} AS attrition_pct,
-                   {avg_rounded('monthly_salary_idr / 1000000', 1, 6)} AS avg_salary_m,
-                   {avg_rounded('satisfaction_score', 2, 2)} AS avg_satisfaction,
+                   {hu_ratio('sum(CAST(monthly_salary_idr AS HUGEINT))', 'count(monthly_salary_idr) * 1000000', 1)} AS avg_salary_m,
+                   {avg_rounded('satisfaction_score', 2)} AS avg_satisfaction,
                    {pct('count(*) FILTER (WHERE manager_id IS NOT NULL)', 'count(*)', 1)} AS with_manager_pct
             FROM employees""",
         "employees",

@@ -148,7 +148,7 @@ RAW = {
 CLEAN = {
     "departments": f"""
         SELECT {to_int('dept_id')} AS dept_id, {clean_text('dept_name')} AS dept_name, division,
-               {to_int('salary_band_mid')} AS salary_band_mid
+               {to_number('salary_band_mid')} AS salary_band_mid
         FROM raw_departments""",
     "employees": f"""
         SELECT {to_int('employee_id')} AS employee_id,
@@ -246,7 +246,7 @@ CLEANING_SQL = {
                 SELECT CAST(s_suppkey AS BIGINT) AS dept_id,
                        s_name || ' ' || {_pick(DIVISIONS, 's_nationkey % 3')} AS dept_name,
                        {_pick(DIVISIONS, 's_nationkey % 3')} AS division,
-                       CAST(s_nationkey + 40 AS BIGINT) AS salary_band_mid
+                       CAST((s_nationkey * 3 + 80) / 2.0 AS DOUBLE) AS salary_band_mid
                 FROM supplier""",
             "raw_departments": RAW["departments"].replace("FROM departments)", "FROM dept_export)"),
         },

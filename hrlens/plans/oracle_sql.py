@@ -40,14 +40,18 @@ def as_int(expr: str, digits: int = 0) -> str:
     return f"CAST(round(({expr}) * {10**digits}) AS BIGINT)"
 
 
-def avg_rounded(expr: str, digits: int, input_digits: int = 0) -> str:
-    s = f"sum(CAST({as_int(expr, input_digits)} AS HUGEINT))"
-    n = f"count({expr}) * {10**input_digits}"
-    return hu_ratio(s, n, digits)
+def nano(expr: str) -> str:
+    """A measure in 1e-9 units, exactly."""
+    return f"CAST(CAST({expr} AS DECIMAL(28,9)) * 1000000000 AS HUGEINT)"
 
 
-def completed_years(start: str, end: str) -> str:
-    return f"CAST(extract(year FROM age({end}, {start})) AS BIGINT)"
+def avg_rounded(expr: str, digits: int) -> str:
+    return hu_ratio(f"sum({nano(expr)})", f"count({expr}) * 1000000000", digits)
+
+
+def finer(tenths: str, key: str) -> str:
+    more = f"CASE WHEN {key} % 5 = 0 AND {tenths} < 40 THEN {key} % 97 ELSE 0 END"
+    return f"CAST(({tenths} + 10) * 100 + {more} AS DOUBLE) / 1000.0"
 
 
 K = "c_custkey"
@@ -55,7 +59,7 @@ K = "c_custkey"
 VIEWS = {
     "departments": """
         SELECT CAST(n.n_nationkey AS BIGINT) AS dept_id, n.n_name AS dept_name,
-               r.r_name AS division, CAST(n.n_nationkey + 40 AS BIGINT) AS salary_band_mid
+               r.r_name AS division, CAST((n.n_nationkey * 3 + 80) / 2.0 AS DOUBLE) AS salary_band_mid
         FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "employees": f"""
         SELECT CAST({K} AS BIGINT) AS employee_id,
@@ -72,9 +76,9 @@ VIEWS = {
                     + CAST(30 + ({K} * 13) % 1500 AS INTEGER) END AS termination_date,
                CASE WHEN {K} % 7 = 0 THEN 'Resigned' ELSE 'Active' END AS status,
                ({as_int('c_acctbal', 2)} // 100 + 2000) * 10000 AS monthly_salary_idr,
-               CASE WHEN {K} % 12 <> 0 THEN CAST({K} % 41 + 10 AS DOUBLE) / 10.0 END
+               CASE WHEN {K} % 12 <> 0 THEN {finer(f'({K} % 41)', K)} END
                     AS satisfaction_score,
-               CAST({K} % 31 + 10 AS DOUBLE) / 10.0 AS last_performance_score,
+               {finer(f'({K} % 31)', K)} AS last_performance_score,
                CASE WHEN {K} <> 0 THEN {K} // 8 END AS manager_id
         FROM customer""",
     "salaries": f"""
@@ -87,15 +91,15 @@ VIEWS = {
     "performance_reviews": f"""
         SELECT event_id AS review_id, user_id AS employee_id,
                '2024-P' || CAST(least(4, (dayofmonth(ts) + 7) // 8) AS VARCHAR) AS review_period,
-               CAST({as_int('value', 2)} % 41 + 10 AS DOUBLE) / 10.0 AS review_score,
+               {finer('(' + as_int('value', 2) + ' % 41)', 'event_id')} AS review_score,
                CASE WHEN user_id // 8 <> 0 THEN user_id // 8 END AS reviewer_id
         FROM events""",
     "goals": f"""
         SELECT l.l_orderkey * 10 + l.l_linenumber AS goal_id, o.o_custkey AS employee_id,
                l.l_returnflag AS goal_title,
                CASE WHEN l.l_linenumber <> 7
-                    THEN CAST(({as_int('l.l_quantity')} % 5) * 5 + 20 AS DOUBLE) END AS weight_pct,
-               CAST(({as_int('l.l_discount', 2)} * 10 + {as_int('l.l_quantity')}) % 131 AS DOUBLE)
+                    THEN CAST((({as_int('l.l_quantity')} % 5) * 5 + 20) * 1000 + {as_int('l.l_quantity')} % 3 AS DOUBLE) / 1000.0 END AS weight_pct,
+               CAST((({as_int('l.l_discount', 2)} * 10 + {as_int('l.l_quantity')}) % 131) * 1000 + {as_int('l.l_quantity')} % 7 AS DOUBLE) / 1000.0
                     AS achievement_pct,
                '2024' AS period
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
@@ -121,114 +125,98 @@ def _rate3(prefix: str = "") -> str:
 
 
 def _tenure_cte() -> str:
-    return (
-        "SELECT *, "
-        + completed_years("hire_date", "coalesce(termination_date, DATE '2025-01-01')")
-        + " AS tenure_years FROM employees"
-    )
+    """Completed years as the difference of the years, less one before the
+    day of the year is reached."""
+    return """SELECT *, CAST(year(until) - year(hire_date) - CASE WHEN month(until) * 100 + day(until)
+                     < month(hire_date) * 100 + day(hire_date) THEN 1 ELSE 0 END AS BIGINT) AS tenure_years
+              FROM (SELECT *, coalesce(termination_date, DATE '2025-01-01') AS until FROM employees)"""
+
+
+BUCKET = """CASE WHEN tenure_years < 1 THEN '0-1 yr' WHEN tenure_years < 3 THEN '1-3 yr'
+                 WHEN tenure_years < 5 THEN '3-5 yr' ELSE '5+ yr' END"""
+
 
+def rolled_up(by: str, src: str = "employees", more: str = "", sat: bool = False) -> str:
+    """Attrition in two levels: counts per ``dept_id`` (and ``more``) first,
+    summed over ``by`` once the departments are known."""
+    average = f", {hu_ratio('sum(points)', 'sum(scored) * 1000000000')} AS avg_satisfaction" if sat else ""
+    return f"""
+        SELECT {by}, CAST(sum(n) AS BIGINT) AS headcount, CAST(sum(gone) AS BIGINT) AS resigned,
+               {pct('sum(gone)', 'sum(n)')} AS attrition_rate{average}
+        FROM departments, (SELECT dept_id AS id{more}, sum(1) AS n,
+                                  sum(CASE status WHEN 'Resigned' THEN 1 ELSE 0 END) AS gone,
+                                  sum({nano('satisfaction_score')}) AS points,
+                                  count(satisfaction_score) AS scored
+                           FROM {src} GROUP BY ALL)
+        WHERE dept_id = id GROUP BY ALL"""
 
-SAT = avg_rounded("satisfaction_score", 2, 2)
+
+# One scalar count per department, summed over departments of one name.
+HEADCOUNT = """
+    SELECT dept_name, CAST(sum(heads) AS BIGINT) AS total_employee
+    FROM (SELECT dept_name, (SELECT count(*) FROM employees
+                             WHERE employees.dept_id = departments.dept_id AND status = 'Active') AS heads
+          FROM departments)
+    GROUP BY dept_name HAVING sum(heads) > 0"""
+
+
+def windowed_headcount(columns: str) -> str:
+    return f"""SELECT DISTINCT {columns}, count(employee_id) OVER (PARTITION BY city, employment_type) AS total_employee
+               FROM employees WHERE status = 'Active'"""
+
+
+GOALS_PER_EMPLOYEE = f"""
+    SELECT employee_id, coalesce({hu_int(f"sum({nano('achievement_pct')} * {nano('weight_pct')})",
+                                         f"sum({nano('weight_pct')}) * 1000000000", 6)}, 0) AS micro
+    FROM goals GROUP BY employee_id"""
+
+# Sums per dept_id, then per name.
+GOAL_ACHIEVEMENT = f"""
+    SELECT dept_name, {hu_ratio('sum(total)', 'sum(people) * 1000000', 2)} AS avg_achievement
+    FROM departments, (SELECT dept_id AS id, sum(CAST(micro AS HUGEINT)) AS total, count(micro) AS people
+                       FROM employees, per_emp WHERE per_emp.employee_id = employees.employee_id
+                       GROUP BY dept_id)
+    WHERE dept_id = id GROUP BY dept_name"""
 
 ANALYSES_SQL = {
-    "headcount_by_department": with_views(
-        """SELECT dep.dept_name, count(act.employee_id) AS total_employee
-           FROM departments AS dep
-           INNER JOIN (SELECT employee_id, dept_id FROM employees WHERE status = 'Active') AS act
-                 USING (dept_id)
-           GROUP BY ALL""",
-        "departments", "employees",
-    ),
+    "headcount_by_department": with_views(HEADCOUNT, "departments", "employees"),
     "avg_salary_by_level": with_views(
-        f"""SELECT job_level, {avg_rounded('monthly_salary_idr', 0)} AS average_salary
+        f"""SELECT job_level, {hu_ratio('sum(CAST(monthly_salary_idr AS HUGEINT))', 'count(monthly_salary_idr)', 0)}
+                   AS average_salary
             FROM employees WHERE status = 'Active' GROUP BY job_level""",
         "employees",
     ),
-    "headcount_by_city_type": with_views(
-        """SELECT city, employment_type, count(employee_id) AS total_employee
-           FROM (SELECT * FROM employees WHERE status = 'Active')
-           GROUP BY ALL""",
-        "employees",
-    ),
-    "headcount_by_type_city": with_views(
-        """SELECT employment_type, city, count(employee_id) AS total_employee
-           FROM (SELECT * FROM employees WHERE status = 'Active')
-           GROUP BY ALL""",
-        "employees",
-    ),
+    "headcount_by_city_type": with_views(windowed_headcount("city, employment_type"), "employees"),
+    "headcount_by_type_city": with_views(windowed_headcount("employment_type, city"), "employees"),
     "attrition_overall": with_views(f"SELECT {_rate3()} FROM employees", "employees"),
-    "attrition_by_department": with_views(
-        f"""SELECT dept_name, {_rate3()}
-            FROM employees INNER JOIN (SELECT dept_id, dept_name FROM departments) USING (dept_id)
-            GROUP BY ALL""",
-        "departments", "employees",
-    ),
-    "attrition_vs_satisfaction": with_views(
-        f"""SELECT dept_name, {_rate3()}, {SAT} AS avg_satisfaction
-            FROM employees INNER JOIN (SELECT dept_id, dept_name FROM departments) USING (dept_id)
-            GROUP BY ALL""",
-        "departments", "employees",
-    ),
+    "attrition_by_department": with_views(rolled_up("dept_name"), "departments", "employees"),
+    "attrition_vs_satisfaction": with_views(rolled_up("dept_name", sat=True), "departments", "employees"),
     "attrition_by_tenure": with_views(
-        f"""SELECT dept_name,
-                   CASE WHEN tenure_years < 1 THEN '0-1 yr' WHEN tenure_years < 3 THEN '1-3 yr'
-                        WHEN tenure_years < 5 THEN '3-5 yr' ELSE '5+ yr' END AS tenure_bucket,
-                   {_rate3()}, {SAT} AS avg_satisfaction
-            FROM tenured INNER JOIN (SELECT dept_id, dept_name FROM departments) USING (dept_id)
-            GROUP BY ALL""",
+        rolled_up("dept_name, tenure_bucket", "tenured", f", {BUCKET} AS tenure_bucket", sat=True),
         "departments", "employees", extra={"tenured": _tenure_cte()},
     ),
     "first_year_attrition_by_band": with_views(
-        f"""SELECT CASE WHEN monthly_salary_idr < salary_band_mid * 1000000
-                        THEN 'below band' ELSE 'at/above band' END AS salary_position,
-                   {_rate3()}
-            FROM (SELECT * FROM tenured WHERE tenure_years < 1)
-                 INNER JOIN (SELECT dept_id, salary_band_mid FROM departments) USING (dept_id)
-            GROUP BY ALL""",
+        rolled_up(
+            "CASE coalesce(salary_band_mid * 1000000 > salary, false) WHEN true THEN 'below band' "
+            "ELSE 'at/above band' END AS salary_position",
+            "(FROM tenured WHERE tenure_years < 1)", ", monthly_salary_idr AS salary",
+        ),
         "departments", "employees", extra={"tenured": _tenure_cte()},
     ),
     "first_year_attrition_by_type": with_views(
-        f"""SELECT t.employment_type, {_rate3('t.')}
-            FROM tenured t WHERE t.tenure_years < 1
-              AND EXISTS (SELECT 1 FROM departments d WHERE d.dept_id = t.dept_id)
-            GROUP BY t.employment_type""",
+        rolled_up("employment_type", "(FROM tenured WHERE tenure_years < 1)", ", employment_type"),
         "departments", "employees", extra={"tenured": _tenure_cte()},
     ),
     "review_trend": with_views(
-        f"""SELECT review_period,
-                   {hu_ratio('s', 'n * 100', 2)} AS avg_review_score,
-                   round(sd, 2) AS score_stddev,
-                   round(mean - sd, 2) AS bottom_limit,
-                   round(mean + sd, 2) AS upper_limit
-            FROM (SELECT *, sqrt(CASE WHEN n > 1 THEN CAST(n * q - s * s AS DOUBLE)
-                                      / CAST(n * (n - 1) * 10000 AS DOUBLE) END) AS sd,
-                         CAST(s AS DOUBLE) / CAST(n * 100 AS DOUBLE) AS mean
-                  FROM (SELECT review_period, sum(x) AS s, sum(x * x) AS q,
-                               CAST(count(x) AS HUGEINT) AS n
-                        FROM (SELECT review_period,
-                                     CAST({as_int('review_score', 2)} AS HUGEINT) AS x
-                              FROM performance_reviews)
-                        GROUP BY review_period))""",
+        f"""SELECT review_period, {avg_rounded('review_score', 2)} AS avg_review_score,
+                   round(stddev_samp(review_score), 2) AS score_stddev,
+                   round(avg(review_score) - stddev_samp(review_score), 2) AS bottom_limit,
+                   round(avg(review_score) + stddev_samp(review_score), 2) AS upper_limit
+            FROM performance_reviews GROUP BY review_period""",
         "performance_reviews",
     ),
     "goal_achievement_by_department": with_views(
-        f"""SELECT d.dept_name,
-                   {hu_ratio('sum(CAST(pe.micro AS HUGEINT))', 'count(pe.micro) * 1000000', 2)}
-                       AS avg_achievement
-            FROM (SELECT employee_id, dept_id FROM employees) AS e
-                 INNER JOIN per_emp AS pe USING (employee_id)
-                 INNER JOIN (SELECT dept_id, dept_name FROM departments) AS d USING (dept_id)
-            GROUP BY d.dept_name""",
-        "departments", "employees", "goals",
-        extra={
-            "per_emp": f"""
-                SELECT employee_id, coalesce({hu_int('sum(a * w)', 'sum(w) * 100', 6)}, 0) AS micro
-                FROM (SELECT employee_id,
-                             CAST({as_int('achievement_pct', 2)} AS HUGEINT) AS a,
-                             CAST({as_int('weight_pct', 2)} AS HUGEINT) AS w
-                      FROM goals)
-                GROUP BY employee_id"""
-        },
+        GOAL_ACHIEVEMENT, "departments", "employees", "goals", extra={"per_emp": GOALS_PER_EMPLOYEE}
     ),
     "gender_pay_gap_by_level": with_views(
         f"""SELECT job_level, CAST(ma AS DOUBLE) AS avg_male, CAST(mb AS DOUBLE) AS avg_female,
@@ -251,13 +239,16 @@ ANALYSES_SQL = {
                         GROUP BY job_level))""",
         "employees",
     ),
+    # The rank is one more than the number of larger salaries (unknown ones are largest).
     "top3_salary_by_department": with_views(
-        """SELECT dep.dept_name,
-                  CAST(rank() OVER (PARTITION BY emp.dept_id
-                                    ORDER BY emp.monthly_salary_idr DESC NULLS FIRST) AS BIGINT) AS salary_rank,
-                  emp.full_name, emp.monthly_salary_idr
-           FROM employees AS emp INNER JOIN departments AS dep USING (dept_id)
-           QUALIFY salary_rank <= 3""",
+        """SELECT dept_name, salary_rank, full_name, monthly_salary_idr
+           FROM departments, (SELECT dept_id AS id, full_name, monthly_salary_idr,
+                                     1 + (SELECT count(*) FROM employees AS other
+                                          WHERE other.dept_id = one.dept_id
+                                            AND coalesce(other.monthly_salary_idr, 9223372036854775807)
+                                                > coalesce(one.monthly_salary_idr, 9223372036854775807)) AS salary_rank
+                              FROM employees AS one)
+           WHERE dept_id = id AND salary_rank < 4""",
         "departments", "employees",
     ),
     "salary_vs_peer_average": with_views(
@@ -271,42 +262,46 @@ ANALYSES_SQL = {
             JOIN departments d ON d.dept_id = g.dept_id""",
         "departments", "employees",
     ),
+    # Each history as one sorted list; the previous salary is the entry before.
     "salary_changes": with_views(
-        """SELECT who.full_name, history.effective_date, history.current_salary, history.prev_salary,
-                  history.current_salary - history.prev_salary AS salary_change, history.change_reason
-           FROM history INNER JOIN employees AS who USING (employee_id)""",
+        """SELECT full_name, h[i].d AS effective_date, h[i].s AS current_salary,
+                  CASE WHEN i > 1 THEN h[i - 1].s END AS prev_salary,
+                  CASE WHEN i > 1 THEN h[i].s - h[i - 1].s END AS salary_change, h[i].r AS change_reason
+           FROM employees, (SELECT employee_id AS id, h, unnest(range(1, len(h) + 1)) AS i FROM histories)
+           WHERE employee_id = id""",
         "employees", "salaries",
-        extra={"history": """SELECT employee_id, effective_date, change_reason,
-                      monthly_salary_idr AS current_salary,
-                      lag(monthly_salary_idr) OVER (
-                          PARTITION BY employee_id
-                          ORDER BY effective_date ASC NULLS LAST, salary_id ASC NULLS LAST) AS prev_salary
-               FROM salaries"""},
+        extra={"histories": """SELECT employee_id, list({'d': effective_date, 's': monthly_salary_idr, 'r': change_reason}
+                                      ORDER BY effective_date ASC NULLS LAST, salary_id ASC NULLS LAST) AS h
+                               FROM salaries GROUP BY employee_id"""},
     ),
+    # Department and manager are looked up one by one; nothing is joined.
     "org_structure": with_views(
-        """SELECT staff.employee_id, staff.full_name, staff.gender, home.dept_name, staff.job_level,
-                  boss.manager_id, boss.manager_name, boss.manager_gender,
-                  boss_home.dept_name AS manager_department, boss.manager_level
-           FROM staff
-           LEFT JOIN boss ON boss.manager_id = staff.manager_id
-           INNER JOIN departments AS home ON home.dept_id = staff.dept_id
-           LEFT JOIN departments AS boss_home ON boss_home.dept_id = boss.boss_dept
-           WHERE boss.manager_id IS NULL OR boss.boss_status = 'Active'""",
+        """SELECT employee_id, full_name, gender, names[dept_id] AS dept_name, job_level, up.id AS manager_id,
+                  up.name AS manager_name, up.gender AS manager_gender, names[up.dept] AS manager_department,
+                  up.level AS manager_level
+           FROM (SELECT *, (SELECT map_from_entries(list((dept_id, dept_name))) FROM departments) AS names,
+                        (SELECT any_value({'id': x.employee_id, 'name': x.full_name, 'gender': x.gender,
+                                           'dept': x.dept_id, 'level': x.job_level, 'status': x.status})
+                         FROM employees AS x WHERE x.employee_id = employees.manager_id) AS up
+                 FROM employees)
+           WHERE status = 'Active' AND dept_id IN (SELECT dept_id FROM departments)
+             AND coalesce(up.status, 'Active') = 'Active'""",
         "departments", "employees",
-        extra={"staff": """SELECT * FROM employees WHERE status = 'Active'""", "boss": """SELECT employee_id AS manager_id, full_name AS manager_name,
-                                gender AS manager_gender, dept_id AS boss_dept,
-                                job_level AS manager_level, status AS boss_status
-                         FROM employees"""},
     ),
+    # A scalar count for each manager; the rank is one more than the number of larger counts.
     "subordinate_counts": with_views(
-        """SELECT heads.full_name, home.dept_name,
-                  count(reports.employee_id) AS total_subordinates,
-                  CAST(rank() OVER (ORDER BY count(reports.employee_id) DESC) AS BIGINT) AS rank_by_subordinates
-           FROM heads
-           INNER JOIN departments AS home ON home.dept_id = heads.dept_id
-           LEFT JOIN reports ON reports.manager_id = heads.employee_id
-           GROUP BY heads.employee_id, heads.full_name, home.dept_name""",
+        """SELECT full_name, dept_name, total_subordinates,
+                  1 + (SELECT coalesce(CAST(sum(people) AS BIGINT), 0) FROM sizes
+                       WHERE sizes.total_subordinates > counted.total_subordinates) AS rank_by_subordinates
+           FROM counted""",
         "departments", "employees",
-        extra={"heads": """SELECT employee_id, full_name, dept_id FROM employees WHERE status = 'Active'""", "reports": """SELECT manager_id, employee_id FROM employees WHERE status = 'Active'"""},
+        extra={
+            "counted": """SELECT full_name, dept_name,
+                                 (SELECT count(*) FROM employees AS x
+                                  WHERE x.status = 'Active' AND x.manager_id = employees.employee_id) AS total_subordinates
+                          FROM employees NATURAL JOIN (SELECT dept_id, dept_name FROM departments)
+                          WHERE status = 'Active'""",
+            "sizes": "SELECT total_subordinates, count(*) AS people FROM counted GROUP BY 1",
+        },
     ),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrlens.functions.dates import fractional_years
-from hrlens.functions.numeric import as_int, half_up_int, half_up_ratio, pct
+from hrlens.functions.numeric import DEC, UNITS, exact_units, half_up_int, half_up_ratio, pct
 from hrlens.operators.rates import rate_aggs
 from hrlens.operators.windows import change_from_previous, date_split
 from hrlens.plans.analyses import RESIGNED, _with_dept
@@ -34,7 +34,7 @@ from hrlens.schemas import (
 )
 from hrlens.sources.derive import HRTables
 
-M = 1_000_000  # risk scores are exact integers in 1e-6 units
+M = 100_000_000  # risk scores are exact integers in 1e-8 units
 
 
 def multiplier_pct(level) -> F.Column:
@@ -46,8 +46,8 @@ def multiplier_pct(level) -> F.Column:
 
 
 def expected_salary(band_mid, level) -> F.Column:
-    """Band midpoint (millions) x level multiplier, in IDR, exactly."""
-    return band_mid.cast("bigint") * 10_000 * multiplier_pct(level)
+    """Band midpoint (millions) x level multiplier, to whole IDR."""
+    return half_up_int(exact_units(band_mid) * multiplier_pct(level), F.lit(100))
 
 
 def pay_vs_level_band(t: HRTables) -> DataFrame:
@@ -67,38 +67,37 @@ def pay_vs_level_band(t: HRTables) -> DataFrame:
     )
 
 
-def _micro(x: float) -> int:
+def _units(x: float) -> int:
     return round(x * M)
 
 
-def risk_score_micro(snapshot: _dt.date = SNAPSHOT) -> F.Column:
-    """The attrition risk model as an exact integer (1e-6 units), over
+def risk_score(snapshot: _dt.date = SNAPSHOT) -> F.Column:
+    """The attrition risk model as an exact integer (1e-8 units), over
     employee rows joined to their department band:
 
     0.16 + (3.5 - satisfaction) x 0.08 + (base - salary) / base x 0.30
     [+0.08 if tenure < 1.5 y] [+0.10 if performance < 2.8] [+0.06 if Intern],
     clipped to [0.03, 0.80]. A missing satisfaction or salary drops its term.
     """
-    sat10 = as_int(F.col("satisfaction_score"), 1)
-    sat_term = (F.lit(round(RISK_SAT_PIVOT * 10)) - sat10) * _micro(RISK_SAT_WEIGHT / 10)
+    sat = exact_units(F.col("satisfaction_score"))
+    sat_term = (F.lit(round(RISK_SAT_PIVOT * 10**UNITS)) - sat) * (_units(RISK_SAT_WEIGHT) // 10**UNITS)
     base = expected_salary(F.col("salary_band_mid"), F.col("job_level"))
-    pay_term = half_up_int((base - F.col("monthly_salary_idr")) * _micro(RISK_PAY_WEIGHT), base, 0)
+    pay_term = half_up_int((base - F.col("monthly_salary_idr")).cast(DEC) * _units(RISK_PAY_WEIGHT), base, 0)
     tenure = fractional_years(F.col("hire_date"), F.lit(snapshot))
-    perf10 = as_int(F.col("last_performance_score"), 1)
     total = (
-        F.lit(_micro(RISK_BASE))
+        F.lit(_units(RISK_BASE))
         + F.coalesce(sat_term, F.lit(0))
         + F.coalesce(pay_term, F.lit(0))
-        + F.when(tenure < RISK_SHORT_TENURE_YEARS, _micro(RISK_SHORT_TENURE_BUMP)).otherwise(0)
-        + F.when(perf10 < round(RISK_LOW_PERF * 10), _micro(RISK_LOW_PERF_BUMP)).otherwise(0)
-        + F.when(F.col("job_level") == "Intern", _micro(RISK_INTERN_BUMP)).otherwise(0)
+        + F.when(tenure < RISK_SHORT_TENURE_YEARS, _units(RISK_SHORT_TENURE_BUMP)).otherwise(0)
+        + F.when(F.col("last_performance_score") < RISK_LOW_PERF, _units(RISK_LOW_PERF_BUMP)).otherwise(0)
+        + F.when(F.col("job_level") == "Intern", _units(RISK_INTERN_BUMP)).otherwise(0)
     )
-    return F.greatest(F.lit(_micro(RISK_MIN)), F.least(F.lit(_micro(RISK_MAX)), total)).cast("bigint")
+    return F.greatest(F.lit(_units(RISK_MIN)), F.least(F.lit(_units(RISK_MAX)), total)).cast("bigint")
 
 
 def attrition_risk_score(t: HRTables, snapshot: _dt.date = SNAPSHOT) -> DataFrame:
     """Expected attrition (mean risk score) against observed, per department."""
-    emp = _with_dept(t.employees, t).withColumn("_risk", risk_score_micro(snapshot))
+    emp = _with_dept(t.employees, t).withColumn("_risk", risk_score(snapshot))
     return emp.groupBy("dept_name").agg(
         F.count(F.lit(1)).alias("headcount"),
         half_up_ratio(F.sum("_risk").cast("decimal(38,0)") * 100, F.count(F.lit(1)) * M, 2).alias(

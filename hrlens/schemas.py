@@ -135,7 +135,7 @@ def raw_schema(table: str) -> T.StructType:
 _L, _S, _D, _F = T.LongType(), T.StringType(), T.DateType(), T.DoubleType()
 
 CLEAN_TYPES = {
-    "departments": [_L, _S, _S, _L],
+    "departments": [_L, _S, _S, _F],
     "employees": [_L, _S, _S, _L, _S, _S, _S, _D, _D, _S, _L, _F, _F, _L],
     "salaries": [_L, _L, _D, _L, _S],
     "performance_reviews": [_L, _L, _S, _F, _L],

@@ -52,6 +52,13 @@ def _pick(values: list[str], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def _finer(tenths, key) -> F.Column:
+    """A score of 1.0 + ``tenths`` tenths; where ``key`` is a multiple of five,
+    with three decimals (below the next tenth, and never above 5)."""
+    more = F.when((key % 5 == 0) & (tenths < 40), key % 97).otherwise(0)
+    return ((tenths + 10) * 100 + more) / 1000.0
+
+
 def departments_view(spark: SparkSession, data_dir: str) -> DataFrame:
     nation = read_table(spark, data_dir, "nation")
     region = bounded_broadcast(read_table(spark, data_dir, "region").select("r_regionkey", "r_name"))
@@ -59,7 +66,7 @@ def departments_view(spark: SparkSession, data_dir: str) -> DataFrame:
         F.col("n_nationkey").cast("bigint").alias("dept_id"),
         F.col("n_name").alias("dept_name"),
         F.col("r_name").alias("division"),
-        (F.col("n_nationkey") + 40).cast("bigint").alias("salary_band_mid"),
+        ((F.col("n_nationkey") * 3 + 80) / 2.0).cast("double").alias("salary_band_mid"),
     )
 
 
@@ -90,8 +97,8 @@ def employees_view(spark: SparkSession, data_dir: str) -> DataFrame:
         (
             (idiv(as_int(F.col("c_acctbal"), 2), F.lit(100)) + 2000) * 10000
         ).alias("monthly_salary_idr"),
-        F.when(k % 12 != 0, (k % 41 + 10) / 10.0).alias("satisfaction_score"),
-        ((k % 31 + 10) / 10.0).alias("last_performance_score"),
+        F.when(k % 12 != 0, _finer(k % 41, k)).alias("satisfaction_score"),
+        _finer(k % 31, k).alias("last_performance_score"),
         F.when(k != 0, idiv(k, F.lit(8))).alias("manager_id"),
     )
 
@@ -117,7 +124,7 @@ def reviews_view(spark: SparkSession, data_dir: str) -> DataFrame:
         F.col("event_id").alias("review_id"),
         F.col("user_id").alias("employee_id"),
         F.concat(F.lit("2024-P"), part.cast("string")).alias("review_period"),
-        ((as_int(F.col("value"), 2) % 41 + 10) / 10.0).alias("review_score"),
+        _finer(as_int(F.col("value"), 2) % 41, F.col("event_id")).alias("review_score"),
         F.when(boss != 0, boss).alias("reviewer_id"),
     )
 
@@ -130,12 +137,8 @@ def goals_view(spark: SparkSession, data_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("goal_id"),
         F.col("o_custkey").alias("employee_id"),
         F.col("l_returnflag").alias("goal_title"),
-        F.when(F.col("l_linenumber") != 7, (qty % 5) * 5 + 20)
-        .cast("double")
-        .alias("weight_pct"),
-        ((as_int(F.col("l_discount"), 2) * 10 + qty) % 131)
-        .cast("double")
-        .alias("achievement_pct"),
+        F.when(F.col("l_linenumber") != 7, (((qty % 5) * 5 + 20) * 1000 + qty % 3) / 1000.0).alias("weight_pct"),
+        ((((as_int(F.col("l_discount"), 2) * 10 + qty) % 131) * 1000 + qty % 7) / 1000.0).alias("achievement_pct"),
         F.lit("2024").alias("period"),
     )
 
@@ -151,7 +154,7 @@ def departments_export_view(spark: SparkSession, data_dir: str) -> DataFrame:
         F.col("s_suppkey").cast("bigint").alias("dept_id"),
         F.concat(F.col("s_name"), F.lit(" "), division).alias("dept_name"),
         division.alias("division"),
-        (F.col("s_nationkey") + 40).cast("bigint").alias("salary_band_mid"),
+        ((F.col("s_nationkey") * 3 + 80) / 2.0).cast("double").alias("salary_band_mid"),
     )
 
 

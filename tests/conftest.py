@@ -62,7 +62,7 @@ EMPLOYEES = [
     (11, "Kiki", "Unknown", 1, "Lead", "Jakarta", "Permanent", D(2019, 7, 7), None, "Active", 50_000_000, 3.9, 3.9, 1),
 ]
 
-DEPARTMENTS = [(1, "Engineering", "Technology", 28), (2, "Sales", "Commercial", 20)]
+DEPARTMENTS = [(1, "Engineering", "Technology", 28.0), (2, "Sales", "Commercial", 20.0)]
 
 SALARIES = [
     (1, 1, D(2015, 3, 1), 60_000_000, "Initial"),
