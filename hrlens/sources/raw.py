@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hrlens.schemas import NULL_TOKENS, TABLES, clean_schema, raw_schema
 from hrlens.sources.derive import HRTables
@@ -13,11 +14,22 @@ from hrlens.sources.derive import HRTables
 CSV_READ_OPTIONS = {
     "header": "true",
     "escape": '"',  # doubled quotes inside quoted fields
-    "multiLine": "false",
-    "mode": "PERMISSIVE",
+    "multiLine": "true",  # quoted line breaks; a file is then read by one task
+    "mode": "FAILFAST",  # a row with too few or too many fields is an error
+    "enforceSchema": "false",  # so is a file whose header is not the schema's
 }
 
 
+def _read_csv(spark: SparkSession, path: str, types: T.StructType, options: dict) -> DataFrame:
+    """CSV columns bound by the names in the header, whatever their order; a
+    missing column is an error. Finding the names reads one line."""
+    options = CSV_READ_OPTIONS | options
+    header = spark.read.options(**options).csv(path).columns
+    known = {f.name: f.dataType for f in types}
+    schema = T.StructType([T.StructField(c, known.get(c, T.StringType()), True) for c in header])
+    return spark.read.schema(schema).options(**options).csv(path).select(*types.fieldNames())
+
+
 def null_tokens_to_null(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataFrame:
     """Map the spellings a CSV export uses for "missing" to NULL, in every
     column (one projection; no row leaves the executors)."""
@@ -33,22 +45,19 @@ def _path(data_dir: str, table: str, ext: str) -> str:
     return os.path.join(data_dir, f"{table}{{.{ext},}}")
 
 
-def read_raw(spark: SparkSession, data_dir: str, table: str) -> DataFrame:
-    """An untyped export: header row, comma separated, every column STRING
-    (explicit schema, so no inference pass over the data)."""
-    reader = spark.read.schema(raw_schema(table)).options(**CSV_READ_OPTIONS)
-    return null_tokens_to_null(reader.csv(_path(data_dir, table, "csv")))
+def read_raw(spark: SparkSession, data_dir: str, table: str, multi_line: bool = True) -> DataFrame:
+    """An untyped export: header row, comma separated, every column STRING.
+
+    ``multi_line=False`` lets Spark split large files, for exports that hold
+    no line breaks within fields."""
+    options = {"multiLine": str(multi_line).lower()}
+    return null_tokens_to_null(_read_csv(spark, _path(data_dir, table, "csv"), raw_schema(table), options))
 
 
 def read_clean(spark: SparkSession, data_dir: str, table: str, fmt: str = "parquet") -> DataFrame:
     """A typed clean table written by ``sinks.write_table``."""
     if fmt == "csv":
-        return (
-            spark.read.schema(clean_schema(table))
-            .options(**CSV_READ_OPTIONS)
-            .option("dateFormat", "yyyy-MM-dd")
-            .csv(_path(data_dir, table, "csv"))
-        )
+        return _read_csv(spark, _path(data_dir, table, "csv"), clean_schema(table), {"dateFormat": "yyyy-MM-dd"})
     schema = clean_schema(table)
     # Partition columns come back last; restore the table's column order.
     return spark.read.schema(schema).parquet(_path(data_dir, table, "parquet")).select(*schema.fieldNames())

@@ -45,9 +45,10 @@ def raw_stream(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
 
 
 def raw_digest(cols: list[str]) -> F.Column:
-    """SHA-256 of the raw row; NULL is distinct from every string."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n")) for c in cols]
-    return F.sha2(F.concat_ws("\u0001", *parts), 256)
+    """SHA-256 of the raw row, each value behind its length; NULL is distinct
+    from every string."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("n")) for c in cols]
+    return F.sha2(F.concat(*parts), 256)
 
 
 def cleaned_stream(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:

@@ -279,3 +279,24 @@ def test_csv_publish_reads_back_for_analysis(spark, sf001, tmp_root):
     a = A.attrition_by_tenure(read_clean_tables(spark, out_dir, "csv"))
     b = A.attrition_by_tenure(direct)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_raw_columns_bind_by_name_and_keep_line_breaks(spark, tmp_path):
+    from hrlens.sources.raw import read_raw
+
+    (tmp_path / "departments.csv").write_text('dept_name,dept_id,salary_band_mid,division,extra\n"Sa\nles",1,28.5,"a ""b"", c",x\n')
+    row = read_raw(spark, str(tmp_path), "departments").collect()
+    assert [tuple(r) for r in row] == [("1", "Sa\nles", 'a "b", c', "28.5")]
+
+
+def test_ragged_rows_and_missing_columns_are_errors(spark, tmp_path):
+    import pytest
+
+    from hrlens.sources.raw import read_raw
+
+    (tmp_path / "departments.csv").write_text("dept_id,dept_name,division,salary_band_mid\n1,A,B,2,5\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_raw(spark, str(tmp_path), "departments").collect()
+    (tmp_path / "salaries.csv").write_text("salary_id,employee_id\n1,2\n")
+    with pytest.raises(Exception, match="effective_date"):
+        read_raw(spark, str(tmp_path), "salaries")
