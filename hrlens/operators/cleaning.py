@@ -34,14 +34,10 @@ def map_labels(
 ) -> DataFrame:
     """C3 for dictionaries too large for a map literal: look up
     ``lower(strip(col))`` in a ``mapping(raw_label, label)`` table with a left
-    join (broadcast behind the size check); unmapped -> ``default``."""
+    join; unmapped -> ``default``; of two labels for one text, the smaller."""
     from hrlens.functions.text import strip
-    from hrlens.operators.joins import bounded_broadcast
 
-    m = bounded_broadcast(
-        mapping.select(F.lower(strip(F.col("raw_label"))).alias("_raw"), F.col("label").alias("_label"))
-        .dropDuplicates(["_raw"])
-    )
+    m = mapping.groupBy(F.lower(strip(F.col("raw_label"))).alias("_raw")).agg(F.min("label").alias("_label"))
     keyed = df.withColumn("_raw_key", F.lower(strip(F.col(col))))
     joined = keyed.join(m, F.col("_raw_key") == F.col("_raw"), "left")
     value = F.coalesce(F.col("_label"), F.lit(default)) if default is not None else F.col("_label")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrlens.operators.joins import bounded_broadcast
 from hrlens.operators.windows import global_rank
 
 ACTIVE = "Active"
@@ -32,7 +31,7 @@ def resolve_manager(emp: DataFrame, depts: DataFrame) -> DataFrame:
         F.col("job_level").alias("manager_level"),
         F.col("status").alias("_m_status"),
     )
-    d = bounded_broadcast(depts.select("dept_id", "dept_name"))
+    d = depts.select("dept_id", "dept_name")
     md = d.select(F.col("dept_id").alias("_md_id"), F.col("dept_name").alias("manager_department"))
     joined = (
         e.join(m, F.col("_mgr_ref") == F.col("manager_id"), "left")
@@ -59,7 +58,7 @@ def direct_report_counts(emp: DataFrame, depts: DataFrame) -> DataFrame:
         .groupBy("manager_id")
         .agg(F.count("employee_id").alias("_reports"))
     )
-    d = bounded_broadcast(depts.select("dept_id", "dept_name"))
+    d = depts.select("dept_id", "dept_name")
     managers = (
         emp.where(F.col("status") == ACTIVE)
         .select("employee_id", "full_name", "dept_id")
@@ -79,4 +78,4 @@ def direct_report_counts(emp: DataFrame, depts: DataFrame) -> DataFrame:
     # The report counts sum to at most the number of (manager, report) pairs
     # (one per Active employee when ids are unique), so they take fewer than
     # sqrt(2 * pairs) + 2 distinct values: the rank table is provably small.
-    return global_rank(counted, "total_subordinates", "rank_by_subordinates", metric_is_count=True)
+    return global_rank(counted, "total_subordinates", "rank_by_subordinates")

@@ -1,63 +1,29 @@
-"""Join helpers: size-checked broadcast, existence filters, orphan finders."""
+"""Join helpers: dimensions, existence filters, orphan finders.
+
+No join carries a broadcast hint: Spark broadcasts a side whose size in bytes
+is below ``spark.sql.autoBroadcastJoinThreshold`` by the plan's statistics, or
+by what a shuffle has measured (AQE), and shuffles it otherwise. Building a
+query runs no job."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when it holds at most this many rows; the
-# check runs a LIMIT over the (small) dimension itself. Beyond the bound the
-# join is left to the planner (sort-merge / shuffled hash, AQE skew split).
-# A session may override it with ``spark.hrlens.broadcastMaxRows``.
-BROADCAST_MAX_ROWS = 200_000
-MAX_ROWS_CONF = "spark.hrlens.broadcastMaxRows"
-
-
-def _session_bound(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(BROADCAST_MAX_ROWS)))
-
-
-# Size decisions per (session, plan): within a session a table is treated as
-# a snapshot, so a dimension used by many queries is counted once.
-_DECIDED: dict[tuple[int, int, int], bool] = {}
-
-
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a LIMIT job that stops
-    reading once the bound is passed)."""
-    max_rows = _session_bound(df) if max_rows is None else max_rows
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    if key not in _DECIDED:
-        _DECIDED[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _DECIDED[key]
-
-
-def forget_decisions() -> None:
-    _DECIDED.clear()
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows,
-    else ``df`` unchanged (the planner then picks a shuffle join, and AQE
-    can still demote it to a broadcast at runtime)."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
 def join_dimension(
     fact: DataFrame,
     dim: DataFrame,
     key: str | list[str] | Column,
     how: str = "inner",
-    max_rows: int | None = None,
 ) -> DataFrame:
-    """Join a fact to a small dimension, broadcasting it behind a size check."""
-    return fact.join(bounded_broadcast(dim, max_rows), key, how)
+    """Join a fact to a dimension."""
+    return fact.join(dim, key, how)
 
 
 def exists_in(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Keep fact rows whose ``key`` exists in ``dim`` (an inner join used only
     as a filter, written as a semi join so no dimension column is carried)."""
-    return fact.join(bounded_broadcast(dim.select(key)), key, "left_semi")
+    return fact.join(dim.select(key), key, "left_semi")
 
 
 def orphans(
@@ -68,9 +34,7 @@ def orphans(
     NULLs are dropped first (a NULL foreign key is not a violation; an anti
     join would otherwise return it)."""
     keys = child.select(F.col(child_col).alias("_fk")).where(F.col("_fk").isNotNull())
-    # A small parent (a dimension) is broadcast behind the size check; a big
-    # one (employees) meets the distinct child keys in a shuffle anti join.
-    parents = bounded_broadcast(parent.select(F.col(parent_col).alias("_pk")))
+    parents = parent.select(F.col(parent_col).alias("_pk"))
     return (
         keys.distinct()
         .join(parents, F.col("_fk") == F.col("_pk"), "left_anti")

@@ -4,8 +4,7 @@
   WindowGroupLimit before the shuffle, so a hot group ships only its local
   top rows.
 * ``vs_group_mean``: the group mean is an aggregate (map-side combined)
-  joined back, broadcast behind a size check, instead of a window over the
-  whole group (one task per group).
+  joined back instead of a window over the whole group (one task per group).
 * ``change_from_previous``: previous value per key with an optional split
   column (e.g. year) so one hot key is spread over many tasks; the first row
   of each split takes the last value of the key's previous split.
@@ -19,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hrlens.functions.numeric import half_up_int
-from hrlens.operators.joins import bounded_broadcast
+from hrlens.functions.numeric import DEC, half_up_int
 
 
 def top_n_per_group(
@@ -41,7 +39,7 @@ def top_n_per_group(
 def group_mean_int(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """round(avg(value)) per group as an exact BIGINT (NULL for all-NULL)."""
     x = F.col(value).cast("bigint")
-    return df.groupBy(*by).agg(half_up_int(F.sum(x), F.count(x), 0).alias(out))
+    return df.groupBy(*by).agg(half_up_int(F.sum(x.cast(DEC)), F.count(x), 0).alias(out))
 
 
 def vs_group_mean(
@@ -54,9 +52,7 @@ def vs_group_mean(
 
     Grouping keys match NULL to NULL, like a window partition."""
     means = group_mean_int(df, by, value, mean_col)
-    means = bounded_broadcast(
-        means.select(*[F.col(k).alias(f"_k_{k}") for k in by], mean_col)
-    )
+    means = means.select(*[F.col(k).alias(f"_k_{k}") for k in by], mean_col)
     cond = None
     for k in by:
         c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -132,16 +128,13 @@ def global_rank(
     metric: str,
     rank_col: str = "rank",
     descending: bool = True,
-    metric_is_count: bool = False,
 ) -> DataFrame:
     """rank() over (order by metric [desc]) for every row, without moving all
     rows into one partition. NULL metrics rank as PostgreSQL orders them
     (first when descending, last when ascending).
 
-    ``metric_is_count``: the metric counts disjoint rows of some table of N
-    rows, so its distinct values c1 < c2 < ... sum to at most N and there are
-    fewer than sqrt(2N) + 2 of them (about 141k for N = 10^10). The rank
-    table then has a proven bound and is broadcast without a check."""
+    Counts of disjoint rows of a table of N rows have fewer than sqrt(2N) + 2
+    distinct values (about 141k for N = 10^10): the histogram stays small."""
     hist = df.groupBy(metric).agg(F.count(F.lit(1)).alias("_n"))
     order = F.col(metric).desc_nulls_first() if descending else F.col(metric).asc_nulls_last()
     # The histogram is bounded by the number of distinct metric values, so a
@@ -150,5 +143,4 @@ def global_rank(
     ranks = hist.withColumn(
         rank_col, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("bigint")
     ).select(F.col(metric).alias("_m"), rank_col)
-    ranks = F.broadcast(ranks) if metric_is_count else bounded_broadcast(ranks)
     return df.join(ranks, F.col(metric).eqNullSafe(F.col("_m")), "inner").drop("_m")

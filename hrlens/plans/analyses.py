@@ -246,7 +246,7 @@ def top3_salary_by_department(t: HRTables, n: int = 3) -> DataFrame:
 
 def salary_vs_peer_average(t: HRTables) -> DataFrame:
     """Each employee against the rounded mean of their (department, level):
-    the mean is an aggregate joined back (broadcast behind a size check),
+    the mean is an aggregate joined back,
     not a window over the whole group."""
     emp = t.employees.select("full_name", "dept_id", "job_level", "monthly_salary_idr")
     with_mean = vs_group_mean(

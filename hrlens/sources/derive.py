@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrlens.functions.numeric import as_int, idiv
-from hrlens.operators.joins import bounded_broadcast
 from hrlens.schemas import CITIES, DIVISIONS, LEVELS
 from hrlens.sources.tables import read_table
 
@@ -61,7 +60,7 @@ def _finer(tenths, key) -> F.Column:
 
 def departments_view(spark: SparkSession, data_dir: str) -> DataFrame:
     nation = read_table(spark, data_dir, "nation")
-    region = bounded_broadcast(read_table(spark, data_dir, "region").select("r_regionkey", "r_name"))
+    region = read_table(spark, data_dir, "region").select("r_regionkey", "r_name")
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").cast("bigint").alias("dept_id"),
         F.col("n_name").alias("dept_name"),
@@ -173,14 +172,12 @@ def hr_views(spark: SparkSession, data_dir: str) -> HRTables:
 
 
 def forget_views() -> None:
-    """Drop cached views, table handles and broadcast decisions (after new
-    files land, so the next query lists and sizes them again)."""
-    from hrlens.operators.joins import forget_decisions
+    """Drop cached views and table handles (after new files land, so the next
+    query lists them again)."""
     from hrlens.sources.tables import forget_tables
 
     _VIEWS.clear()
     forget_tables()
-    forget_decisions()
 
 
 def _build_views(spark: SparkSession, data_dir: str) -> HRTables:

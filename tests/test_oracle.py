@@ -66,12 +66,8 @@ def test_entry_smoke(spark):
 
 
 @pytest.fixture
-def no_broadcast(spark, monkeypatch):
-    """The cluster case: every size check fails and Spark's automatic
-    broadcast is off, so the shuffle-join fallbacks run."""
-    import hrlens.operators.joins as J
-
-    monkeypatch.setattr(J, "fits_broadcast", lambda df, max_rows=0: False)
+def no_broadcast(spark):
+    """The cluster case: Spark's automatic broadcast is off, so the shuffle-join fallbacks run."""
     keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     before = {k: spark.conf.get(k, None) for k in keys}
     for k in keys:
