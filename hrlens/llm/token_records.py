@@ -21,7 +21,9 @@ Texts are encoded in stretches that the tokenizer never joins: its
 pre-tokenizer starts a new token at a space between two characters that are
 no white space. Stretches met before are looked up; the others of a batch go
 to the tokenizer together, joined by spaces, and the tokens that begin with a
-space tell where each starts.
+space tell where each starts. The tokenizer's own added tokens are found in a
+text as its plain call finds them (their strings give their ids); they hold no
+space and take none in, so no cut meets one.
 
 Files are written by Spark's own writer into any folder that it can reach, and
 committed by it, so a lost executor leaves none half-written.
@@ -114,7 +116,6 @@ class Encoder:
 
         self.spec = spec
         self.tokenizer = Tokenizer.from_file(spec.path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
         self.kind = np.dtype("<u2" if self.narrow else "<u4")
         # Byte-level vocabularies write a space as this letter.

@@ -201,6 +201,20 @@ def test_token_records(spark, odd, none, tmp_path):
         token_records.parse(bytes(data))
 
 
+def test_token_records_added_token():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTE_BPE)
+    assert tok.encode("end of file <|endoftext|> next", add_special_tokens=False).ids == [437, 286, 2393, 220, 50256, 1306]
+    random.seed(6)
+    parts = ["<|endoftext|>", "<|endoftext|>", " ", " ", "  ", "\n", "\n ", "\t", "word", "a", "é", "<|", "|>", ".", "<|endoftext", "\xa0", "日本"]
+    texts = ["".join(random.choices(parts, k=random.randint(1, 20))) for _ in range(2000)]
+    texts += ["end of file <|endoftext|> next", "<|endoftext|>", " <|endoftext|>", "<|endoftext|> <|endoftext|>", "a\n<|endoftext|>\nb"]
+    got = token_records.Encoder(token_records.Tokens(BYTE_BPE)).encode(texts)
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é" + "x" * 5000
     rows = [(1, "u", big), (2, "u", big), (3, "u", big), (4, None, None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", big), (3, "u", big)]
