@@ -71,18 +71,27 @@ TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# One attribute: its whole name, then a quoted or bare value. What stands
+# between two is white space and slashes only, so matches follow each other.
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by whole lower-case names; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in NOISE_TAGS or (tag == "header" and not in_article):
         return True
     if not attrs or tag in ("html", "body"):
         return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for name, value in _attributes(attrs).items():
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "style" and "display:none" in value.lower().replace(" ", ""):

@@ -240,6 +240,18 @@ def test_html(spark):
     assert got == {1: "Title & more\nFirst sentence.\nSecond one link.", 2: "", 3: "", 4: "deep"}
 
 
+@pytest.mark.parametrize(
+    "attrs",
+    ["title='The hidden valley'", 'href="/hidden/places"', "data-hidden='false'", 'data-id="share"', "href=/view?id=comments", 'title="a id=share b"', "x-hidden", "data-class=ad"],
+)
+def test_html_attributes(attrs):
+    one, two, three = "A first paragraph of the article.", "The second one, with", "words in a link."
+    page = f"<body><article><h1 {attrs}>Title</h1><p {attrs}>{one}</p><p>{two} <a {attrs}>{three}</a></p></article></body>"
+    assert html_density.main_text(page) == f"Title\n{one}\n{two} {three}"
+    for gone in ("hidden", "HIDDEN=''", "title=x hidden", "a='1'hidden", "class = 'x ad'", "id=share", "aria-hidden=true", "class=ad class=x"):
+        assert html_density.main_text(f"<body><article><p>{one}</p><p {gone}>{three}</p></article></body>") == one
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 8))
