@@ -2,10 +2,16 @@
 
 Every node of a page's tree gets its link-adjusted characters per tag (the
 composite text density), every node the sum of its children's densities. The
-node with the largest sum marks the article; the least density on its path to
-the body is the threshold that other parts must reach to belong to it.
-Page furniture that says what it is (by element, role, class or id) takes no
-part in the counts and is left out of the text.
+node with the largest sum marks the article, with the outermost article element
+around it; the least density on its path to the body is the threshold that
+other parts must reach to belong to it. Further article elements beside that
+path belong to it unless they are mostly links.
+Page furniture that says what it is by element, role or as hidden takes no
+part in the counts and is left out of the text. A class or id that names
+furniture is a hint only: inside the article it takes out what is sparser than
+the threshold or mostly links (readers' comments always), beside the article it
+keeps a part from joining; where most of the page's prose stands under it, it
+is a layout's name and says nothing.
 
 Text is put out block by block: character references decoded, white space
 within a block as one space (a line break element counts as white space),
@@ -64,6 +70,12 @@ NOISE_WORDS = frozenset(
     "search share sharing sidebar sidebars signin signup skip social sponsor sponsored subscribe subscription teaser "
     "teasers toolbar topbar tracking widget widgets".split()
 )
+VISITORS = frozenset("comment comments disqus replies reply respond".split())  # readers' text, which may be as dense as an article
+# Words that name what a text is, not where it stands: no layout while there is other prose.
+KINDS_OF_TEXT = VISITORS | frozenset(
+    "ad ads adsense advert adverts advertisement advertising consent cookie cookies copyright gdpr newsletter popup promo promotion "
+    "promoted sponsor sponsored".split()
+)
 HEADER_WORDS = frozenset(["header"])  # also an element: noise outside an article
 BEARERS = frozenset(["has", "no", "with", "without"])  # "with-sidebar" names no sidebar
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
@@ -86,34 +98,39 @@ def _attributes(attrs: str) -> dict[str, str]:
     return out
 
 
-def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
+def _is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in NOISE_TAGS or (tag == "header" and not in_article):
         return True
     if not attrs or tag in ("html", "body"):
         return False
-    for name, value in _attributes(attrs).items():
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
-        if name == "role" and value.lower() in NOISE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("article", "main") or name in ("class", "id") and "comment" in value.lower():
-            for label in value.split():
-                words = _WORD.findall(_CAMEL.sub(" ", label).lower())
-                for before, word in zip(["", *words], words):
-                    if before in BEARERS:
-                        continue
-                    if word in NOISE_WORDS or (word in HEADER_WORDS and not in_article):
-                        return True
-    return False
+    return (
+        "hidden" in attrs
+        or attrs.get("aria-hidden", "").lower() == "true"
+        or "display:none" in attrs.get("style", "").lower().replace(" ", "")
+        or attrs.get("role", "").lower() in NOISE_ROLES
+    )
+
+
+def _label(tag: str, attrs: dict[str, str], in_article: bool) -> frozenset[str]:
+    """The words of a class or id that name page furniture."""
+    found = set()
+    for name in ("class", "id"):
+        value = attrs.get(name, "")
+        if not value or tag in ("html", "body") or tag in ("article", "main") and "comment" not in value.lower():
+            continue
+        for label in value.split():
+            words = _WORD.findall(_CAMEL.sub(" ", label).lower())
+            for before, word in zip(["", *words], words):
+                if before not in BEARERS and (word in NOISE_WORDS or (word in HEADER_WORDS and not in_article)):
+                    found.add(word)
+    return frozenset(found)
 
 
 class Page:
     """A page's tree as lists by node, in page order: node 0 is the root."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.noise = ["#root"], [-1], [False]
+        self.tag, self.parent, self.noise, self.label = ["#root"], [-1], [False], [frozenset()]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at a block's start or end
         open_, in_article = [0], [0]
         at, n = 0, len(source)
@@ -140,10 +157,11 @@ class Page:
                     if up in SCOPE:
                         break
             node = len(self.tag)
-            attrs = m[3] or m[6] or ""
+            attrs = _attributes(m[3] or m[6] or "")
             self.tag.append(tag)
             self.parent.append(open_[-1])
             self.noise.append(self.noise[open_[-1]] or _is_noise(tag, attrs, bool(in_article[-1])))
+            self.label.append(_label(tag, attrs, bool(in_article[-1])) if attrs else frozenset())
             if tag in BLOCKS:
                 self.events.append((node, None))
             elif tag == "br":
@@ -175,9 +193,9 @@ class Page:
             if up in SCOPE and tag not in BLOCKS:
                 return
 
-    def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
+    def densities(self, out: list[bool]) -> tuple[list[float], list[float], list[int], list[int]]:
         """Composite density, sum of the children's, characters and link
-        characters of every node."""
+        characters of every node; nodes in ``out`` take no part."""
         n = len(self.tag)
         chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         own = [0] * n
@@ -185,14 +203,14 @@ class Page:
         for i in range(1, n):
             in_link[i] = in_link[self.parent[i]] or self.tag[i] == "a"
         for node, text in self.events:
-            if text and not self.noise[node]:
+            if text and not out[node]:
                 k = len("".join(text.split()))
                 own[node] += k
                 chars[node] += k
                 if in_link[node]:
                     links[node] += k
         for i in range(n - 1, 0, -1):
-            if not self.noise[i]:
+            if not out[i]:
                 p = self.parent[i]
                 chars[p] += chars[i]
                 links[p] += links[i]
@@ -212,22 +230,81 @@ class Page:
             sums[self.parent[i]] += density[i]
         return density, sums, chars, links
 
+    def _under(self, said: frozenset[str] | set[str]) -> list[bool]:
+        """Which nodes are noise or stand under a label, words of ``said``
+        aside."""
+        out = self.noise[:]
+        for i in range(1, len(out)):
+            out[i] = out[i] or out[self.parent[i]] or bool(self.label[i] - said)
+        return out
+
+    def _said(self, best: int, marking: bool) -> set[str]:
+        """Words of the labels around ``best`` that name a layout, not
+        furniture: most of the page's prose (text that is neither link nor
+        heading) stands under them, or (``marking``) its main heading or main
+        element; never where an article or main element stands beside them
+        alone."""
+        n = len(self.tag)
+        plain, prose, marks, articles = [True] * n, [0] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            articles[i] = self.tag[i] in ("article", "main") or articles[self.parent[i]]
+            plain[i] = plain[self.parent[i]] and self.tag[i] not in ("a", "h1", "h2", "h3", "h4", "h5", "h6")
+        for node, text in self.events:
+            if text and not self.noise[node]:
+                marks[node] = marks[node] or self.tag[node] in ("h1", "main") and bool(text.strip())
+                if plain[node]:
+                    prose[node] += len("".join(text.split()))
+        path = [best]
+        while self.parent[path[-1]] >= 0:
+            path.append(self.parent[path[-1]])
+        said: set[str] = set()
+        for top in reversed(path):
+            if not self.label[top] - said:
+                continue
+            inside = [False] * n
+            inside[top] = True
+            for i in range(top + 1, n):
+                inside[i] = inside[self.parent[i]]
+            out = self._under(said)
+            here = sum(k for k, x in zip(prose, inside) if x)
+            beside = sum(k for k, x, y in zip(prose, inside, out) if not x and not y)
+            marked = marking and any(m and x for m, x in zip(marks, inside)) and not any(m and not x and not y for m, x, y in zip(marks, inside, out))
+            wrapped = any(a and k and x for a, k, x in zip(articles, prose, inside))
+            elsewhere = any(a and k and not x and not y for a, k, x, y in zip(articles, prose, inside, out))
+            if elsewhere and not wrapped:
+                break
+            if not marked and (beside if self.label[top] & KINDS_OF_TEXT else 2 * beside >= here):
+                break
+            said |= self.label[top]
+        return said
+
     def kept(self) -> list[bool]:
         """Which nodes belong to the article."""
         n = len(self.tag)
-        density, sums, chars, links = self.densities()
-        tops = [i for i in range(n) if not self.noise[i] and chars[i]]
-        if not tops:
+        most = lambda sums, chars, out: max((i for i in range(n) if not out[i] and chars[i]), key=lambda i: (sums[i], -i), default=None)
+        out, said = self._under(frozenset()), frozenset()
+        density, sums, chars, links = self.densities(self.noise)
+        all_density, all_chars, all_links = density, chars, links  # of labelled parts too
+        best = most(sums, chars, self.noise)
+        if best is None:
             return [False] * n
-        best = max(tops, key=lambda i: (sums[i], -i))
+        if out != self.noise:
+            labelled = best if out[best] else most(sums, chars, [x or not y for x, y in zip(self.noise, out)])
+            said = self._said(labelled, labelled == best) if labelled is not None else said
+            out = self._under(said)
+        if out != self.noise:
+            density, sums, chars, links = self.densities(out)
+            best = most(sums, chars, out)
+            if best is None:
+                return [False] * n
         path = [best]
         while self.parent[path[-1]] >= 0:
             path.append(self.parent[path[-1]])
-        # An article or main element around the best node is the article.
+        # The outermost article element around the best node, or else the main element.
         for tag in ("article", "main"):
             around = [i for i in path if self.tag[i] == tag]
             if around:
-                best = around[0]
+                best = around[-1]
                 path = path[path.index(best) :]
                 break
         threshold = min((density[i] for i in path if self.tag[i] not in ("#root", "html")), default=0.0)
@@ -236,11 +313,15 @@ class Page:
             p = self.parent[i]
             if self.noise[i]:
                 continue
-            if i == best or (p >= 0 and whole[p]):
+            if i == best:
                 whole[i] = True
-            elif p in on_path and i not in on_path and chars[i] and self.tag[best] not in ("article", "main"):
+            elif p >= 0 and whole[p]:
+                label = self.label[i] - said
+                sparse = all_links[i] > 0.5 * all_chars[i] or all_density[i] < threshold
+                whole[i] = not label or not (label & VISITORS or sparse)
+            elif p in on_path and i not in on_path and not out[i] and chars[i]:
                 inside = self.tag[p] not in ("#root", "html", "body") and self.tag[i] in TEXT_TAGS
-                whole[i] = links[i] <= 0.5 * chars[i] and (density[i] >= threshold or inside)
+                whole[i] = links[i] <= 0.5 * chars[i] and (density[i] >= threshold or inside or self.tag[i] == "article")
         return whole
 
     def text(self) -> str:

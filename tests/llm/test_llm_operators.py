@@ -252,6 +252,22 @@ def test_html_attributes(attrs):
         assert html_density.main_text(f"<body><article><p>{one}</p><p {gone}>{three}</p></article></body>") == one
 
 
+def test_html_articles_and_layouts():
+    one = "A first long enough paragraph of the article, with commas and words that go on for a while."
+    two = "Another paragraph, which says a little more about the same thing and then comes to its end."
+    short, nav = "A third one.", "<nav><a href=/>Home</a></nav>"
+    text = lambda body: html_density.main_text(f"<html><body>{nav}{body}<div class=ad>Buy</div></body></html>").split("\n")
+    assert text(f"<main><article><p>{one}</p><p>{two}</p></article><article><p>{short}</p></article></main>") == [one, two, short]
+    assert text(f"<article><p>{short}</p><article><p>{one}</p><p>{two}</p></article><p>{short}</p></article>") == [short, one, two, short]
+    for name in ("sidebar-left layout", "elementor-widget", "search-page", "notice", "social"):
+        assert text(f"<div class='{name}'><h1>T</h1><p>{one}</p><p>{two}</p><div class=share><a href=x>Share</a></div></div>") == ["T", one, two]
+    assert text(f"<div class=widget><p>{one}</p></div><div class=widget><p>{two}</p></div>") == [one, two]
+    assert text(f"<article><p>{one}</p><p class=notice>{two}</p><div class=related><a href=1>x y z</a></div></article>") == [one, two]
+    assert text(f"<div id=post><p>{one}</p></div><div class=comments><p>{two}</p><p>{two}</p><p>{two}</p></div>") == [one]
+    assert text(f"<div class=ad>{one}</div><article><h1>T</h1><p>{short}</p></article>") == ["T", short]
+    assert text(f"<div><p>{one}</p><p>{two}</p></div><div class=sidebar><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div>") == [one, two]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 8))
