@@ -11,6 +11,9 @@ Entropy is compared in whole numbers (c * log2 c in units of 1e-9), so equal
 windows are judged equally everywhere. Positions are code points, end
 exclusive.
 
+Keys of fewer than 16 characters, and those of fewer than 24 that signs (+ / _
+-) cut into parts of fewer than 16, are found by the base patterns only.
+
 Cases: null or empty text has no spans; texts of any length are read whole;
 repeated rows give the same spans; other columns pass through.
 """
@@ -68,15 +71,21 @@ def weight(c: int) -> int:
 CLASSES = (
     CharClass("entropy_hex", "0-9A-Fa-f", "0123456789abcdef", 24, 3.0, fold=True),
     CharClass("entropy_base64", "A-Za-z0-9+/_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 24, 4.0),
+    # Keys of one case or without signs, of 16 characters or more: the bounds are
+    # about the 1 % quantile of random strings (upper: of base32, the smaller one).
+    CharClass("entropy_lower", "a-z0-9", "abcdefghijklmnopqrstuvwxyz0123456789", 16, 3.07),
+    CharClass("entropy_upper", "A-Z0-9", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, 3.02),
+    CharClass("entropy_mixed", "A-Za-z0-9", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 16, 3.28),
 )
 
 # Candidates that are no secrets: digits or letters of one case alone (a
-# leading capital aside), identifiers in UUID form, plain alphabets, and
+# leading capital aside), words joined by capitals, identifiers in UUID form, plain alphabets, and
 # strings that call themselves examples.
 ALLOW = (
     "^[0-9]+$",
     "^[A-Za-z]?[a-z]+$",
     "^[A-Z]+$",
+    "^[A-Za-z]?[a-z]+([A-Z][a-z]+)+$",
     "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     "(?i)0123456789|abcdefghijklm|qwertyuiop",
     "(?i)example|sample|placeholder|dummy|changeme|xxxxxxxx",

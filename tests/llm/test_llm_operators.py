@@ -141,6 +141,23 @@ def test_secret_spans(spark, odd, none):
     assert secret_entropy.redact(one).first()["text"] == 'a [SECRET]" b'
 
 
+def test_secret_recall(spark, sf01):
+    rng = random.Random(8)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"base36": low + digits, "BASE36": up + digits, "base32": up + "234567", "base62": low + up + digits}
+    rows = [(f"{a} {k}", f"see {''.join(rng.choices(x, k=k))} here") for a, x in alphabets.items() for k in (16, 20, 24, 32, 40) for _ in range(200)]
+    rows += [(f"base64 {k}", f"see {''.join(rng.choices(low + up + digits + '+/', k=k))} here") for k in (24, 32, 40) for _ in range(200)]
+    keys = spark.createDataFrame(rows, "kind string, text string")
+    found = secret_entropy.scan(keys).groupBy("kind").agg(F.avg((F.size("_spans") > 0).cast("int")).alias("part")).collect()
+    # Keys of letters alone pass for words of one case: up to 5 % of base32 at 16 characters.
+    assert {r["kind"]: r["part"] for r in found if r["part"] < 0.9} == {}
+    plain = ["https://example.org/articles/2023/11/a-longer-title-of-a-page", "getElementsByTagNameAndClassName", "Donaudampfschifffahrtsgesellschaft", "INTERNATIONALISATION", "+49 30 12345678901234567890", "123e4567-e89b-12d3-a456-426614174000"]
+    clean = spark.createDataFrame([(x,) for x in plain], "text string")
+    assert [r["text"] for r in secret_entropy.scan(clean).where(F.size("_spans") > 0).collect()] == []
+    prose = documents(spark, sf01).where("text not rlike '[A-Za-z]*[0-9][A-Za-z0-9]{11,}|[A-Za-z0-9]{11,}[0-9]'")
+    assert prose.count() > 900 and secret_entropy.scan(prose.select("text")).where(F.exists("_spans", lambda x: x["place"] > 2)).count() == 0
+
+
 def test_quality_rules(spark, sf01, odd, none):
     judged = divergence.judge(documents(spark, sf01), carry=["doc_id"]).select("doc_id", "_quality.*")
     rows = judged.join(spark.read.parquet(f"{sf01}/labels.parquet"), "doc_id").collect()
