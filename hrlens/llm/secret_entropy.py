@@ -5,7 +5,8 @@ windows of Shannon entropy add strings that no pattern names: for each
 character class, runs of its characters are candidates; the counts of a
 window's characters are kept while it slides by one (one in, one out), and
 the windows at or above the class's bound make a span. Allow-listed strings
-and spans that a base span already covers are not added.
+are not added, nor spans that a base span meets; ``redact`` keeps those, unless
+a base span covers them whole, so that no part of a secret stays.
 
 Entropy is compared in whole numbers (c * log2 c in units of 1e-9), so equal
 windows are judged equally everywhere. Positions are code points, end
@@ -80,15 +81,18 @@ CLASSES = (
 
 # Candidates that are no secrets: digits or letters of one case alone (a
 # leading capital aside), words joined by capitals, identifiers in UUID form, plain alphabets, and
-# strings that call themselves examples.
+# runs that call themselves examples or hold a piece of an alphabet, with 15
+# characters at most before and after that: fewer than any window, so no secret
+# beside it goes with it.
 ALLOW = (
     "^[0-9]+$",
     "^[A-Za-z]?[a-z]+$",
     "^[A-Z]+$",
     "^[A-Za-z]?[a-z]+([A-Z][a-z]+)+$",
     "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    "(?i)0123456789|abcdefghijklm|qwertyuiop",
-    "(?i)example|sample|placeholder|dummy|changeme|xxxxxxxx",
+    "^(abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|0123456789|234567|[+/_-])+$",
+    "(?i)^.{0,15}(0123456789|abcdefghijklm|qwertyuiop).{0,15}$",
+    "(?i)^.{0,15}(example|sample|placeholder|dummy|changeme|xxxxxxxx).{0,15}$",
 )
 
 
@@ -148,7 +152,7 @@ def entropy_spans(codes: Column, cls: CharClass) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), begin, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
 
 
-def _added(d: DataFrame, name: str, cls: CharClass, place: int, allow: tuple[str, ...]) -> DataFrame:
+def _added(d: DataFrame, name: str, cls: CharClass, place: int, allow: tuple[str, ...], overlapping: bool) -> DataFrame:
     """``d`` plus the entropy spans ``name`` of one character class."""
     d = located(d, cls.pattern, name)
     known = lambda x: functools.reduce(lambda a, b: a | b, [x["match"].rlike(p) for p in allow], F.lit(False))
@@ -167,14 +171,19 @@ def _added(d: DataFrame, name: str, cls: CharClass, place: int, allow: tuple[str
         return F.struct(ends[0], F.lit(place).alias("place"), ends[1], F.lit(cls.kind).alias("kind"))
 
     d = d.withColumn(name, F.transform(F.filter(name, lambda x: x["w"]["lo"].isNotNull()), span))
-    # A span is added where no base span meets it.
-    meets = lambda x: F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return d.withColumn(name, F.filter(name, lambda x: ~meets(x)))
+    # A span is added where no base span meets it, or (``overlapping``) holds it whole.
+    meets = lambda x, b: (b["start"] < x["end"]) & (x["start"] < b["end"])
+    holds = lambda x, b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])
+    drop = holds if overlapping else meets
+    return d.withColumn(name, F.filter(name, lambda x: ~F.exists("_base", lambda b: drop(x, b))))
 
 
-def scan(docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan(
+    docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, overlapping: bool = False
+) -> DataFrame:
     """``docs`` plus an array ``_spans`` of (start, place, end, kind), sorted;
-    ``place`` is the kind's place in the order of kinds."""
+    ``place`` is the kind's place in the order of kinds. With ``overlapping``
+    an entropy span stays unless a base span holds it whole."""
     carry = [c for c in docs.columns if c != "_spans"]
     d = docs.select(pack(carry), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     d = located(d, ASSIGN, "_assign", 2)
@@ -189,7 +198,7 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = C
 
     d = d.withColumn("_base", F.concat(*[spans(f"_{k}", i, k) for i, k in enumerate(KINDS)]))
     for n, cls in enumerate(classes):
-        d = _added(d, f"_c{n}", cls, len(KINDS) + n, allow)
+        d = _added(d, f"_c{n}", cls, len(KINDS) + n, allow, overlapping)
     added = [f"_c{n}" for n in range(len(classes))]
     d = d.withColumn("_spans", F.sort_array(F.concat("_base", *added)))
     return d.select(*unpack(carry), "_spans")
@@ -203,7 +212,7 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark`` (overlapping
     spans by one); null texts stay null."""
-    d = scan(docs.select(pack(docs.columns), F.col(text).alias("text")), "text")
+    d = scan(docs.select(pack(docs.columns), F.col(text).alias("text")), "text", overlapping=True)
     begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
