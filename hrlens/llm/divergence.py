@@ -6,9 +6,15 @@ same histograms summed over all documents of a language. A document whose
 Jensen-Shannon distance to the nearest reference is above a bound is rejected,
 provided it is long enough for its histogram to mean anything.
 
+The languages with a word list (``COMMON_WORDS``) are judged by both
+histograms, against the references of all of these. Any other language of the
+table has a reference of character classes only, from its own documents: they
+are held to the nearest of that and the former, and to no word histogram.
+
 Cases: null or empty text counts as a text without words (``base_failed``);
-a table without any document of a known language has no reference, so only
-the base rules decide; repeated rows are judged alike; other columns pass
+documents whose language is null have no reference, so only the base rules
+decide (these count words by white space, so texts of scripts without it have
+few); repeated rows are judged alike; other columns pass
 through untouched by ``keep``.
 """
 
@@ -132,7 +138,17 @@ def references(counted: DataFrame) -> list[dict]:
     return out
 
 
-def js_distance(counts: Column, total: Column, reference: list[float]) -> Column:
+def other_references(counted: DataFrame) -> DataFrame:
+    """lang, own: the summed class histogram, as shares, of each language
+    without a word list; one row for each."""
+    k = len(CLASSES)
+    sums = [F.sum(F.col("_f")["classes"][i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(k)]
+    rows = counted.where(F.col("lang").isNotNull() & ~F.col("lang").isin(LANGS)).groupBy("lang").agg(*sums)
+    total = sum((F.col(f"s{i}") for i in range(1, k)), F.col("s0")).cast("double")
+    return rows.where(total > 0).select("lang", F.array(*[F.col(f"s{i}").cast("double") / total for i in range(k)]).alias("own"))
+
+
+def js_distance(counts: Column, total: Column, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance (base 2) of a count histogram, summing to
     ``total``, to a reference."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
@@ -142,7 +158,7 @@ def js_distance(counts: Column, total: Column, reference: list[float]) -> Column
         m = (p + q) / 2
         return part(p, m) + part(q, m)
 
-    terms = F.zip_with(counts, F.lit(reference), term)
+    terms = F.zip_with(counts, reference if isinstance(reference, Column) else F.lit(reference), term)
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
@@ -160,15 +176,26 @@ def judge(
     """The columns ``carry`` (default: all) of ``docs`` plus a struct
     ``_quality``: base counts, ``base_failed``, both distances (null where the
     text is too short) and ``kept``. The counts are written once and read for
-    the references and for the verdict."""
+    the references and for the verdict; so are the references of languages
+    without a word list, for Spark to see their bytes before it joins them."""
     carry = [c for c in docs.columns if c != "_quality"] if carry is None else carry
     counted = stored(features(docs, text, lang, carry), "features")
     refs = references(counted)
     f = F.col("_f")
     chars, n = f["word_chars"], f["n_words"]
-    class_js = F.when(chars >= rules.min_class_chars, nearest(f["classes"], chars, [r["classes"] for r in refs]))
-    word_js = F.when(n >= rules.min_words, nearest(f["common"], n, [r["common"] for r in refs]))
-    d = counted.withColumn("_cj", class_js).withColumn("_wj", word_js)
+    listed, long = F.col("lang").isin(LANGS), chars >= rules.min_class_chars
+    class_js = nearest(f["classes"], chars, [r["classes"] for r in refs])
+    word_js = nearest(f["common"], n, [r["common"] for r in refs])
+    d = counted.withColumn("_cj", F.when(long & listed, class_js)).withColumn("_wj", F.when((n >= rules.min_words) & listed, word_js))
+    others = stored(other_references(counted), "other_references")
+    if not others.isEmpty():
+        rest = F.col("lang").isNotNull() & ~listed
+        known = d.where(F.col("lang").isNull() | listed)
+        apart = d.where(rest).join(others, "lang", "left")
+        own = F.when(F.col("own").isNotNull(), js_distance(f["classes"], chars, F.col("own")))
+        # least() passes over nulls.
+        apart = apart.withColumn("_cj", F.when(long & F.col("own").isNotNull(), F.least(own, class_js))).drop("own")
+        d = known.unionByName(apart)
     failed = (f["n_words"] < rules.base_min_words) | (f["n_repeat_words"] * 100 > f["n_words"] * rules.base_repeat_percent)
     bound = lambda ab, k: F.lit(ab[0]) + F.lit(ab[1]) / F.sqrt(k)
     far = F.coalesce(F.col("_cj") > bound(rules.class_bound, chars), F.lit(False)) | F.coalesce(

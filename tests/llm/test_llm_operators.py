@@ -186,6 +186,22 @@ def test_quality_rules(spark, sf01, odd, none):
     assert failed["1"] and failed["2"] and failed["4"]
 
 
+def test_quality_other_languages(spark, sf001):
+    rng = random.Random(9)
+    letters = {"ru": "абвгдежзиклмнопрстуфхя", "el": "αβγδεζηθικλμνξοπρστυφω", "ar": "ابتثجحخدذرزسشصضطظعغف", "zu": "abcdefghijklmnopqrstuvwxyz"}
+    word = lambda x: "".join(rng.choices(x, k=rng.randint(2, 9)))
+    say = lambda x: ". ".join(" ".join(word(x) for _ in range(9)) for _ in range(12))
+    rows = [(100_000 + 100 * k + i, say(x), lang) for k, (lang, x) in enumerate(letters.items()) for i in range(30)]
+    junk = " ".join("".join(rng.choices("#*$%&|<>0123456789", k=8)) for _ in range(100))
+    rows += [(200_000, junk, "ru"), (200_001, say(letters["ru"]), None)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = documents(spark, sf001).select("doc_id", "text", "lang")
+    kept = {r["doc_id"] for r in divergence.keep(docs.unionByName(extra)).collect()}
+    assert {d for d in kept if d >= 100_000} == {r[0] for r in rows} - {200_000}
+    assert {d for d in kept if d < 100_000} == {r["doc_id"] for r in divergence.keep(docs).collect()}
+    assert divergence.keep(extra).count() == len(rows) - 1
+
+
 def test_mix(spark, sf01, odd, none):
     mix = cube_mix.Mix(block=50)
     rows = cube_mix.taken(documents(spark, sf01), mix, carry=["doc_id", "source"]).select("doc_id", "source", "_mix.*").toPandas()
