@@ -9,12 +9,12 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from hrlens.plans import registry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = registry.queries()
+SQL = registry.oracle_sql()
 
 
 def _norm(v):

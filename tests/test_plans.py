@@ -3,9 +3,9 @@ departments, partial top-k before the shuffle, pruned Parquet scans."""
 
 import pytest
 
-import __spark_entry__ as E
+from hrlens.plans import registry
 
-QUERIES = E.queries()
+QUERIES = registry.queries()
 
 
 def plan(df) -> str:
