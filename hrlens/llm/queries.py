@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrlens.llm import ball_tree, cube_mix, divergence, html_density, jaccard_join, secret_entropy, spm_scan, token_records, warc, zstd_quality
+from hrlens.llm import ball_tree, cube_mix, divergence, html_density, jaccard_join, periodic_runs, secret_entropy, spm_scan, token_records, warc, zstd_quality
 from hrlens.llm.common import table
 from hrlens.llm.oracle import SQL
 
@@ -86,6 +86,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.with_runs(docs, carry=["doc_id"])
+    runs, best = F.col("_runs.runs"), periodic_runs.strongest(F.col("_runs.runs"))
+    lines = F.transform(runs, lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.select("doc_id", "_runs", best.alias("_best"), F.concat_ws("", lines).alias("_lines"))
+    return found.select(
+        "doc_id",
+        F.size("_runs.runs").cast("long").alias("n_runs"),
+        *[F.col(f"_best.{x}").alias(x) for x in ("start", "length", "period")],
+        F.expr("_best.length * 1000 div _best.period").alias("exponent_milli"),
+        F.sha2("_lines", 256).alias("runs_sha256"),
+        F.sha2("_runs.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -100,6 +116,7 @@ def queries() -> dict:
         op8_token_records,
         op9_jaccard_join,
         op10_quality_classifier,
+        op13_periodic_runs,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
