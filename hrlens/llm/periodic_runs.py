@@ -39,12 +39,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrlens.llm.common import pack, unpack
+from hrlens.llm.common import byte_batches, pack, unpack
 
 COVER = 31
 #: A perfect difference set: any two residues modulo 31 meet at one shift.
 RESIDUES = (1, 5, 11, 24, 25, 27)
-BATCH_WORDS = 400_000
+BATCH_WORDS = 250_000
 
 RUNS = "array<struct<start:long,length:long,period:long>>"
 
@@ -251,16 +251,20 @@ def with_runs(docs: DataFrame, rules: Runs = Runs(), text: str = "text", carry:
     @F.pandas_udf(f"n_words long, runs {RUNS}, collapsed string")
     def answers(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in columns:
-            made, held, n = [], [], 0
+            held, n = [], 0
             for i, x in enumerate(column, 1):
                 held.append(x.encode("utf-8").split())
                 n += len(held[-1])
                 if n >= BATCH_WORDS or i == len(column):
-                    made += zip(map(len, held), *_answers(held, rules), strict=True)
+                    yield answered(held)
                     held, n = [], 0
-            listed = [[dict(zip(("start", "length", "period"), x, strict=True)) for x in runs.tolist()] for _, runs, _ in made]
-            yield pd.DataFrame({"n_words": [x[0] for x in made], "runs": listed, "collapsed": [x[2] for x in made]})
 
+    def answered(words: list[list[bytes]]) -> pd.DataFrame:
+        runs, texts = _answers(words, rules)
+        listed = [[dict(zip(("start", "length", "period"), x, strict=True)) for x in r.tolist()] for r in runs]
+        return pd.DataFrame({"n_words": list(map(len, words)), "runs": listed, "collapsed": texts})
+
+    byte_batches(docs.sparkSession)
     out = docs.select(pack(names), answers(F.coalesce(F.col(text), F.lit(""))).alias("_runs"))
     return out.select(*unpack(names), "_runs")
 
