@@ -163,10 +163,50 @@ SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
 
+# crc32 bit by bit; every prefix of every conversation as a list of turns.
+OP11 = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]),
+           lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+), c AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, s, xor(4294967295, list_reduce(list_concat([4294967295],
+           list_transform(string_split(conv_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+           lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]))) % 6 AS h
+  FROM c, crc
+), r AS (
+  SELECT h.conv_id, list_concat(list_slice(coalesce(b.s, []), 1, h), list_slice(h.s, h + 1, len(h.s))) AS s
+  FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100
+), n AS (
+  SELECT conv_id, d, list_slice(s, 1, d) AS k, len(s) = d AS ends
+  FROM r, unnest(range(0, len(s) + 1)) AS u(d)
+), g AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM n GROUP BY k, d
+), q AS (
+  SELECT p.k, p.d, count(*) AS n_children FROM g JOIN g p ON p.d = g.d - 1 AND p.k = list_slice(g.k, 1, g.d - 1)
+  GROUP BY p.k, p.d
+), u AS (
+  SELECT list_slice(g.k, 1, a) AS k, a AS d, count(*) FILTER (WHERE q.k IS NULL) AS n_leaves,
+         sum(CASE WHEN g.d > 0 THEN (g.n_convs - 1) * length(g.k[g.d].x) ELSE 0 END) AS saved_tokens
+  FROM g LEFT JOIN q ON q.d = g.d AND q.k = g.k, unnest(range(0, g.d + 1)) AS v(a) GROUP BY 1, 2
+)
+SELECT g.conv_id, g.d AS depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens::BIGINT AS saved_tokens, g.ends_sha256
+FROM g JOIN u ON u.d = g.d AND u.k = g.k
+LEFT JOIN q ON q.d = g.d AND q.k = g.k
+LEFT JOIN g p ON p.d = g.d - 1 AND p.k = list_slice(g.k, 1, g.d - 1)
+"""
+
 SQL = {
     "op3_top_k": OP3,
     "op5_secret_scan": OP5,
     "op6_quality_rules": OP6,
     "op7_warc": OP7,
     "op9_jaccard_join": OP9,
+    "op11_prefix_trie": OP11,
 }

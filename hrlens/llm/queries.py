@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrlens.llm import ball_tree, cube_mix, divergence, html_density, jaccard_join, periodic_runs, secret_entropy, spm_scan, token_records, warc, zstd_quality
+from hrlens.llm import ball_tree, cube_mix, divergence, html_density, jaccard_join, periodic_runs, prefix_trie, secret_entropy, spm_scan, token_records, warc, zstd_quality
 from hrlens.llm.common import table
 from hrlens.llm.oracle import SQL
 
@@ -86,6 +86,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    nodes = prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.conversations(turns)))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = periodic_runs.with_runs(docs, carry=["doc_id"])
@@ -116,6 +122,7 @@ def queries() -> dict:
         op8_token_records,
         op9_jaccard_join,
         op10_quality_classifier,
+        op11_prefix_trie,
         op13_periodic_runs,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
