@@ -11,6 +11,7 @@ from hrlens.session import ensure_checkpoint_dir
 
 # Word separators of every contract here: space and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
@@ -25,10 +26,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut
-    in storage that outlives any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    in storage that outlives any executor. The shuffle files behind it are
+    removed once it stands."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrlens.llm import ball_tree, cube_mix, divergence, html_density, jaccard_join, periodic_runs, prefix_trie, secret_entropy, spm_scan, token_records, warc, zstd_quality
+from hrlens.llm import ball_tree, cube_mix, divergence, html_density, jaccard_join, periodic_runs, prefix_trie, repeats, secret_entropy, spm_scan, token_records, warc, zstd_quality
 from hrlens.llm.common import table
 from hrlens.llm.oracle import SQL
 
@@ -92,6 +92,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeats.without(docs, carry=["doc_id"])
+    removed = F.aggregate("_repeats.spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return out.select(
+        "doc_id",
+        "_repeats.n_bytes",
+        removed.alias("n_removed"),
+        F.size("_repeats.spans").cast("long").alias("n_spans"),
+        F.sha2("_repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = periodic_runs.with_runs(docs, carry=["doc_id"])
@@ -123,6 +136,7 @@ def queries() -> dict:
         op9_jaccard_join,
         op10_quality_classifier,
         op11_prefix_trie,
+        op12_suffix_dedup,
         op13_periodic_runs,
     )
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
