@@ -295,7 +295,8 @@ def spans(docs: DataFrame, rules: Repeats = Repeats(), keep: str = "none", text:
     byte_batches(spark)
     texts = _texts(docs, text, key).where(F.octet_length("text") >= rules.length)
     found = _anchored(texts, rules, kind)
-    cores = found.groupBy("core").count().where("count > 1").select("core")
+    # written, so that the join below has plain shuffles that AQE can split at a hot core
+    cores = stored(found.groupBy("core").count().where("count > 1").select("core"), "cores")
     hits = stored(found.join(cores, "core"), "hits")
     place = F.struct("id", "th", "first", "last")
     kinds = stored(hits.groupBy("core", "digest").agg(F.count("*").alias("n"), F.min(place).alias("at")), "kinds")
