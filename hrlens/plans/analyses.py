@@ -26,7 +26,8 @@ from hrlens.operators.aggregates import (
 from hrlens.operators.hierarchy import direct_report_counts, resolve_manager
 from hrlens.operators.joins import exists_in, join_dimension
 from hrlens.operators.rates import rate_aggs, tenure_bucket, with_tenure
-from hrlens.operators.windows import change_from_previous, date_split, top_n_per_group, vs_group_mean
+from hrlens.operators.ordered import Pieces, previous_value, top_n_with_ties
+from hrlens.operators.windows import change_from_previous, date_split, vs_group_mean
 from hrlens.schemas import (
     AT_OR_ABOVE_BAND,
     BAND_UNIT,
@@ -229,19 +230,12 @@ def gender_pay_gap_by_level(t: HRTables) -> DataFrame:
 # Window analyses
 # --------------------------------------------------------------------------- #
 def top3_salary_by_department(t: HRTables, n: int = 3) -> DataFrame:
-    """rank() <= n of salary within each department, ties kept; a NULL
-    salary ranks first (descending NULLS FIRST). Plan: partial top-n per
-    task before the shuffle, so a huge department ships a few rows."""
-    ranked = top_n_per_group(
-        t.employees.select("full_name", "dept_id", "monthly_salary_idr"),
-        ["dept_id"],
-        F.col("monthly_salary_idr").desc_nulls_first(),
-        n,
-        "salary_rank",
-    )
-    return _with_dept(ranked, t).select(
-        "dept_name", "salary_rank", "full_name", "monthly_salary_idr"
-    )
+    """rank() <= n of salary within each department, ties kept; a NULL salary
+    ranks first (descending NULLS FIRST). The ranks are found on (department,
+    salary) counts, so any number of ties spreads over tasks."""
+    emp = t.employees.select("full_name", "dept_id", "monthly_salary_idr")
+    ranked = top_n_with_ties(emp, ["dept_id"], "monthly_salary_idr", n, "salary_rank")
+    return _with_dept(ranked, t).select("dept_name", "salary_rank", "full_name", "monthly_salary_idr")
 
 
 def salary_vs_peer_average(t: HRTables) -> DataFrame:
@@ -264,22 +258,20 @@ def salary_vs_peer_average(t: HRTables) -> DataFrame:
     )
 
 
-def salary_changes(t: HRTables, split: str | None = "year") -> DataFrame:
-    """Every salary row with the previous salary of the same employee
-    (ordered by date, then salary id) and the change. The lag is windowed
-    per (employee, year) so one employee's history spreads over tasks;
-    ``split="month"`` spreads it further, ``None`` windows per employee."""
-    sal = t.salaries.select(
-        "salary_id", "employee_id", "effective_date", "monthly_salary_idr", "change_reason"
-    )
-    with_prev = change_from_previous(
-        sal,
-        "employee_id",
-        ["effective_date", "salary_id"],
-        "monthly_salary_idr",
-        "prev_salary",
-        split=date_split(F.col("effective_date"), split),
-    )
+def _previous_salary(sal: DataFrame, out: str, split: str | None, pieces: Pieces) -> DataFrame:
+    order, value = ["effective_date", "salary_id"], "monthly_salary_idr"
+    if split is None:
+        return previous_value(sal, "employee_id", order, value, out, pieces)
+    return change_from_previous(sal, "employee_id", order, value, out, split=date_split(F.col("effective_date"), split))
+
+
+def salary_changes(t: HRTables, split: str | None = None, pieces: Pieces = Pieces()) -> DataFrame:
+    """Every salary row with the previous salary of the same employee (ordered
+    by date, then salary id) and the change. An employee with more than
+    ``pieces.hot_rows`` rows is cut into pieces at quantiles of the history;
+    ``split="year"`` or ``"month"`` cuts every history by the calendar."""
+    sal = t.salaries.select("salary_id", "employee_id", "effective_date", "monthly_salary_idr", "change_reason")
+    with_prev = _previous_salary(sal, "prev_salary", split, pieces)
     emp = t.employees.select("employee_id", "full_name")
     return with_prev.join(emp, "employee_id").select(
         "full_name",

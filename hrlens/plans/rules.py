@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from hrlens.functions.dates import fractional_years
 from hrlens.functions.numeric import DEC, UNITS, exact_units, half_up_int, half_up_ratio, pct
 from hrlens.operators.rates import rate_aggs
-from hrlens.operators.windows import change_from_previous, date_split
-from hrlens.plans.analyses import RESIGNED, _with_dept
+from hrlens.operators.ordered import Pieces
+from hrlens.plans.analyses import RESIGNED, _previous_salary, _with_dept
 from hrlens.plans.extensions import level_rank
 from hrlens.schemas import (
     LEVEL_MULTIPLIER,
@@ -200,20 +200,11 @@ def manager_rule_violations(t: HRTables) -> DataFrame:
     ).where(~F.col("same_department") | ~F.col("manager_outranks"))
 
 
-def salary_history_checks(t: HRTables, initial_reason: str = "Initial", split: str | None = "year") -> DataFrame:
+def salary_history_checks(t: HRTables, initial_reason: str = "Initial", split: str | None = None, pieces: Pieces = Pieces()) -> DataFrame:
     """Per employee with history: rows, last salary vs current salary, first
     row's reason, and the number of pay decreases along the history."""
-    sal = t.salaries.select(
-        "salary_id", "employee_id", "effective_date", "monthly_salary_idr", "change_reason"
-    )
-    hist = change_from_previous(
-        sal,
-        "employee_id",
-        ["effective_date", "salary_id"],
-        "monthly_salary_idr",
-        "_prev",
-        split=date_split(F.col("effective_date"), split),
-    )
+    sal = t.salaries.select("salary_id", "employee_id", "effective_date", "monthly_salary_idr", "change_reason")
+    hist = _previous_salary(sal, "_prev", split, pieces)
     key = F.struct(
         F.struct(F.col("effective_date").isNull(), F.col("effective_date")),
         F.struct(F.col("salary_id").isNull(), F.col("salary_id")),
