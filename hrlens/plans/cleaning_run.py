@@ -20,6 +20,7 @@ from hrlens.schemas import TABLES
 from hrlens.session import scratch_path
 from hrlens.sources.raw import read_clean_tables, read_raw
 from hrlens.sources.sinks import write_parquet, write_report, write_table
+from hrlens.sources.versions import publish
 
 
 def clean_tables(spark: SparkSession, raw_dir: str, casing: str | None = None) -> dict[str, DataFrame]:
@@ -41,13 +42,16 @@ def run_cleaning(
     extended_checks: bool = False,
     staging_dir: str | None = None,
     partition_by: dict[str, list[str]] | None = None,
+    versioned: bool = False,
 ) -> DataFrame:
     """Clean the five raw tables and publish them to ``out_dir``.
 
     Raises ``ValidationError`` (before writing anything to ``out_dir``) when
     a check fails. Returns the write report (table, rows, cols) read back
     from the published files. ``partition_by`` maps a table to Parquet
-    partition columns, e.g. ``{"performance_reviews": ["review_period"]}``."""
+    partition columns, e.g. ``{"performance_reviews": ["review_period"]}``.
+    ``versioned`` publishes all five tables at once (``sources.versions``): a
+    run killed while it writes leaves the tables of the run before readable."""
     staging = staging_dir or scratch_path(spark, f"cleaning-{uuid.uuid4().hex}")
     for name, df in clean_tables(spark, raw_dir, casing).items():
         write_parquet(df, f"{staging}/{name}")
@@ -58,6 +62,9 @@ def run_cleaning(
         else validate_reference(staged.employees, staged.departments)
     )
     assert_valid(violations)
-    for name, df in staged.as_dict().items():
-        write_table(df, out_dir, name, fmt, (partition_by or {}).get(name))
+    if versioned:
+        publish(spark, staged.as_dict(), out_dir, fmt, partition_by)
+    else:
+        for name, df in staged.as_dict().items():
+            write_table(df, out_dir, name, fmt, (partition_by or {}).get(name))
     return write_report(spark, out_dir, TABLES, fmt)

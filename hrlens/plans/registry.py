@@ -15,11 +15,13 @@ from hrlens.plans.oracle_checks import CHECKS_SQL
 from hrlens.plans.extensions import EXTENSION_QUERIES
 from hrlens.plans.oracle_cleaning import CLEANING_SQL
 from hrlens.plans.oracle_extensions import EXTENSIONS_SQL
+from hrlens.plans.oracle_structures import STRUCTURES_SQL
 from hrlens.plans.rules import RULE_QUERIES
+from hrlens.plans.structures import STRUCTURE_QUERIES
 
 # Query families over the HR views: key -> HRTables -> DataFrame.
-VIEW_QUERIES = {**EXTENSION_QUERIES, **RULE_QUERIES, **CLEANING_QUERIES, **CHECK_QUERIES}
-VIEW_SQL = {**EXTENSIONS_SQL, **CLEANING_SQL, **CHECKS_SQL}
+VIEW_QUERIES = {**EXTENSION_QUERIES, **RULE_QUERIES, **CLEANING_QUERIES, **CHECK_QUERIES, **STRUCTURE_QUERIES}
+VIEW_SQL = {**EXTENSIONS_SQL, **CLEANING_SQL, **CHECKS_SQL, **STRUCTURES_SQL}
 from hrlens.sources.derive import hr_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
