@@ -21,8 +21,9 @@ collapse to one node. Pairs of nodes with Jaccard similarity of at least
 Blocks return a spanning forest of the links they find, never all pairs, and
 components come from repeated minimum labels over those edges.
 
-Hashes have 64 bits: two different n-grams or sets are taken for equal with a
-chance of about 5e-20 a pair.
+Words are hashed by XXH3 of their bytes, n-grams by mixing those, sets by XXH64
+of their n-grams; all have 64 bits, so two different n-grams or sets are taken
+for equal with a chance of about 5e-20 a pair.
 
 Cases: null, empty or blank text has the empty set, links with nothing and is
 its own component; repeated rows share a node; a null ``doc_id`` takes part
@@ -68,21 +69,7 @@ class Join:
 
 
 MULTIPLIER = 0x9E3779B97F4A7C15
-BLOCK = 1 << 20  # bytes hashed at a time
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse."""
-    out = []
-    for base in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
-        x = np.full(n, base, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
-_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BLOCK = 1 << 20  # bytes worked on at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,34 +79,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of ``data``: polynomials over its bytes,
-    from running sums, in blocks that end between words."""
-    hashes, starts, at = [], [], 0
-    while at < len(data):
-        end = at
-        while end < len(data):
-            end = min(len(data), end + BLOCK)
-            part = np.frombuffer(data, np.uint8, end - at, at)
-            space = _IS_SPACE[part]
-            if end < len(data) and space.any():
-                end = at + len(part) - int(space[::-1].argmax())
-                break
-        part, space = part[: end - at], space[: end - at]
-        inside = np.zeros(len(part) + 2, bool)
-        inside[1:-1] = ~space
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        lo, hi = edges[::2], edges[1::2]
-        power, inverse = _powers(-(-len(part) // BLOCK) * BLOCK)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_LETTERS[part] * power[: len(part)], out=sums[1:])
-        hashes.append(_mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)))
-        starts.append(lo + at)
-        at = end
-    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts, one after another, and each text's
+    number of words. A hash is XXH3 of the word's bytes, made once a word."""
+    split = [t.split() for t in texts]
+    count = np.array([len(w) for w in split], np.int64)
+    if not count.sum():
+        return np.empty(0, np.uint64), count
+    codes, words = pd.factorize(np.array([x for w in split for x in w], dtype=object))
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)[codes], count
 
 
 def shingle_sets(texts: Iterable[str | None], n: int) -> list[np.ndarray]:
@@ -135,9 +103,7 @@ def shingle_sets(texts: Iterable[str | None], n: int) -> list[np.ndarray]:
             size += len(raw[end]) + 1
             end += 1
         group = raw[at:end]
-        hashes, starts = word_hashes(b" ".join(group).translate(LOWER))
-        ends = np.cumsum([len(x) + 1 for x in group])
-        count = np.diff(np.searchsorted(starts, ends), prepend=0)
+        hashes, count = word_hashes([x.translate(LOWER) for x in group])
         first = np.cumsum(count) - count
 
         def grams(k: int, h: np.ndarray = hashes) -> np.ndarray:

@@ -95,14 +95,17 @@ def test_jaccard_odd_rows(odd, none):
 
 
 def test_word_hashes_over_blocks(monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-    jaccard_join._powers.cache_clear()
-    text = b"ab  cde\tf " + b"x" * 100 + b"\n yz"
-    hashes, starts = jaccard_join.word_hashes(text)
-    found = list(re.finditer(rb"[^\x20\x09-\x0d]+", text))
-    assert starts.tolist() == [m.start() for m in found]
-    assert hashes.tolist() == [int(jaccard_join.word_hashes(m[0])[0][0]) for m in found]
-    jaccard_join._powers.cache_clear()
+    """Every word has its own hash, whichever texts it is hashed with."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    texts = [b"ab cd  ab\n" * 9, b"", b"x" * 300 + b" cd", b" \t"]
+    hashes, count = jaccard_join.word_hashes(texts)
+    found = [w for t in texts for w in t.split()]
+    assert count.tolist() == [len(t.split()) for t in texts]
+    assert hashes.tolist() == [int(jaccard_join.word_hashes([w])[0][0]) for w in found]
+    assert len(set(hashes.tolist())) == len(set(found))
+    apart = jaccard_join.shingle_sets([t.decode() for t in texts], 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1 << 20)
+    assert [x.tolist() for x in apart] == [x.tolist() for x in jaccard_join.shingle_sets([t.decode() for t in texts], 2)]
 
 
 def brute_spans(t):

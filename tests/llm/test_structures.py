@@ -310,3 +310,17 @@ def test_query_matches_sql(spark, sf001, name):
     at = [names.index(c) for c in cols]
     theirs = sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=by_nulls)
     assert sorted((tuple(r) for r in df.select(cols).collect()), key=by_nulls) == theirs
+
+
+# --- hashes of the Jaccard join --------------------------------------------
+
+
+def test_words_that_polynomials_take_for_equal_are_not_linked(spark):
+    """Thue-Morse words collide under any polynomial modulo 2^64."""
+    from hrlens.llm import jaccard_join
+
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{word} one two"), (2, f"{other} one two"), (3, f"{word.upper()} one two")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_components(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
