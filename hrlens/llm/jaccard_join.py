@@ -13,8 +13,10 @@ collapse to one node. Pairs of nodes with Jaccard similarity of at least
   segment's contents key an inverted list. The lists are scanned: members meet
   under the list's smallest node (its hub) once, however many lists they
   share, in blocks of bounded size. Parity sketches, which can only
-  underestimate how many elements differ, sort out members that can have no
-  link there; the sets of the others are compared exactly.
+  underestimate how many elements differ, sort out pairs that can have no link
+  there. Each member is compared exactly with its leader, the smallest member
+  it may link with; then members that may link with one of another component
+  are compared exactly in blocks, so no link between components is lost.
 * The boundary is the size at which the emitted subsets would outnumber what
   the inverted lists cost, summed over the corpus's own size histogram.
 
@@ -268,18 +270,26 @@ def _folded(made: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in made])
 
 
-def _may_link(sizes: np.ndarray, blocks: np.ndarray, sketches: list[bytes], lo: int, hi: int, percent: int) -> np.ndarray:
+def _partners(
+    nodes: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, sketches: list[bytes], lo: int, hi: int, percent: int, labels: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Which members of the blocks ``lo`` and ``hi`` may be linked with one of
-    the other."""
+    the other (of another label), and the smallest such partner of each."""
     words, out = _folded(sketches), np.zeros(len(sizes), bool)
+    best = np.full(len(sizes), np.iinfo(np.int64).max)
     two = np.flatnonzero(blocks == hi)
     for i in np.flatnonzero(blocks == lo):
         differ = np.bitwise_count(words[two] ^ words[i]).sum(axis=1, dtype=np.int64)
         able = (100 + percent) * differ <= (100 - percent) * (sizes[two] + sizes[i])
         able &= two != i
-        out[two[able]] = True
-        out[i] |= able.any()
-    return out
+        if labels is not None:
+            able &= labels[two] != labels[i]
+        with_i = two[able]
+        if len(with_i):
+            out[with_i] = out[i] = True
+            best[with_i] = np.minimum(best[with_i], nodes[i])
+            best[i] = min(best[i], nodes[with_i].min())
+    return out, best
 
 
 def with_node(docs: DataFrame, join: Join, text: str, carry: list[Column]) -> DataFrame:
@@ -398,14 +408,53 @@ def _by_pair(members: DataFrame, values: list[str], made: Callable, shape: str)
 
 
 def able(members: DataFrame, join: Join) -> DataFrame:
-    """hub, node: members that may be linked with another of their hub."""
+    """hub, node, leader: members that may be linked with another of their
+    hub, and the smallest of those (each pair of blocks has its own)."""
 
-    def made(key: tuple, rows: list) -> list[tuple[int, int]]:
+    def made(key: tuple, rows: list) -> list[tuple[int, int, int]]:
         node, block, size, sketches = zip(*rows)
-        may = _may_link(np.array(size), np.array(block), list(sketches), key[1], key[2], join.percent)
+        may, best = _partners(np.array(node), np.array(size), np.array(block), list(sketches), key[1], key[2], join.percent)
+        return [(key[0], node[i], best[i]) for i in np.flatnonzero(may)]
+
+    return _by_pair(members, ["node", "block", "n", "sketch"], made, "hub long, node long, leader long")
+
+
+def apart(members: DataFrame, join: Join) -> DataFrame:
+    """hub, node: members that may be linked with another of their hub that
+    has another ``label``."""
+
+    def made(key: tuple, rows: list) -> list[tuple[int, int]]:
+        node, block, size, label, sketches = zip(*rows)
+        may, _ = _partners(np.array(node), np.array(size), np.array(block), list(sketches), key[1], key[2], join.percent, np.array(label))
         return [(key[0], node[i]) for i in np.flatnonzero(may)]
 
-    return _by_pair(members, ["node", "block", "n", "sketch"], made, "hub long, node long").distinct()
+    return _by_pair(members, ["node", "block", "n", "label", "sketch"], made, "hub long, node long").distinct()
+
+
+def stars(leaders: DataFrame, join: Join) -> DataFrame:
+    """hub, node, lo, hi: each node (node, leader, n) beside its leader, the
+    members of a leader dealt over parts that each get the leader too."""
+    parts = F.greatest(F.ceil(F.count("*") / join.block), F.ceil(F.sum("n") / join.block_shingles))
+    counts = leaders.groupBy(F.col("leader").alias("hub")).agg(parts.alias("parts"))
+    members = leaders.withColumnRenamed("leader", "hub").join(counts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), "parts").alias("lo"))
+    heads = counts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("lo"))
+    return members.unionByName(heads).withColumn("hi", F.col("lo"))
+
+
+def led(members: DataFrame, join: Join) -> DataFrame:
+    """a, b: the links between a star's leader and its members."""
+
+    def made(key: tuple, rows: list) -> list[tuple[int, int]]:
+        sets = {node: np.asarray(x, np.int64) for node, x in rows}
+        lead = sets.pop(key[0])
+        out = []
+        for node, other in sets.items():
+            both = len(np.intersect1d(lead, other, assume_unique=True))
+            if 100 * both >= join.percent * (len(lead) + len(other) - both):
+                out.append((key[0], node))
+        return out
+
+    return _by_pair(members, ["node", "shingles"], made, "a long, b long")
 
 
 def verified(members: DataFrame, join: Join) -> DataFrame:
@@ -473,14 +522,26 @@ def components_of(docs: DataFrame, join: Join, text: str, doc_id: str, carry: li
     met = stored(met, "met")
     by_count = F.ceil(F.count("*") / join.block)
     near = stored(able(in_blocks(near, by_count).join(met.drop("id"), "node"), join), "able")
-    chosen = stored(met.join(near.select("node").distinct(), "node", "left_semi").select("node", "id", "n"), "chosen")
-    # Hubs that share members become one, so that a set is sent once.
-    groups = components(near.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    near = groups.select(F.col("label").alias("hub"), "node")
-    near = near.join(chosen.select("node", "n"), "node")
-    pairs = in_blocks(near, F.greatest(by_count, F.ceil(F.sum("n") / join.block_shingles))).select("hub", "node", "block", "lo", "hi")
-    edges = verified(pairs.join(shingles_of(docs, chosen, join, text, doc_id), "node"), join)
+    near = stored(near.groupBy("hub", "node").agg(F.min("leader").alias("leader")), "leaders")
+    leaders = near.groupBy("node").agg(F.min("leader").alias("leader"))
+    chosen = stored(met.join(leaders, "node").select("node", "id", "n", "leader"), "chosen")
+
+    # Each member is compared with its leader first; near copies are one star.
+    pairs = stars(chosen.select("node", "leader", "n"), join)
+    edges = stored(led(pairs.join(shingles_of(docs, chosen, join, text, doc_id), "node"), join), "links")
     labels = components(edges)
+
+    # What may still link two components: in blocks, hubs that share members as one.
+    rest = near.select("hub", "node").join(met.drop("id"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = stored(apart(in_blocks(rest, by_count), join), "apart")
+    if rest.limit(1).count():
+        groups = components(rest.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        rest = groups.select(F.col("label").alias("hub"), "node").join(rest.select("node").distinct(), "node")
+        rest = stored(rest.join(chosen.select("node", "n"), "node"), "rest")
+        pairs = in_blocks(rest, F.greatest(by_count, F.ceil(F.sum("n") / join.block_shingles))).select("hub", "node", "block", "lo", "hi")
+        wanted = chosen.join(rest.select("node"), "node", "left_semi")
+        more = stored(verified(pairs.join(shingles_of(docs, wanted, join, text, doc_id), "node"), join), "links")
+        labels = components(edges.unionByName(more))
     nodes = rows.where("node is not null").select("node").distinct().join(labels, "node", "left")
     return rows, nodes.select("node", F.coalesce("label", "node").alias("label"))
 
