@@ -24,14 +24,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number and checksum of its ids, and whether they decode
     to its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = spm_scan.encode(docs, PIECES)
-    back = spm_scan.decoded(PIECES)(F.col("_ids"))
-    return ids.select(
-        "doc_id",
-        F.size("_ids").cast("long").alias("n_tokens"),
-        spm_scan.checksum(F.col("_ids")).alias("ids_crc32"),
-        (back == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    out = spm_scan.encode_and_back(docs, PIECES, carry=["doc_id"])
+    return out.select("doc_id", "_tokens.n_tokens", "_tokens.ids_crc32", "_tokens.round_trip")
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

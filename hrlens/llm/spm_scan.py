@@ -419,25 +419,60 @@ def long_ids(texts: DataFrame, model: str, chunk: int = CHUNK, run: int = RUN) -
     return parts.groupBy("h1", "h2").agg(F.flatten(whole["ids"]).alias("ids"))
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (default: all) of ``docs`` plus ``_ids``."""
+def _encoded(docs: DataFrame, text: str, chunk: int, carry: list[str], model: str, short: Callable, long: Callable) -> DataFrame:
+    """The columns ``carry`` and ``_out``: ``short`` of texts that are one
+    chunk, ``long`` of the ids and the text of others."""
     small_batches(docs.sparkSession)
-    carry = [c for c in docs.columns if c != "_ids"] if carry is None else carry
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(pack(carry), t.alias("text"))
     is_long = F.length("text") >= chunk  # one character goes before a text
+    done = rows.where(~is_long).select("body", short(F.col("text")).alias("_out"))
+    keys = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    big = rows.where(is_long).select("body", "text", *keys)
+    ids = long_ids(big.dropDuplicates(["h1", "h2"]).select("h1", "h2", "text"), model, chunk)
+    both = done.unionByName(big.join(ids, ["h1", "h2"]).select("body", long(F.col("ids"), F.col("text")).alias("_out")))
+    return both.select(*unpack(carry), "_out")
+
+
+def encode(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (default: all) of ``docs`` plus ``_ids``."""
 
     @F.pandas_udf("array<int>")
     def short(texts: pd.Series) -> pd.Series:
         m = pieces(model)
         return pd.Series([np.frombuffer(m.whole(normalised(t)), "<i4") for t in texts], dtype=object)
 
-    done = rows.where(~is_long).select("body", short("text").alias("_ids"))
-    keys = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
-    big = rows.where(is_long).select("body", "text", *keys)
-    ids = long_ids(big.dropDuplicates(["h1", "h2"]).select("h1", "h2", "text"), model, chunk)
-    both = done.unionByName(big.select("body", "h1", "h2").join(ids, ["h1", "h2"]).select("body", F.col("ids").alias("_ids")))
-    return both.select(*unpack(carry), "_ids")
+    carry = [c for c in docs.columns if c != "_ids"] if carry is None else carry
+    out = _encoded(docs, text, chunk, carry, model, short, lambda ids, _: ids)
+    return out.withColumnRenamed("_out", "_ids")
+
+
+CHECKED = "n_tokens long, ids_crc32 long, round_trip boolean"
+
+
+def encode_and_back(docs: DataFrame, model: str, text: str = "text", chunk: int = CHUNK, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (default: all) of ``docs`` plus ``_tokens``: the
+    number of ids, their checksum, and whether they decode to the text. Ids
+    are made, counted and decoded in one place, so none travels for it."""
+
+    def checked(m: Pieces, t: str, ids: np.ndarray) -> tuple[int, int, bool]:
+        return len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), m.decode(ids) == t
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in CHECKED.split(", ")])
+
+    @F.pandas_udf(CHECKED)
+    def short(texts: pd.Series) -> pd.DataFrame:
+        m = pieces(model)
+        return frame([checked(m, t, np.frombuffer(m.whole(normalised(t)), "<i4")) for t in texts])
+
+    @F.pandas_udf(CHECKED)
+    def long(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        m = pieces(model)
+        return frame([checked(m, t, np.asarray(x)) for x, t in zip(ids, texts)])
+
+    carry = [c for c in docs.columns if c != "_tokens"] if carry is None else carry
+    return _encoded(docs, text, chunk, carry, model, short, long).withColumnRenamed("_out", "_tokens")
 
 
 def decoded(model: str):

@@ -98,12 +98,12 @@ def parse(data: memoryview | bytes, at: int = 0) -> tuple[int | None, np.ndarray
 @dataclass(frozen=True)
 class Tokens:
     """``path`` of a tokenizers file (which every executor can open);
-    ``end_id`` closes each document; ``file_chars``: text per file, about;
-    ``memory``: stretches that a worker remembers."""
+    ``end_id`` closes each document; ``file_bytes``: stored input per
+    file, about; ``memory``: stretches that a worker remembers."""
 
     path: str
     end_id: int = 0
-    file_chars: int = 24_000_000
+    file_bytes: int = 14_000_000
     memory: int = 700_000
 
 
@@ -182,8 +182,9 @@ def write(docs: DataFrame, folder: str, spec: Tokens, text: str = "text", doc_id
     small_batches(docs.sparkSession, 500)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"))
-    chars = rows.agg(F.sum(F.length("text").cast("decimal(38,0)"))).first()[0] or 0
-    files = max(1, -(-int(chars) // spec.file_chars))
+    # Sized by what the scan's statistics say, so that no job reads the texts for it.
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = max(1, -(-size // spec.file_bytes))
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(spec)

@@ -237,7 +237,7 @@ def test_sentencepiece(spark, odd, none):
 def test_token_records(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
-    spec = token_records.Tokens(BYTE_BPE, file_chars=60_000)
+    spec = token_records.Tokens(BYTE_BPE, file_bytes=60_000)
     rows = token_records.write_and_index(odd, spec, folder=str(tmp_path / "a")).orderBy("start").collect()
     tok = Tokenizer.from_file(BYTE_BPE)
     docs = sorted(odd.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0))
