@@ -182,8 +182,11 @@ def write(docs: DataFrame, folder: str, spec: Tokens, text: str = "text", doc_id
     small_batches(docs.sparkSession, 500)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"))
-    # Sized by what the scan's statistics say, so that no job reads the texts for it.
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Sized by the scan's statistics, so that no job reads the texts for it; where there are none, by the texts.
+    stats = rows._jdf.queryExecution().optimizedPlan().stats()
+    size = int(str(stats.sizeInBytes()))
+    if size >= int(docs.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1))):
+        size = int(rows.agg(F.sum(F.octet_length("text").cast("decimal(38,0)"))).first()[0] or 0) // 2
     files = max(1, -(-size // spec.file_bytes))
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
