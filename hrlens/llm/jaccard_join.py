@@ -55,7 +55,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 class Join:
     """``n``: words of a shingle. ``percent``: least Jaccard similarity.
     ``block``, ``block_shingles``: nodes, and their elements, that one task
-    compares with as many others.
+    compares with as many others; ``sketch_block``: the same for sketches.
     ``max_light``: largest boundary considered. ``probe``: what one entry of an
     inverted list costs, in emitted subsets (it is also verified)."""
 
@@ -63,6 +63,7 @@ class Join:
     percent: int = 90
     block: int = 512
     block_shingles: int = 200_000
+    sketch_block: int = 4096
     max_light: int = 60
     probe: float = 2.0
 
@@ -520,8 +521,8 @@ def components_of(docs: DataFrame, join: Join, text: str, doc_id: str, carry: li
     met = rows.join(near.select("node").distinct(), "node", "left_semi")
     met = met.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     met = stored(met, "met")
-    by_count = F.ceil(F.count("*") / join.block)
-    near = stored(able(in_blocks(near, by_count).join(met.drop("id"), "node"), join), "able")
+    by_count, by_sketch = F.ceil(F.count("*") / join.block), F.ceil(F.count("*") / join.sketch_block)
+    near = stored(able(in_blocks(near, by_sketch).join(met.drop("id"), "node"), join), "able")
     near = stored(near.groupBy("hub", "node").agg(F.min("leader").alias("leader")), "leaders")
     leaders = near.groupBy("node").agg(F.min("leader").alias("leader"))
     chosen = stored(met.join(leaders, "node").select("node", "id", "n", "leader"), "chosen")
@@ -533,7 +534,7 @@ def components_of(docs: DataFrame, join: Join, text: str, doc_id: str, carry: li
 
     # What may still link two components: in blocks, hubs that share members as one.
     rest = near.select("hub", "node").join(met.drop("id"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = stored(apart(in_blocks(rest, by_count), join), "apart")
+    rest = stored(apart(in_blocks(rest, by_sketch), join), "apart")
     if rest.limit(1).count():
         groups = components(rest.select(F.col("hub").alias("a"), F.col("node").alias("b")))
         rest = groups.select(F.col("label").alias("hub"), "node").join(rest.select("node").distinct(), "node")

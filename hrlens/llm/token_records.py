@@ -185,7 +185,7 @@ def write(docs: DataFrame, folder: str, spec: Tokens, text: str = "text", doc_id
     # Sized by the scan's statistics, so that no job reads the texts for it; where there are none, by the texts.
     stats = rows._jdf.queryExecution().optimizedPlan().stats()
     size = int(str(stats.sizeInBytes()))
-    if size >= int(docs.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1))):
+    if size > 1 << 60:  # Spark's own default, which stands for an unknown size
         size = int(rows.agg(F.sum(F.octet_length("text").cast("decimal(38,0)"))).first()[0] or 0) // 2
     files = max(1, -(-size // spec.file_bytes))
 
