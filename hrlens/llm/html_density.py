@@ -9,16 +9,19 @@ path belong to it unless they are mostly links.
 Page furniture that says what it is by element, role or as hidden takes no
 part in the counts and is left out of the text. A class or id that names
 furniture is a hint only: inside the article it takes out what is sparser than
-the threshold or mostly links (readers' comments always), beside the article it
-keeps a part from joining; where most of the page's prose stands under it, it
-is a layout's name and says nothing.
+the threshold or mostly links (adverts, notices, menus, sidebars and readers'
+comments always), beside the article it keeps a part from joining; where most
+of the page's prose stands under it, it is a layout's name and says nothing. A
+heading right before the article, or the page's only h1 above it, belongs to it.
 
 Text is put out block by block: character references decoded, white space
 within a block as one space (a line break element counts as white space),
 blocks joined by a line feed.
 
 Cases: null or empty html, and pages without text, give ""; broken markup is
-read the way browsers do, as far as closing tags go; pages of any length are
+read the way browsers do, as far as closing tags go (a tag or comment that
+never ends takes the rest of the page; a value whose quote is never closed ends
+its tag at the next ">"), in time linear in the page; pages of any length are
 read whole; repeated rows are extracted alike; other columns pass through.
 """
 
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrlens.llm.common import small_batches
+from hrlens.llm.common import byte_batches, small_batches
 
 # Fixed values of HTML: elements without an end tag, elements whose contents
 # are no markup, and block elements.
@@ -76,16 +79,26 @@ KINDS_OF_TEXT = VISITORS | frozenset(
     "ad ads adsense advert adverts advertisement advertising consent cookie cookies copyright gdpr newsletter popup promo promotion "
     "promoted sponsor sponsored".split()
 )
+# Parts that go out of an article whatever their density.
+ASIDES = KINDS_OF_TEXT | frozenset(
+    "banner breadcrumb breadcrumbs menu nav navbar navigation notice notices notification pager pagination paywall related share "
+    "sharing sidebar sidebars subscribe subscription".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset(["header"])  # also an element: noise outside an article
 BEARERS = frozenset(["has", "no", "with", "without"])  # "with-sidebar" names no sidebar
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 
+# White space and slashes, or one attribute: its whole name, then a quoted, bare
+# or empty value. A quote in a name or bare value opens nothing.
+_NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+_VALUE = r"[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*+)\"|'([^']*+)'|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)|(?=>))"
+_ATTR = re.compile(rf"({_NAME})(?:{_VALUE})?+")
+_BARE = _VALUE.replace("([", "(?:[")
+_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
+    rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{_NAME}(?:{_BARE})?+)*+)>|<!--(?:-?>|.*?--!?>)|<(?:!(?!--)|\?|/(?![a-zA-Z]))[^>]*+>", re.S
 )
-# One attribute: its whole name, then a quoted or bare value. What stands
-# between two is white space and slashes only, so matches follow each other.
-_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -133,22 +146,28 @@ class Page:
         self.tag, self.parent, self.noise, self.label = ["#root"], [-1], [False], [frozenset()]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at a block's start or end
         open_, in_article = [0], [0]
+        self.places: dict[str, list[int]] = {}  # where in open_ the elements of a tag stand
+        self.scopes, self.marks = [], []  # the same of SCOPE, and of SCOPE and CLOSES
         at, n = 0, len(source)
-        for m in iter(lambda: _TOKEN.search(source, at), None):
-            if m.start() > at:
-                self.events.append((open_[-1], source[at : m.start()]))
+        for start in iter(lambda: _MARKUP.search(source, at), None):
+            if start.start() > at:
+                self.events.append((open_[-1], source[at : start.start()]))
+            m = _TOKEN.match(source, start.start())
+            if m is None:  # never closed
+                at = n
+                break
             at = m.end()
-            tag = m[2] or m[5]
+            tag = m[2]
             if tag is None:
                 continue
             tag = tag.lower()
-            if m[1] or m[4]:
+            if m[1]:
                 self._close(open_, in_article, tag)
                 continue
             while open_[-1] and tag in CLOSES.get(self.tag[open_[-1]], ()):
                 self._pop(open_, in_article)
             if tag in CLOSES["p"] or tag in CLOSES:  # an open paragraph or item further up ends too
-                for k in range(len(open_) - 1, 0, -1):
+                for k in reversed(self.marks):
                     up = self.tag[open_[k]]
                     if tag in CLOSES.get(up, ()):
                         while len(open_) > k:
@@ -157,7 +176,7 @@ class Page:
                     if up in SCOPE:
                         break
             node = len(self.tag)
-            attrs = _attributes(m[3] or m[6] or "")
+            attrs = _attributes(m[3] or "")
             self.tag.append(tag)
             self.parent.append(open_[-1])
             self.noise.append(self.noise[open_[-1]] or _is_noise(tag, attrs, bool(in_article[-1])))
@@ -169,29 +188,36 @@ class Page:
             if tag in VOID:
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>|\Z", re.I).search(source, at)
-                at = end.end()
+                end = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(source, at)
+                at = source.find(">", end.end()) + 1 or n
                 continue
+            for places in self._places(tag):
+                places.append(len(open_))
             open_.append(node)
             in_article.append(in_article[-1] or tag in ("article", "main"))
         if at < n:
             self.events.append((open_[-1], source[at:]))
 
+    def _places(self, tag: str) -> list[list[int]]:
+        """The lists that hold the place of an open element."""
+        scope = tag in SCOPE
+        return [self.places.setdefault(tag, []), *[self.scopes] * scope, *[self.marks] * (scope or tag in CLOSES)]
+
     def _pop(self, open_: list[int], in_article: list) -> None:
         node = open_.pop()
         in_article.pop()
+        for places in self._places(self.tag[node]):
+            places.pop()
         if self.tag[node] in BLOCKS:
             self.events.append((node, None))
 
     def _close(self, open_: list[int], in_article: list, tag: str) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            up = self.tag[open_[k]]
-            if up == tag:
-                while len(open_) > k:
-                    self._pop(open_, in_article)
-                return
-            if up in SCOPE and tag not in BLOCKS:
-                return
+        here = self.places.get(tag)
+        if not here or (tag not in BLOCKS and self.scopes and self.scopes[-1] > here[-1]):
+            return
+        k = here[-1]
+        while len(open_) > k:
+            self._pop(open_, in_article)
 
     def densities(self, out: list[bool]) -> tuple[list[float], list[float], list[int], list[int]]:
         """Composite density, sum of the children's, characters and link
@@ -248,7 +274,7 @@ class Page:
         plain, prose, marks, articles = [True] * n, [0] * n, [False] * n, [False] * n
         for i in range(1, n):
             articles[i] = self.tag[i] in ("article", "main") or articles[self.parent[i]]
-            plain[i] = plain[self.parent[i]] and self.tag[i] not in ("a", "h1", "h2", "h3", "h4", "h5", "h6")
+            plain[i] = plain[self.parent[i]] and self.tag[i] not in HEADINGS | {"a"}
         for node, text in self.events:
             if text and not self.noise[node]:
                 marks[node] = marks[node] or self.tag[node] in ("h1", "main") and bool(text.strip())
@@ -309,6 +335,13 @@ class Page:
                 break
         threshold = min((density[i] for i in path if self.tag[i] not in ("#root", "html")), default=0.0)
         on_path, whole = set(path), [False] * n
+        after, last = [0] * n, {}  # the next element beside a node
+        for i in range(n - 1, 0, -1):
+            if chars[i] or i in on_path:
+                after[i] = last.get(self.parent[i], 0)
+                last[self.parent[i]] = i
+        h1 = [i for i in range(n) if self.tag[i] == "h1" and chars[i] and not out[i]]
+        above = {h1[0]} if len(h1) == 1 and h1[0] < best else set()  # the only h1
         for i in range(n):
             p = self.parent[i]
             if self.noise[i]:
@@ -318,10 +351,11 @@ class Page:
             elif p >= 0 and whole[p]:
                 label = self.label[i] - said
                 sparse = all_links[i] > 0.5 * all_chars[i] or all_density[i] < threshold
-                whole[i] = not label or not (label & VISITORS or sparse)
+                whole[i] = not label or not (label & ASIDES or sparse)
             elif p in on_path and i not in on_path and not out[i] and chars[i]:
+                heads = self.tag[i] in HEADINGS and (i in above or after[i] in on_path)
                 inside = self.tag[p] not in ("#root", "html", "body") and self.tag[i] in TEXT_TAGS
-                whole[i] = links[i] <= 0.5 * chars[i] and (density[i] >= threshold or inside or self.tag[i] == "article")
+                whole[i] = links[i] <= 0.5 * chars[i] and (density[i] >= threshold or inside or heads or self.tag[i] == "article")
         return whole
 
     def text(self) -> str:
@@ -348,6 +382,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     """``pages`` with the main text of ``html`` in ``out`` (in place of a
     column of that name)."""
     small_batches(pages.sparkSession)
+    byte_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def run(sources: pd.Series) -> pd.Series:

@@ -5,6 +5,7 @@ columns of clashing names."""
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -315,12 +316,41 @@ def test_html_articles_and_layouts():
     for name in ("sidebar-left layout", "elementor-widget", "search-page", "notice", "social"):
         assert text(f"<div class='{name}'><h1>T</h1><p>{one}</p><p>{two}</p><div class=share><a href=x>Share</a></div></div>") == ["T", one, two]
     assert text(f"<div class=widget><p>{one}</p></div><div class=widget><p>{two}</p></div>") == [one, two]
-    assert text(f"<article><p>{one}</p><p class=notice>{two}</p><div class=related><a href=1>x y z</a></div></article>") == [one, two]
+    assert text(f"<article><p>{one}</p><p class=notice>{two}</p><div class=related><a href=1>x y z</a></div></article>") == [one]
+    assert text(f"<article><p>{one}</p><p class=widget>{two}</p></article>") == [one, two]
+    for name in ("ad", "newsletter", "cookie-banner", "notice", "comments"):
+        dense = f"<div class={name}><p>{two} {two}</p></div>"
+        assert text(f"<article><p>{one}</p>{dense}<p>{two}</p></article>") == [one, two]
+        assert text(f"{dense}<div><p>{one}</p><p>{two}</p><p>{one}</p></div>") == [one, two, one]
+    assert text(f"<h1>T</h1><div><p>{one}</p><p>{two}</p></div>") == ["T", one, two]
+    assert text(f"<h1>T</h1><ul class=menu><li><a href=x>x</a></ul><div><p>{one}</p><p>{two}</p></div>") == ["T", one, two]
     assert text(f"<div id=post><p>{one}</p></div><div class=comments><p>{two}</p><p>{two}</p><p>{two}</p></div>") == [one]
     assert text(f"<div class=ad>{one}</div><article><h1>T</h1><p>{short}</p></article>") == ["T", short]
     assert text(f"<div><p>{one}</p><p>{two}</p></div><div class=sidebar><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div>") == [one, two]
 
 
+def test_html_broken_markup():
+    text = html_density.main_text
+    assert text("<article><p title=5\">A</p><p title=6\">B</p><p data-x=it's>C</p><p data-x=it's>D</p></article>") == "A\nB\nC\nD"
+    assert text("<!--><article><p>A</p></article><!---><p>B</p><!-- no --!><p>C</p><!-- never closed <p>D") == "A\nB\nC"
+    assert text("<?a -- b?><p>A</p><?--x><p>B</p></ x><p title=\"never closed>C</p>") == "A\nB\nC"
+    n = 100_000
+    pages = ["<a " * 3 * n, "<p x='" * 2 * n, "<span>" * n + "<li>" * n, "<b><div>" + "<span>" * n + "</b>" * n, "<!" * 5 * n, "<!--" * 3 * n]
+    pages += ["<script>" + "</script " * n, "<p " + "=\" " * 3 * n, "</div>" * 2 * n, "<div class=ad>" * n + "text"]
+    for page in pages:  # a quadratic scan takes minutes
+        start = time.monotonic()
+        text(page)
+        assert time.monotonic() - start < 20
+
+
+def test_html_odd_tables(spark):
+    shape = "page_id long, html string, text string, body string, tag string"
+    assert html_density.extract(spark.createDataFrame([], shape)).collect() == []
+    page = "<p>A <b>b</b></p>" * 3
+    got = html_density.extract(spark.createDataFrame([(1, page, "old", "x", "y")] * 3, shape), out="text").collect()
+    assert [tuple(r) for r in got] == [(1, page, "A b\nA b\nA b", "x", "y")] * 3
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 8))
