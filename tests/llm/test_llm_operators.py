@@ -368,6 +368,38 @@ def test_top_k(spark):
     assert ball_tree.top_k(vectors.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2**17])
+def test_top_k_exact_in_clusters(spark, size):
+    """Scores beyond 2^53, ties, a third of all rows equal, lengths that
+    differ, repeated rows, clashing columns; several cells and their parts."""
+    rng = np.random.default_rng(size)
+    x = (rng.normal(size=(12, 6))[rng.integers(0, 12, 600)] * 5 + rng.normal(size=(600, 6)) * 0.2) * size
+    x[200:400] = x[200]
+    rows = [(i, [float(v) for v in r], "x", 1) for i, r in enumerate(x)] + [(i, [float(i), 2.0], "x", 1) for i in range(600, 660)]
+    rows += [(3, [float(v) for v in x[3]], "x", 1)] * 2
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string, dim int")
+    got = ball_tree.top_k(vectors, F.col("vec_id") % 50 == 0, ball_tree.Search(shard_rows=50, sample_rows=300, block=40, leaf=8)).collect()
+    v = {n: [int(np.floor(c * 256)) for c in r] for n, (_, r, _, _) in enumerate(rows)}
+    want = []
+    for q in range(0, 660, 50):
+        same = [(-sum(a * b for a, b in zip(v[n], v[q])), rows[n][0]) for n in v if len(v[n]) == len(v[q]) and rows[n][0] != q]
+        want += [(q, r, i, -m) for r, (m, i) in enumerate(sorted(same)[:5], 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_top_k_saturates_and_prunes(spark):
+    vectors = spark.createDataFrame([(i, [1e15 * i, 1.0]) for i in range(8)], "vec_id long, embedding array<double>")
+    got = ball_tree.top_k(vectors, F.col("vec_id") == 7).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 2**63 - 1) for i in (1, 2, 3, 4, 5)]
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(64, 16))[rng.integers(0, 64, 8000)] * 2000 + rng.normal(size=(8000, 16)) * 50).astype(np.int64)
+    tree = ball_tree.BallTree(x, 64)
+    leaves = sum(not k for k in tree.kids)
+    for q in range(50):
+        tree.search(x[q], np.arange(8000), q, 5, ball_tree.LEAST)
+    assert tree.leaves < 0.25 * 50 * leaves  # clustered vectors: most leaves are never opened
+
+
 def test_quality_classifier(spark, sf01, odd, none):
     docs, labels = documents(spark, sf01), spark.read.parquet(f"{sf01}/labels.parquet")
     model = zstd_quality.train(docs, labels)
