@@ -49,7 +49,7 @@ class Archive:
     chunk. ``file_bytes``: archive size per file, about."""
 
     min_revisit: int = 1000
-    segment: int = 262_144
+    segment: int = 16_384
     chunk: int = 8192
     file_bytes: int = 24_000_000
 
@@ -175,9 +175,10 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def read_segments(spark: SparkSession, folder: str) -> DataFrame:
+def read_segments(spark: SparkSession, folder: str, cut: bool | None = None) -> DataFrame:
     """A row per record: origin, segment, total, type, page_id, url, digest,
-    refers_to, stated (payload bytes of a revisit), block."""
+    refers_to, stated (payload bytes of a revisit), block. With ``cut`` only
+    the segments of cut blocks (true) or only whole records (false)."""
     small_batches(spark, 500)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,6 +187,8 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
             for content in b["content"]:
                 rows = []
                 for h, block in parse(content):
+                    if cut is not None and cut != ("WARC-Segment-Number" in h):
+                        continue
                     sha = h.get("WARC-Payload-Digest")
                     rows.append(
                         (
@@ -216,10 +219,9 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
-    """``segments`` with the blocks of each origin put together: records that
-    are whole as they are, others grouped by origin, ordered by number and
-    checked."""
-    whole = segments.where("segment = 0").drop("segment", "total")
+    """The records that ``segments`` were cut from: grouped by origin, ordered
+    by number and checked."""
+    shape = segments.drop("segment", "total").schema
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("segment")
@@ -228,7 +230,7 @@ def reassembled(segments: DataFrame) -> DataFrame:
             raise ValueError(f"{g['origin'].iloc[0]}: segments missing, or of another length than stated")
         return g.iloc[:1].drop(columns=["segment", "total"]).assign(block=[block])
 
-    return whole.unionByName(segments.where("segment > 0").groupBy("origin").applyInPandas(run, whole.schema))
+    return segments.groupBy("origin").applyInPandas(run, shape)
 
 
 def payloads(records: DataFrame) -> DataFrame:
@@ -251,7 +253,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     revisit), payload_bytes, payload_digest, record_type, refers_to. The
     digest and size of a revisit are those its record states of the payload.
     A response whose payload has another digest than stated raises an error."""
-    rows = payloads(reassembled(read_segments(spark, folder)))
+    # Whole records are not shuffled. Archives are unpacked for either kind,
+    # but a record is taken up and decoded once.
+    cut = reassembled(read_segments(spark, folder, cut=True))
+    rows = payloads(read_segments(spark, folder, cut=False).drop("segment", "total").unionByName(cut))
     is_response = F.col("type") == "response"
     wrong = is_response & (F.col("sha1") != F.col("digest"))
     rows = rows.withColumn("digest", F.when(wrong, F.raise_error(F.concat(F.lit("payload of "), "origin"))).otherwise(F.col("digest")))

@@ -281,6 +281,26 @@ def test_warc(spark, tmp_path):
     assert {bytes(r["payload"]).decode() for r in got if r["page_id"] == 3} == {big}
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive(empty, folder=str(tmp_path / "e")).count() == 0
+    clash = pages.where("page_id = 1").selectExpr("*", "'x' as digest", "1 as row", "2 as segment", "'y' as block", "3 as best")
+    assert [(r["page_id"], r["record_type"]) for r in warc.archive(clash, folder=str(tmp_path / "c")).collect()] == [(1, "response")]
+
+
+def test_warc_segments_of_given_pages(spark, sf01, tmp_path):
+    """Ordinary pages are cut, and a lost segment or a wrong total is found."""
+    pages = spark.read.parquet(f"{sf01}/pages.parquet").select("page_id", "url", "html")
+    folder, spec = str(tmp_path / "w"), warc.Archive()
+    back = warc.archive(pages, spec, folder)
+    segments = warc.read_segments(spark, folder, cut=True)
+    more = segments.where("type = 'continuation'").count()
+    size = F.length("html")
+    long = pages.where(size > spec.segment)
+    assert more >= long.count() > 0 and segments.where("segment = 1").count() >= long.count()
+    assert warc.read_segments(spark, folder).count() == segments.count() + warc.read_segments(spark, folder, cut=False).count()
+    text = back.where("payload is not null").select("page_id", F.decode("payload", "utf-8").alias("html"))
+    assert text.exceptAll(pages.select("page_id", "html")).isEmpty()
+    for broken in (segments.where("segment <> 2"), segments.withColumn("total", F.col("total") + 1)):
+        with pytest.raises(Exception, match="segments missing"):
+            warc.reassembled(broken).collect()
 
 
 def test_html(spark):
