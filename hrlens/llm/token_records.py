@@ -193,10 +193,12 @@ def write(docs: DataFrame, folder: str, spec: Tokens, text: str = "text", doc_id
         e = encoder(spec)
         for b in batches:
             ids = e.encode(b["text"].tolist())
-            keys = [None if pd.isna(k) else int(k) for k in b["doc_id"]]
+            keys = [None if gone else k for k, gone in zip(b["doc_id"].tolist(), b["gone"].tolist())]
             yield pd.DataFrame({"record": [record(k, x, e.narrow)[:-1] for k, x in zip(keys, ids)]})
 
     dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # A null among the ids would turn them into floats on the way.
+    dealt = dealt.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("gone"), "text")
     # The text writer ends each value with a line feed and changes no byte of it.
     dealt.mapInPandas(frames, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
 

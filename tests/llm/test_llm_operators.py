@@ -255,6 +255,13 @@ def test_token_records(spark, odd, none, tmp_path):
         token_records.parse(bytes(data))
 
 
+def test_token_records_large_ids_beside_null(spark, tmp_path):
+    rows = [(2**60 + 1, "a b"), (None, "a"), (2**60 + 2, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_records.write_and_index(docs, token_records.Tokens(BYTE_BPE)).collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+
+
 def test_token_records_added_token():
     from tokenizers import Tokenizer
 
