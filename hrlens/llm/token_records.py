@@ -147,10 +147,11 @@ class Encoder:
         is met again comes back."""
         if len(self.spaced) + len(need) > self.spec.memory // 2:
             self.older, self.spaced = self.spaced, {}
-        new, older = [x for x in need if x not in self.spaced], self.older
-        found = {x: older[x] for x in new if x in older}
-        self.spaced.update(found)
-        new = [x for x in new if x not in found]
+        new = need.difference(self.spaced)
+        if self.older:
+            found = {x: self.older[x] for x in new.intersection(self.older)}
+            self.spaced.update(found)
+            new.difference_update(found)
         self._alone(self.spaced, [x for x in new if " " in x], " ")
         self._together([x for x in new if " " not in x])
 
@@ -161,13 +162,14 @@ class Encoder:
         out = []
         for lo in range(0, len(texts), 256):  # so many texts are looked up together
             parts = [stretches(t) for t in texts[lo : lo + 256]]
-            first = {p[0] for p in parts}.difference(self.first)
+            heads = [p.pop(0) for p in parts]  # what is left follows a space
+            first = set(heads).difference(self.first)
             if len(self.first) > self.spec.memory // 10:
-                self.first, first = {}, {p[0] for p in parts}
+                self.first, first = {}, set(heads)
             self._alone(self.first, list(first), "")
-            self._look_up(set().union(*[p[1:] for p in parts]))
+            self._look_up(set().union(*parts))
             known, spaced = self.first, self.spaced.__getitem__
-            out += [b"".join([known[p[0]], *map(spaced, p[1:]), end]) for p in parts]
+            out += [b"".join([known[h], *map(spaced, p), end]) for h, p in zip(heads, parts)]
         return out
 
 
