@@ -224,7 +224,7 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append((number, at, end - at, key, len(ids), before, zlib.crc32(ids.tobytes())))
                     at, before = end, before + len(ids)
                 made = pd.DataFrame(rows, columns=["file", "offset", "length", "doc_id", "n_tokens", "before", "ids_crc32"])
-                yield made.astype({"doc_id": "Int64"})
+                yield made.assign(doc_id=pd.array([r[3] for r in rows], dtype="Int64"))
 
     shape = "file int, offset long, length long, doc_id long, n_tokens long, before long, ids_crc32 long"
     return files(spark, folder).mapInPandas(run, shape)
@@ -239,8 +239,8 @@ def read_at(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
         for b in batches:
             for number, content, offsets in zip(b["file"], b["content"], b["offsets"]):
                 found = [(number, int(at), *parse(memoryview(content), int(at))[:2]) for at in offsets]
-                made = pd.DataFrame(found, columns=["file", "offset", "doc_id", "ids"]).astype({"doc_id": "Int64"})
-                yield made.assign(ids=[x.astype(np.int64) for x in made["ids"]])
+                made = pd.DataFrame(found, columns=["file", "offset", "doc_id", "ids"])
+                yield made.assign(doc_id=pd.array([r[2] for r in found], dtype="Int64"), ids=[x.astype(np.int64) for x in made["ids"]])
 
     return files(spark, folder).join(wanted, "file").mapInPandas(run, "file int, offset long, doc_id long, ids array<long>")
 

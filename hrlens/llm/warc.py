@@ -145,7 +145,7 @@ def write(pages: DataFrame, folder: str, spec: Archive = Archive()) -> None:
         for b in batches:
             made = []
             for row, page_id, url, html, digest, refers in zip(b["row"], b["page_id"], b["url"], b["html"], b["digest"], b["refers_to"]):
-                ids = [None if pd.isna(x) else int(x) for x in (page_id, refers)]
+                ids = [None if x is None else int(x) for x in (page_id, refers)]
                 key = f"{'none' if ids[0] is None else ids[0]}:{row:x}"
                 made += records(key, ids[0], url, html, digest, ids[1], spec)
             yield pd.DataFrame({"record": made})
@@ -153,6 +153,8 @@ def write(pages: DataFrame, folder: str, spec: Archive = Archive()) -> None:
     # The row's number makes a record id its own, also where rows repeat. No
     # shuffle follows, so a task that runs again writes all its records anew.
     rows = with_response(pages, spec).withColumn("row", F.monotonically_increasing_id())
+    # Ids go as text: beside a null, whole numbers would come as floats.
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     rows.mapInPandas(run, "record string").write.options(lineSep=END, maxRecordsPerFile=per_file, compression="gzip").text(folder)
 
 
@@ -215,7 +217,8 @@ def read_segments(spark: SparkSession, folder: str, cut: bool | None = None) ->
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = ["origin", "segment", "total", "type", "page_id", "url", "digest", "refers_to", "stated", "block"]
-    return pd.DataFrame(rows, columns=names).astype(dict.fromkeys(["total", "page_id", "refers_to", "stated"], "Int64"))
+    whole = {c: pd.array([r[names.index(c)] for r in rows], dtype="Int64") for c in ("total", "page_id", "refers_to", "stated")}
+    return pd.DataFrame(rows, columns=names).assign(**whole)
 
 
 def reassembled(segments: DataFrame) -> DataFrame:

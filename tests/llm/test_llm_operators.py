@@ -288,6 +288,9 @@ def test_warc(spark, tmp_path):
     assert {bytes(r["payload"]).decode() for r in got if r["page_id"] == 3} == {big}
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive(empty, folder=str(tmp_path / "e")).count() == 0
+    large = [(2**60 + i, "u", big) for i in (1, 2, 3)] + [(None, "u", "x")]
+    got = warc.archive(spark.createDataFrame(large, pages.schema), folder=str(tmp_path / "l")).collect()
+    assert {(r["page_id"], r["refers_to"]) for r in got} == {(2**60 + 1, 2**60 + 3), (2**60 + 2, 2**60 + 3), (2**60 + 3, None), (None, None)}
     clash = pages.where("page_id = 1").selectExpr("*", "'x' as digest", "1 as row", "2 as segment", "'y' as block", "3 as best")
     assert [(r["page_id"], r["record_type"]) for r in warc.archive(clash, folder=str(tmp_path / "c")).collect()] == [(1, "response")]
 
