@@ -179,7 +179,7 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_segments(spark: SparkSession, folder: str, cut: bool | None = None) -> DataFrame:
     """A row per record: origin, segment, total, type, page_id, url, digest,
-    refers_to, stated (payload bytes of a revisit), block. With ``cut`` only
+    refers_to, stated (payload bytes of a revisit), block; ids are text. With ``cut`` only
     the segments of cut blocks (true) or only whole records (false)."""
     small_batches(spark, 500)
 
@@ -198,10 +198,10 @@ def read_segments(spark: SparkSession, folder: str, cut: bool | None = None) ->
                             int(h.get("WARC-Segment-Number", 0)),
                             number(h.get("WARC-Segment-Total-Length")),
                             h["WARC-Type"],
-                            number(h.get("Page-ID")),
+                            h.get("Page-ID"),
                             h.get("WARC-Target-URI"),
                             sha and base64.b32decode(sha.split(":")[1]).hex(),
-                            number(h.get("Refers-To-Page-ID")),
+                            h.get("Refers-To-Page-ID"),
                             number(h.get("Payload-Length")),
                             block,
                         )
@@ -211,13 +211,13 @@ def read_segments(spark: SparkSession, folder: str, cut: bool | None = None) ->
                         rows = []
                 yield _frame(rows)
 
-    shape = "origin string, segment int, total long, type string, page_id long, url string, digest string, refers_to long, stated long, block binary"
+    shape = "origin string, segment int, total long, type string, page_id string, url string, digest string, refers_to string, stated long, block binary"
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content").mapInPandas(run, shape)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = ["origin", "segment", "total", "type", "page_id", "url", "digest", "refers_to", "stated", "block"]
-    whole = {c: pd.array([r[names.index(c)] for r in rows], dtype="Int64") for c in ("total", "page_id", "refers_to", "stated")}
+    whole = {c: pd.array([r[names.index(c)] for r in rows], dtype="Int64") for c in ("total", "stated")}
     return pd.DataFrame(rows, columns=names).assign(**whole)
 
 
@@ -247,7 +247,7 @@ def payloads(records: DataFrame) -> DataFrame:
                 out.append(unchunked(body) if b"\r\nTransfer-Encoding: chunked" in head else body)
             yield b.drop(columns="block").assign(payload=out, sha1=[hashlib.sha1(x).hexdigest() for x in out])
 
-    shape = "origin string, type string, page_id long, url string, digest string, refers_to long, stated long, payload binary, sha1 string"
+    shape = "origin string, type string, page_id string, url string, digest string, refers_to string, stated long, payload binary, sha1 string"
     return records.mapInPandas(run, shape)
 
 
@@ -265,13 +265,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     rows = rows.withColumn("digest", F.when(wrong, F.raise_error(F.concat(F.lit("payload of "), "origin"))).otherwise(F.col("digest")))
     size = F.when(is_response, F.octet_length("payload").cast("long")).otherwise(F.col("stated"))
     return rows.select(
-        "page_id",
+        F.col("page_id").cast("long").alias("page_id"),
         "url",
         F.when(is_response, F.col("payload")).alias("payload"),
         size.alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
-        "refers_to",
+        F.col("refers_to").cast("long").alias("refers_to"),
     )
 
 
