@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -220,6 +221,59 @@ def test_mix(spark, sf01, odd, none):
     assert cube_mix.mixed(odd).columns == odd.columns
 
 
+def brute_targets(sizes, weights=(3, 1, 2), share=Fraction(3, 2), most=2):
+    """Targets by sharing again and again, source by source."""
+    w = [weights[i % len(weights)] for i in range(len(sizes))]
+    out, free, left = [Fraction(0)] * len(sizes), set(range(len(sizes))), share * sum(sizes)
+    while free and left:
+        unit = left / sum(w[i] for i in free)
+        full = {i for i in free if w[i] * unit >= most * sizes[i]}
+        for i in full or free:
+            out[i] = Fraction(most * sizes[i]) if full else w[i] * unit
+        if not full:
+            break
+        left -= sum(out[i] for i in full)
+        free -= full
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_targets(spark, seed):
+    rng = random.Random(seed)
+    names = [None, "", "é", "z", "𝄞", "\ufffd", *(f"s{i}" for i in range(40))]
+    sizes = {n: rng.choice([0, 1, 5, 5, 7, 1000, rng.randint(1, 10**rng.randint(1, 12))]) for n in names}
+    order = sorted(names, key=lambda n: (n is None, (n or "").encode()))
+    sized = spark.createDataFrame([(n, k, 1 + (k == 5)) for n, k in sizes.items()], "source string, size long, rows long")
+    totals = [sizes[n] * (1 + (sizes[n] == 5)) for n in order]
+    for mix in (cube_mix.Mix(), cube_mix.Mix(share=Fraction(2)), cube_mix.Mix((5, 7), Fraction(1, 3), Fraction(4, 3))):
+        rows = cube_mix.sources_of(sized, mix).orderBy("place").collect()
+        want = brute_targets(totals, mix.weights, mix.share, mix.most)
+        assert [(r["place"], r["name"], r["source_size"]) for r in rows] == list(zip(range(len(order)), order, totals))
+        assert [Fraction(int(r["over"]), int(r["under"])) for r in rows] == [t / s if s else 0 for t, s in zip(want, totals)]
+        assert [r["target"] for r in rows] == [float(t) for t in want]
+
+
+def test_mix_many_sources(spark):
+    docs = spark.range(200_000).select(
+        F.col("id").alias("doc_id"), F.expr("concat('host', id div 2)").alias("source"), F.expr("repeat('w ', int(1 + id % 7))").alias("text")
+    )
+    rows = cube_mix.taken(docs, carry=["doc_id", "source"]).select("source", "_mix.*").toPandas()
+    by = rows.groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max")).sort_index()
+    want = brute_targets(by["size"].tolist())
+    assert len(by) == 100_000 and by["target"].tolist() == [float(t) for t in want]
+    assert (rows["taken"] <= 2 * rows["size"]).all() and ((by["taken"] - by["target"]).abs() <= by["most"]).all()
+
+
+def test_mix_repeated_row(spark):
+    n = 1_000_000
+    one = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("one two three").alias("text"))
+    others = [(i, s, "x " * i) for i, s in enumerate("bcde" * 5, 2)] + [(99, "f", "y " * n * 4)]
+    docs = one.unionByName(spark.createDataFrame(others, "doc_id long, source string, text string"))
+    rows = cube_mix.taken(docs, carry=["doc_id", "source"]).select("doc_id", "source", "_mix.*")
+    of = {r["doc_id"]: r for r in rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.min("copies").alias("lo"), F.max("copies").alias("hi")).collect()}
+    assert of[1]["n"] == n and abs(of[1]["taken"] - of[1]["target"]) <= 3 and of[1]["hi"] - of[1]["lo"] <= 1 and of[1]["hi"] <= 2
+
+
 def test_sentencepiece(spark, odd, none):
     import sentencepiece
 
