@@ -277,7 +277,9 @@ def taken(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken."""
-    chosen = decided(docs, mix, text, source).where("copies > 0").select("h1", "h2", "copies")
-    rows = docs.select(*identity(docs), pack(docs.columns)).dropDuplicates(["h1", "h2"]).join(chosen, ["h1", "h2"])
+    chosen = stored(decided(docs, mix, text, source).where("copies > 0").select("h1", "h2", "rows", "copies"), "chosen")
+    rows = docs.select(*identity(docs), pack(docs.columns)).join(chosen, ["h1", "h2"])
+    if not chosen.where("rows > 1").isEmpty():  # only these bodies are dealt out again
+        rows = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["h1", "h2"]))
     rows = rows.select("body", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(*unpack(docs.columns))
