@@ -7,13 +7,17 @@ Jensen-Shannon distance to the nearest reference is above a bound is rejected,
 provided it is long enough for its histogram to mean anything.
 
 The languages with a word list (``COMMON_WORDS``) are judged by both
-histograms, against the references of all of these. Any other language of the
-table has a reference of character classes only, from its own documents: they
-are held to the nearest of that and the former, and to no word histogram.
+histograms, against the references of all of these. A document of any other
+language is held to character classes only: to the nearest of those and of the
+reference of its own language, from the other documents of it; where these are
+too few, from all such documents that consist of the same kind of letter. A
+document never counts towards its own reference. References need
+``least_docs`` documents and ``least_chars`` characters; a listed language
+with fewer is treated as unlisted.
 
 Cases: null or empty text counts as a text without words (``base_failed``);
-documents whose language is null have no reference, so only the base rules
-decide (these count words by white space, so texts of scripts without it have
+documents whose language is null are held to the nearest reference and the
+letters' own; where a table has no reference, only the base rules decide (these count words by white space, so texts of scripts without it have
 few); repeated rows are judged alike; other columns pass
 through untouched by ``keep``.
 """
@@ -61,6 +65,8 @@ class Rules:
     distance (base 2, so 0 to 1) to the nearest language reference,
     a + b / sqrt(n) for a histogram of n characters or words: the distance of
     n draws from the reference itself falls as 1 / sqrt(n).
+    ``least_docs`` / ``least_chars``: what a reference is made of at least,
+    beside the document that is judged.
     ``min_class_chars`` / ``min_words``: shorter texts are not judged by the
     histogram.
     """
@@ -71,6 +77,8 @@ class Rules:
     word_bound: tuple[float, float] = (0.12, 2.2)
     min_class_chars: int = 200
     min_words: int = 60
+    least_docs: int = 20
+    least_chars: int = 10_000
 
 
 def features(docs: DataFrame, text: str, lang: str, carry: list[str]) -> DataFrame:
@@ -119,14 +127,15 @@ def features(docs: DataFrame, text: str, lang: str, carry: list[str]) -> DataFra
     return d.select("body", "lang", made.alias("_f"))
 
 
-def references(counted: DataFrame) -> list[dict]:
+def references(counted: DataFrame, rules: Rules) -> list[dict]:
     """Summed histograms of each known language, over all its documents: one
     row for each of ``LANGS`` at most."""
     sizes = {"classes": len(CLASSES), "common": len(WORD_LIST) + 1}
     sums = [
         F.sum(F.col("_f")[name][i].cast("decimal(38,0)")).alias(f"{name}{i}") for name, k in sizes.items() for i in range(k)
     ]
-    rows = counted.where(F.col("lang").isin(LANGS)).groupBy("lang").agg(*sums).orderBy("lang").collect()
+    rows = counted.where(F.col("lang").isin(LANGS)).groupBy("lang").agg(F.count("*").alias("docs"), *sums)
+    rows = rows.where(F.col("docs") > rules.least_docs).orderBy("lang").collect()
     out = []
     for r in rows:
         made = {"lang": r["lang"]}
@@ -134,18 +143,38 @@ def references(counted: DataFrame) -> list[dict]:
             v = [int(r[f"{name}{i}"]) for i in range(k)]
             total = sum(v)
             made[name] = [x / total for x in v] if total else None
-        out.append(made)
+        if sum(int(r[f"classes{i}"]) for i in range(len(CLASSES))) >= rules.least_chars:
+            out.append(made)
     return out
 
 
-def other_references(counted: DataFrame) -> DataFrame:
-    """lang, own: the summed class histogram, as shares, of each language
-    without a word list; one row for each."""
-    k = len(CLASSES)
-    sums = [F.sum(F.col("_f")["classes"][i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(k)]
-    rows = counted.where(F.col("lang").isNotNull() & ~F.col("lang").isin(LANGS)).groupBy("lang").agg(*sums)
-    total = sum((F.col(f"s{i}") for i in range(1, k)), F.col("s0")).cast("double")
-    return rows.where(total > 0).select("lang", F.array(*[F.col(f"s{i}").cast("double") / total for i in range(k)]).alias("own"))
+# Classes whose texts are writing: junk of digits or symbols backs no other junk.
+LETTERS = ["lower", "upper", "letter"]
+
+
+def dominant() -> Column:
+    """The class that most characters are of, the first of equals."""
+    counts = F.col("_f")["classes"]
+    return F.get(F.lit(CLASSES), F.array_position(counts, F.array_max(counts)).cast("int") - 1)
+
+
+def summed(rest: DataFrame, key: str) -> DataFrame:
+    """key, {key}_docs, {key}_sums: class counts over all documents of each
+    key, those of null language aside."""
+    sums = [F.sum(F.col("_f")["classes"][i].cast("decimal(38,0)")).cast("double") for i in range(len(CLASSES))]
+    made = rest.where(F.col("lang").isNotNull()).groupBy(key)
+    return made.agg(F.count("*").alias(f"{key}_docs"), F.array(*sums).alias(f"{key}_sums"))
+
+
+def left_out(key: str, rules: Rules) -> Column:
+    """Class distance to the documents of a key but for the document itself;
+    null where these are too few."""
+    counts, chars = F.col("_f")["classes"], F.col("_f")["word_chars"]
+    own = F.when(F.col("lang").isNotNull(), 1).otherwise(0)
+    docs, sums = F.col(f"{key}_docs") - own, F.zip_with(f"{key}_sums", counts, lambda s, k: s - k * own)
+    total = F.aggregate(sums, F.lit(0.0), lambda a, x: a + x)
+    enough = (docs >= rules.least_docs) & (total >= rules.least_chars)
+    return F.when(enough, js_distance(counts, chars, F.transform(sums, lambda s: s / total)))
 
 
 def js_distance(counts: Column, total: Column, reference: list[float] | Column) -> Column:
@@ -176,26 +205,26 @@ def judge(
     """The columns ``carry`` (default: all) of ``docs`` plus a struct
     ``_quality``: base counts, ``base_failed``, both distances (null where the
     text is too short) and ``kept``. The counts are written once and read for
-    the references and for the verdict; so are the references of languages
-    without a word list, for Spark to see their bytes before it joins them."""
+    the references and for the verdict; so are the sums of the other languages,
+    for Spark to see their bytes before it joins them."""
     carry = [c for c in docs.columns if c != "_quality"] if carry is None else carry
     counted = stored(features(docs, text, lang, carry), "features")
-    refs = references(counted)
+    refs = references(counted, rules)
     f = F.col("_f")
     chars, n = f["word_chars"], f["n_words"]
-    listed, long = F.col("lang").isin(LANGS), chars >= rules.min_class_chars
+    listed, long = F.coalesce(F.col("lang").isin([r["lang"] for r in refs]), F.lit(False)), chars >= rules.min_class_chars
     class_js = nearest(f["classes"], chars, [r["classes"] for r in refs])
     word_js = nearest(f["common"], n, [r["common"] for r in refs])
     d = counted.withColumn("_cj", F.when(long & listed, class_js)).withColumn("_wj", F.when((n >= rules.min_words) & listed, word_js))
-    others = stored(other_references(counted), "other_references")
-    if not others.isEmpty():
-        rest = F.col("lang").isNotNull() & ~listed
-        known = d.where(F.col("lang").isNull() | listed)
-        apart = d.where(rest).join(others, "lang", "left")
-        own = F.when(F.col("own").isNotNull(), js_distance(f["classes"], chars, F.col("own")))
+    rest = d.where(~listed).withColumn("kind", F.when(dominant().isin(LETTERS), dominant()))
+    if not rest.isEmpty():
+        langs = stored(summed(rest, "lang"), "langs")
+        kinds = stored(summed(rest.where(F.col("kind").isNotNull()), "kind"), "kinds")
+        apart = rest.join(langs, "lang", "left").join(kinds, "kind", "left")
+        near = F.coalesce(left_out("lang", rules), left_out("kind", rules))
         # least() passes over nulls.
-        apart = apart.withColumn("_cj", F.when(long & F.col("own").isNotNull(), F.least(own, class_js))).drop("own")
-        d = known.unionByName(apart)
+        apart = apart.withColumn("_cj", F.when(long, F.least(near, class_js)))
+        d = d.where(listed).unionByName(apart.select(d.columns))
     failed = (f["n_words"] < rules.base_min_words) | (f["n_repeat_words"] * 100 > f["n_words"] * rules.base_repeat_percent)
     bound = lambda ab, k: F.lit(ab[0]) + F.lit(ab[1]) / F.sqrt(k)
     far = F.coalesce(F.col("_cj") > bound(rules.class_bound, chars), F.lit(False)) | F.coalesce(

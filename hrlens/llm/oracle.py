@@ -3,7 +3,8 @@ other means than the operators where there are any."""
 
 from __future__ import annotations
 
-from hrlens.llm.divergence import LANGS, WORD_LIST, Rules
+from hrlens.llm.divergence import CLASSES as CLASS_NAMES
+from hrlens.llm.divergence import LANGS, LETTERS, WORD_LIST, Rules
 from hrlens.llm.secret_entropy import ALLOW, CLASSES, weight
 
 _SPACE = "[\\x20\\x09-\\x0D]"
@@ -92,11 +93,23 @@ def _count(chars: str) -> str:
     return f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
 
 
+def _left_out(key: str) -> str:
+    """Class distance of the documents without a listed language to all others of the key."""
+    return f"""
+{key}_sum AS (SELECT {key}, bin, sum(k) AS s, count(*) AS docs FROM class_counts JOIN apart USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
+{key}_rest AS (SELECT doc_id, bin, k, s - k * own AS s, docs - own AS docs, sum(s - k * own) OVER (PARTITION BY doc_id) AS total
+  FROM apart JOIN {key}_sum USING ({key}) JOIN class_counts USING (doc_id, bin)),
+{key}_js AS (SELECT doc_id, sqrt(greatest(sum(
+    CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS js
+  FROM (SELECT doc_id, k / chars AS p, s / total AS q FROM {key}_rest JOIN words_of USING (doc_id)
+        WHERE chars > 0 AND docs >= {_R.least_docs} AND total >= {_R.least_chars}) GROUP BY doc_id)"""
+
+
 def _divergence(counts: str, total: str, name: str) -> str:
     """Distance of each document's histogram to the nearest language's."""
     return f"""
 {name}_ref AS (SELECT lang, bin, sum(k) / sum(sum(k)) OVER (PARTITION BY lang) AS q
-  FROM {counts} JOIN d USING (doc_id) WHERE lang IN ({", ".join(_quoted(x) for x in LANGS)}) GROUP BY lang, bin),
+  FROM {counts} JOIN d USING (doc_id) WHERE lang IN (SELECT lang FROM known) GROUP BY lang, bin),
 {name}_js AS (SELECT doc_id, lang, sqrt(greatest(sum(
     CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS js
   FROM (SELECT doc_id, lang, k / {total} AS p, q FROM {counts} JOIN {name}_ref USING (bin) JOIN words_of USING (doc_id) WHERE {total} > 0)
@@ -122,12 +135,22 @@ seen AS (SELECT doc_id, CASE WHEN lower(word) IN ({", ".join(_quoted(x) for x in
   FROM tokens GROUP BY ALL),
 word_counts AS (SELECT doc_id, bin, coalesce(k, 0) AS k
   FROM (SELECT doc_id, unnest([{", ".join(_quoted(x) for x in [*WORD_LIST, ""])}]) AS bin FROM words_of) LEFT JOIN seen USING (doc_id, bin)),
+known AS (SELECT lang FROM d JOIN words_of USING (doc_id) WHERE lang IN ({", ".join(_quoted(x) for x in LANGS)})
+  GROUP BY lang HAVING count(*) > {_R.least_docs} AND sum(chars) >= {_R.least_chars}),
+kinds AS (SELECT doc_id, CASE WHEN kind IN ({", ".join(_quoted(x) for x in LETTERS)}) THEN kind END AS kind
+  FROM (SELECT doc_id, arg_max(bin, 10 * k - list_position([{", ".join(_quoted(x) for x in CLASS_NAMES)}], bin)) AS kind FROM class_counts GROUP BY doc_id)),
+apart AS (SELECT doc_id, lang, kind, (lang IS NOT NULL)::INT AS own FROM d JOIN kinds USING (doc_id)
+  WHERE lang IS NULL OR lang NOT IN (SELECT lang FROM known)),
+{_left_out("lang")},
+{_left_out("kind")},
 {_divergence("class_counts", "chars", "class")},
 {_divergence("word_counts", "n", "word")},
-judged AS (SELECT w.doc_id, w.n, w.chars, coalesce(l.k, 0) AS dup, coalesce(r.k, 0) AS rep, c.js AS cj, j.js AS wj, s.k AS sym,
+judged AS (SELECT w.doc_id, w.n, w.chars, coalesce(l.k, 0) AS dup, coalesce(r.k, 0) AS rep, least(c.js, coalesce(lj.js, kj.js)) AS cj,
+    CASE WHEN a.doc_id IS NULL THEN j.js END AS wj, s.k AS sym,
     n < {_R.base_min_words} OR 100 * coalesce(r.k, 0) > {_R.base_repeat_percent} * n AS failed
   FROM words_of w LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)
   LEFT JOIN class_near c USING (doc_id) LEFT JOIN word_near j USING (doc_id)
+  LEFT JOIN lang_js lj USING (doc_id) LEFT JOIN kind_js kj USING (doc_id) LEFT JOIN apart a USING (doc_id)
   JOIN (SELECT doc_id, k FROM class_counts WHERE bin = 'symbol') s USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(sym AS BIGINT) AS n_symbols,
        CAST(dup AS BIGINT) AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words, failed AS base_failed,

@@ -207,6 +207,29 @@ def test_quality_other_languages(spark, sf001):
     assert divergence.keep(extra).count() == len(rows) - 1
 
 
+def test_quality_small_languages(spark, sf001, tmp_path):
+    import duckdb
+
+    from hrlens.llm import oracle, queries
+
+    rng = random.Random(4)
+    junk = lambda: " ".join("".join(rng.choices("#*$%&|<>0123456789", k=8)) for _ in range(100))
+    say = lambda: " ".join("".join(rng.choices("абвгдежзиклмнопрст", k=6)) for _ in range(120))
+    odd = [(100_000, junk(), "xx"), (100_001, junk(), "yy"), (100_002, junk(), "yy"), (100_003, junk(), None), (100_004, junk(), "de")]
+    # Two documents of one language, and many of others in like letters.
+    clean = [(100_100 + i, say(), lang) for i, lang in enumerate(["bg", "bg", None] + ["ru"] * 15 + ["uk"] * 15)]
+    docs = documents(spark, sf001).select("doc_id", "text", "lang")
+    all_ = docs.unionByName(spark.createDataFrame([*odd, *clean], "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in divergence.keep(all_).collect()}
+    assert {d for d in kept if d >= 100_000} == {r[0] for r in clean}
+    all_.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(oracle.OP6).df().sort_values("doc_id").reset_index(drop=True)
+    got = queries.op6_quality_rules(spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert got[want.columns].astype(str).equals(want.astype(str))
+
+
 def test_mix(spark, sf01, odd, none):
     mix = cube_mix.Mix(block=50)
     rows = cube_mix.taken(documents(spark, sf01), mix, carry=["doc_id", "source"]).select("doc_id", "source", "_mix.*").toPandas()
