@@ -17,13 +17,16 @@ files: (file, offset, length, doc_id, n_tokens, before, ids_crc32), ``before``
 being the tokens of the file's earlier records. ``read_at`` reads records in
 any order from index rows.
 
-Texts are encoded in stretches that the tokenizer never joins: its
-pre-tokenizer starts a new token at a space between two characters that are
-no white space. Stretches met before are looked up; the others of a batch go
-to the tokenizer together, joined by spaces, and the tokens that begin with a
-space tell where each starts. The tokenizer's own added tokens are found in a
-text as its plain call finds them (their strings give their ids); they hold no
-space and take none in, so no cut meets one.
+Texts are encoded in parts that the tokenizer never joins. Where all characters
+are ASCII or Latin letters, these are the pieces that a byte-level
+pre-tokenizer makes by its regular expression: a word with the space before it,
+the comma after it. Other texts are cut into stretches: the pre-tokenizer starts
+a new token at a space between two characters that are no white space. Parts
+met before are looked up; the others of a batch go to the tokenizer together,
+and the tokens that begin with a space tell where each starts. The tokenizer's
+own added tokens are found in a text as its plain call finds them (their strings
+give their ids); they hold no space and take none in, so no cut into stretches
+meets one, and a text that holds one is cut into stretches.
 
 Files are written by Spark's own writer into any folder that it can reach, and
 committed by it, so a lost executor leaves none half-written.
@@ -35,6 +38,7 @@ no records.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -60,6 +64,12 @@ MASK = 0xA282EAD8
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 # White space other than the space and the line feed: texts with any go by _GAP.
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+# ASCII and the letters of the first Latin blocks, and what a byte-level
+# pre-tokenizer with its regular expression makes of them.
+_LATIN = "ªµºÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(f"[\x00-\x7f{_LATIN}]*")
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z{_LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+
 
 def stretches(text: str) -> list[str]:
     """The text cut at spaces (which go) between two characters that are no
@@ -99,17 +109,16 @@ def parse(data: memoryview | bytes, at: int = 0) -> tuple[int | None, np.ndarray
 class Tokens:
     """``path`` of a tokenizers file (which every executor can open);
     ``end_id`` closes each document; ``file_bytes``: stored input per
-    file, about; ``memory``: stretches that a worker remembers."""
+    file, about; ``memory``: parts that a worker remembers."""
 
     path: str
     end_id: int = 0
     file_bytes: int = 14_000_000
-    memory: int = 700_000
+    memory: int = 600_000
 
 
 class Encoder:
-    """A tokenizer with a memory for the stretches it has encoded: ``first`` at
-    a text's start, ``spaced`` after a space."""
+    """A tokenizer with a memory for the ids of the parts it has encoded."""
 
     def __init__(self, spec: Tokens):
         from tokenizers import Tokenizer
@@ -120,56 +129,61 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.narrow else "<u4")
         # Byte-level vocabularies write a space as this letter.
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        cut = self.tokenizer.pre_tokenizer and json.loads(self.tokenizer.pre_tokenizer.__getstate__())
+        self.cuts = bool(cut) and cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and self.tokenizer.normalizer is None
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _alone(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        made = self.tokenizer.encode_batch_fast([before + x for x in new], add_special_tokens=False)
-        known.update((x, np.array(e.ids, self.kind).tobytes()) for x, e in zip(new, made))
+    def parts(self, text: str) -> list[str]:
+        if self.cuts and _PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
+            return _PIECE.findall(text)
+        first, *others = stretches(text)
+        return [first, *map(" ".__add__, others)]
+
+    def _alone(self, new: list[str]) -> None:
+        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.known.update((x, np.array(e.ids, self.kind).tobytes()) for x, e in zip(new, made))
 
     def _together(self, new: list[str]) -> None:
-        """Encode stretches that hold no space as one text."""
+        """Encode parts that hold a space at the start only as one text."""
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
             at = np.flatnonzero(self.begins[ids])
-            if len(at) != len(part):  # a stretch with a token of its own that begins so
-                self._alone(self.spaced, part, " ")
+            if len(at) != len(part):  # a part with a token of its own that begins so
+                self._alone(part)
                 continue
             cuts = (np.append(at, len(ids)) * self.kind.itemsize).tolist()
             data = ids.tobytes()
-            self.spaced.update(zip(part, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+            self.known.update(zip(part, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
 
     def _look_up(self, need: set[str]) -> None:
-        """Make ``spaced`` hold all of ``need``. Half the memory is a younger
+        """Make ``known`` hold all of ``need``. Half the memory is a younger
         generation; once that is full it becomes the older one, of which what
         is met again comes back."""
-        if len(self.spaced) + len(need) > self.spec.memory // 2:
-            self.older, self.spaced = self.spaced, {}
-        new = need.difference(self.spaced)
+        if len(self.known) + len(need) > self.spec.memory // 2:
+            self.older, self.known = self.known, {}
+        new = need.difference(self.known)
         if self.older:
-            found = {x: self.older[x] for x in new.intersection(self.older)}
-            self.spaced.update(found)
+            found = {x: self.older[x] for x in self.older.keys() & new}
+            self.known.update(found)
             new.difference_update(found)
-        self._alone(self.spaced, [x for x in new if " " in x], " ")
-        self._together([x for x in new if " " not in x])
+        spaced = [x for x in new if x[:1] == " " and x.rfind(" ") == 0 and not x.isspace()]
+        self._together(spaced)
+        self._alone(list(new.difference(spaced)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids (little-endian, 16 bits if ``narrow``) of each text, the end id
         included."""
         end = np.array([self.spec.end_id], self.kind).tobytes()
         out = []
-        for lo in range(0, len(texts), 256):  # so many texts are looked up together
-            parts = [stretches(t) for t in texts[lo : lo + 256]]
-            heads = [p.pop(0) for p in parts]  # what is left follows a space
-            first = set(heads).difference(self.first)
-            if len(self.first) > self.spec.memory // 10:
-                self.first, first = {}, set(heads)
-            self._alone(self.first, list(first), "")
+        for lo in range(0, len(texts), 128):  # so many texts are looked up together
+            parts = [self.parts(t) for t in texts[lo : lo + 128]]
             self._look_up(set().union(*parts))
-            known, spaced = self.first, self.spaced.__getitem__
-            out += [b"".join([known[h], *map(spaced, p), end]) for h, p in zip(heads, parts)]
+            known = self.known.__getitem__
+            out += [b"".join([*map(known, p), end]) for p in parts]
         return out
 
 

@@ -540,3 +540,26 @@ def test_pipeline(spark, sf001, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = out.collect()
     assert len(got) == docs.count() and all(list(r["ids"]) == sp.encode(texts[r["doc_id"]]) for r in got)
+
+
+def test_token_records_new_words_go_to_the_tokenizer_by_the_piece():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTE_BPE)
+    enc = token_records.Encoder(token_records.Tokens(BYTE_BPE))
+    plain = ["hend, hend. hend.\nhend hend!", "hend's 'hend don't I'LL 'll 'tis", "a  b \n c\t\td\r\n", " ", "  x", "x ", "é.\nÉa ßß×2÷3", "a\x1cb\x1d c\x85d\xa0e", "12,5% 1e3 _a_", ""]
+    random.seed(8)
+    bits = ["a", "Zz", "é", "ǅ", "7", "'s", "'", ".", "\n", " ", "  ", "\t", "\x0b", "\x1f", "\x85", "\xa0", "²", "ʰ", "日", "́"]
+    plain += ["".join(random.choices(bits, k=random.randint(1, 25))) for _ in range(3000)]
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in plain]
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(plain)] == want
+    # Ten thousand stretches made of one word and a hundred marks are few pieces.
+    seen, enc = [], token_records.Encoder(token_records.Tokens(BYTE_BPE))
+    together, alone = enc._together, enc._alone
+    enc._together = lambda new: (seen.extend(new), together(new))[1]
+    enc._alone = lambda new: (seen.extend(new), alone(new))[1]
+    marks = [a + b for a in "!#$%&*+-/:" for b in "!#$%&*+-/:"]
+    text = " ".join(f"hend{a}hend{b}" for a in marks for b in marks)
+    got = enc.encode([text])
+    assert np.frombuffer(got[0], "<u2").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+    assert len(seen) < 300
