@@ -10,6 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Bytes of stored input for each part of ``dealt``.
+PART_BYTES = 4 << 20
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Stored bytes of the tables that ``df`` reads (a table read twice counts
+    twice), by its scans' statistics, so that no job runs; None if unknown."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return size if size < 1 << 60 else None  # Spark's own default stands for an unknown size
+
+
+def dealt(rows: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` shuffled by ``keys`` into parts whose number grows with the
+    input of ``source``, so that what a task holds does not.
+
+    Left to itself, Spark merges a shuffle's parts to one per core, or up to
+    64 MB of compressed bytes: for ids, of which a byte or two is left, that is
+    tens of millions of rows a task."""
+    size = input_bytes(source)
+    return rows.repartition(*keys) if size is None else rows.repartition(max(1, -(-size // PART_BYTES)), *keys)
+
+
 def join_dimension(
     fact: DataFrame,
     dim: DataFrame,

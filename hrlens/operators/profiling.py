@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hrlens.operators.joins import dealt
 from hrlens.operators.quality import union_all
 
 
@@ -34,7 +35,10 @@ def head(df: DataFrame, n: int, order: list[str], cols: list[str] | None = None)
 def duplicate_rows(df: DataFrame, table: str) -> DataFrame:
     """(table_name, rows, duplicate_rows): rows equal to an earlier row,
     like pandas ``duplicated().sum()``; NULLs compare equal."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    # Nearly every row is a group of its own: dealt out before it is grouped, by
+    # a hash, since Spark drops constant columns from a grouping.
+    hashed = df.withColumn("_h", F.xxhash64(*df.columns))
+    groups = dealt(hashed, df, "_h").groupBy("_h", *df.columns).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("duplicate_rows")
     ).select(
@@ -82,24 +86,28 @@ def dtypes(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def _parse_checks() -> dict[str, list[tuple[str, str, object]]]:
-    """Per raw table: (metric, raw column, failing predicate on that column)."""
-    from hrlens.functions.parse import is_ambiguous_date, parse_currency, parse_date_multi, parse_percent
+    """Per raw table: (metric, column, failing predicate on the column's raw
+    text and what the cleaner made of it)."""
+    from hrlens.functions.parse import is_ambiguous_date
 
-    def unparsed(fn):
-        return lambda c: c.isNotNull() & fn(c).isNull()
+    def unparsed(raw, clean):
+        return raw.isNotNull() & clean.isNull()
+
+    def ambiguous(raw, clean):
+        return is_ambiguous_date(raw)
 
     return {
         "employees": [
-            ("unparsed:hire_date", "hire_date", unparsed(parse_date_multi)),
-            ("ambiguous:hire_date", "hire_date", is_ambiguous_date),
-            ("unparsed:termination_date", "termination_date", unparsed(parse_date_multi)),
-            ("unparsed:monthly_salary_idr", "monthly_salary_idr", unparsed(parse_currency)),
+            ("unparsed:hire_date", "hire_date", unparsed),
+            ("ambiguous:hire_date", "hire_date", ambiguous),
+            ("unparsed:termination_date", "termination_date", unparsed),
+            ("unparsed:monthly_salary_idr", "monthly_salary_idr", unparsed),
         ],
         "salaries": [
-            ("unparsed:effective_date", "effective_date", unparsed(parse_date_multi)),
-            ("ambiguous:effective_date", "effective_date", is_ambiguous_date),
+            ("unparsed:effective_date", "effective_date", unparsed),
+            ("ambiguous:effective_date", "effective_date", ambiguous),
         ],
-        "goals": [("unparsed:achievement_pct", "achievement_pct", unparsed(parse_percent))],
+        "goals": [("unparsed:achievement_pct", "achievement_pct", unparsed)],
     }
 
 
@@ -125,7 +133,7 @@ def cleaning_profile(raw: dict[str, DataFrame]) -> DataFrame:
         cols = [c for c in clean.columns if not c.startswith("_raw_")]
         aggs = [F.count(F.lit(1)).alias("clean_rows")]
         aggs += [F.count_if(F.col(c).isNull()).alias(f"null_after_cleaning:{c}") for c in cols]
-        aggs += [F.count_if(pred(F.col(f"_raw_{c}"))).alias(name) for name, c, pred in mine]
+        aggs += [F.count_if(pred(F.col(f"_raw_{c}"), F.col(c))).alias(name) for name, c, pred in mine]
         wide = clean.agg(*aggs)
         stack = ", ".join(f"'{a}', `{a}`" for a in wide.columns)
         long = wide.selectExpr(f"'{table}' as table_name", f"stack({len(wide.columns)}, {stack}) as (metric, value)")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrlens.operators.joins import orphans
+from hrlens.operators.joins import dealt, orphans
 from hrlens.schemas import GENDER_DOMAIN
 
 
@@ -31,8 +31,11 @@ def _violations(df: DataFrame, check: str, table: str, key: Column, detail: Colu
 
 
 def key_unique(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
-    """Key values held by more than one row (NULL keys group together)."""
-    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    """Key values held by more than one row (NULL keys group together).
+
+    Nearly every key is a group of its own, so the keys are dealt out before
+    they are grouped: combining them first would hold them all, to no use."""
+    dup = dealt(df.select(*keys), df, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     key = F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
     return _violations(dup, f"unique:{'+'.join(keys)}", table, key, F.concat(F.lit("rows="), F.col("_n")))
 

@@ -85,3 +85,42 @@ def test_pct_and_int(spark):
     df = spark.createDataFrame([(1, 3)], "n long, d long")
     r = df.select(pct(F.col("n"), F.col("d")), half_up_int(F.col("n"), F.col("d"), 4)).first()
     assert r[0] == 33.33 and r[1] == 3333
+
+
+def test_date_shapes_keep_every_text_that_a_format_reads(spark):
+    """The shapes only spare parses that fail."""
+    from pyspark.sql import functions as F
+
+    from hrlens.functions import parse
+    from hrlens.schemas import DATE_FORMATS
+
+    parts = ["", "0", "1", "2", "007", "12", "13", "31", "99", "+1", "-1", "0002", "2020", "02020", "+12345", "-2020", "１", " 1", "x"]
+    texts = [f"{a}{s}{b}{u}{c}" for a in parts for b in parts for c in parts for s, u in (("-", "-"), ("/", "/"), ("/", "-"))]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", "2020-01-02 ", "2020-01-02T00", "1/2/2020/"]], "c string").repartition(4)
+    got = df.select(*[(~parse._to_date(F.col("c"), f).eqNullSafe(F.try_to_date("c", f))).alias(f.replace("/", "_")) for f in DATE_FORMATS])
+    assert got.where(" or ".join(f"`{c}`" for c in got.columns)).count() == 0
+
+
+def test_parsers_raise_no_errors_inside_for_usual_texts(spark):
+    """A cast or parse that fails inside Spark costs many times one that fits."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from hrlens.functions.parse import parse_date_multi, to_int, to_number
+
+    day = F.date_add(F.lit("2012-01-01").cast("date"), (F.col("id") % 4000).cast("int"))
+    df = spark.range(0, 400_000, 1, 4).select(F.date_format(day, "dd-MM-yyyy").alias("d"), F.date_format(day, "yyyy-MM-dd").alias("iso"), F.concat("id", F.lit(".0")).alias("f")).cache()
+    df.count()
+
+    def seconds(c):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            df.select(c).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(to_int(F.col("f"))) < 4 * seconds(to_number(F.col("f")))
+    assert seconds(parse_date_multi(F.col("d"))) < 4 * seconds(parse_date_multi(F.col("iso")))
+    df.unpersist()

@@ -84,3 +84,23 @@ def test_in_ranges_single_pass_equals_separate_checks(spark):
     apart = V.in_range(df, "t", "id", "a", 1.0, 5.0).unionByName(V.in_range(df, "t", "id", "b", 1.0, 5.0))
     assert sorted(together.collect()) == sorted(apart.collect())
     assert together.count() == 4
+
+
+def test_keys_and_rows_are_grouped_in_parts_that_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """What a task groups does not depend on how far the shuffle compresses."""
+    from hrlens.operators import joins
+
+    n = 20_000
+    twice = spark.range(n).unionByName(spark.range(n)).withColumn("year", F.lit("2024"))
+    extra = spark.createDataFrame([(None, "2024"), (None, "2024"), (n, "2024")], "id long, year string")
+    twice.unionByName(extra).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(joins, "PART_BYTES", joins.input_bytes(df) // 40)
+    found = V.key_unique(df, "t", ["id"])
+    assert {(r.row_key, r.detail) for r in found.collect()} == {(str(k), "rows=2") for k in range(n)} | {("NULL", "rows=2")}
+    assert found.select(F.spark_partition_id()).distinct().count() >= 40
+    constant = df.select("id", F.lit("x").alias("period"))
+    assert P.duplicate_rows(constant, "t").first()[1:] == (2 * n + 3, n + 1)
+    plan = P.duplicate_rows(constant, "t")._jdf.queryExecution().executedPlan().toString()
+    # One shuffle of the rows, and the one of the totals.
+    assert plan.count("Exchange hashpartitioning") == 1
