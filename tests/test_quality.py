@@ -104,3 +104,15 @@ def test_keys_and_rows_are_grouped_in_parts_that_grow_with_the_input(spark, tmp_
     plan = P.duplicate_rows(constant, "t")._jdf.queryExecution().executedPlan().toString()
     # One shuffle of the rows, and the one of the totals.
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_goals_of_large_tables_are_joined_in_parts_that_grow_with_the_input(spark, sf001, monkeypatch):
+    from hrlens.operators import joins
+    from hrlens.sources import derive
+
+    usual = derive.goals_view(spark, sf001)
+    monkeypatch.setattr(derive, "LARGE_BYTES", 0, raising=False)
+    monkeypatch.setattr(joins, "PART_BYTES", 4_000)
+    large = derive.goals_view(spark, sf001)
+    assert large.count() == usual.count() and large.exceptAll(usual).count() == 0
+    assert large.select(F.spark_partition_id()).distinct().count() > 20
