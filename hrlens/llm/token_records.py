@@ -39,6 +39,7 @@ no records.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -51,7 +52,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hrlens.llm.common import scratch, small_batches
+from hrlens.llm.common import byte_batches, scratch, small_batches
 
 LENGTH = struct.Struct("<QI")
 CRC = struct.Struct("<I")
@@ -113,7 +114,7 @@ class Tokens:
 
     path: str
     end_id: int = 0
-    file_bytes: int = 14_000_000
+    file_bytes: int = 6_000_000
     memory: int = 600_000
 
 
@@ -189,6 +190,9 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(spec: Tokens) -> Encoder:
+    """The encoder of a task's worker. A task has one core, so the library
+    starts no threads, each of which would hold memory of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(spec)
 
 
@@ -221,6 +225,7 @@ def write(docs: DataFrame, folder: str, spec: Tokens, text: str = "text", doc_id
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """file (its place in order), content."""
+    byte_batches(spark)  # a file at a time goes to a worker
     number = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("int")
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(number.alias("file"), "content")
 

@@ -3,6 +3,7 @@ labels, with nulls, empty and long texts, repeated rows, empty tables and
 columns of clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -10,6 +11,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -353,6 +355,36 @@ def test_token_records_added_token():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
 
 
+def batch_sizes(spark, read, folder):
+    """Rows of each batch that a worker gets of eight files of 5 MB, all of them in one task."""
+    for i in range(8):
+        (folder / f"part-{i:05d}-x").write_bytes(bytes(5_000_000))
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {x: spark.conf.get(x, None) for x in names}
+    spark.conf.set(names[0], "1")
+    spark.conf.unset(names[1])
+    try:
+        got = read(spark, str(folder)).mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n int").collect()
+    finally:
+        for x, value in before.items():
+            spark.conf.unset(x) if value is None else spark.conf.set(x, value)
+    return [r["n"] for r in got]
+
+
+def test_token_records_index_takes_a_file_at_a_time(spark, tmp_path):
+    assert batch_sizes(spark, token_records.files, tmp_path) == [1] * 8
+
+
+def test_token_records_encoder_of_a_task_starts_no_threads(monkeypatch):
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    token_records.encoder.cache_clear()
+    threads = len(os.listdir("/proc/self/task"))
+    texts = [f"word{i} zq{i * 7919}x" for i in range(3000)]
+    got = token_records.encoder(token_records.Tokens(BYTE_BPE)).encode(texts)
+    assert len(got) == 3000 and os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    assert len(os.listdir("/proc/self/task")) <= threads
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é" + "x" * 5000
     rows = [(1, "u", big), (2, "u", big), (3, "u", big), (4, None, None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", big), (3, "u", big)]
