@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hrlens.llm.common import scratch, small_batches
+from hrlens.llm.common import byte_batches, scratch, small_batches
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -129,7 +129,8 @@ def with_response(pages: DataFrame, spec: Archive) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
     best = rows.where(F.col("size") >= spec.min_revisit).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n"))
     best = best.where("n > 1 and best is not null").select("digest", "best")
-    rows = rows.join(best, "digest", "left")
+    # Hashed by the few digests found twice, the pages themselves need no sorting.
+    rows = rows.join(best.hint("shuffle_hash"), "digest", "left")
     refers = F.when(F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best")), F.col("best"))
     return rows.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -138,6 +139,7 @@ def write(pages: DataFrame, folder: str, spec: Archive = Archive()) -> None:
     """Archive files of ``pages`` (page_id, url, html). Each task writes its
     own rows, into a new file after so many records."""
     small_batches(pages.sparkSession, 500)
+    byte_batches(pages.sparkSession)
     size, n = pages.agg(F.sum(F.octet_length("html").cast("decimal(38,0)")), F.count("*")).first()
     per_file = max(1, n * spec.file_bytes // max(1, int(size or 0)))
 
@@ -177,42 +179,50 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+RECORD = "origin string, type string, page_id string, url string, digest string, refers_to string, stated long"
+SEGMENT = f"{RECORD}, segment int, total long, block binary"
+PAYLOAD = f"{RECORD}, payload binary, sha1 string"
+
+
+def _segments(batches: Iterator[pd.DataFrame], cut: bool | None) -> Iterator[pd.DataFrame]:
+    number = lambda x: None if x is None else int(x)
+    for b in batches:
+        for content in b["content"]:
+            rows = []
+            for h, block in parse(content):
+                if cut is not None and cut != ("WARC-Segment-Number" in h):
+                    continue
+                sha = h.get("WARC-Payload-Digest")
+                rows.append(
+                    (
+                        h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]),
+                        int(h.get("WARC-Segment-Number", 0)),
+                        number(h.get("WARC-Segment-Total-Length")),
+                        h["WARC-Type"],
+                        h.get("Page-ID"),
+                        h.get("WARC-Target-URI"),
+                        sha and base64.b32decode(sha.split(":")[1]).hex(),
+                        h.get("Refers-To-Page-ID"),
+                        number(h.get("Payload-Length")),
+                        block,
+                    )
+                )
+                if len(rows) == 500:
+                    yield _frame(rows)
+                    rows = []
+            yield _frame(rows)
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    byte_batches(spark)  # an archive file at a time goes to a worker
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+
+
 def read_segments(spark: SparkSession, folder: str, cut: bool | None = None) -> DataFrame:
     """A row per record: origin, segment, total, type, page_id, url, digest,
     refers_to, stated (payload bytes of a revisit), block; ids are text. With ``cut`` only
     the segments of cut blocks (true) or only whole records (false)."""
-    small_batches(spark, 500)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = lambda x: None if x is None else int(x)
-        for b in batches:
-            for content in b["content"]:
-                rows = []
-                for h, block in parse(content):
-                    if cut is not None and cut != ("WARC-Segment-Number" in h):
-                        continue
-                    sha = h.get("WARC-Payload-Digest")
-                    rows.append(
-                        (
-                            h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]),
-                            int(h.get("WARC-Segment-Number", 0)),
-                            number(h.get("WARC-Segment-Total-Length")),
-                            h["WARC-Type"],
-                            h.get("Page-ID"),
-                            h.get("WARC-Target-URI"),
-                            sha and base64.b32decode(sha.split(":")[1]).hex(),
-                            h.get("Refers-To-Page-ID"),
-                            number(h.get("Payload-Length")),
-                            block,
-                        )
-                    )
-                    if len(rows) == 500:
-                        yield _frame(rows)
-                        rows = []
-                yield _frame(rows)
-
-    shape = "origin string, segment int, total long, type string, page_id string, url string, digest string, refers_to string, stated long, block binary"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content").mapInPandas(run, shape)
+    return _files(spark, folder).mapInPandas(lambda batches: _segments(batches, cut), SEGMENT)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -221,34 +231,36 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).assign(**whole)
 
 
-def reassembled(segments: DataFrame) -> DataFrame:
+def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for block in b["block"]:
+            head, body = block.split(b"\r\n\r\n", 1)
+            out.append(unchunked(body) if b"\r\nTransfer-Encoding: chunked" in head else body)
+        kept = b.drop(columns=["block", "segment", "total"], errors="ignore")
+        made = {"payload": out, "sha1": [hashlib.sha1(x).hexdigest() for x in out]}
+        # Without a record, a list alone would become a column of floats.
+        yield kept.assign(**{c: pd.Series(x, kept.index, dtype=object) for c, x in made.items()})
+
+
+def reassembled(segments: DataFrame, decode: bool = False) -> DataFrame:
     """The records that ``segments`` were cut from: grouped by origin, ordered
-    by number and checked."""
-    shape = segments.drop("segment", "total").schema
+    by number and checked. With ``decode`` what ``payloads`` makes of them."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("segment")
         block = b"".join(g["block"])
         if list(g["segment"]) != list(range(1, len(g) + 1)) or g["total"].iloc[-1] != len(block):
             raise ValueError(f"{g['origin'].iloc[0]}: segments missing, or of another length than stated")
-        return g.iloc[:1].drop(columns=["segment", "total"]).assign(block=[block])
+        whole = g.iloc[:1].drop(columns=["segment", "total"]).assign(block=[block])
+        return next(_decoded(iter([whole]))) if decode else whole
 
-    return segments.groupBy("origin").applyInPandas(run, shape)
+    return segments.groupBy("origin").applyInPandas(run, PAYLOAD if decode else f"{RECORD}, block binary")
 
 
 def payloads(records: DataFrame) -> DataFrame:
     """``records`` with the decoded payload of each block, and its digest."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for block in b["block"]:
-                head, body = block.split(b"\r\n\r\n", 1)
-                out.append(unchunked(body) if b"\r\nTransfer-Encoding: chunked" in head else body)
-            yield b.drop(columns="block").assign(payload=out, sha1=[hashlib.sha1(x).hexdigest() for x in out])
-
-    shape = "origin string, type string, page_id string, url string, digest string, refers_to string, stated long, payload binary, sha1 string"
-    return records.mapInPandas(run, shape)
+    return records.mapInPandas(_decoded, PAYLOAD)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,9 +269,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     digest and size of a revisit are those its record states of the payload.
     A response whose payload has another digest than stated raises an error."""
     # Whole records are not shuffled. Archives are unpacked for either kind,
-    # but a record is taken up and decoded once.
-    cut = reassembled(read_segments(spark, folder, cut=True))
-    rows = payloads(read_segments(spark, folder, cut=False).drop("segment", "total").unionByName(cut))
+    # but a record is taken up and decoded once, by the one worker of a task.
+    cut = reassembled(read_segments(spark, folder, cut=True), decode=True)
+    rows = _files(spark, folder).mapInPandas(lambda batches: _decoded(_segments(batches, False)), PAYLOAD).unionByName(cut)
     is_response = F.col("type") == "response"
     wrong = is_response & (F.col("sha1") != F.col("digest"))
     rows = rows.withColumn("digest", F.when(wrong, F.raise_error(F.concat(F.lit("payload of "), "origin"))).otherwise(F.col("digest")))

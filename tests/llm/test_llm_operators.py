@@ -422,6 +422,22 @@ def test_warc_segments_of_given_pages(spark, sf01, tmp_path):
             warc.reassembled(broken).collect()
 
 
+def test_warc_reads_a_file_at_a_time(spark, tmp_path):
+    assert batch_sizes(spark, warc._files, tmp_path) == [1] * 8
+
+
+def test_warc_pages_are_not_sorted_and_a_task_has_one_worker(spark, tmp_path):
+    rows = [(i, "u", f"{i // 2} " * 900) for i in range(40)] + [(99, "u", "<p>" + "y" * 40_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plan = warc.with_response(pages, warc.Archive())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    back = warc.archive(pages, folder=str(tmp_path / "w"))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and plan.count("FlatMapGroupsInPandas") == 1
+    got = {r["page_id"]: (bytes(r["payload"] or b"").decode(), r["refers_to"]) for r in back.collect()}
+    assert got == {i: ("", i + 1) if i < 40 and i % 2 == 0 else (h, None) for i, _, h in rows}
+
+
 def test_html(spark):
     page = (
         "<html><head><title>t</title><script>var a='<p>';</script></head><body><nav><a href=1>Home</a></nav><div class='ad'>Buy</div>"
