@@ -20,11 +20,13 @@ any order from index rows.
 Texts are encoded in parts that the tokenizer never joins. Where all characters
 are ASCII or Latin letters, these are the pieces that a byte-level
 pre-tokenizer makes by its regular expression: a word with the space before it,
-the comma after it. Other texts are cut into stretches: the pre-tokenizer starts
-a new token at a space between two characters that are no white space. Parts
-met before are looked up; the others of a batch go to the tokenizer together,
-and the tokens that begin with a space tell where each starts. The tokenizer's
-own added tokens are found in a text as its plain call finds them (their strings
+the comma after it; they are cut from the bytes of many texts at once. Other
+texts are cut into stretches: the pre-tokenizer starts a new token at a space
+between two characters that are no white space. The different parts of some
+megabytes of text are found by Arrow. Those met before are looked up; new words
+go to the tokenizer's model, for which each is one token of the pre-tokenizer;
+the other new parts go to the tokenizer together, and the tokens that begin with
+a space tell where each starts. The tokenizer's own added tokens are found in a text as its plain call finds them (their strings
 give their ids); they hold no space and take none in, so no cut into stretches
 meets one, and a text that holds one is cut into stretches.
 
@@ -43,12 +45,14 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,11 +69,24 @@ MASK = 0xA282EAD8
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 # White space other than the space and the line feed: texts with any go by _GAP.
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
-# ASCII and the letters of the first Latin blocks, and what a byte-level
-# pre-tokenizer with its regular expression makes of them.
+# Letters of the first Latin blocks: with ASCII, the characters of texts that are cut into pieces.
 _LATIN = "ªµºÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(f"[\x00-\x7f{_LATIN}]*")
-_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z{_LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+# One such word with the space before it, if any: one token of a byte-level pre-tokenizer.
+_WORD = re.compile(f" ?[A-Za-z{_LATIN}]+")
+# Whether two bytes (as one number) are a letter of these blocks, all of which take two.
+_PAIRS = np.zeros(1 << 16, bool)
+_PAIRS[[int.from_bytes(x.encode()) for x in re.findall(f"[{_LATIN}]", "".join(map(chr, range(0x80, 0x250))))]] = True
+# Kinds of bytes in such texts: a pre-tokenizer's regular expression keeps to one kind but for a space in front.
+_WHITE, _DIGIT, _LETTER, _MARK = range(4)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[list(b" \t\n\x0b\f\r")] = _WHITE
+_KIND[list(b"0123456789")] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+# Byte-level vocabularies write bytes as letters: those that do not print (and the space) as the letters from 256 on.
+_PRINT = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = dict(zip([b for b in range(256) if b not in _PRINT], range(256, 512)))
+# Bytes of text whose different parts are found together.
+_CHUNK = 4_000_000
 
 
 def stretches(text: str) -> list[str]:
@@ -80,6 +97,34 @@ def stretches(text: str) -> list[str]:
     return text.split(" ")
 
 
+def pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether a piece starts at each byte of ``data``, UTF-8 texts of ASCII and
+    Latin letters that begin at ``off`` (its last value: the end), as in
+    's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+    One value more stands for the end."""
+    kind = _KIND[data]
+    text = np.zeros(len(data) + 1, bool)
+    text[off] = True
+    start = text.copy()
+    start[1:-1] |= kind[1:] != kind[:-1]
+    # The last white space before something else is a piece of its own; a space goes to what follows.
+    last = np.flatnonzero((kind[:-1] == _WHITE) & start[1:-1] & ~text[1:-1])
+    start[last] = True
+    start[last + 1] = data[last] != 32
+    # 's and its like, where a piece starts at the apostrophe.
+    at = np.flatnonzero(data == 39)
+    at = at[start[at] & ~text[at + 1]]
+    follow = data[at + 1]
+    short = np.isin(follow, list(b"stmd"))
+    start[at[short] + 1], start[at[short] + 2] = False, True
+    at, follow = at[~short], follow[~short]
+    inside = ~text[at + 2]
+    at, follow = at[inside], follow[inside].astype(np.int64) << 8 | data[at[inside] + 2]
+    at = at[np.isin(follow, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")])]
+    start[at + 1], start[at + 3] = False, True
+    return start
+
+
 def masked(data: bytes) -> int:
     c = zlib.crc32(data)
     return (((c >> 15) | (c << 17)) + MASK) & 0xFFFFFFFF
@@ -132,16 +177,39 @@ class Encoder:
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
         cut = self.tokenizer.pre_tokenizer and json.loads(self.tokenizer.pre_tokenizer.__getstate__())
         self.cuts = bool(cut) and cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and self.tokenizer.normalizer is None
-        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added)) if added else None
+        added = [re.escape(x.content.encode()) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added)) if added else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def parts(self, text: str) -> list[str]:
-        if self.cuts and _PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
-            return _PIECE.findall(text)
-        first, *others = stretches(text)
-        return [first, *map(" ".__add__, others)]
+    def _cut(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where the parts of the texts that begin at ``off`` start in ``data``,
+        the end included."""
+        raw = data.tobytes()
+        if self.cuts:
+            start = pieces(data, off)
+            lead = np.flatnonzero(data >= 0xC0)
+            other = lead[~_PAIRS[data[lead].astype(np.int64) << 8 | data[lead + 1]]]
+            if self.added:
+                held = [x for m in self.added.finditer(raw) for x in (m.start(), m.end() - 1)]
+                other = np.append(other, np.array(held, np.int64))
+            texts = np.unique(np.searchsorted(off, other, "right") - 1)
+        else:
+            start = np.zeros(len(data) + 1, bool)
+            start[off] = True
+            texts = np.flatnonzero(np.diff(off))
+        for lo, hi in zip(off[texts].tolist(), off[texts + 1].tolist()):
+            first, *others = stretches(raw[lo:hi].decode())
+            start[lo + 1 : hi] = False
+            start[lo + np.cumsum([len(first.encode()), *[1 + len(x.encode()) for x in others]])] = True
+        return np.flatnonzero(start)
+
+    def _words(self, new: list[str]) -> None:
+        """Encode parts that are one token of the pre-tokenizer."""
+        tokenize, kind = self.tokenizer.model.tokenize, self.kind.char
+        for x in new:
+            letters = x.replace(" ", "Ġ") if x.isascii() else x.encode().decode("latin-1").translate(_LETTERS)
+            self.known[x] = array(kind, [t.id for t in tokenize(letters)]).tobytes()
 
     def _alone(self, new: list[str]) -> None:
         made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
@@ -171,22 +239,47 @@ class Encoder:
             found = {x: self.older[x] for x in self.older.keys() & new}
             self.known.update(found)
             new.difference_update(found)
+        if self.cuts:
+            words = list(filter(_WORD.fullmatch, new))
+            if self.added and self.added.search("".join(words).encode()):  # only stretches can hold one
+                words = [x for x in words if not self.added.search(x.encode())]
+            self._words(words)
+            new.difference_update(words)
         spaced = [x for x in new if x[:1] == " " and x.rfind(" ") == 0 and not x.isspace()]
         self._together(spaced)
         self._alone(list(new.difference(spaced)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids (little-endian, 16 bits if ``narrow``) of each text, the end id
         included."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(texts):
+            return []
+        _, ends, data = texts.buffers()
+        off = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)
         end = np.array([self.spec.end_id], self.kind).tobytes()
         out = []
-        for lo in range(0, len(texts), 128):  # so many texts are looked up together
-            parts = [self.parts(t) for t in texts[lo : lo + 128]]
-            self._look_up(set().union(*parts))
-            known = self.known.__getitem__
-            out += [b"".join([*map(known, p), end]) for p in parts]
+        chunks = [0, *(np.flatnonzero(np.diff((off[:-1] - off[0]) // _CHUNK)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(chunks, chunks[1:]):  # texts that are looked up together
+            ids, cuts = self._ids(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            out += [ids[i:j] + end for i, j in zip(cuts, cuts[1:])]
         return out
 
+    def _ids(self, data: np.ndarray, off: np.ndarray) -> tuple[bytes, list[int]]:
+        """The ids of all texts that begin at ``off`` in ``data``, and where
+        those of each begin."""
+        cuts = self._cut(data, off)
+        if len(cuts) == 1:  # no text but empty ones
+            return b"", [0] * len(off)
+        parts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._look_up(set(names))
+        made = pa.array(list(map(self.known.__getitem__, names)), pa.large_binary()).take(parts.indices)
+        _, ends, ids = made.buffers()
+        ends = np.frombuffer(ends, np.int64)[made.offset : made.offset + len(made) + 1]
+        return ids.to_pybytes(), ends[np.searchsorted(cuts, off)].tolist()
+
 
 @lru_cache(2)
 def encoder(spec: Tokens) -> Encoder:
@@ -199,7 +292,8 @@ def encoder(spec: Tokens) -> Encoder:
 def write(docs: DataFrame, folder: str, spec: Tokens, text: str = "text", doc_id: str = "doc_id") -> None:
     """Record files of ``docs``, in the order of ``doc_id`` (equal ids: of the
     text's hash)."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"))
     # Sized by the scan's statistics, so that no job reads the texts for it; where there are none, by the texts.
@@ -209,18 +303,15 @@ def write(docs: DataFrame, folder: str, spec: Tokens, text: str = "text", doc_id
         size = int(rows.agg(F.sum(F.octet_length("text").cast("decimal(38,0)"))).first()[0] or 0) // 2
     files = max(1, -(-size // spec.file_bytes))
 
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec)
         for b in batches:
-            ids = e.encode(b["text"].tolist())
-            keys = [None if gone else k for k, gone in zip(b["doc_id"].tolist(), b["gone"].tolist())]
-            yield pd.DataFrame({"record": [record(k, x, e.narrow)[:-1] for k, x in zip(keys, ids)]})
+            made = zip(b.column("doc_id").to_pylist(), e.encode(b.column("text")))
+            yield pa.record_batch({"record": pa.array([record(k, x, e.narrow)[:-1] for k, x in made], pa.binary())})
 
     dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    # A null among the ids would turn them into floats on the way.
-    dealt = dealt.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("gone"), "text")
     # The text writer ends each value with a line feed and changes no byte of it.
-    dealt.mapInPandas(frames, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
+    dealt.mapInArrow(frames, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,6 +386,48 @@ def test_token_records_encoder_of_a_task_starts_no_threads(monkeypatch):
     assert len(os.listdir("/proc/self/task")) <= threads
 
 
+def test_token_records_new_words_go_to_the_model():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(BYTE_BPE), token_records.Encoder(token_records.Tokens(BYTE_BPE))
+    seen, together, alone = [], enc._together, enc._alone
+    enc._together = lambda new: (seen.extend(new), together(new))[1]
+    enc._alone = lambda new: (seen.extend(new), alone(new))[1]
+    texts = [f"Hüte{a}{b} zq{b}é{a}, " + f"naïve{b}{a} ɏ{a}." for a in "abcdefgh" for b in "ijklmnop"]
+    got = enc.encode(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert {x.strip() for x in seen} <= {",", ".", ""}
+
+
+def test_token_records_looks_up_each_part_of_a_batch_once():
+    enc = token_records.Encoder(token_records.Tokens(BYTE_BPE))
+    texts = ["one and the other, as before. " * 300] * 400
+    first = enc.encode(texts)
+    reads = 0
+
+    class Known(dict):
+        def __getitem__(self, x):
+            nonlocal reads
+            reads += 1
+            return super().__getitem__(x)
+
+    enc.known = Known(enc.known)
+    assert enc.encode(texts) == first and reads < 100
+
+
+def test_token_records_texts_side_by_side_stay_apart():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(BYTE_BPE), token_records.Encoder(token_records.Tokens(BYTE_BPE))
+    bits = ["a", "s", "'", "'s", "'r", "e", "'l", "l", "7", ".", " ", "  ", "\n", "é", "日", "", "<|endof", "text|>", "\x00"]
+    random.seed(9)
+    texts = ["".join(random.choices(bits, k=random.randint(0, 3))) for _ in range(5000)]
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    for held in (texts, pa.array(texts), pa.array(["x", *texts], pa.large_string()).slice(1)):
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(held)] == want
+    assert enc.encode([]) == [] and enc.encode(["", ""]) == [bytes(2)] * 2
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é" + "x" * 5000
     rows = [(1, "u", big), (2, "u", big), (3, "u", big), (4, None, None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", big), (3, "u", big)]
