@@ -86,7 +86,7 @@ _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
 _PRINT = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTERS = dict(zip([b for b in range(256) if b not in _PRINT], range(256, 512)))
 # Bytes of text whose different parts are found together.
-_CHUNK = 4_000_000
+_CHUNK = 2_000_000
 
 
 def stretches(text: str) -> list[str]:
@@ -185,13 +185,12 @@ class Encoder:
     def _cut(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where the parts of the texts that begin at ``off`` start in ``data``,
         the end included."""
-        raw = data.tobytes()
         if self.cuts:
             start = pieces(data, off)
             lead = np.flatnonzero(data >= 0xC0)
             other = lead[~_PAIRS[data[lead].astype(np.int64) << 8 | data[lead + 1]]]
             if self.added:
-                held = [x for m in self.added.finditer(raw) for x in (m.start(), m.end() - 1)]
+                held = [x for m in self.added.finditer(data) for x in (m.start(), m.end() - 1)]
                 other = np.append(other, np.array(held, np.int64))
             texts = np.unique(np.searchsorted(off, other, "right") - 1)
         else:
@@ -199,7 +198,7 @@ class Encoder:
             start[off] = True
             texts = np.flatnonzero(np.diff(off))
         for lo, hi in zip(off[texts].tolist(), off[texts + 1].tolist()):
-            first, *others = stretches(raw[lo:hi].decode())
+            first, *others = stretches(data[lo:hi].tobytes().decode())
             start[lo + 1 : hi] = False
             start[lo + np.cumsum([len(first.encode()), *[1 + len(x.encode()) for x in others]])] = True
         return np.flatnonzero(start)
@@ -273,12 +272,15 @@ class Encoder:
         if len(cuts) == 1:  # no text but empty ones
             return b"", [0] * len(off)
         parts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        cuts = np.searchsorted(cuts, off)  # the first part of each text
         names = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         self._look_up(set(names))
-        made = pa.array(list(map(self.known.__getitem__, names)), pa.large_binary()).take(parts.indices)
+        made = pa.array(list(map(self.known.__getitem__, names)), pa.large_binary())
+        del names
+        made = made.take(parts.indices)
         _, ends, ids = made.buffers()
         ends = np.frombuffer(ends, np.int64)[made.offset : made.offset + len(made) + 1]
-        return ids.to_pybytes(), ends[np.searchsorted(cuts, off)].tolist()
+        return ids.to_pybytes(), ends[cuts].tolist()
 
 
 @lru_cache(2)
@@ -292,7 +294,7 @@ def encoder(spec: Tokens) -> Encoder:
 def write(docs: DataFrame, folder: str, spec: Tokens, text: str = "text", doc_id: str = "doc_id") -> None:
     """Record files of ``docs``, in the order of ``doc_id`` (equal ids: of the
     text's hash)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     byte_batches(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"))
