@@ -9,14 +9,18 @@ collapse to one node. Pairs of nodes with Jaccard similarity of at least
   c-subsets under the key (a, b, subset). Linked sets share such a key; sets
   of the larger size alone may share one too, so overlaps are still counted.
 * Heavy (large) sets are cut into k segments by hash. A linked pair differs in
-  H elements at most, so of k = H + 2 segments two at least are equal; each
-  segment's contents key an inverted list. The lists are scanned: members meet
+  H elements at most, so of k > H + 1 segments two at least are equal; each
+  segment's contents key an inverted list. Empty segments, which a part of all
+  sets shares, do so only for sets that may have no other in common with one
+  they are linked with, and k is such that these are few. The lists are scanned: members meet
   under the list's smallest node (its hub) once, however many lists they
   share, in blocks of bounded size. Parity sketches, which can only
   underestimate how many elements differ, sort out pairs that can have no link
   there. Each member is compared exactly with its leader, the smallest member
   it may link with; then members that may link with one of another component
-  are compared exactly in blocks, so no link between components is lost.
+  are grouped by those possible links alone, not by the hubs they met under,
+  and each group is compared exactly in blocks, so no link between components
+  is lost.
 * The boundary is the size at which the emitted subsets would outnumber what
   the inverted lists cost, summed over the corpus's own size histogram.
 
@@ -39,6 +43,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pandas as pd
@@ -169,22 +174,29 @@ def light_cost(a: int, percent: int) -> int:
 
 
 @lru_cache(100_000)
-def buckets(a: int, percent: int) -> list[tuple[int, int]]:
-    """The two size buckets (number, segments) in which a set of a elements
-    keeps inverted lists: its own, and the one below, whose sets it may
-    extend."""
+def buckets(a: int, percent: int) -> list[tuple[int, int, int]]:
+    """The two size buckets (number, segments, how many of these are equal at
+    least in a linked pair) in which a set of a elements keeps inverted lists:
+    its own, and the one below, whose sets it may extend."""
+
+    def differ(x: int, y: int) -> int:
+        return (100 - percent) * (x + y) // (100 + percent)
+
     lo, i = 1, 0
     below = None
     while True:
         hi = max(lo + 1, -(-100 * lo // percent))  # sizes lo..hi-1
-        differ = (100 - percent) * (hi - 1 + 100 * (hi - 1) // percent) // (100 + percent)
+        k = differ(hi - 1, 100 * (hi - 1) // percent) + 2
+        bare = k * exp(-(hi - 1) / k)  # empty segments, as expected
+        k += ceil(bare + 2 * sqrt(bare))
         if a < hi:
-            return [(i, differ + 2)] + ([below] if below else [])
-        below, lo, i = (i, differ + 2), hi, i + 1
+            own = (i, k, k - differ(a, 100 * a // percent))
+            return [own, (*below, below[1] - differ(a, lo - 1))] if below else [own]
+        below, lo, i = (i, k), hi, i + 1
 
 
 def heavy_cost(a: int, percent: int) -> int:
-    return sum(k for _, k in buckets(a, percent))
+    return sum(k for _, k, _ in buckets(a, percent))
 
 
 def boundary(histogram: dict[int, int], join: Join) -> int:
@@ -221,9 +233,9 @@ def light_entries(s: np.ndarray, percent: int) -> list[int]:
 
 def heavy_entries(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, which set) of all ``sets``: a key for each segment of each of a
-    set's buckets, a hash of the segment's contents. A linked pair has two
-    equal segments at least, so an empty segment is a key only for sets with
-    two or more of them."""
+    set's buckets, a hash of the segment's contents. Empty segments are keys
+    only for sets that have as many as may be all that a linked pair shares:
+    with fewer, one filled segment at least is equal."""
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     mixed = _mix(flat)
@@ -233,6 +245,7 @@ def heavy_entries(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
         # Sets without a second bucket have no segments in it.
         number = np.array([b[j][0] if j < len(b) else 0 for b in own], np.uint64)
         k = np.array([b[j][1] if j < len(b) else 0 for b in own])
+        least = np.array([b[j][2] if j < len(b) else 0 for b in own])
         has = np.repeat(k > 0, sizes)
         first = np.cumsum(k) - k
         at = _mix(flat + np.repeat(number, sizes)) % np.maximum(np.repeat(k, sizes), 1).astype(np.uint64)
@@ -243,7 +256,7 @@ def heavy_entries(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
         filled = np.bincount(place, minlength=total) > 0
         owner = np.repeat(np.arange(len(sets)), k)
         empty = np.bincount(owner[~filled], minlength=len(sets))
-        use = filled | (empty[owner] >= 2)
+        use = filled | (empty >= least)[owner]
         salt = (number << np.uint64(32)) + np.uint64(1 << 60)
         within = (np.arange(total) - first[owner]).astype(np.uint64)
         keys.append(_mix(sums + _mix(salt[owner] + within))[use])
@@ -271,28 +284,45 @@ def _folded(made: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in made])
 
 
-def _partners(
-    nodes: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, sketches: list[bytes], lo: int, hi: int, percent: int, labels: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Which members of the blocks ``lo`` and ``hi`` may be linked with one of
-    the other (of another label), and the smallest such partner of each."""
-    words, out = _folded(sketches), np.zeros(len(sizes), bool)
-    best = np.full(len(sizes), np.iinfo(np.int64).max)
-    two = np.flatnonzero(blocks == hi)
+def _able(
+    sizes: np.ndarray, blocks: np.ndarray, sketches: list[bytes], lo: int, hi: int, percent: int, labels: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of the block ``lo`` that may be linked with some of ``hi``
+    (of another label), and those."""
+    words, two = _folded(sketches), np.flatnonzero(blocks == hi)
     for i in np.flatnonzero(blocks == lo):
         differ = np.bitwise_count(words[two] ^ words[i]).sum(axis=1, dtype=np.int64)
         able = (100 + percent) * differ <= (100 - percent) * (sizes[two] + sizes[i])
         able &= two != i
         if labels is not None:
             able &= labels[two] != labels[i]
-        with_i = two[able]
-        if len(with_i):
-            out[with_i] = out[i] = True
-            best[with_i] = np.minimum(best[with_i], nodes[i])
-            best[i] = min(best[i], nodes[with_i].min())
+        if able.any():
+            yield i, two[able]
+
+
+def _partners(nodes: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which members may be linked with another, and the smallest such partner
+    of each."""
+    out, best = np.zeros(len(nodes), bool), np.full(len(nodes), np.iinfo(np.int64).max)
+    for i, with_i in links:
+        out[with_i] = out[i] = True
+        best[with_i] = np.minimum(best[with_i], nodes[i])
+        best[i] = min(best[i], nodes[with_i].min())
     return out, best
 
 
+def _tree(nodes: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """A spanning forest of the links, each member's given together."""
+    top, out = np.arange(len(nodes)), []
+    for i, with_i in links:
+        tops, first = np.unique(top[with_i], return_index=True)
+        for t, j in zip(tops, with_i[first]):
+            if t != top[i]:
+                top[top == t] = top[i]
+                out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
 def with_node(docs: DataFrame, join: Join, text: str, carry: list[Column]) -> DataFrame:
     """``carry``, node (null for the empty set), n_shingles, sketch."""
 
@@ -414,22 +444,21 @@ def able(members: DataFrame, join: Join) -> DataFrame:
 
     def made(key: tuple, rows: list) -> list[tuple[int, int, int]]:
         node, block, size, sketches = zip(*rows)
-        may, best = _partners(np.array(node), np.array(size), np.array(block), list(sketches), key[1], key[2], join.percent)
+        may, best = _partners(np.array(node), _able(np.array(size), np.array(block), list(sketches), key[1], key[2], join.percent))
         return [(key[0], node[i], best[i]) for i in np.flatnonzero(may)]
 
     return _by_pair(members, ["node", "block", "n", "sketch"], made, "hub long, node long, leader long")
 
 
 def apart(members: DataFrame, join: Join) -> DataFrame:
-    """hub, node: members that may be linked with another of their hub that
-    has another ``label``."""
+    """a, b: for each pair of blocks, edges of a spanning forest of the links
+    that there may be between members of other ``label``."""
 
     def made(key: tuple, rows: list) -> list[tuple[int, int]]:
         node, block, size, label, sketches = zip(*rows)
-        may, _ = _partners(np.array(node), np.array(size), np.array(block), list(sketches), key[1], key[2], join.percent, np.array(label))
-        return [(key[0], node[i]) for i in np.flatnonzero(may)]
+        return _tree(np.array(node), _able(np.array(size), np.array(block), list(sketches), key[1], key[2], join.percent, np.array(label)))
 
-    return _by_pair(members, ["node", "block", "n", "label", "sketch"], made, "hub long, node long").distinct()
+    return _by_pair(members, ["node", "block", "n", "label", "sketch"], made, "a long, b long")
 
 
 def stars(leaders: DataFrame, join: Join) -> DataFrame:
@@ -471,11 +500,13 @@ def verified(members: DataFrame, join: Join) -> DataFrame:
 
 def in_blocks(near: DataFrame, needed: Column) -> DataFrame:
     """``near`` (hub, node, ...) with each hub's members dealt over ``needed``
-    blocks: a row for every pair (lo, hi) of blocks that its ``block`` is of."""
+    blocks: a row for every pair (lo, hi) of blocks that its ``block`` is of.
+    Spark takes these for no more rows than ``near`` has, so the hint keeps
+    them from being gathered in the driver for a broadcast."""
     counts = near.groupBy("hub").agg(needed.alias("blocks"))
     near = near.join(counts, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     near = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return near.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+    return near.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other").hint("merge")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -532,13 +563,12 @@ def components_of(docs: DataFrame, join: Join, text: str, doc_id: str, carry: li
     edges = stored(led(pairs.join(shingles_of(docs, chosen, join, text, doc_id), "node"), join), "links")
     labels = components(edges)
 
-    # What may still link two components: in blocks, hubs that share members as one.
+    # What may still link two components: in blocks, all that a chain of such links joins as one.
     rest = near.select("hub", "node").join(met.drop("id"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = stored(apart(in_blocks(rest, by_sketch), join), "apart")
     if rest.limit(1).count():
-        groups = components(rest.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        rest = groups.select(F.col("label").alias("hub"), "node").join(rest.select("node").distinct(), "node")
-        rest = stored(rest.join(chosen.select("node", "n"), "node"), "rest")
+        groups = components(rest).select(F.col("label").alias("hub"), "node")
+        rest = stored(groups.join(chosen.select("node", "n"), "node"), "rest")
         pairs = in_blocks(rest, F.greatest(by_count, F.ceil(F.sum("n") / join.block_shingles))).select("hub", "node", "block", "lo", "hi")
         wanted = chosen.join(rest.select("node"), "node", "left_semi")
         more = stored(verified(pairs.join(shingles_of(docs, wanted, join, text, doc_id), "node"), join), "links")

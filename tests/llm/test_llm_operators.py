@@ -99,6 +99,63 @@ def test_jaccard_odd_rows(odd, none):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "7"]
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_lists_of_sets_with_nothing_in_common(percent):
+    """Sets of one size that share no element share hardly a list; linked ones do."""
+    rng = np.random.default_rng(5)
+    some = lambda k: np.sort(rng.integers(0, 2**63, k, dtype=np.int64).view(np.uint64))
+    keys, _ = jaccard_join.heavy_entries([some(300) for _ in range(2000)], percent)
+    assert np.unique(keys, return_counts=True)[1].max() <= 4
+    for size in [*range(12, 90), 300, 800]:
+        for _ in range(20):
+            one = some(size)
+            less = rng.integers(0, size // 20 + 1)
+            new = (size * (100 - percent) - 100 * less) // (100 + percent)  # the other set has ``less`` fewer, ``new`` others
+            two = np.sort(np.concatenate([one[rng.permutation(size)[less + max(new, 0) :]], some(max(new, 0))]))
+            if 100 * len(np.intersect1d(one, two)) < percent * len(np.union1d(one, two)):
+                continue
+            k, which = jaccard_join.heavy_entries([one, two], percent)
+            assert set(k[which == 0]) & set(k[which == 1])
+
+
+def test_jaccard_empty_segments_alone_in_common():
+    """Linked sets whose equal segments are all empty share a key too."""
+    rng = np.random.default_rng(6)
+    number, k, _ = jaccard_join.buckets(60, 80)[0]
+    many = rng.integers(0, 2**63, 4000, dtype=np.int64).view(np.uint64)
+    at = jaccard_join._mix(many + np.uint64(number)) % np.uint64(k)
+    in_each = [many[at == p] for p in range(15)]
+    one = np.sort(np.concatenate([x[:4] for x in in_each]))  # 60 elements in 15 segments
+    two = np.sort(np.concatenate([x[:5] for x in in_each]))  # and one more in each of them
+    keys, which = jaccard_join.heavy_entries([one, two], 80)
+    assert set(keys[which == 0]) & set(keys[which == 1])
+
+
+def test_jaccard_groups_are_of_possible_links(spark):
+    """Pairs that may be linked stay groups of their own under a common hub."""
+    rng = np.random.default_rng(7)
+    sets = {}
+    for n in range(0, 40, 2):
+        s = rng.integers(0, 2**63, 300, dtype=np.int64).view(np.uint64)
+        sets |= {n: s, n + 1: np.append(s[1:], s[0] + np.uint64(1))}
+    rows = [(0, n, len(s), n, bytearray(jaccard_join.sketch(s))) for n, s in sets.items()]
+    members = spark.createDataFrame(rows, "hub long, node long, n long, label long, sketch binary")
+    edges = jaccard_join.apart(jaccard_join.in_blocks(members, F.lit(3)), jaccard_join.Join(5, 80))
+    groups = {(r.node, r.label) for r in jaccard_join.components(edges).collect()}
+    assert groups == {(n, n - n % 2) for n in sets}
+
+
+def test_jaccard_blocks_are_never_broadcast(spark):
+    """A row for each pair of blocks is more than Spark expects: whatever the
+    size of the members, these rows are not gathered in the driver."""
+    near = spark.range(500).select(F.lit(0).alias("hub"), F.col("id").alias("node"))
+    other = spark.range(100_000).select(F.col("id").alias("node"), F.lit("x").alias("y"))
+    pairs = jaccard_join.in_blocks(near, F.lit(40)).select("hub", "node", "block", "lo", "hi").join(other, "node")
+    assert pairs.count() == 500 * 40
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [node" in plan and "BroadcastHashJoin [node" not in plan
+
+
 def test_word_hashes_over_blocks(monkeypatch):
     """Every word has its own hash, whichever texts it is hashed with."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
